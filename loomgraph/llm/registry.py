@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import mixing, quality_rules
+from loomgraph.llm import lm_scoring, mixing, ngram_join, quality_rules, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op4_ngram_join": ngram_join.query,
     "op5_quality_rules": quality_rules.query,
     "op7_mixing": mixing.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 
 ORACLES = {
