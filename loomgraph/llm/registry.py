@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import lm_scoring, mixing, ngram_join, quality_rules, toxicity
+from loomgraph.llm import lm_scoring, mixing, nearest_neighbours, ngram_join, quality_rules, sentencepiece_codec, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_nearest_neighbours": nearest_neighbours.query,
     "op4_ngram_join": ngram_join.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_sentencepiece": sentencepiece_codec.query,
     "op7_mixing": mixing.query,
+    "op8_warc": warc.query,
     "op10_lm_scoring": lm_scoring.query,
 }
 
