@@ -1,25 +1,30 @@
-"""A training corpus in stages: each takes (spark, docs, sf_dir) and is written before the next reads it."""
+"""A training corpus in stages: each takes (spark, docs, sf_dir) and is written before the next reads it.
+
+Quality rules and toxicity drop rows, the n-gram join keeps one document of each group, mixing repeats
+or leaves out documents to meet its sources' targets, and SentencePiece turns what is left into ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing, quality_rules
+from loomgraph.llm import mixing, ngram_join, quality_rules, sentencepiece_codec, toxicity
 from loomgraph.llm.common import stored, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("toxicity", toxicity.stage),
+    ("ngram_join", ngram_join.stage),
     ("mixing", mixing.stage),
+    ("sentencepiece", sentencepiece_codec.stage),
 ]
 
-#: Learned rules are not SQL; the tests hold the stages against brute-force versions.
+#: Learned rules and scores are not SQL; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
