@@ -139,7 +139,10 @@ def _possible(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray) ->
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (token, n << 32 | position, group) in order: kind 0: group pairs (x, y); kind 1: rows put by."""
+    """From rows (token, position << 32 | n, group) in order: kind 0: group pairs (x, y); kind 1: rows put by.
+
+    The first group of a run is its hub. That is where the token stands first, after the fewest rarer
+    ones: among near copies the one with the fewest changes, which most of the others link with."""
     held: np.ndarray = np.zeros((3, 0), np.int64)
     long_run = False
 
@@ -160,7 +163,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             put_by |= token == token[0]
         if ends_long and len(token):
             put_by |= token == token[-1]
-        n, i = packed >> 32, packed & 0xFFFFFFFF
+        i, n = packed >> 32, packed & 0xFFFFFFFF
         at = np.arange(len(token))
         a, b = [], []
         for s in range(1, SHORT_RUN):
@@ -274,7 +277,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sig = stored(d.mapInArrow(_signatures(classes), f"id {id_type}, n long, node long, grp long, prefix array<long>"), "signatures")
     nodes = stored(sig.where("n > 0").groupBy("node", "n", "grp").agg(F.min("id").alias("id")), "nodes")
 
-    tokens = sig.where("n > 0").select("grp", "n", F.posexplode("prefix").alias("i", "token")).select("token", (F.shiftleft(F.col("n"), 32) + F.col("i")).alias("packed"), "grp")
+    tokens = sig.where("n > 0").select("grp", "n", F.posexplode("prefix").alias("i", "token")).select("token", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("n")).alias("packed"), "grp")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = tokens.repartition(parts, "token").sortWithinPartitions("token", "packed", "grp")
     found = stored(dealt.mapInArrow(_runs, "kind int, x long, y long, z long"), "runs")
@@ -297,7 +300,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     inside = split.alias("p").join(split.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     some = met.join(wide.where("m > 1").select(F.col("grp").alias("x"), F.lit(1).alias("wx")), "x", "left").join(wide.where("m > 1").select(F.col("grp").alias("y"), F.lit(1).alias("wy")), "y", "left").where("wx = 1 or wy = 1").select("x", "y")
     across = some.join(at.select(F.col("grp").alias("x"), F.col("node").alias("a"), F.col("root").alias("ra")), "x").join(at.select(F.col("grp").alias("y"), F.col("node").alias("b"), F.col("root").alias("rb")), "y").where("ra <> rb").select("a", "b")
-    put_by = found.where("kind = 1").select(F.col("x").alias("token"), F.shiftright("y", 32).alias("n"), F.col("y").bitwiseAND(F.lit(0xFFFFFFFF)).alias("i"), F.col("z").alias("grp")).distinct()
+    put_by = found.where("kind = 1").select(F.col("x").alias("token"), F.shiftright("y", 32).alias("i"), F.col("y").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), F.col("z").alias("grp")).distinct()
     put_by = put_by.join(wide.select("grp", "r0", "r1"), "grp")
     open_tokens = put_by.groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select("token")
     still = stored(put_by.select("token", "n", "i", "grp").join(open_tokens, "token", "left_semi").join(at.select("grp", "node", "root"), "grp"), "still")
