@@ -1,6 +1,233 @@
-"""Every query of the library by name, and DuckDB SQL for those that SQL can express."""
+"""Every query of the library by name, and DuckDB SQL for those that SQL can express.
+
+Each query applies one operator to whole tables, given or derived by Spark from given ones.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.extract import registry as extract
+from loomgraph.functions import paths as P
+from loomgraph.operators import graph, hierarchy, lookup, resolve, trace, traverse
+from loomgraph.plans.fixtures import oracle, table, view
+from loomgraph.sources import trees
+from loomgraph.sources.shared import cut
+from loomgraph.streaming import checks as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Data:
+    """The derived tables of one data set, built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = getattr(type(self), f"make_{name}")(self) if hasattr(type(self), f"make_{name}") else view(self.spark, self.sf_dir, name)
+        return self.made[name]
+
+    def make_callers(self) -> DataFrame:
+        return resolve.enclosing_function(self.facts, self.symbols)
+
+    def make_callees(self) -> DataFrame:
+        return resolve.resolve_callees(self.facts, self.symbols)
+
+    def make_facts(self) -> DataFrame:
+        return cut(view(self.spark, self.sf_dir, "facts"))
+
+    def make_edges(self) -> DataFrame:
+        return cut(resolve.call_edges(self.facts, self.callers, self.callees))
+
+    def make_fnodes(self) -> DataFrame:
+        return graph.last_wins(self.symbols)
+
+    def make_nodes(self) -> DataFrame:
+        return cut(graph.all_nodes(self.symbols, self.symbols.select("path")))
+
+    def make_has(self) -> DataFrame:
+        return graph.containment_edges(self.symbols, self.symbols.select("path"))
+
+    def make_hit(self) -> DataFrame:
+        return resolve.event_functions(self.trace, self.fnodes)
+
+    def make_seed(self) -> DataFrame:
+        return cut(self.edges.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id"))
+
+    def make_wide(self) -> DataFrame:
+        n = self.part.count()
+        return self.lineitem.select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 13 + F.col("l_orderkey")) % n).alias("dst")).distinct()
+
+    def make_lines(self) -> DataFrame:
+        return trees.source_lines(self.documents.select(F.col("doc_id").cast("string").alias("path"), "text"), content_col="text")
+
+    def make_corpus(self) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("o1", "o2", "text")))
+        d = self.corpus_lines.groupBy("path").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("content"))
+        return cut(d.select(F.regexp_replace("path", r"\.py$", ".js").alias("path"), "content"))
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[Data], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(Data(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return add
+
+
+# Paths, ids, arguments and counts
+query("p1_relative_path", "SELECT p_partkey, CASE WHEN path = 'src' THEN '.' WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE path END AS rel FROM symbols")(lambda d: d.symbols.select("p_partkey", P.relative_path(F.col("path"), "src").alias("rel")))
+query("p2_dirname_basename", "SELECT page_id, CASE WHEN regexp_replace(url, '/?[^/]*$', '') = '' THEN '.' ELSE regexp_replace(url, '/?[^/]*$', '') END AS dir, split_part(url, '/', -1) AS base FROM pages")(lambda d: d.pages.select("page_id", P.dirname(F.col("url")).alias("dir"), P.basename(F.col("url")).alias("base")))
+_LABEL = "CASE regexp_extract(path, '(\\.[^./]+)$', 1) WHEN '.py' THEN 'Python' WHEN '.go' THEN 'Go' WHEN '.js' THEN 'JavaScript' WHEN '.ts' THEN 'TypeScript' WHEN '.rb' THEN 'Ruby' WHEN '.rs' THEN 'Rust' WHEN '.java' THEN 'Java' END"
+query("p3_language_label", f"SELECT doc_id, {_LABEL} AS label FROM named_files")(lambda d: d.named_files.select("doc_id", P.language_label(F.col("path")).alias("label")))
+query("p4_function_id", "SELECT p_partkey, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') || '.' || name AS py, split_part(path, '/', -1) || '::' || name AS c, split_part(path, '/', -2) || '.*T.' || name AS go FROM symbols")(
+    lambda d: d.symbols.select("p_partkey", P.function_id(F.lit("python"), F.col("path"), F.lit(None).cast("string"), F.col("name")).alias("py"), P.function_id(F.lit("c"), F.col("path"), F.lit(None), F.col("name")).alias("c"), P.function_id(F.lit("go"), F.col("path"), F.lit("*T"), F.col("name"), P.go_package(P.dirname(F.col("path")))).alias("go"))
+)
+query("p5_noise_filter", "SELECT seq, fn, file FROM trace WHERE NOT contains(file, 'lib/') AND NOT contains(file, 'site-packages') AND NOT contains(file, '<frozen') AND fn NOT IN ('<module>', '<genexpr>', '<listcomp>', '<dictcomp>', '__annotate__', 'root') AND contains(file, '/app/')")(lambda d: trace.without_noise(d.trace, "/app/").select("seq", "fn", "file"))
+query("p6_cut_arguments", "SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS arg FROM documents")(lambda d: trace.with_cut_arguments(d.documents.select("doc_id", F.create_map(F.lit("text"), "text").alias("args"))).select("doc_id", F.col("args")["text"].alias("arg")))
+query("p7_heat", "SELECT id, count(*) AS hits, CASE WHEN count(*) > 100 THEN 'blazing' WHEN count(*) > 20 THEN 'high' WHEN count(*) > 5 THEN 'med' ELSE 'low' END AS heat FROM hit GROUP BY id")(lambda d: graph.hit_counts(d.hit).withColumn("heat", P.heat(F.col("hits"))))
+
+# Sources and sinks
+query("s1_pruned_paths", "SELECT page_id, url AS path FROM pages WHERE NOT list_has_any(string_split(url, '/'), ['.git', 'node_modules', 'venv', '.venv', 'env', '__pycache__', '.tox'])")(lambda d: trees.without_pruned(d.pages.select("page_id", F.col("url").alias("path"))))
+query("s2_route_language", "SELECT doc_id, path, CASE WHEN s IN ('.c', '.h') THEN 'c' WHEN s = '.go' THEN 'go' WHEN s IN ('.jsx', '.js', '.ts', '.tsx', '.mjs', '.cjs') THEN 'js' WHEN s = '.py' THEN 'python' END AS lang FROM (SELECT *, regexp_extract(path, '(\\.[^./]+)$', 1) AS s FROM named_files)")(lambda d: trees.routed(d.named_files).select("doc_id", "path", "lang"))
+
+
+@query("s3_read_trace", "SELECT seq, fn, file, line FROM trace")
+def _read_trace(d: Data) -> DataFrame:
+    lines = d.trace.select("seq", F.to_json(F.struct("fn", "file", "line")).alias("value"))
+    return trace.parse(lines).where("not bad").select("seq", "fn", "file", "line")
+
+
+query("s4_source_lines", "SELECT path, CAST(n AS INT) AS line_no, parts[n] AS text FROM (SELECT path, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT CAST(doc_id AS STRING) AS path, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)")(lambda d: d.lines)
+query("s5_export_graph")(lambda d: trees.export_lines(d.nodes, graph.typed_edges(d.edges, d.has)))
+query("s6_record_trace")(lambda d: streams.recorded(d.trace))
+
+# Lookups
+query("f1_resolve_symbol", "SELECT s AS symbol, CASE WHEN e THEN 'exact' WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS status, CASE WHEN e THEN s ELSE coalesce(m, '') END AS matches FROM (SELECT s, s IN (SELECT id FROM nodes) AS e, (SELECT count(*) FROM fnodes WHERE name = s) AS n, (SELECT string_agg(id, ',' ORDER BY id) FROM fnodes WHERE name = s) AS m FROM (SELECT DISTINCT replace(p_name, ' ', '_') AS s FROM part UNION SELECT DISTINCT id FROM symbols UNION SELECT DISTINCT p_brand FROM part))")(
+    lambda d: resolve.resolve_symbols(d.symbols.select(F.col("name").alias("symbol")).union(d.symbols.select("id")).union(d.part.select("p_brand")), d.nodes).withColumn("matches", F.array_join("matches", ","))
+)
+query("f2_find_symbol", "SELECT * FROM nodes WHERE type = 'function' AND name = 'red_widget'")(lambda d: lookup.functions_named(d.nodes, "red_widget"))
+query("f3_node_details", "SELECT * FROM nodes WHERE id = 'economy.red_widget'")(lambda d: lookup.node_details(d.nodes, "economy.red_widget"))
+query("f4_file_symbols", "SELECT * FROM nodes WHERE type = 'function' AND path = 'src/Brand_17/economy.py'")(lambda d: lookup.symbols_of_file(d.nodes, "src/Brand_17/economy.py"))
+query("f5_source_slice", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, p_partkey % 1000 AS doc, start_line % 7 + 1 AS a, start_line % 7 + 1 + p_partkey % 4 AS b FROM symbols) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")(
+    lambda d: lookup.source_slices(d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1000).cast("string").alias("path"), (F.col("start_line") % 7 + 1).alias("line"), (F.col("start_line") % 7 + 1 + F.col("p_partkey") % 4).cast("int").alias("end_line")), d.lines)
+)
+query("f6_trace_of_function", "SELECT seq, file, line FROM trace WHERE fn = 'red_widget'")(lambda d: trace.of_function(d.trace, "red_widget").select("seq", "file", "line"))
+query("f7_search_node", "SELECT * FROM nodes WHERE contains(lower(name), 'widg') ORDER BY id LIMIT 1")(lambda d: lookup.search_nodes(d.nodes, "WIDG"))
+query("f8_search_history", "SELECT run_id, min(seq) AS seq, arg_min(fn, seq) AS fn, arg_min(file, seq) AS file, arg_min(line, seq) AS line FROM trace WHERE contains(lower(fn), 'cls.') GROUP BY run_id")(lambda d: lookup.search_history(d.trace, "cls."))
+query("f9_signature", "SELECT p_partkey, coalesce(trim(parts[k], ' '), '') AS signature FROM (SELECT p_partkey, p_partkey % 5 + 1 AS k, regexp_split_to_array(text, '\\r?\\n') AS parts FROM symbols LEFT JOIN documents ON doc_id = p_partkey)")(
+    lambda d: lookup.signatures(d.symbols.select("p_partkey", F.col("p_partkey").cast("string").alias("path"), (F.col("p_partkey") % 5 + 1).cast("int").alias("line")), d.lines).select("p_partkey", "signature")
+)
+
+# Joins
+query("j1_enclosing_function", "SELECT * FROM caller")(lambda d: d.callers)
+query("j2_resolve_callee", "SELECT * FROM callee")(lambda d: d.callees)
+query("j3_call_edges", "SELECT * FROM edges")(lambda d: d.edges)
+query("j4_direct_callers", "SELECT dst AS seed, src AS id, line FROM edges WHERE dst IN (SELECT id FROM seed)")(lambda d: graph.direct_callers(d.edges, d.seed))
+query("j5_direct_callees", "SELECT src AS seed, dst AS id, line FROM edges WHERE src IN (SELECT id FROM seed)")(lambda d: graph.direct_callees(d.edges, d.seed))
+query("j6_event_function", "SELECT * FROM hit")(lambda d: d.hit)
+query("j7_event_fallback", "SELECT t.seq, coalesce(n.id, 'dynamic-fallback') AS id, coalesce(n.path, t.file) AS path, coalesce(n.line, t.line) AS line FROM trace t LEFT JOIN hit h ON h.seq = t.seq LEFT JOIN fnodes n ON n.id = h.id")(lambda d: resolve.events_with_fallback(d.trace, d.fnodes))
+
+
+@query("j8_neighbour_details", "SELECT e.dst AS seed, n.id, n.name, split_part(n.path, '/', -1) AS file, e.line AS jump_line, coalesce(trim(c.text), '') AS signature FROM edges e JOIN fnodes n ON n.id = e.src LEFT JOIN (SELECT path, row_number() OVER (PARTITION BY path ORDER BY o1, o2, text) AS k, text FROM corpus_lines) c ON c.path = n.path AND c.k = e.line")
+def _details(d: Data) -> DataFrame:
+    lines = trees.source_lines(d.corpus).withColumn("path", F.regexp_replace("path", r"\.js$", ".py"))
+    seeds = d.edges.select(F.col("dst").alias("id")).distinct()
+    return graph.neighbour_details(graph.direct_callers(d.edges, seeds), d.nodes.where("type = 'function'"), lines)
+
+
+query("j9_call_view", "SELECT * FROM nodes WHERE id IN (SELECT src FROM edges UNION SELECT dst FROM edges)")(lambda d: graph.call_view(d.nodes, d.edges))
+query("j10_structure_view", "SELECT src, dst FROM has WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")(lambda d: graph.structure_view(d.has, d.nodes))
+query("j11_roots", "SELECT * FROM nodes WHERE type <> 'function' AND id NOT IN (SELECT dst FROM has)")(lambda d: graph.roots(d.nodes, d.has))
+
+# Aggregations
+query("a1_graph_summary", "SELECT (SELECT count(*) FROM fnodes) AS functions, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS calls, (SELECT count(*) FROM edges) + (SELECT count(*) FROM has) AS edges")(lambda d: graph.summary(d.nodes, graph.typed_edges(d.edges, d.has)))
+query("a2_function_count", "SELECT count(*) AS functions FROM fnodes")(lambda d: graph.function_count(d.nodes))
+query("a3_language_list", f"SELECT coalesce(string_agg(DISTINCT {_LABEL}, ', ' ORDER BY {_LABEL}), 'Unknown') AS languages FROM named_files")(lambda d: graph.language_list(d.named_files))
+query("a4_hit_counts", "SELECT id, count(*) AS hits FROM hit GROUP BY id")(lambda d: graph.hit_counts(d.hit))
+query("a5_last_wins", "SELECT * FROM fnodes")(lambda d: d.fnodes)
+query("a6_adjacency", "SELECT src AS id, string_agg(dst, ',' ORDER BY edge_ord) AS neighbours FROM edges GROUP BY src")(lambda d: graph.adjacency(d.edges).withColumn("neighbours", F.array_join("neighbours", ",")))
+query("a7_children", "SELECT id, coalesce(n, 0) AS n_children, coalesce(n, 0) > 0 AS has_children FROM nodes LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM has GROUP BY src) ON src = id")(lambda d: graph.with_children(d.nodes, d.has))
+query("a8_trace_size", "SELECT run_id, count(*) AS n FROM trace GROUP BY run_id")(lambda d: trace.run_sizes(d.trace))
+
+# Walks
+query("g1_containment_edges", "SELECT * FROM has")(lambda d: d.has)
+_WALK = "walk AS (SELECT DISTINCT {far} AS id FROM edges WHERE {near} IN (SELECT id FROM seed) UNION SELECT e.{far} FROM walk w JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.{near} = w.id)"
+query("g2_transitive_impact", ", " + _WALK.format(far="src", near="dst") + " SELECT (SELECT id FROM seed) AS seed, id FROM walk")(lambda d: traverse.closure(d.edges, d.seed).select("seed", "id"))
+query("g3_transitive_callees", ", " + _WALK.format(far="dst", near="src") + " SELECT (SELECT id FROM seed) AS seed, id FROM walk")(lambda d: traverse.closure(d.edges, d.seed, callers=False).select("seed", "id"))
+query("g2_wide_impact", ", top AS (SELECT dst AS id FROM wide GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1), walk AS (SELECT src AS id FROM wide WHERE dst IN (SELECT id FROM top) UNION SELECT e.src FROM walk w JOIN wide e ON e.dst = w.id) SELECT (SELECT id FROM top) AS seed, id FROM walk")(
+    lambda d: traverse.closure(d.wide, d.wide.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")).select("seed", "id")
+)
+
+
+@query(
+    "g4_shortest_path",
+    """, goal AS (SELECT min(id) AS a, (SELECT id FROM seed) AS b FROM fnodes WHERE id IN (SELECT src FROM edges)),
+reach AS (SELECT b AS id, 0 AS d FROM goal UNION SELECT e.src, r.d + 1 FROM reach r JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.dst = r.id WHERE r.d < 12),
+dist AS (SELECT id, min(d) AS d FROM reach GROUP BY id),
+nxt AS (SELECT e.src AS id, arg_min(e.dst, e.edge_ord) AS n FROM edges e JOIN dist p ON p.id = e.src JOIN dist q ON q.id = e.dst AND q.d = p.d - 1 GROUP BY e.src),
+path AS (SELECT a AS id, 0 AS step FROM goal WHERE a IN (SELECT id FROM dist) UNION ALL SELECT n.n, p.step + 1 FROM path p JOIN nxt n ON n.id = p.id WHERE p.id <> (SELECT b FROM goal))
+SELECT g.a AS start, g.b AS "end", p.step, p.id FROM path p, goal g""",
+)
+def _shortest(d: Data) -> DataFrame:
+    first = d.edges.agg(F.min("src").alias("start"))
+    return traverse.shortest_paths(d.edges, first.join(d.seed.select(F.col("id").alias("end"))))  # one row each
+
+
+query("g5_ancestors", "SELECT DISTINCT s.id AS seed, CASE k WHEN 1 THEN s.path WHEN 2 THEN s.dir WHEN 3 THEN 'src' ELSE '.' END AS id, CAST(k AS INT) AS distance FROM (SELECT id, min(path) AS path, min(dir) AS dir FROM symbols GROUP BY id) s, unnest([1, 2, 3, 4]) u(k)")(lambda d: traverse.ancestors(d.has, d.fnodes))
+query("g6_flatten_tree", "SELECT n.id, CASE WHEN n.type = 'directory' THEN n.name || '/' ELSE n.name END AS label, CAST(depth AS INT) AS depth, n.type, n.id IN (SELECT src FROM has) AS has_children FROM (SELECT '.' AS id, 0 AS depth UNION ALL SELECT 'src', 1 UNION ALL SELECT path, 2 FROM dirs WHERE path LIKE 'src/%' UNION ALL SELECT path, 3 FROM paths UNION ALL SELECT DISTINCT id, 4 FROM (SELECT DISTINCT path, id FROM symbols)) t JOIN nodes n ON n.id = t.id WHERE depth < 4 UNION ALL SELECT n.id, n.name, 4, n.type, false FROM (SELECT DISTINCT path, id FROM symbols) t JOIN nodes n ON n.id = t.id")(
+    lambda d: hierarchy.flatten(d.nodes, d.has, graph.roots(d.nodes, d.has)).select("id", "label", "depth", "type", "has_children")
+)
+
+# Order and limits
+query("w1_neighbour_order", "SELECT dst AS seed, src AS id, line FROM edges")(lambda d: graph.direct_callers(d.edges, d.edges.select(F.col("dst").alias("id")).distinct()).orderBy("seed", "id", "line"))
+query("w2_sibling_order", "SELECT src AS parent, id, CAST(row_number() OVER (PARTITION BY src ORDER BY CASE type WHEN 'directory' THEN 0 WHEN 'file' THEN 1 ELSE 2 END, CASE WHEN type = 'function' THEN line ELSE 0 END, CASE WHEN type = 'function' THEN '' ELSE name END, id) AS INT) AS position FROM (SELECT DISTINCT src, dst FROM has) h JOIN nodes n ON n.id = h.dst")(lambda d: hierarchy.sibling_order(d.nodes, d.has))
+query("w3_first_events", "SELECT seq, fn, file, line FROM trace WHERE fn = 'red_widget' ORDER BY seq LIMIT 20")(lambda d: trace.first_events(trace.of_function(d.trace, "red_widget"), 20).select("seq", "fn", "file", "line"))
+query("w4_sequence_number", "SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS INT) AS number, count(*) OVER (PARTITION BY run_id) AS n FROM trace")(lambda d: trace.numbered(d.trace).select("run_id", "seq", "number", "n"))
+query("w5_playhead", "SELECT run_id, max(seq) AS seq, arg_max(fn, seq) AS fn, arg_max(file, seq) AS file, arg_max(line, seq) AS line FROM trace GROUP BY run_id")(lambda d: trace.playhead(d.trace))
+
+# Extraction over the generated corpus, and union over languages
+_CORPUS = "numbered AS (SELECT regexp_replace(path, '\\.py$', '.js') AS path, CAST(row_number() OVER (PARTITION BY path ORDER BY o1, o2, text) AS INT) AS k, o1, o2, text FROM corpus_lines)"
+query("x3_js_definitions", f", {_CORPUS} SELECT regexp_replace(split_part(n.path, '/', -1), '\\.js$', '') || '.' || s.name AS id, s.name, n.path, min(k) AS start_line, max(k) AS end_line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name")(lambda d: extract.extract_symbols(d.corpus)[0].select("id", "name", "path", "start_line", "end_line"))
+query("x4_js_calls", f", {_CORPUS} SELECT path, k AS line, regexp_extract(text, '\\{{ ([A-Za-z_0-9]+)\\(', 1) AS callee_name, '' AS callee_qualifier FROM numbered WHERE o2 = 1 AND regexp_extract(text, '\\{{ ([A-Za-z_0-9]+)\\(', 1) <> ''")(lambda d: extract.extract_calls(d.corpus)[0].select("path", "line", "callee_name", "callee_qualifier"))
+
+
+def _as(d: Data, suffix: str, head: str) -> DataFrame:
+    """The corpus in another language: its definition lines rewritten."""
+    return d.corpus.select(F.regexp_replace("path", r"\.js$", suffix).alias("path"), F.regexp_replace("content", r"function (\w+)\(a\)", head).alias("content"))
+
+
+_DEFS = f", {_CORPUS} SELECT {{id}} AS id, s.name, regexp_replace(n.path, '\\.js$', '{{suffix}}') AS path, min(k) AS start_line, max(k) AS end_line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name"
+query("x5_go_definitions", _DEFS.format(id="split_part(n.path, '/', -2) || '.*T.' || s.name", suffix=".go"))(lambda d: extract.extract_symbols(_as(d, ".go", "func (t *T) $1(a bool)"))[0].select("id", "name", "path", "start_line", "end_line"))
+query("x7_c_definitions", _DEFS.format(id="regexp_replace(split_part(n.path, '/', -1), '\\.js$', '.c') || '::' || s.name", suffix=".c"))(lambda d: extract.extract_symbols(_as(d, ".c", "static int $1(int a)"))[0].select("id", "name", "path", "start_line", "end_line"))
+_CALLS = f", {_CORPUS} SELECT regexp_replace(path, '\\.js$', '{{suffix}}') AS path, k AS line, regexp_extract(text, '\\{{{{ ([A-Za-z_0-9]+)\\(', 1) AS callee_name FROM numbered WHERE o2 = 1 AND regexp_extract(text, '\\{{{{ ([A-Za-z_0-9]+)\\(', 1) <> ''"
+query("x6_go_calls", _CALLS.format(suffix=".go"))(lambda d: extract.extract_calls(_as(d, ".go", "func (t *T) $1(a bool)"))[0].select("path", "line", "callee_name"))
+query("x8_c_calls", _CALLS.format(suffix=".c"))(lambda d: extract.extract_calls(_as(d, ".c", "static int $1(int a)"))[0].select("path", "line", "callee_name"))
+
+
+def _python(d: Data) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("sym_ord", "name")))
+    body = F.transform(rows, lambda x: F.concat(F.lit("def "), x["name"], F.lit("(a):\n    return obj."), x["name"], F.lit("(print(a))\n")))
+    return d.symbols.groupBy("path").agg(F.array_join(body, "\n").alias("content"))
+
+
+query("x1_python_definitions", "SELECT path, name, regexp_replace(split_part(path, '/', -1), '\\.py$', '') || '.' || name AS id, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 2 AS INT) AS start_line FROM symbols")(lambda d: extract.extract_symbols(_python(d))[0].select("path", "name", "id", "start_line"))
+query("x2_python_calls", "SELECT path, line, unnest([name, 'print']) AS callee_name, unnest(['obj', '']) AS callee_qualifier FROM (SELECT path, name, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 1 AS INT) AS line FROM symbols)")(lambda d: extract.extract_calls(_python(d))[0].select("path", "line", "callee_name", "callee_qualifier"))
+query("x9_extraction_errors")(lambda d: extract.extract_symbols(d.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content")))[1])
+query("x10_definition_sites", f", {_CORPUS} SELECT n.path, s.name, n.k AS line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 WHERE n.o2 = 0")(lambda d: extract.definition_sites(d.corpus).select("path", "name", "line"))
+query("u1_union_symbols", f", {_CORPUS} SELECT 'js' AS lang, s.name, min(k) AS start_line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name UNION ALL SELECT 'python', name, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 2 AS INT) FROM symbols")(lambda d: extract.extract_symbols(d.corpus.unionByName(_python(d)))[0].select("lang", "name", "start_line"))
+
+# Streams, run to their end over tables dealt into files
+query("t1_live_events", "SELECT CAST(run_id AS STRING) AS run_id, fn, file, line FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>'")(lambda d: streams.live_events(d.trace))
+query("t2_malformed_lines", "SELECT count(*) AS n, count(*) FILTER (NOT good) AS bad FROM (SELECT true AS good FROM trace UNION ALL SELECT false FROM documents WHERE text IS NOT NULL AND text <> '')")(lambda d: streams.routed_lines(d.trace, d.documents))
+query("t3_running_hits", "SELECT id, count(*) AS hits FROM hit WHERE seq IN (SELECT seq FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>') GROUP BY id")(lambda d: streams.hits(d.trace, d.fnodes))
+query("t4_running_numbers", "SELECT run_id, count(*) AS n, max(number) AS last FROM (SELECT CAST(run_id AS STRING) AS run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS number FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>') GROUP BY run_id")(lambda d: streams.numbers(d.trace))
+query("t5_latest_events")(lambda d: streams.latest(d.trace))
