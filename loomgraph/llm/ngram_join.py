@@ -4,8 +4,9 @@
    class; (class, hash) is the global order, rarest first, so that shared passages leave the prefixes.
 2. Each document becomes (set size, digest of its set, prefix). Equal sets are one node; nodes of
    equal prefix and size are one group. Only groups meet each other.
-3. Prefix tokens are dealt and sorted by token. Short runs of a token give all group pairs that pass
-   the size and position filter; long runs give a star around their first group and are put by.
+3. Prefix tokens are dealt and sorted by token. Short runs of a token give all group pairs, long runs a
+   star around their first group, and are put by. How many prefix tokens a pair shares bounds its
+   whole intersection; pairs and sizes that cannot reach the threshold are left out.
 4. Pairs are expanded to member nodes and verified exactly on whole sets; linked nodes are joined
    into components. What was put by then gives the pairs that still lie in different components,
    so that a run of thousands of near copies costs a star and not its square, and no link between
@@ -27,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textcore
@@ -133,13 +134,9 @@ def _signatures(classes: object) -> Callable:
     return run
 
 
-def _possible(na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray) -> np.ndarray:
-    """Whether sets of na and nb whose first common token stands at ia and ib can still link."""
-    return 1 + np.minimum(na - ia - 1, nb - ib - 1) >= -(-PERCENT * (na + nb) // (100 + PERCENT))
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (token, position << 32 | n, group) in order: kind 0: group pairs (x, y); kind 1: rows put by.
+    """From rows (token, position << 32 | n, group) in order: kind 0: group pairs (x, y) and how
+    often they met; kind 1: rows put by.
 
     The first group of a run is its hub. That is where the token stands first, after the fewest rarer
     ones: among near copies the one with the fewest changes, which most of the others link with."""
@@ -163,7 +160,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             put_by |= token == token[0]
         if ends_long and len(token):
             put_by |= token == token[-1]
-        i, n = packed >> 32, packed & 0xFFFFFFFF
         at = np.arange(len(token))
         a, b = [], []
         for s in range(1, SHORT_RUN):
@@ -174,11 +170,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.append(hub[star])
         b.append(at[star])
         x, y = np.concatenate(a), np.concatenate(b)
-        ok = _possible(n[x], i[x], n[y], i[y]) & (group[x] != group[y])
+        ok = group[x] != group[y]
         lo, hi = np.minimum(group[x[ok]], group[y[ok]]), np.maximum(group[x[ok]], group[y[ok]])
         if len(lo):
-            both = np.unique(np.stack([lo, hi], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(both), np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(len(both), pa.int64())], ["kind", "x", "y", "z"])
+            order = np.lexsort((hi, lo))
+            lo, hi = lo[order], hi[order]
+            one = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+            count = np.diff(np.append(one, len(lo)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(one), np.int32)), pa.array(lo[one]), pa.array(hi[one]), pa.array(count)], ["kind", "x", "y", "z"])
         if put_by.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(put_by.sum()), np.int32)), pa.array(token[put_by]), pa.array(packed[put_by]), pa.array(group[put_by])], ["kind", "x", "y", "z"])
 
@@ -199,21 +198,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_sets(classes: object, wanted: object) -> Callable:
+    """(node, items, is_a, is_b) of the documents whose id is wanted on either side."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
+        bits = [np.frombuffer(w, np.uint8) for w in wanted.value]
         for batch in batches:
             cell = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-            rows = batch.column(1).filter(pa.array(hit.astype(bool)))
-            for _, data, offsets in textcore.chunks(rows):
+            side = np.stack([(b[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 for b in bits]).astype(bool)
+            hit = side.any(0)
+            rows, side = batch.column(1).filter(pa.array(hit)), side[:, hit]
+            for first, data, offsets in textcore.chunks(rows):
                 key, at = _sets(data, offsets, classes.value)
-                node = _digest(key, at[:-1], at[1:])
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.view(np.int64)))], ["node", "items"])
+                node, n = _digest(key, at[:-1], at[1:]), len(at) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.view(np.int64))), *[pa.array(x[first : first + n]) for x in side]], ["node", "items", "is_a", "is_b"])
 
     return run
 
 
-def _cell(col: str) -> F.Column:
+def _cell(col: str) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS))
 
 
@@ -228,16 +230,19 @@ def _filter_bits(ids: DataFrame) -> bytes:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, classes: object, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link. Sets are built for candidates only."""
+    """The pairs (a, b) of nodes whose whole sets link. Sets are built for candidates only, and each is
+    dealt once as the side it is wanted on: the hubs, which many pairs name, as a."""
     spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = spark.sparkContext.broadcast(_filter_bits(nodes.join(ends, "node", "left_semi").select("id")))
+    degree = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count(), "degrees")
+    d = pairs.join(degree.select(F.col("node").alias("a"), F.col("count").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("db")), "b")
+    swap = F.col("da") < F.col("db")
+    d = stored(d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")), "oriented")
+    bits = [_filter_bits(nodes.join(d.select(F.col(c).alias("node")).distinct(), "node", "left_semi").select("id")) for c in "ab"]
+    wanted = spark.sparkContext.broadcast(bits)
     rows = docs.select(_cell(id_col).alias("c"), F.col(text_col).alias("t"))
-    sets = rows.mapInArrow(_candidate_sets(classes, wanted), "node long, items array<long>")
-    sets = sets.groupBy("node").agg(F.any_value("items").alias("items"))
-    sets = stored(sets.join(ends, "node", "left_semi"), "sets")
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+    sets = stored(rows.mapInArrow(_candidate_sets(classes, wanted), "node long, items array<long>, is_a boolean, is_b boolean"), "sets")
+    one = d.join(sets.where("is_b").select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+    both = one.join(sets.where("is_a").select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
     union = F.size("ia").cast("long") + F.size("ib").cast("long") - common
     return both.select("a", "b", common.alias("c"), union.alias("u")).where(100 * F.col("c") >= PERCENT * F.col("u")).select("a", "b")
@@ -263,9 +268,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _possible_col(na: str, ia: str, nb: str, ib: str) -> F.Column:
-    need = F.ceil(F.lit(PERCENT) * (F.col(na) + F.col(nb)) / F.lit(100 + PERCENT))
-    return F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib)) >= need
+def can_link(met: Column, na: Column, nb: Column) -> Column:
+    """Whether sets of na and nb that share at most `met` prefix tokens can link: beyond the prefixes they
+    share at most what one of them holds there."""
+    beyond = lambda n: F.ceil(PERCENT * n / F.lit(100)) - 1
+    need = F.ceil(PERCENT * (na + nb) / F.lit(100 + PERCENT))
+    return (met + F.greatest(beyond(na), beyond(nb)) >= need) & (need <= F.least(na, nb))
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,13 +289,17 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = tokens.repartition(parts, "token").sortWithinPartitions("token", "packed", "grp")
     found = stored(dealt.mapInArrow(_runs, "kind int, x long, y long, z long"), "runs")
-    met = stored(found.where("kind = 0").select("x", "y").distinct(), "met")
-
-    # first round: a star in each group, and the first nodes of groups that met
-    first = nodes.groupBy("grp").agg(F.min("node").alias("first"), F.count("*").alias("m"))
-    first = stored(first, "groups")
-    inside = nodes.join(first.where("m > 1"), "grp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    across = met.join(first.select(F.col("grp").alias("x"), F.col("first").alias("a")), "x").join(first.select(F.col("grp").alias("y"), F.col("first").alias("b")), "y").select("a", "b")
+    met = stored(found.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("met")), "met")
+    put_by = found.where("kind = 1").select(F.col("x").alias("token"), F.col("z").alias("grp")).distinct()
+    put_by = stored(put_by, "put_by")
+
+    # first round: a star in each group, and the first nodes of groups that met often enough
+    long_runs = put_by.groupBy("grp").agg(F.count("*").alias("long"))
+    first = nodes.groupBy("grp", "n").agg(F.min("node").alias("first"), F.count("*").alias("m")).join(long_runs, "grp", "left")
+    first = stored(first.withColumn("long", F.coalesce("long", F.lit(0))), "groups")
+    inside = nodes.join(first.where("m > 1").select("grp", "first"), "grp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda g, c: first.select(F.col("grp").alias(g), F.col("first").alias(c), F.col("n").alias(f"n{c}"), F.col("long").alias(f"l{c}"))
+    across = met.join(side("x", "a"), "x").join(side("y", "b"), "y").where(can_link(F.col("met") + F.least("la", "lb"), F.col("na"), F.col("nb"))).select("a", "b")
     tried = stored(inside.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = stored(verified(tried, d, nodes, classes, id_col, text_col), "links")
     roots = components(links)
@@ -300,12 +312,15 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     inside = split.alias("p").join(split.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
     some = met.join(wide.where("m > 1").select(F.col("grp").alias("x"), F.lit(1).alias("wx")), "x", "left").join(wide.where("m > 1").select(F.col("grp").alias("y"), F.lit(1).alias("wy")), "y", "left").where("wx = 1 or wy = 1").select("x", "y")
     across = some.join(at.select(F.col("grp").alias("x"), F.col("node").alias("a"), F.col("root").alias("ra")), "x").join(at.select(F.col("grp").alias("y"), F.col("node").alias("b"), F.col("root").alias("rb")), "y").where("ra <> rb").select("a", "b")
-    put_by = found.where("kind = 1").select(F.col("x").alias("token"), F.shiftright("y", 32).alias("i"), F.col("y").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), F.col("z").alias("grp")).distinct()
     put_by = put_by.join(wide.select("grp", "r0", "r1"), "grp")
     open_tokens = put_by.groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select("token")
-    still = stored(put_by.select("token", "n", "i", "grp").join(open_tokens, "token", "left_semi").join(at.select("grp", "node", "root"), "grp"), "still")
-    p, q = (still.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("n", "i", "node", "root")]) for k in "ab")
-    runs = p.join(q, "token").where(F.col("node_a") < F.col("node_b")).where("root_a <> root_b").where(_possible_col("n_a", "i_a", "n_b", "i_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    still = stored(put_by.select("token", "grp").join(open_tokens, "token", "left_semi").join(at.select("grp", "node", "root", "n"), "grp"), "still")
+    p, q = (still.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("grp", "node", "root", "n")]) for k in "ab")
+    runs = p.join(q, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
+    runs = runs.where(F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT)) <= F.least("n_a", "n_b"))
+    runs = runs.groupBy("node_a", "node_b", "grp_a", "grp_b", "n_a", "n_b").agg(F.count("*").alias("k"))
+    runs = runs.withColumn("x", F.least("grp_a", "grp_b")).withColumn("y", F.greatest("grp_a", "grp_b")).join(met, ["x", "y"], "left")
+    runs = runs.where(can_link(F.col("k") + F.coalesce("met", F.lit(0)), F.col("n_a"), F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = inside.unionByName(across).unionByName(runs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
