@@ -136,7 +136,7 @@ def _signatures(classes: object) -> Callable:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (token, position << 32 | n, group) in order: kind 0: group pairs (x, y) and how
-    often they met; kind 1: rows put by.
+    many short runs they share; kind 1: rows put by, of long runs.
 
     The first group of a run is its hub. That is where the token stands first, after the fewest rarer
     ones: among near copies the one with the fewest changes, which most of the others link with."""
@@ -161,22 +161,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ends_long and len(token):
             put_by |= token == token[-1]
         at = np.arange(len(token))
-        a, b = [], []
+        a, b, shared = [], [], []
         for s in range(1, SHORT_RUN):
             ok = ~put_by[s:] & (token[s:] == token[:-s])
             a.append(at[:-s][ok])
             b.append(at[s:][ok])
+            shared.append(np.ones(len(a[-1]), np.int64))
         star = put_by & (hub != at)
         a.append(hub[star])
         b.append(at[star])
-        x, y = np.concatenate(a), np.concatenate(b)
+        shared.append(np.zeros(len(a[-1]), np.int64))
+        x, y, n = np.concatenate(a), np.concatenate(b), np.concatenate(shared)
         ok = group[x] != group[y]
         lo, hi = np.minimum(group[x[ok]], group[y[ok]]), np.maximum(group[x[ok]], group[y[ok]])
         if len(lo):
             order = np.lexsort((hi, lo))
-            lo, hi = lo[order], hi[order]
+            lo, hi, n = lo[order], hi[order], n[ok][order]
             one = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            count = np.diff(np.append(one, len(lo)))
+            count = np.add.reduceat(n, one)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(one), np.int32)), pa.array(lo[one]), pa.array(hi[one]), pa.array(count)], ["kind", "x", "y", "z"])
         if put_by.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(put_by.sum()), np.int32)), pa.array(token[put_by]), pa.array(packed[put_by]), pa.array(group[put_by])], ["kind", "x", "y", "z"])
@@ -314,13 +316,18 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     across = some.join(at.select(F.col("grp").alias("x"), F.col("node").alias("a"), F.col("root").alias("ra")), "x").join(at.select(F.col("grp").alias("y"), F.col("node").alias("b"), F.col("root").alias("rb")), "y").where("ra <> rb").select("a", "b")
     put_by = put_by.join(wide.select("grp", "r0", "r1"), "grp")
     open_tokens = put_by.groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select("token")
-    still = stored(put_by.select("token", "grp").join(open_tokens, "token", "left_semi").join(at.select("grp", "node", "root", "n"), "grp"), "still")
-    p, q = (still.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("grp", "node", "root", "n")]) for k in "ab")
-    runs = p.join(q, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
-    runs = runs.where(F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT)) <= F.least("n_a", "n_b"))
-    runs = runs.groupBy("node_a", "node_b", "grp_a", "grp_b", "n_a", "n_b").agg(F.count("*").alias("k"))
+    opened = stored(put_by.select("token", "grp").join(open_tokens, "token", "left_semi"), "open")
+    # what a group can share with any one other: its open tokens, and the most short runs of any pair
+    own = opened.groupBy("grp").agg(F.count("*").alias("o"))
+    most = met.select(F.explode(F.array("x", "y")).alias("grp"), "met").groupBy("grp").agg(F.max("met").alias("s"))
+    size = at.join(own, "grp").join(most, "grp", "left").select("grp", "node", "root", "n", "o", F.coalesce("s", F.lit(0)).alias("s"))
+    still = stored(opened.join(size, "grp"), "still")
+    p, q = (still.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("grp", "node", "root", "n", "o", "s")]) for k in "ab")
+    na, nb, short = F.col("n_a"), F.col("n_b"), F.least("s_a", "s_b")
+    runs = p.join(q, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & can_link(F.least("o_a", "o_b") + short, na, nb))
+    runs = runs.groupBy("node_a", "node_b", "grp_a", "grp_b", "n_a", "n_b", short.alias("short")).agg(F.count("*").alias("k")).where(can_link(F.col("k") + F.col("short"), na, nb))
     runs = runs.withColumn("x", F.least("grp_a", "grp_b")).withColumn("y", F.greatest("grp_a", "grp_b")).join(met, ["x", "y"], "left")
-    runs = runs.where(can_link(F.col("k") + F.coalesce("met", F.lit(0)), F.col("n_a"), F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    runs = runs.where(can_link(F.col("k") + F.coalesce("met", F.lit(0)), na, nb)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = inside.unionByName(across).unionByName(runs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
@@ -339,6 +346,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component its document of smallest id stays, with all its columns; documents without
-    an id or without words stay too."""
+    an id or without words stay too. Rows of one id are one document."""
     gone = cluster(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -374,8 +374,8 @@ def _decode(shared: object) -> Callable:
         for batch in batches:
             texts = []
             for ids in batch.column(1).to_pylist():
-                back, _ = decode_bytes(shared.value, np.array([i for i in ids or [] if i is not None], np.int64))
-                texts.append(back.tobytes().decode("utf-8", "replace")[1:] if back[:1] == 32 else back.tobytes().decode("utf-8", "replace"))
+                back, _ = decode_bytes(shared.value, np.array([] if ids is None else [i for i in ids if i is not None], np.int64))
+                texts.append(back.tobytes().removeprefix(b" ").decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     return run
