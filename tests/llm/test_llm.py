@@ -225,7 +225,7 @@ def near_copies(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_brute_force(spark, seed):
     texts = near_copies(seed, 220)
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
@@ -394,7 +394,7 @@ def test_archives_round_trip(spark, tmp_path):
     only = warc.read_archives(spark, path, payload=False).where("record_type = 'revisit' and page_id in (1, 2)")
     assert [(r.page_id, r.payload) for r in only.collect()] == [(1, None)]
     plan = only._jdf.queryExecution().executedPlan().toString()
-    assert "record_type" not in "".join(x for x in plan.split("\n") if "Filter" in x and "Pushed" not in x)
+    assert not re.search(r"\bFilter\b", plan)  # the reader has taken both tests over
 
 
 def test_small_payloads_are_all_responses(spark):
@@ -475,7 +475,7 @@ def kneser_ney(train):
 
 
 def test_scores_match_a_plain_model(spark, docs, hard):
-    d = docs.select("doc_id", "text").limit(60).unionByName(hard.select("doc_id", "text").where("doc_id is not null and doc_id <> 5"))
+    d = docs.select("doc_id", "text").limit(60).unionByName(hard.where("doc_id > 1 and doc_id <> 5").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
     rows = d.collect()
     held = {r.doc_id: r.h for r in d.select("doc_id", lm_scoring.held_out().alias("h")).collect()}
     p, unigrams, n, v = kneser_ney([r.text for r in rows if not held[r.doc_id]])
@@ -517,6 +517,16 @@ def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
 
 
+def test_stages_take_hard_rows(spark, hard, empty, tmp_path):
+    import corpus_pipeline
+
+    hard.sparkSession.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = {name: stage(spark, hard, str(tmp_path)).count() for name, stage in corpus_pipeline.STAGES}
+    assert counts["toxicity"] == counts["sentencepiece"] == len(HARD) and counts["quality_rules"] == 0  # the long text repeats itself
+    assert counts["ngram_join"] == len(HARD) - 1 and counts["mixing"] > 0
+    assert all(stage(spark, empty, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
