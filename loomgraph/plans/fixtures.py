@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# (name, tables that it reads, text); {x} is a table
+# (name, tables that it reads, text); {x} is a table, and {n_part} how many rows part has
 VIEWS: list[tuple[str, tuple[str, ...], str]] = [
     ("symbols", ("part",), """
 SELECT concat(path, '|', lpad(CAST(p_partkey AS STRING), 12, '0')) AS sym_ord, concat(module, '.', fname) AS id, fname AS name,
@@ -17,19 +17,19 @@ FROM (SELECT p_partkey, p_size, lower(p_type) AS module, replace(p_name, ' ', '_
              concat('src/', replace(p_brand, '#', '_'), '/', lower(p_type), '.py') AS path,
              CAST(row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS INT) * 20 - 19 AS start_line
       FROM {part}) t"""),
-    ("facts", ("lineitem", "part", "symbols"), """
+    ("facts", ("lineitem", "symbols"), """
 SELECT l_orderkey * 1000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS fact_ord,
        s.path AS path, s.dir AS dir, s.start_line + 3 * l_linenumber AS line, s.start_line + 3 * l_linenumber AS start_line,
        s.start_line + 3 * l_linenumber AS end_line, c.name AS callee_name,
        CASE WHEN l_returnflag = 'R' THEN '' WHEN l_returnflag = 'A' THEN split_part(c.id, '.', 1) ELSE 'self' END AS callee_qualifier
 FROM {lineitem} l JOIN {symbols} s ON s.p_partkey = l.l_partkey
-JOIN {symbols} c ON c.p_partkey = (l.l_suppkey * 13 + l.l_orderkey) % (SELECT count(*) FROM {part})"""),
-    ("trace", ("events", "part", "symbols"), """
+JOIN {symbols} c ON c.p_partkey = (l.l_suppkey * 13 + l.l_orderkey) % {n_part}"""),
+    ("trace", ("events", "symbols"), """
 SELECT e.event_id AS seq, e.user_id % 8 AS run_id,
   CASE e.event_type WHEN 'click' THEN concat('Cls.', s.name) WHEN 'signup' THEN '<listcomp>' ELSE s.name END AS fn,
   CASE e.event_type WHEN 'error' THEN concat('/usr/lib/python3/', s.name, '.py') ELSE concat('/app/', s.path) END AS file,
   s.start_line AS line, e.props AS props
-FROM {events} e JOIN {symbols} s ON s.p_partkey = (e.user_id * 7 + e.event_id % 3) % (SELECT count(*) FROM {part})"""),
+FROM {events} e JOIN {symbols} s ON s.p_partkey = (e.user_id * 7 + e.event_id % 3) % {n_part}"""),
     ("named_files", ("documents",), """
 SELECT doc_id, concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/f', CAST(doc_id AS STRING),
   CASE doc_id % 11 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.js' WHEN 3 THEN '.ts' WHEN 4 THEN '.rb' WHEN 5 THEN '.rs'
@@ -76,10 +76,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in BY_NAME:
         return table(spark, sf_dir, name)
     needs, text = BY_NAME[name]
+    if "{n_part}" in text:
+        text = text.replace("{n_part}", str(table(spark, sf_dir, "part").count()))
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in needs})
 
 
 def oracle(query: str) -> str:
     """DuckDB SQL: query over the derived tables."""
-    views = ",\n".join(f"{n} AS ({text.format(**{t: t for t in needs})})" for n, needs, text in VIEWS)
+    views = ",\n".join(f"{n} AS ({text.format(n_part="(SELECT count(*) FROM part)", **{t: t for t in needs})})" for n, needs, text in VIEWS)
     return f"WITH RECURSIVE {views},\n{STEPS}\n{query}"
