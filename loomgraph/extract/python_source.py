@@ -45,7 +45,7 @@ def over_files(rows_of: object, schema: pa.Schema) -> object:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows += rows_of(path, content or "")
-                except (SyntaxError, ValueError, RecursionError) as e:
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # the last: too deeply nested for the parser
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:300]})
             yield pa.RecordBatch.from_pylist(rows, schema)
 

@@ -42,3 +42,9 @@ def test_own_extractor(spark):
         assert sorted(r.id for r in symbols.collect()) == ["a.toy.x", "a.toy.y"]
     finally:
         registry._all.pop("toy")
+
+
+def test_files_too_nested_for_the_parser_are_errors(spark):
+    d = spark.createDataFrame([("deep.py", "(" * 100_000), ("ok.py", "def f(): pass")], "path string, content string")
+    symbols, errors = registry.extract_symbols(d)
+    assert [r.id for r in symbols.collect()] == ["ok.f"] and [r.path for r in errors.collect()] == ["deep.py"]
