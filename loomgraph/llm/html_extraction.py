@@ -1,13 +1,13 @@
 """Operator 9, HTML extraction: wrapper induction by simple tree matching over pages of a host.
 
 1. Every page is parsed into a tree of block elements; inline markup is transparent, and a run of
-   siblings of one shape is one list node. The tree of a host's page of smallest page_id, a few
-   hundred bytes without text, is the host's wrapper.
+   siblings of one shape is one list node. The different trees of a host, a few hundred bytes
+   without text, are merged into the host's wrapper: what aligns is one node, what does not is added.
 2. Every page is aligned with its host's wrapper by simple tree matching (the pairs of children in
    order that match most nodes). Each matched node votes with a hash of its text.
-3. A wrapper node whose text repeats over the host's different pages is template; the others are
-   slots. The nodes of a page that match template are dropped, what fills slots or matches nothing
-   is content.
+3. A wrapper node is a slot unless most of the host's different pages that fill it have a text there
+   that repeats. The nodes of a page whose own text is such a repeating one are template and dropped,
+   what fills slots or is found on one page alone is content.
 
 Elements that say themselves what they are (menus, adverts, forms, comments, by tag, class, id or
 role) are template on any host, and what stands in an article element is content even where pages
@@ -23,13 +23,16 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import new_path, stored, table
+from loomgraph.llm.shared_files import mapped, write_array
 
 # Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -47,9 +50,11 @@ CONTENT_TAGS = frozenset(("article", "main"))
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[a-z]+(?:-[a-z]+)?")
-#: Pages of a host, and share of their texts, from which a repeating node is template.
-LEAST_PAGES = 3
+#: Pages of a host on which a text repeats, and share of a node's pages whose texts do, from which these are template.
+LEAST_PAGES = 2
 REPEATING = 0.5
+#: Parts in which a host's shapes are merged before the parts are.
+PARTS = 64
 
 
 class Node:
@@ -235,10 +240,16 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _key(host: str, number: int, slot: Slot) -> int | None:
+    """Hash of host, wrapper node and the text that the slot's nodes hold themselves; None without text."""
+    own = "\n".join(p[1] for n in slot.nodes for p in n.parts)
+    return _hash(f"{host}\n{number}\n{own}") if own else None
+
+
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shapes = [shape(parse(h or "")) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shapes)], ["host", "page", "shape"])
+        shapes = [shape(parse(h or "")) for h in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], ["host", "shape"])
 
 
 def _wrapped(wrappers: dict[str, list[Slot]], text: str) -> list[Slot]:
@@ -250,7 +261,7 @@ def _wrapped(wrappers: dict[str, list[Slot]], text: str) -> list[Slot]:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, text, page): hashes of what each page holds at each wrapper node."""
+    """(host, node, text, page): keys of what each page holds at each wrapper node."""
     wrappers: dict[str, list[Slot]] = {}
     for batch in batches:
         rows: list[tuple] = []
@@ -259,22 +270,115 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             align(fold([parse(html or "")]), _wrapped(wrappers, text)[0], found)
             page = _hash(html or "")
             for slot, number in found:
-                own = "\n".join(p[1] for n in slot.nodes for p in n.parts)
-                if own:
-                    rows.append((host, number, _hash(own), page))
+                key = _key(host, number, slot)
+                if key is not None:
+                    rows.append((host, number, key, page))
         names = ["host", "node", "text", "page"]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names)
 
 
-def content(html: str, wrapper: list[Slot], template: set[int]) -> str:
-    """The blocks that no template node and no self-declared boilerplate holds, in page order."""
+def merge(wrapper: Slot, page: Slot) -> None:
+    """Lays page into wrapper: what aligns is one node, what does not is a new one between its neighbours."""
+    found: list[tuple[Slot, int]] = []
+    numbered(wrapper)
+    align(page, wrapper, found)
+    matched = {id(slot): number for slot, number in found}
+    todo = [(wrapper, page)]
+    while todo:
+        w, p = todo.pop()
+        children, k = [], 0
+        for child in p.children:
+            if id(child) in matched:
+                while w.children[k].number != matched[id(child)]:
+                    children.append(w.children[k])
+                    k += 1
+                children.append(w.children[k])
+                todo.append((w.children[k], child))
+                k += 1
+            else:
+                children.append(child)
+        w.children = children + w.children[k:]
+
+
+def numbered(root: Slot) -> None:
+    """Numbers the slots in the order in which read_shape finds them in the text of the tree."""
+    todo, number = [root], 0
+    while todo:
+        slot = todo.pop()
+        slot.number = number
+        number += 1
+        todo += reversed(slot.children)
+
+
+def written(slot: Slot) -> str:
+    return slot.label + "(" + " ".join(map(written, slot.children)) + ")"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shape): one wrapper for each run of rows (host, part, shape) of equal host and part."""
+    key: tuple | None = None
+    wrapper: Slot | None = None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([written(wrapper)], pa.string())], ["host", "shape"])
+
+    for batch in batches:
+        for host, part, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            tree = read_shape(text)[0]
+            if key == (host, part):
+                merge(wrapper, tree)
+                continue
+            if wrapper is not None:
+                yield out()
+            key, wrapper = (host, part), tree
+    if wrapper is not None:
+        yield out()
+
+
+def _write_template(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[int, list[int]] = {}
+        for batch in batches:
+            for b, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.setdefault(b, []).append(key)
+        for b, some in keys.items():
+            write_array(f"{path}/template-{b}.npy", np.unique(np.array(some, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int64())], ["n"])
+
+    return run
+
+
+@dataclass
+class Template:
+    """Sorted keys of repeating texts at wrapper nodes, dealt over files by their remainder."""
+
+    path: str
+    buckets: int
+
+    def holds(self, keys: list[int]) -> np.ndarray:
+        k = np.array(keys, np.int64)
+        out = np.zeros(len(k), bool)
+        bucket = k % self.buckets
+        for b in set(bucket.tolist()):
+            try:
+                held = mapped(f"{self.path}/template-{b}.npy")
+            except FileNotFoundError:  # no key has this remainder
+                continue
+            of = bucket == b
+            out[of] = held[np.minimum(np.searchsorted(held, k[of]), len(held) - 1)] == k[of]
+        return out
+
+
+def content(html: str, wrapper: list[Slot], host: str, template: Template) -> str:
+    """The blocks that no node with a template text and no self-declared boilerplate holds, in page order."""
     root = parse(html)
+    found: list[tuple[Slot, int]] = []
+    align(fold([root]), wrapper[0], found)
+    texts = [(slot, key) for slot, number in found if (key := _key(host, number, slot)) is not None]
     dropped: set[int] = set()
-    if template:
-        found: list[tuple[Slot, int]] = []
-        align(fold([root]), wrapper[0], found)
-        dropped = {id(n) for slot, number in found if number in template for n in slot.nodes if not n.content}
+    if texts:
+        dropped = {id(n) for (slot, _), is_template in zip(texts, template.holds([key for _, key in texts]).tolist(), strict=True) if is_template for n in slot.nodes if not n.content}
     parts: list[tuple[int, str]] = []
     todo = [root]
     while todo:
@@ -285,34 +389,47 @@ def content(html: str, wrapper: list[Slot], template: set[int]) -> str:
     return " ".join(text for _, text in sorted(parts))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    wrappers: dict[str, list[Slot]] = {}
-    for batch in batches:
-        texts = [content(h or "", _wrapped(wrappers, w), set(t or ())) for h, w, t in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _extract(template: Template) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrappers: dict[str, list[Slot]] = {}
+        for batch in batches:
+            texts = [content(h or "", _wrapped(wrappers, w), host, template) for h, host, w in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """(host, shape, template): each host's wrapper and the numbers of its template nodes."""
-    d = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page"), F.col("html"))
-    shapes = d.mapInArrow(_shapes, "host string, page long, shape string")
-    wrappers = stored(shapes.groupBy("host").agg(F.min_by("shape", F.struct(F.col("page").isNull(), "page", "shape")).alias("shape")), "wrappers")
-    votes = d.select("host", "html").join(wrappers, "host").mapInArrow(_votes, "host string, node int, text long, page long").distinct()
-    texts = votes.groupBy("host", "node", "text").agg(F.count("*").alias("pages")).groupBy("host", "node").agg(F.count("*").alias("texts"), F.sum("pages").alias("pages"))
-    repeats = texts.where((F.col("pages") >= LEAST_PAGES) & (F.col("texts") <= REPEATING * F.col("pages")))
-    template = repeats.groupBy("host").agg(F.collect_list("node").alias("template"))  # nodes of one wrapper
-    return stored(wrappers.join(template, "host", "left"), "templates")
+def induce(pages: DataFrame) -> tuple[DataFrame, Template]:
+    """(host, shape), each host's wrapper, and the texts that are template at its nodes. The distinct
+    shapes of a host are merged in PARTS parts first, so that no task holds a large host's."""
+    spark = pages.sparkSession
+    d = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
+    part = F.pmod(F.xxhash64("shape"), F.lit(PARTS))
+    shapes = d.mapInArrow(_shapes, "host string, shape string").distinct().select("host", part.alias("part"), "shape")
+    parts = shapes.repartition("host", "part").sortWithinPartitions("host", "part", "shape").mapInArrow(_merged, "host string, shape string")
+    whole = parts.select("host", F.lit(0).alias("part"), "shape").repartition("host").sortWithinPartitions("host", "part", "shape")
+    wrappers = stored(whole.mapInArrow(_merged, "host string, shape string"), "wrappers")
+    votes = d.join(wrappers, "host").mapInArrow(_votes, "host string, node int, text long, page long").distinct()
+    texts = stored(votes.groupBy("host", "node", "text").agg(F.count("*").alias("pages")), "votes")
+    again = F.col("pages") >= LEAST_PAGES
+    nodes = texts.groupBy("host", "node").agg(F.sum("pages").alias("all"), F.sum(F.when(again, F.col("pages"))).alias("repeating"))
+    nodes = nodes.where(F.col("repeating") >= REPEATING * F.col("all")).select("host", "node")
+    template = Template(new_path(spark, "template"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    keys = texts.where(again).join(nodes, ["host", "node"]).select(F.pmod("text", F.lit(template.buckets)).cast("int").alias("bucket"), F.col("text"))
+    keys.repartitionById(template.buckets, F.col("bucket")).mapInArrow(_write_template(template.path), "n long").agg(F.sum("n")).first()
+    return wrappers, template
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row."""
     d = pages.select(F.col("page_id"), F.col("url"), F.col("html"), host_of(F.col("url")).alias("host"))
-    d = d.join(induce(pages), "host", "left").select("page_id", "url", "html", F.coalesce("shape", F.lit("#()")).alias("shape"), "template")
-    return d.mapInArrow(_extract, f"page_id {d.schema[0].dataType.simpleString()}, url string, text string")
+    wrappers, template = induce(pages)
+    d = d.join(wrappers, "host", "left").select("page_id", "url", "html", "host", F.coalesce("shape", F.lit("#()")).alias("shape"))
+    return d.mapInArrow(_extract(template), f"page_id {d.schema[0].dataType.simpleString()}, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -439,6 +439,21 @@ def test_wrappers_find_template_without_names(spark):
     assert html_extraction.extract(d.limit(0)).count() == 0
 
 
+def test_every_layout_has_its_template(spark):
+    body = lambda *blocks: "<html><body>" + "".join(f"<div class={c}>{t}</div>" for c, t in blocks) + "</body></html>"
+    rows = [(0, "http://h.com/0", None), (1, "http://h.com/1", "")]
+    rows += [(10 + k, f"http://h.com/a{k}", body(("top", "Our shop"), ("a", f"First {k}"))) for k in range(4)]
+    rows += [(20 + k, f"http://h.com/b{k}", body(("a", f"Second {k}"), ("left", "All offers"), ("low", "Made here"))) for k in range(4)]
+    rows += [(30 + k, f"http://s.com/{k}", body(("a", "Sold out" if k < 5 else f"Only here {k}"), ("b", f"Text {k}"))) for k in range(8)]
+    rows += [(40 + k, f"http://two.com/{k}", body(("top", "Two pages"), ("a", f"Page {k}"))) for k in range(2)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[1] == ""
+    assert [got[10 + k] for k in range(4)] == [f"First {k}" for k in range(4)]
+    assert [got[20 + k] for k in range(4)] == [f"Second {k}" for k in range(4)]
+    assert [got[30 + k] for k in range(8)] == [f"Text {k}" if k < 5 else f"Only here {k} Text {k}" for k in range(8)]
+    assert [got[40 + k] for k in range(2)] == ["Page 0", "Page 1"]
+
+
 def test_tree_matching_counts_the_most_nodes():
     read = lambda t: html_extraction.read_shape(t)
     a, b = read("r(a(x() y()) b() c())"), read("r(a(y()) c() b())")
