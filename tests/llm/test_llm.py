@@ -107,6 +107,18 @@ def test_automaton_finds_what_edit_distance_finds():
         assert kind == want, (t, kind, want)
 
 
+def test_automaton_takes_swaps_two_edits_and_misspelt_stems():
+    auto = toxicity.build_automaton(["idiot", "moron", "worthless", "reeuxol"], ["reeux"], swaps=True)
+
+    def kind(t):
+        points, _ = toxicity._points([t])
+        hit, state = toxicity.walk(auto, points, np.array([0]), np.array([len(t)]))
+        return int(auto.kind[state[0]]) if len(hit) else 0
+
+    want = {"idoit": 2, "mroon": 2, "moorn": 2, "idtoi": 0, "w0rthl3ss": 2, "wortlhes": 2, "w0r7hl3ss": 0, "reeuxen": 3, "reexuen": 4, "raeuxen": 4, "reuxen": 4, "reeuen": 0, "rxexuxen": 0, "raeuxol": 2, "reeuxol": 3}
+    assert {t: kind(t) for t in want} == want
+
+
 def test_windows_tell_quotation_from_abuse():
     auto = toxicity.build_automaton(["idiot"], [])
     got = toxicity.features(auto, ["you are an idiot", 'the word "idiot" was written', "an idi0t*** here", None, ""])
