@@ -120,6 +120,16 @@ query("f4_file_symbols", "SELECT * FROM nodes WHERE type = 'function' AND path =
 query("f5_source_slice", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, p_partkey % 1000 AS doc, start_line % 7 + 1 AS a, start_line % 7 + 1 + p_partkey % 4 AS b FROM symbols) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")(
     lambda d: lookup.source_slices(d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1000).cast("string").alias("path"), (F.col("start_line") % 7 + 1).alias("line"), (F.col("start_line") % 7 + 1 + F.col("p_partkey") % 4).cast("int").alias("end_line")), d.lines)
 )
+
+@query("f5_source_slice_all", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, doc_id, p_partkey * 31 % len(parts) + 1 AS a, p_partkey * 31 % len(parts) + 1 + CASE WHEN p_partkey % 4 = 0 THEN 20 ELSE p_partkey % 4 END AS b FROM symbols JOIN (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)) ON doc_id = p_partkey % (SELECT count(*) FROM documents) WHERE len(parts) > 0) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc_id AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")
+def _slices_of_all(d: Data) -> DataFrame:
+    """Slices of all documents and over all of their lines; every fourth function has no end_line."""
+    lengths = d.lines.groupBy("path").agg(F.count("*").alias("n"))
+    at = d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % d.documents.count()).cast("string").alias("path")).join(lengths, "path")
+    at = at.withColumn("line", (F.col("id") * 31 % F.col("n") + 1).cast("int"))
+    return lookup.source_slices(at.select("id", "path", "line", F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("line") + F.col("id") % 4).cast("int").alias("end_line")), d.lines)
+
+
 query("f6_trace_of_function", "SELECT seq, file, line FROM trace WHERE fn = 'red_widget'")(lambda d: trace.of_function(d.trace, "red_widget").select("seq", "file", "line"))
 query("f7_search_node", "SELECT * FROM nodes WHERE contains(lower(name), 'widg') ORDER BY id LIMIT 1")(lambda d: lookup.search_nodes(d.nodes, "WIDG"))
 query("f8_search_history", "SELECT run_id, min(seq) AS seq, arg_min(fn, seq) AS fn, arg_min(file, seq) AS file, arg_min(line, seq) AS line FROM trace WHERE contains(lower(fn), 'cls.') GROUP BY run_id")(lambda d: lookup.search_history(d.trace, "cls."))

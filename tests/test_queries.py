@@ -30,5 +30,14 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(x[c] for c in columns)) for x in d.collect()) == want
 
 
+def test_slices_reach_all_documents(spark, duck):
+    got = {r.id: r.source for r in entry.queries()["f5_source_slice_all"](spark, SF).collect()}
+    texts = dict(duck.execute("SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''").fetchall())
+    n_docs = duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+    n_part = duck.execute("SELECT count(*) FROM part").fetchone()[0]
+    assert {k % n_docs for k in got} == {d for d in texts if d < n_part}
+    assert max(len(s.split("\n")) for k, s in got.items() if k % 4 == 0) > 4 >= max(len(s.split("\n")) for k, s in got.items() if k % 4)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
