@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textcore
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import scope, stored, table
 
 WORDS = 5
 PERCENT = 75  # two sets link when 100 * |intersection| >= PERCENT * |union|
@@ -44,6 +44,8 @@ SHORT_RUN = 4
 FILTER_BITS = 26
 #: Rows of a run that are held before it is dealt with in pieces.
 RUN_ROWS = 1 << 16
+#: How many open tokens before one are looked at for a token that a pair already shares.
+LOOK_BACK = 16
 
 
 def shingles(h: np.ndarray, rows: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -200,30 +202,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_sets(classes: object, wanted: object) -> Callable:
-    """(node, items, is_a, is_b) of the documents whose id is wanted on either side."""
+    """(node, items) of the documents whose id and set are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(w, np.uint8) for w in wanted.value]
+        by_id, by_node = (np.frombuffer(w, np.uint8) for w in wanted.value)
         for batch in batches:
             cell = batch.column(0).to_numpy(zero_copy_only=False)
-            side = np.stack([(b[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 for b in bits]).astype(bool)
-            hit = side.any(0)
-            rows, side = batch.column(1).filter(pa.array(hit)), side[:, hit]
-            for first, data, offsets in textcore.chunks(rows):
+            rows = batch.column(1).filter(pa.array((by_id[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+            for _, data, offsets in textcore.chunks(rows):
                 key, at = _sets(data, offsets, classes.value)
-                node, n = _digest(key, at[:-1], at[1:]), len(at) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.view(np.int64))), *[pa.array(x[first : first + n]) for x in side]], ["node", "items", "is_a", "is_b"])
+                node = _digest(key, at[:-1], at[1:])
+                cell = (node & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                hit = (by_node[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+                items = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), items], ["node", "items"]).filter(pa.array(hit))
 
     return run
 
 
-def _cell(col: str) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS))
-
-
-def _filter_bits(ids: DataFrame) -> bytes:
-    """A bit for each cell that an id falls in: of fixed size, built in Spark."""
-    cells = ids.select(_cell("id").alias("c"))
+def _filter_bits(cells: DataFrame) -> bytes:
+    """A bit for each cell c of 2**FILTER_BITS that occurs: of fixed size, built in Spark."""
     parts = cells.groupBy(F.floor(F.col("c") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.pmod(F.col("c"), F.lit(32768))).alias("m"))
     out = bytearray((1 << FILTER_BITS) // 8)
     for b, m in parts.collect():
@@ -232,19 +230,21 @@ def _filter_bits(ids: DataFrame) -> bytes:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, classes: object, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link. Sets are built for candidates only, and each is
-    dealt once as the side it is wanted on: the hubs, which many pairs name, as a."""
+    """The pairs (a, b) of nodes whose whole sets link. Sets are built for candidates only, and each node
+    has one, however many rows hold its text; hubs, which many pairs name, all stand on side a."""
     spark = pairs.sparkSession
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     degree = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count(), "degrees")
+    ids = nodes.join(degree, "node", "left_semi").select(cell("id").alias("c"))
+    bits = [_filter_bits(ids), _filter_bits(degree.select(F.pmod("node", F.lit(1 << FILTER_BITS)).alias("c")))]
     d = pairs.join(degree.select(F.col("node").alias("a"), F.col("count").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("db")), "b")
     swap = F.col("da") < F.col("db")
-    d = stored(d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")), "oriented")
-    bits = [_filter_bits(nodes.join(d.select(F.col(c).alias("node")).distinct(), "node", "left_semi").select("id")) for c in "ab"]
+    d = d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     wanted = spark.sparkContext.broadcast(bits)
-    rows = docs.select(_cell(id_col).alias("c"), F.col(text_col).alias("t"))
-    sets = stored(rows.mapInArrow(_candidate_sets(classes, wanted), "node long, items array<long>, is_a boolean, is_b boolean"), "sets")
-    one = d.join(sets.where("is_b").select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    both = one.join(sets.where("is_a").select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+    rows = docs.select(cell(id_col).alias("c"), F.col(text_col).alias("t"))
+    sets = stored(rows.mapInArrow(_candidate_sets(classes, wanted), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "sets")
+    one = d.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+    both = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
     union = F.size("ia").cast("long") + F.size("ib").cast("long") - common
     return both.select("a", "b", common.alias("c"), union.alias("u")).where(100 * F.col("c") >= PERCENT * F.col("u")).select("a", "b")
@@ -280,11 +280,16 @@ def can_link(met: Column, na: Column, nb: Column) -> Column:
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs."""
+    with scope(docs.sparkSession):
+        return _clustered(docs, id_col, text_col)
+
+
+def _clustered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(F.col(id_col), F.col(text_col))
     classes = spark.sparkContext.broadcast(frequency_classes(d, text_col))
     id_type = d.schema[0].dataType.simpleString()
-    sig = stored(d.mapInArrow(_signatures(classes), f"id {id_type}, n long, node long, grp long, prefix array<long>"), "signatures")
+    sig = stored(d.mapInArrow(_signatures(classes), f"id {id_type}, n long, node long, grp long, prefix array<long>"), "signatures", keep=True)
     nodes = stored(sig.where("n > 0").groupBy("node", "n", "grp").agg(F.min("id").alias("id")), "nodes")
 
     tokens = sig.where("n > 0").select("grp", "n", F.posexplode("prefix").alias("i", "token")).select("token", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("n")).alias("packed"), "grp")
@@ -292,7 +297,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     dealt = tokens.repartition(parts, "token").sortWithinPartitions("token", "packed", "grp")
     found = stored(dealt.mapInArrow(_runs, "kind int, x long, y long, z long"), "runs")
     met = stored(found.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("met")), "met")
-    put_by = found.where("kind = 1").select(F.col("x").alias("token"), F.col("z").alias("grp")).distinct()
+    put_by = found.where("kind = 1").select(F.col("x").alias("token"), F.shiftright("y", 32).alias("i"), F.col("z").alias("grp")).distinct()
     put_by = stored(put_by, "put_by")
 
     # first round: a star in each group, and the first nodes of groups that met often enough
@@ -316,18 +321,24 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     across = some.join(at.select(F.col("grp").alias("x"), F.col("node").alias("a"), F.col("root").alias("ra")), "x").join(at.select(F.col("grp").alias("y"), F.col("node").alias("b"), F.col("root").alias("rb")), "y").where("ra <> rb").select("a", "b")
     put_by = put_by.join(wide.select("grp", "r0", "r1"), "grp")
     open_tokens = put_by.groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select("token")
-    opened = stored(put_by.select("token", "grp").join(open_tokens, "token", "left_semi"), "open")
+    opened = stored(put_by.select("token", "i", "grp").join(open_tokens, "token", "left_semi"), "open")
     # what a group can share with any one other: its open tokens, and the most short runs of any pair
-    own = opened.groupBy("grp").agg(F.count("*").alias("o"))
+    own = opened.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("i", "token"))).alias("run"))
     most = met.select(F.explode(F.array("x", "y")).alias("grp"), "met").groupBy("grp").agg(F.max("met").alias("s"))
-    size = at.join(own, "grp").join(most, "grp", "left").select("grp", "node", "root", "n", "o", F.coalesce("s", F.lit(0)).alias("s"))
-    still = stored(opened.join(size, "grp"), "still")
-    p, q = (still.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("grp", "node", "root", "n", "o", "s")]) for k in "ab")
+    size = at.join(own, "grp").join(most, "grp", "left").select("grp", "node", "root", "n", F.size("run").alias("o"), F.coalesce("s", F.lit(0)).alias("s"), "run")
+    shared = size.select("node", "root", "n", "o", "s", F.col("run.token").alias("run"), F.posexplode("run").alias("k", "t"))
+    before = F.slice("run", F.greatest(F.col("k") - (LOOK_BACK - 1), F.lit(1)), F.least(F.col("k"), F.lit(LOOK_BACK)))
+    still = stored(shared.select(F.col("t.token").alias("token"), "node", "root", "n", "o", "s", F.col("t.i").alias("i"), before.alias("before")), "still")
+    main = still.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    still = still.join(main, "token").withColumn("stray", F.col("root") != F.col("main")).drop("main")
+    p, q = (still.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "o", "s", "i", "before", "stray")]) for k in "ab")
     na, nb, short = F.col("n_a"), F.col("n_b"), F.least("s_a", "s_b")
-    runs = p.join(q, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & can_link(F.least("o_a", "o_b") + short, na, nb))
-    runs = runs.groupBy("node_a", "node_b", "grp_a", "grp_b", "n_a", "n_b", short.alias("short")).agg(F.count("*").alias("k")).where(can_link(F.col("k") + F.col("short"), na, nb))
-    runs = runs.withColumn("x", F.least("grp_a", "grp_b")).withColumn("y", F.greatest("grp_a", "grp_b")).join(met, ["x", "y"], "left")
-    runs = runs.where(can_link(F.col("k") + F.coalesce("met", F.lit(0)), na, nb)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    # each pair of different roots once: a stray with the main component, or two strays in order; and not at
+    # a token before which it shares one. All that it shares from its first open token on is behind it.
+    once = (F.col("root_a") != F.col("root_b")) & (~F.col("stray_b") | (F.col("node_a") < F.col("node_b"))) & ~F.arrays_overlap("before_a", "before_b")
+    behind = F.least(na - F.col("i_a"), nb - F.col("i_b")) + short
+    meet = once & can_link(F.least("o_a", "o_b") + short, na, nb) & (behind >= F.ceil(PERCENT * (na + nb) / F.lit(100 + PERCENT)))
+    runs = p.where("stray_a").join(q, "token").where(meet).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = inside.unionByName(across).unionByName(runs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
@@ -335,7 +346,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         roots = components(links.unionByName(more))
     least = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = stored(least.groupBy("root").agg(F.min("id").alias("component_id")), "named")
-    by_node = stored(least.join(named, "root").select("node", "component_id"), "components")
+    by_node = stored(least.join(named, "root").select("node", "component_id"), "components", keep=True)
     out = sig.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(by_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
