@@ -1,8 +1,14 @@
-"""Definitions and call sites of brace languages, from a table of lines and a table of rules (native).
+"""Definitions and call sites from source text, by a table of rules (native).
 
-Strings and comments are blanked, rules are applied to each line, and a definition ends on the first
-line at or after it where the running brace depth is back at that before it. Known gaps: signatures
-over several lines, and braces in strings over several lines.
+1. Strings and comments are blanked over the whole file, so that quotes and comments of several lines
+   are one token; their line breaks stay as marks. A parameter list over several lines, and a brace on
+   the line after one, are drawn onto the line where the list begins.
+2. Each line has a depth before and after it: of braces, or in Python of indentation.
+3. Rules are applied to each line. A definition ends on the first line at or after it that takes the
+   depth back to that before it; its class is the innermost one around it.
+
+Known gaps: calls inside string interpolation, regular-expression literals that hold quotes or braces,
+parameter lists with parentheses nested more than once.
 """
 
 from __future__ import annotations
@@ -15,96 +21,172 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: def, class or call; pattern: one match a hit; groups: of name and scope or qualifier, 0 for none."""
+    """kind: def, class or call; pattern: one match a hit; name, other: groups of name and scope or
+    qualifier, 0 for none; unless: names that are no hit."""
 
     lang: str
     kind: str
     pattern: str
     name: int = 1
     other: int = 0
+    unless: tuple[str, ...] = ()
 
 
-# Words that look like calls and are none.
-KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "function", "func", "do", "else", "sizeof", "typeof", "new", "await", "defer", "go", "case", "in", "of", "with", "super", "constructor")
+# Words of each language that look like names before a parenthesis.
+NOT_C = ("if", "for", "while", "switch", "return", "else", "do", "case", "sizeof", "void", "char", "short", "int", "long", "float", "double", "signed", "unsigned", "const", "volatile", "struct", "union", "enum", "defined")
+NOT_GO = ("if", "for", "switch", "return", "func", "else", "case", "go", "defer", "select", "range")
+NOT_JS = ("if", "for", "while", "switch", "catch", "return", "function", "else", "do", "case", "typeof", "new", "await", "in", "of", "with", "super", "void", "delete", "throw", "yield")
+NOT_JS_METHOD = ("if", "for", "while", "switch", "catch", "function", "with")
+NOT_PYTHON = ("if", "elif", "else", "while", "for", "in", "return", "not", "and", "or", "is", "lambda", "assert", "yield", "del", "raise", "except", "with", "class", "def", "import", "from", "await", "async")
 _NAME = r"[A-Za-z_$][\w$]*"
+_WORD = r"[A-Za-z_]\w*"
 RULES: list[Rule] = [
     Rule("js", "class", rf"\bclass\s+({_NAME})"),
     Rule("js", "def", rf"\bfunction\s*\*?\s*({_NAME})\s*\("),
     Rule("js", "def", rf"\b(?:const|let|var)\s+({_NAME})\s*=\s*(?:async\s*)?(?:\([^()]*\)|{_NAME})\s*=>"),
-    Rule("js", "def", rf"^\s*(?:static\s+|async\s+|get\s+|set\s+)*({_NAME})\s*\([^()]*\)\s*\{{"),
-    Rule("js", "call", rf"(?:((?:{_NAME}\.)*{_NAME})\.)?({_NAME})\s*\(", 2, 1),
+    Rule("js", "def", rf"^\s*(?:(?:static|async|get|set)\s+)*(?:\*\s*)?(#?{_NAME})\s*\([^()]*(?:\([^()]*\)[^()]*)*\)[^;(){{}}=]*\{{", unless=NOT_JS_METHOD),
+    Rule("js", "call", rf"(?:((?:{_NAME}\.)*{_NAME})\.)?(?<![\w$])({_NAME})\s*\(", 2, 1, NOT_JS),
     Rule("go", "def", rf"^\s*func\s+({_NAME})\s*[\[(]"),
     Rule("go", "def", rf"^\s*func\s*\(\s*(?:{_NAME}\s+)?(\*?{_NAME})(?:\[[^\]]*\])?\s*\)\s*({_NAME})\s*\(", 2, 1),
-    Rule("go", "call", rf"(?<![\w.)\]])(?:({_NAME})\.)?({_NAME})\s*\(", 2, 1),
-    Rule("c", "def", rf"^[A-Za-z_][\w\s*]*?[\s*]({_NAME})\s*\([^;{{}}]*\)\s*\{{"),
-    Rule("c", "call", rf"(?<![\w.>])({_NAME})\s*\("),
+    Rule("go", "call", rf"(?<![\w.)\]])(?:({_NAME})\.)?({_NAME})\s*\(", 2, 1, NOT_GO),
+    Rule("c", "def", rf"^[A-Za-z_][\w\s*]*?[\s*]({_NAME})\s*\([^;{{}}]*\)[^;(){{}}=]*\{{", unless=NOT_C),
+    Rule("c", "call", rf"(?<![\w.>])({_NAME})\s*\(", unless=NOT_C),
+    Rule("python", "class", rf"^\s*class\s+({_WORD})"),
+    Rule("python", "def", rf"^\s*(?:async\s+)?def\s+({_WORD})"),
+    Rule("python", "call", rf"(?:(?<![\w.)\]\"'])({_WORD})\.)?(?<!\w)(?<!\bclass\s)(?<!\bdef\s)({_WORD})\s*\(", 2, 1, NOT_PYTHON),
 ]
 
-
-def blanked(text: Column) -> Column:
-    """A line without the insides of its strings, and without comments that end on it."""
-    t = F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', '""')
-    t = F.regexp_replace(t, r"'(?:\\.|[^'\\])*'", "''")
-    t = F.regexp_replace(t, r"`(?:\\.|[^`\\])*`", "``")
-    t = F.regexp_replace(t, r"/\*.*?\*/", " ")
-    return F.regexp_replace(t, r"//.*$", "")
-
-
-def clean_lines(lines: DataFrame) -> DataFrame:
-    """(path, lang, line_no, code, before, after): code without strings and comments, and the brace depth
-    before and after the line. Open block comments are followed by a running count in each file."""
-    code = blanked(F.col("text"))
-    d = lines.select("path", "lang", "line_no", code.alias("code"))
-    opens, closes = F.col("code").contains("/*").cast("int"), F.col("code").contains("*/").cast("int")
-    run = Window.partitionBy("path").orderBy("line_no")
-    upto = F.sum(opens - closes).over(run)
-    d = d.withColumn("open", upto).withColumn("was", F.lag("open", 1, 0).over(run))
-    code = F.when((F.col("was") > 0) & (closes == 0), "").when(closes == 1, F.regexp_replace("code", r"^.*?\*/", "")).otherwise(F.regexp_replace("code", r"/\*.*$", ""))
-    d = d.withColumn("code", code)
-    step = F.length(F.regexp_replace("code", r"[^{]", "")) - F.length(F.regexp_replace("code", r"[^}]", ""))
-    d = d.withColumn("after", F.sum(step).over(run)).withColumn("before", F.col("after") - step)
-    return d.select("path", "lang", "line_no", "code", "before", "after")
+_DOUBLE, _SINGLE, _TICK = (rf"{q}[^{q}\\\n]*+(?:\\(?s:.)[^{q}\\\n]*+)*+{q}?" for q in ('"', "'", "`"))
+_COMMENTS = r"/\*(?s:.*?)(?:\*/|\z)|//[^\n]*+"
+#: What is blanked, by language: comments and strings; the first character tells which.
+TOKENS = {
+    "c": rf"{_COMMENTS}|{_DOUBLE}|{_SINGLE}",
+    "go": rf"{_COMMENTS}|{_DOUBLE}|{_SINGLE}|`[^`]*+`?",
+    "js": rf"{_COMMENTS}|{_DOUBLE}|{_SINGLE}|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`?",
+    "python": r"#[^\n]*+|" + "|".join(rf"{q * 3}(?:[^\\{q}]|\\(?s:.)|{q}(?!{q * 2}))*+(?:{q * 3}|\z)" for q in "\"'") + rf"|{_DOUBLE}|{_SINGLE}|\\\r?\n",
+}
+_PLAIN = {lang: r"[^#\"'\\]++" if lang == "python" else r"[^/\"'`]++" for lang in TOKENS}
+#: A parameter list and what may stand between it and the brace that opens the body.
+_HEADER = r"\((?:[^(){};]|\([^(){};]*+\))*+\)[^\n;{}=]*(?:=>)?\s*\{"
+#: In place of a line break inside a token.
+MARK = "\x01"
+
+
+def blanked(content: Column, lang: str) -> Column:
+    """A file without comments and the insides of its strings; line breaks inside them are marks."""
+    pieces = F.regexp_extract_all(content, F.lit(f"(?:{TOKENS[lang]}|{_PLAIN[lang]}|(?s:.))"), 0)
+    marks = lambda x: F.regexp_replace(F.regexp_replace(x, r"[^\n]", ""), r"\n", MARK)
+    comment = r"^(?:#|\\)" if lang == "python" else r"^/[/*]"
+
+    def clean(x: Column) -> Column:
+        string = F.substring(x, 1, 1).isin('"', "'", "`")
+        return F.when(string, F.concat(F.lit('""'), marks(x))).when(x.rlike(comment), F.concat(F.lit(" "), marks(x))).otherwise(x)
+
+    return F.array_join(F.transform(pieces, clean), "")
+
+
+def with_headers(code: Column) -> Column:
+    """Parameter lists and the opening brace after them on one line; their line breaks become marks."""
+    pieces = F.regexp_extract_all(code, F.lit(rf"(?:{_HEADER}|[^(]++|\()"), 0)
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("(") & x.endswith("{"), F.regexp_replace(x, r"\r?\n", MARK)).otherwise(x)), "")
+
+
+def _count(code: Column, chars: str) -> Column:
+    return F.length(F.regexp_replace(code, f"[^{chars}]", ""))
+
+
+def clean_files(files: DataFrame) -> DataFrame:
+    """(path, lang, code) of files (path, content, lang)."""
+    code = None
+    for lang in TOKENS:
+        one = blanked(F.col("content"), lang)
+        one = one if lang == "python" else with_headers(one)
+        code = F.when(F.col("lang") == lang, one) if code is None else code.when(F.col("lang") == lang, one)
+    return files.where(F.col("content").isNotNull()).select("path", "lang", code.alias("code"))
+
+
+def physical_lines(clean: DataFrame) -> DataFrame:
+    """(path, lang, line_no, code, before) from clean_files, every line of the file."""
+    lines = F.posexplode(F.split(F.translate("code", MARK, "\n"), "\n")).alias("k", "code")
+    return clean.select("path", "lang", lines).select("path", "lang", (F.col("k") + 1).alias("line_no"), "code", F.lit(0).alias("before"))
+
+
+def logical_lines(clean: DataFrame) -> DataFrame:
+    """(path, lang, line_no, end_no, code, before, after) from clean_files: lines that hold code, those
+    that go on over several once, with the depth before and after them."""
+    by_path = Window.partitionBy("path").orderBy("k")
+    d = clean.select("path", "lang", F.posexplode(F.split("code", "\n")).alias("k", "code"))
+    d = d.withColumn("more", _count(F.col("code"), MARK))
+    d = d.withColumn("end_no", (F.sum(F.col("more") + 1).over(by_path)).cast("int")).withColumn("line_no", (F.col("end_no") - F.col("more")).cast("int"))
+    python = F.col("lang") == "python"
+    d = d.withColumn("step", F.when(python, _count(F.col("code"), "(\\[{") - _count(F.col("code"), ")\\]}")).otherwise(_count(F.col("code"), "{") - _count(F.col("code"), "}")))
+    d = d.withColumn("after", F.sum("step").over(by_path)).withColumn("before", F.col("after") - F.col("step"))
+    d = d.where(F.regexp_replace("code", rf"[\s{MARK}]", "") != "")
+    # Python: lines inside brackets belong to the one before; depth is indentation, tabs count to the next eighth
+    first = F.when(~python | (F.col("before") <= 0), 1).otherwise(0)
+    d = d.withColumn("group", F.sum(first).over(by_path)).withColumn("first", first == 1)
+    d = d.withColumn("end_no", F.max("end_no").over(Window.partitionBy("path", "group"))).where("first")
+    indent = F.length(F.regexp_replace(F.regexp_extract("code", r"^([ \t]*)", 1), r" {0,7}\t", " " * 8))
+    d = d.withColumn("indent", indent)
+    following = F.coalesce(F.lead("indent").over(by_path), F.lit(0))
+    return d.select("path", "lang", "line_no", "end_no", "code", F.when(python, F.col("indent")).otherwise(F.col("before")).cast("int").alias("before"), F.when(python, following).otherwise(F.col("after")).cast("int").alias("after"))
+
+
+def unbalanced(clean: DataFrame) -> DataFrame:
+    """(path, lang, error) of files whose brackets do not close."""
+    open_ = _count(F.col("code"), "(\\[{") - _count(F.col("code"), ")\\]}")
+    return clean.where(open_ != 0).select("path", "lang", F.concat(F.lit("brackets do not close: "), open_.cast("string")).alias("error"))
 
 
 def hits(lines: DataFrame, kind: str, rules: list[Rule] | None = None) -> DataFrame:
-    """(path, lang, line_no, name, other, place, before): every match of the rules of a kind, in the
-    order of its place in the line's matches."""
+    """lines with name, other and place: every match of the rules of a kind; place is its order among
+    the line's matches."""
     out = None
     for k, r in enumerate(x for x in (RULES if rules is None else rules) if x.kind == kind):
         group = lambda g, p=r.pattern: F.regexp_extract_all("code", F.lit(p), g) if g else None
         names, others = group(r.name), group(r.other)
         both = F.zip_with(names, others if others is not None else F.transform(names, lambda _: F.lit("")), lambda a, b: F.struct(a.alias("name"), b.alias("other")))
-        d = lines.where((F.col("lang") == r.lang) & F.col("code").rlike(r.pattern)).select("path", "lang", "line_no", "before", F.posexplode(both).alias("place", "x"))
-        d = d.select("path", "lang", "line_no", "before", (F.col("place") + 1000 * k).alias("place"), "x.name", "x.other")
+        own = [c for c in lines.columns if c != "code"]
+        d = lines.where((F.col("lang") == r.lang) & F.col("code").rlike(r.pattern)).select(*own, F.posexplode(both).alias("place", "x"))
+        d = d.select(*own, (F.col("place") + 1000 * k).alias("place"), "x.name", "x.other").where((F.col("name") != "") & ~F.col("name").isin(*r.unless))
         out = d if out is None else out.unionByName(d)
-    return out.where(~F.col("name").isin(*KEYWORDS) & (F.col("name") != ""))
+    return out
 
 
 def _with_end(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """found with end_line: the first line at or after it where the depth is no more than before it."""
-    ends = lines.select("path", F.col("line_no").alias("l"), F.col("after").alias("a"))
-    d = found.join(ends, "path").where((F.col("l") >= F.col("line_no")) & (F.col("a") <= F.col("before")))
-    return d.groupBy(*found.columns).agg(F.min("l").alias("end_line"))
+    """found with end_line: its own line if that closes what it opens, else the next line of the file that
+    takes the depth back to that before it, or the last line. One window over (path, depth)."""
+    closed = lines.where("after < before").select("path", F.explode(F.sequence(F.col("after"), F.col("before") - 1)).alias("before"), "line_no", F.col("end_no").alias("closes"))
+    names = [c for c in found.columns if c not in ("path", "before", "line_no")]
+    both = found.withColumns({"closes": F.lit(None).cast("int"), "is_found": F.lit(True)}).unionByName(closed.withColumn("is_found", F.lit(False)), allowMissingColumns=True)
+    later = Window.partitionBy("path", "before").orderBy("line_no", F.desc("is_found")).rowsBetween(1, Window.unboundedFollowing)
+    d = both.withColumn("next", F.first("closes", ignorenulls=True).over(later)).where("is_found")
+    last = lines.groupBy("path").agg(F.max("end_no").alias("last"))
+    d = d.join(last, "path")
+    end = F.when(F.col("after") <= F.col("before"), F.col("end_no")).otherwise(F.coalesce("next", "last"))
+    return d.select("path", "line_no", "before", *names, end.cast("int").alias("end_line"))
 
 
 def definitions(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(lang, path, scope, name, start_line, end_line, start_col) from clean_lines; a method's scope is
+    """(lang, path, scope, name, start_line, end_line, start_col) from logical_lines; a method's scope is
     the innermost class around it, or its receiver."""
-    found = hits(lines, "def", rules).groupBy("path", "lang", "line_no", "name", "before").agg(F.min("place").alias("place"), F.max("other").alias("other"))
-    d = _with_end(found, lines)
+    keys = ("path", "lang", "line_no", "end_no", "before", "after", "name")
+    found = hits(lines, "def", rules).groupBy(*keys).agg(F.min("place").alias("place"), F.max("other").alias("other"))
     classes = hits(lines, "class", rules)
-    c = _with_end(classes.select("path", F.col("line_no"), "before", F.col("name").alias("class_name")).distinct(), lines)
-    c = c.select(F.col("path").alias("class_path"), F.col("line_no").alias("c0"), F.col("end_line").alias("c1"), "class_name")
-    met = d.join(c, (F.col("path") == F.col("class_path")) & (F.col("line_no") > F.col("c0")) & (F.col("end_line") <= F.col("c1")), "left")
-    inner = met.groupBy(*d.columns).agg(F.max_by("class_name", "c0").alias("class_name"))
+    d = _with_end(found.withColumn("is_class", F.lit(False)).unionByName(classes.select(*keys, "place", "other").withColumn("is_class", F.lit(True))), lines)
+    # classes are laid into the 64-line buckets that they span, so that a long file is not met by each as a whole
+    bucket = lambda c: F.floor(F.col(c) / 64)
+    c = d.where("is_class").select(F.col("path").alias("of"), F.col("line_no").alias("c0"), F.col("end_line").alias("c1"), F.col("name").alias("class_name"), F.explode(F.sequence(bucket("line_no"), bucket("end_line"))).alias("bucket"))
+    d = d.where("not is_class").withColumn("at", bucket("line_no"))
+    d = d.join(c, (F.col("path") == F.col("of")) & (F.col("at") == F.col("bucket")) & (F.col("line_no") > F.col("c0")) & (F.col("end_line") <= F.col("c1")), "left")
+    d = d.groupBy("lang", "path", "name", "line_no", "end_line", "place", "other").agg(F.max_by("class_name", "c0").alias("class_name"))
     scope = F.when(F.col("other") != "", F.col("other")).otherwise(F.col("class_name"))
-    return inner.select("lang", "path", scope.alias("scope"), "name", F.col("line_no").alias("start_line"), "end_line", F.col("place").alias("start_col"))
+    return d.select("lang", "path", scope.alias("scope"), "name", F.col("line_no").alias("start_line"), "end_line", F.col("place").alias("start_col"))
 
 
-def calls(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(lang, path, line, start_line, end_line, start_col, callee_name, callee_qualifier); names that the
-    line defines are no calls."""
-    found = hits(lines, "call", rules)
-    defined = hits(lines, "def", rules).select("path", "line_no", "name").distinct()
-    d = found.join(defined, ["path", "line_no", "name"], "left_anti")
-    return d.select("lang", "path", F.col("line_no").alias("line"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("place").alias("start_col"), F.col("name").alias("callee_name"), F.col("other").alias("callee_qualifier"))
+def calls(lines: DataFrame, defined: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(lang, path, line, start_line, end_line, start_col, callee_name, callee_qualifier) from
+    physical_lines; names that the line defines (path, line_no, name) are no calls."""
+    d = hits(lines, "call", rules).join(defined, ["path", "line_no", "name"], "left_anti")
+    line = F.col("line_no")
+    return d.select("lang", "path", line.alias("line"), line.alias("start_line"), line.alias("end_line"), F.col("place").alias("start_col"), F.col("name").alias("callee_name"), F.col("other").alias("callee_qualifier"))

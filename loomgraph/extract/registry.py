@@ -7,21 +7,22 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.extract import line_rules, python_source
+from loomgraph.extract import line_rules
 from loomgraph.functions.paths import LANGUAGE_SUFFIXES, dirname, function_id, go_package, suffix
 from loomgraph.sources.shared import cut
-from loomgraph.sources.trees import source_lines
 
+SYMBOLS = pa.schema([("lang", pa.string()), ("path", pa.string()), ("scope", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("start_col", pa.int32()), ("error", pa.string())])
+CALLS = pa.schema([("lang", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("start_col", pa.int32()), ("callee_name", pa.string()), ("callee_qualifier", pa.string()), ("error", pa.string())])
 SYMBOL_TYPE = "lang string, path string, scope string, name string, start_line int, end_line int, start_col int, error string"
 CALL_TYPE = "lang string, path string, line int, start_line int, end_line int, start_col int, callee_name string, callee_qualifier string, error string"
 
 
 @dataclass
 class Extractor:
-    """Either functions (path, content) -> rows, or rules for the line scan."""
+    """Either rules for the line scan, or functions (path, content) -> rows of a user's own."""
 
     lang: str
     suffixes: tuple[str, ...]
@@ -43,8 +44,7 @@ def extractors() -> list[Extractor]:
 
 
 for _lang, _suffixes in LANGUAGE_SUFFIXES:
-    _own = [r for r in line_rules.RULES if r.lang == _lang]
-    register_extractor(Extractor(_lang, _suffixes, python_source.definitions, python_source.calls) if _lang == "python" else Extractor(_lang, _suffixes, rules=_own))
+    register_extractor(Extractor(_lang, _suffixes, rules=[r for r in line_rules.RULES if r.lang == _lang]))
 
 
 def _routed(files: DataFrame) -> DataFrame:
@@ -54,80 +54,120 @@ def _routed(files: DataFrame) -> DataFrame:
     return files.select("path", "content", lang.alias("lang"), order.alias("lang_ord")).where("lang is not null")
 
 
+def over_files(rows_of: Callable, schema: pa.Schema) -> Callable:
+    """A mapInArrow function over (path, content): a file that fails gives one row with its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict] = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows += rows_of(path, content or "")
+                except Exception as e:  # a user's function: its failure is the file's, and the others go on
+                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:300]})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
 def _of_functions(files: DataFrame, part: str, schema: pa.Schema, kind: str) -> DataFrame | None:
     out = None
     for e in _all.values():
         fn = getattr(e, part)
         if fn is not None:
-            d = files.where(F.col("lang") == e.lang).select("path", "content").mapInArrow(python_source.over_files(fn, schema), kind)
+            d = files.where(F.col("lang") == e.lang).select("path", "content").mapInArrow(over_files(fn, schema), kind)
             d = d.withColumn("lang", F.coalesce("lang", F.lit(e.lang)))
             out = d if out is None else out.unionByName(d)
     return out
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    scanned = [e.lang for e in _all.values() if e.rules]
-    f = files.where(F.col("lang").isin(*scanned))
-    return cut(line_rules.clean_lines(source_lines(f).join(f.select("path", "lang").distinct(), "path")))  # each rule reads it
+def _clean(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, lang, code) of the files that rules scan, and (path, error) of those without content or
+    whose brackets do not close. Python files of the second kind are left out: their lines cannot be told."""
+    f = files.where(F.col("lang").isin(*[e.lang for e in _all.values() if e.rules]))
+    clean = cut(line_rules.clean_files(f))  # each rule reads it
+    bad = line_rules.unbalanced(clean)
+    errors = bad.select("path", "error").unionByName(f.where("content is null").select("path", F.lit("no content").alias("error")))
+    return clean.join(bad.where("lang = 'python'").select("path"), "path", "left_anti"), errors
+
+
+def _rules(rules: list[line_rules.Rule] | None) -> list[line_rules.Rule]:
+    """Of each language the given rules, or where there are none its registered ones."""
+    given = {r.lang for r in rules or []}
+    return [*(rules or []), *(r for e in _all.values() if e.lang not in given for r in e.rules)]
 
 
 def extract_symbols(files: DataFrame, id_scheme: str = "module", rules: list[line_rules.Rule] | None = None) -> tuple[DataFrame, DataFrame]:
     """(symbols, errors) of files (path, content). sym_ord orders by language, path part by part, line and
     column; id_scheme `path` puts the whole relative path in place of the module."""
     f = _routed(files)
-    rows = line_rules.definitions(_lines(f), rules or [r for e in _all.values() for r in e.rules]).withColumn("error", F.lit(None).cast("string"))
-    own = _of_functions(f, "definitions", python_source.SYMBOLS, SYMBOL_TYPE)
-    rows = rows if own is None else rows.unionByName(own)
-    order = f.select("lang", "lang_ord").distinct()
-    ok = rows.where("error is null").join(order, "lang")
+    clean, errors = _clean(f)
+    rows = line_rules.definitions(cut(line_rules.logical_lines(clean)), _rules(rules))
+    own = _of_functions(f, "definitions", SYMBOLS, SYMBOL_TYPE)
+    if own is not None:
+        rows = rows.unionByName(own.where("error is null").drop("error"))
+        errors = errors.unionByName(own.where("error is not null").select("path", "error"))
+    ok = rows.join(F.broadcast(f.select("lang", "lang_ord").distinct()), "lang")  # a row a language
     sym_ord = F.struct("lang_ord", F.split("path", "/").alias("parts"), "start_line", "start_col")
     by_module = function_id(F.col("lang"), F.col("path"), F.col("scope"), F.col("name"), go_package(F.col("path")))
     id_ = F.concat_ws(".", "path", "scope", "name") if id_scheme == "path" else by_module
     symbols = ok.select(sym_ord.alias("sym_ord"), id_.alias("id"), "name", F.lit("function").alias("kind"), "lang", "path", dirname(F.col("path")).alias("dir"), "start_line", "end_line")
-    return symbols, rows.where("error is not null").select("path", "error")
+    return symbols, errors
 
 
 def extract_calls(files: DataFrame, rules: list[line_rules.Rule] | None = None) -> tuple[DataFrame, DataFrame]:
     """(call sites, errors) of files (path, content), ordered by fact_ord as symbols are."""
     f = _routed(files)
-    rows = line_rules.calls(_lines(f), rules or [r for e in _all.values() for r in e.rules]).withColumn("error", F.lit(None).cast("string"))
-    own = _of_functions(f, "calls", python_source.CALLS, CALL_TYPE)
-    rows = rows if own is None else rows.unionByName(own)
-    ok = rows.where("error is null").join(f.select("lang", "lang_ord").distinct(), "lang")
+    clean, errors = _clean(f)
+    of = _rules(rules)
+    defined = line_rules.hits(line_rules.logical_lines(clean), "def", of).select("path", "line_no", "name").distinct()
+    rows = line_rules.calls(line_rules.physical_lines(clean), defined, of)
+    own = _of_functions(f, "calls", CALLS, CALL_TYPE)
+    if own is not None:
+        rows = rows.unionByName(own.where("error is null").drop("error"))
+        errors = errors.unionByName(own.where("error is not null").select("path", "error"))
+    ok = rows.join(F.broadcast(f.select("lang", "lang_ord").distinct()), "lang")
     fact_ord = F.struct("lang_ord", F.split("path", "/").alias("parts"), "start_line", "start_col", "callee_name")
     facts = ok.select(fact_ord.alias("fact_ord"), "lang", "path", dirname(F.col("path")).alias("dir"), "line", "start_line", "end_line", "callee_name", "callee_qualifier")
-    return facts, rows.where("error is not null").select("path", "error")
+    return facts, errors
 
 
-def rules_from_rows(rows: list[tuple]) -> list[line_rules.Rule]:
-    """Rules read from elsewhere: (lang, kind, pattern, name group, other group)."""
-    return [line_rules.Rule(*r) for r in rows]
+def read_rules(spark: SparkSession, path: str) -> list[line_rules.Rule]:
+    """Rules from JSON lines {"lang", "kind", "pattern", "name", "other", "unless"}, a few rows that the
+    driver holds; pass them as `rules`. Languages that the files do not name keep their own."""
+    schema = "lang string, kind string, pattern string, name int, other int, unless array<string>"
+    return [line_rules.Rule(r.lang, r.kind, r.pattern, 1 if r.name is None else r.name, r.other or 0, tuple(r.unless or ())) for r in spark.read.schema(schema).json(path).collect()]
 
 
-# Definition sites of JavaScript, most particular first; each match ends with the opening brace.
+# Definition sites of JavaScript in their order of precedence, and names that are none.
 SITES = (
-    r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*\{",
-    r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?function\s*\([^)]*\)\s*\{",
-    r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>\s*\{",
-    r"\b([A-Za-z_$][\w$]*)\s*:\s*(?:async\s+)?function\s*\([^)]*\)\s*\{",
-    r"(?m)^\s*(?:async\s+|static\s+)*([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*\{",
+    r"function\s+(\w+)\s*\([^)]*\)\s*\{",
+    r"async\s+function\s+(\w+)\s*\([^)]*\)\s*\{",
+    r"(\w+)\s*\([^)]*\)\s*\{",
+    r"(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>\s*\{",
+    r"(\w+)\s*=\s*(?:async\s+)?function\s*\([^)]*\)\s*\{",
 )
-NO_SITES = frozenset(("if", "else", "for", "while", "switch", "catch", "do"))
+NO_SITES = ("if", "else", "for", "while", "switch", "catch", "do")
 
 
 def definition_sites(files: DataFrame, patterns: tuple[str, ...] = SITES) -> DataFrame:
-    """(path, name, line, brace): of patterns that end at one brace the first counts."""
-    compiled = list(patterns)
+    """(path, name, line, brace): of patterns that end at one brace the first counts, also where its name
+    is then none; the line is that on which the match begins. null content has no sites."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [re.compile(p) for p in compiled]
+        own = [re.compile(p, re.ASCII) for p in patterns]
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = content or ""
                 for k, p in enumerate(own):
-                    rows += [(path, m[1], (content or "").count("\n", 0, m.start(1)) + 1, m.end() - 1, k) for m in p.finditer(content or "") if m[1] not in NO_SITES]
+                    line, at = 1, 0
+                    for m in p.finditer(text):
+                        line, at = line + text.count("\n", at, m.start()), m.start()
+                        rows.append((path, m[1], line, m.end() - 1, k))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(5)], ["path", "name", "line", "brace", "k"])
 
     d = files.select("path", "content").mapInArrow(run, "path string, name string, line int, brace long, k int")
-    return d.groupBy("path", "brace").agg(F.min_by(F.struct("name", "line"), "k").alias("x")).select("path", "x.name", "x.line", "brace")
+    first = d.groupBy("path", "brace").agg(F.min_by(F.struct("name", "line"), "k").alias("x")).select("path", "x.name", "x.line", "brace")
+    return first.where(~F.col("name").isin(*NO_SITES))

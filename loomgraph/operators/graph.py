@@ -30,11 +30,13 @@ def all_nodes(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return dirs.unionByName(fs).unionByName(fn)
 
 
-def containment_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst): directory in directory, file in directory, and function in file, a row for each symbol."""
+def containment_edges(symbols: DataFrame, files: DataFrame, ordered: bool = False) -> DataFrame:
+    """(src, dst): directory in directory, file in directory, and function in file, a row for each symbol.
+    ordered: with edge_ord, in which a function's edges stand as its symbols do."""
     dirs = directories_of(files).where("path <> '.'").select(dirname(F.col("path")).alias("src"), F.col("path").alias("dst"))
     fs = files.select("path").distinct().select(dirname(F.col("path")).alias("src"), F.col("path").alias("dst"))
-    return dirs.unionByName(fs).unionByName(symbols.select(F.col("path").alias("src"), F.col("id").alias("dst")))
+    fn = symbols.select(F.col("path").alias("src"), F.col("id").alias("dst"), *([F.col("sym_ord").alias("edge_ord")] if ordered else []))
+    return dirs.unionByName(fs).unionByName(fn, allowMissingColumns=ordered)
 
 
 def typed_edges(calls: DataFrame, contains: DataFrame) -> DataFrame:

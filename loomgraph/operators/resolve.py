@@ -6,7 +6,7 @@ depends on the physical order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Lines that one bucket of the interval join spans.
@@ -31,15 +31,22 @@ def resolve_callees(facts: DataFrame, symbols: DataFrame, ignore_qualifiers: tup
     """(fact_ord, callee): of the symbols of that name whose id holds the qualifier, the first in the
     caller's directory, or else the first. Unresolved call sites are left out.
 
-    The answer depends on (name, qualifier, directory) only; distinct ones meet distinct (name, id,
-    directory), however many call sites repeat them."""
+    The answer depends on (name, qualifier, directory) only, however many call sites repeat them. Without
+    a qualifier it is one of two minima, by (name, directory) and by name. Distinct (name, qualifier) meet
+    distinct (name, id) to tell which ids hold them, and the same two minima follow; so the directories
+    of a hot name never meet its symbols' directories in pairs."""
     q = F.col("callee_qualifier")
     q = F.when(q.isin(*ignore_qualifiers), "").otherwise(q) if ignore_qualifiers else q
     f = facts.select("fact_ord", F.col("callee_name").alias("name"), q.alias("qualifier"), "dir")
     asked = f.select("name", "qualifier", "dir").distinct()
-    s = symbols.groupBy("name", "id", F.col("dir").alias("sdir")).agg(F.min("sym_ord").alias("sym_ord"))
-    met = asked.join(s, "name").where((F.col("qualifier") == "") | F.contains("id", "qualifier"))
-    best = met.groupBy("name", "qualifier", "dir").agg(F.min_by("id", F.struct(F.col("sdir") != F.col("dir"), "sym_ord")).alias("callee"))
+    s = symbols.groupBy("name", "id", "dir").agg(F.min("sym_ord").alias("sym_ord"))
+    some = asked.where("qualifier <> ''").select("name", "qualifier").distinct()
+    held = some.join(s.select("name", "id").distinct(), "name").where(F.contains("id", "qualifier"))
+    fit = s.withColumn("qualifier", F.lit("")).unionByName(s.join(held, ["name", "id"]))
+    here = fit.groupBy("name", "qualifier", "dir").agg(F.min_by("id", "sym_ord").alias("here"))
+    first = fit.groupBy("name", "qualifier").agg(F.min_by("id", "sym_ord").alias("first"))
+    best = asked.join(first, ["name", "qualifier"]).join(here, ["name", "qualifier", "dir"], "left")
+    best = best.select("name", "qualifier", "dir", F.coalesce("here", "first").alias("callee"))
     return f.join(best, ["name", "qualifier", "dir"]).select("fact_ord", "callee")
 
 
@@ -85,7 +92,3 @@ def resolve_symbols(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     status = F.when(F.col("is_id"), "exact").when(n == 1, "unique").when(n > 1, "ambiguous").otherwise("not_found")
     matches = F.when(F.col("is_id"), F.array("symbol")).otherwise(F.coalesce("ids", F.array().cast("array<string>")))
     return d.select("symbol", status.alias("status"), matches.alias("matches"))
-
-
-def qualifier_matches(qualifier: Column, id_: Column) -> Column:
-    return (qualifier == "") | F.contains(id_, qualifier)

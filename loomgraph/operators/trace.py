@@ -8,17 +8,19 @@ from pyspark.sql import types as T
 
 from loomgraph.functions.paths import cut_arguments, is_noise
 
-EVENT = T.StructType([T.StructField("fn", T.StringType()), T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("args", T.MapType(T.StringType(), T.StringType()))])
+EVENT = T.StructType([T.StructField("fn", T.StringType()), T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("args", T.MapType(T.StringType(), T.StringType()))])
 _CORRUPT = T.StructType([*EVENT.fields, T.StructField("_bad", T.StringType())])
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Columns of lines (value, ...) with fn, file, line, args and bad: whether the line is no event.
-    Missing fields are '' and 0. Works on streams too."""
+    """Columns of lines (value, ...) with fn, file, line, args, seq (unless lines have one: the number that
+    a line carries, or null) and bad: whether the line is no event. Missing fields are '' and 0. Works on
+    streams too."""
     e = F.from_json("value", _CORRUPT, {"columnNameOfCorruptRecord": "_bad"})
     d = lines.withColumn("_e", e)
     bad = F.col("_e").isNull() | F.col("_e._bad").isNotNull()
-    return d.select(*lines.columns, F.coalesce("_e.fn", F.lit("")).alias("fn"), F.coalesce("_e.file", F.lit("")).alias("file"), F.coalesce("_e.line", F.lit(0)).alias("line"), F.col("_e.args").alias("args"), bad.alias("bad"))
+    seq = [] if "seq" in lines.columns else [F.col("_e.seq").alias("seq")]
+    return d.select(*lines.columns, *seq, F.coalesce("_e.fn", F.lit("")).alias("fn"), F.coalesce("_e.file", F.lit("")).alias("file"), F.coalesce("_e.line", F.lit(0)).alias("line"), F.col("_e.args").alias("args"), bad.alias("bad"))
 
 
 def without_noise(events: DataFrame, root: str | None = None) -> DataFrame:

@@ -66,14 +66,22 @@ def shortest_paths(calls: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def ancestors(contains: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, id, distance): what contains a seed, up to the root; of several parents the first by name."""
-    parent = cut(contains.groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("id")))
+    """(seed, id, distance): what contains a seed, up to the root; of several parents that of the first
+    edge (smallest edge_ord where contains has it, else smallest id). On a cycle a walk ends where it
+    would meet an id again."""
+    order = "edge_ord" if "edge_ord" in contains.columns else "src"
+    parent = cut(contains.groupBy(F.col("dst").alias("at")).agg(F.min_by("src", F.struct(order, "src")).alias("id")))
     level = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct()
     out, distance = None, 0
     while True:
         distance += 1
-        new = cut(level.join(parent, "at").where(F.col("id") != F.col("seed")).select("seed", "id", F.lit(distance).alias("distance")))
-        if new.isEmpty() or distance > 1000:
+        new = level.join(parent, "at").where(F.col("id") != F.col("seed")).select("seed", "id", F.lit(distance).alias("distance"))
+        if out is not None:
+            new = new.join(out.select("seed", "id"), ["seed", "id"], "left_anti")
+        new = cut(new)
+        if new.isEmpty():
             return new if out is None else out
         out = new if out is None else out.unionByName(new)
+        if distance % 8 == 0:
+            out = cut(out)  # one table and not a union of every level
         level = new.select("seed", F.col("id").alias("at"))

@@ -92,6 +92,7 @@ query("p4_function_id", "SELECT p_partkey, regexp_replace(split_part(path, '/',
     lambda d: d.symbols.select("p_partkey", P.function_id(F.lit("python"), F.col("path"), F.lit(None).cast("string"), F.col("name")).alias("py"), P.function_id(F.lit("c"), F.col("path"), F.lit(None), F.col("name")).alias("c"), P.function_id(F.lit("go"), F.col("path"), F.lit("*T"), F.col("name"), P.go_package(P.dirname(F.col("path")))).alias("go"))
 )
 query("p5_noise_filter", "SELECT seq, fn, file FROM trace WHERE NOT contains(file, 'lib/') AND NOT contains(file, 'site-packages') AND NOT contains(file, '<frozen') AND fn NOT IN ('<module>', '<genexpr>', '<listcomp>', '<dictcomp>', '__annotate__', 'root') AND contains(file, '/app/')")(lambda d: trace.without_noise(d.trace, "/app/").select("seq", "fn", "file"))
+query("p5_noise_filter_js", "SELECT seq, file FROM trace WHERE starts_with(file, '/app/src/') AND NOT contains(file, 'node_modules') AND NOT contains(file, 'js_trace')")(lambda d: d.trace.where(~P.is_noise_js(F.col("file"), "/app/src/")).select("seq", "file"))
 query("p6_cut_arguments", "SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS arg FROM documents")(lambda d: trace.with_cut_arguments(d.documents.select("doc_id", F.create_map(F.lit("text"), "text").alias("args"))).select("doc_id", F.col("args")["text"].alias("arg")))
 query("p7_heat", "SELECT id, count(*) AS hits, CASE WHEN count(*) > 100 THEN 'blazing' WHEN count(*) > 20 THEN 'high' WHEN count(*) > 5 THEN 'med' ELSE 'low' END AS heat FROM hit GROUP BY id")(lambda d: graph.hit_counts(d.hit).withColumn("heat", P.heat(F.col("hits"))))
 
@@ -107,8 +108,9 @@ def _read_trace(d: Data) -> DataFrame:
 
 
 query("s4_source_lines", "SELECT path, CAST(n AS INT) AS line_no, parts[n] AS text FROM (SELECT path, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT CAST(doc_id AS STRING) AS path, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)")(lambda d: d.lines)
-query("s5_export_graph")(lambda d: trees.export_lines(d.nodes, graph.typed_edges(d.edges, d.has)))
-query("s6_record_trace")(lambda d: streams.recorded(d.trace))
+_JSON_LINE = "CASE WHEN coalesce({c}, 0) <> 0 THEN ',\"{c}\":' || {c} ELSE '' END"
+query("s5_export_graph", "SELECT '{\"kind\":\"node\",\"id\":\"' || id || '\",\"type\":\"' || type || '\",\"name\":\"' || name || '\",\"path\":\"' || path || '\"' || " + _JSON_LINE.format(c="line") + " || " + _JSON_LINE.format(c="end_line") + " || '}' AS value FROM nodes UNION ALL SELECT '{\"kind\":\"edge\",\"from\":\"' || src || '\",\"to\":\"' || dst || '\",\"type\":\"' || type || '\"' || " + _JSON_LINE.format(c="line") + " || '}' FROM (SELECT src, dst, 'calls' AS type, line FROM edges UNION ALL SELECT src, dst, 'contains', 0 FROM has)")(lambda d: trees.export_lines(d.nodes, graph.typed_edges(d.edges, d.has)))
+query("s6_record_trace", "SELECT seq, fn, file, line FROM trace")(lambda d: streams.recorded(d.trace))
 
 # Lookups
 query("f1_resolve_symbol", "SELECT s AS symbol, CASE WHEN e THEN 'exact' WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS status, CASE WHEN e THEN s ELSE coalesce(m, '') END AS matches FROM (SELECT s, s IN (SELECT id FROM nodes) AS e, (SELECT count(*) FROM fnodes WHERE name = s) AS n, (SELECT string_agg(id, ',' ORDER BY id) FROM fnodes WHERE name = s) AS m FROM (SELECT DISTINCT replace(p_name, ' ', '_') AS s FROM part UNION SELECT DISTINCT id FROM symbols UNION SELECT DISTINCT p_brand FROM part))")(
@@ -116,7 +118,7 @@ query("f1_resolve_symbol", "SELECT s AS symbol, CASE WHEN e THEN 'exact' WHEN n
 )
 query("f2_find_symbol", "SELECT * FROM nodes WHERE type = 'function' AND name = 'red_widget'")(lambda d: lookup.functions_named(d.nodes, "red_widget"))
 query("f3_node_details", "SELECT * FROM nodes WHERE id = 'economy.red_widget'")(lambda d: lookup.node_details(d.nodes, "economy.red_widget"))
-query("f4_file_symbols", "SELECT * FROM nodes WHERE type = 'function' AND path = 'src/Brand_17/economy.py'")(lambda d: lookup.symbols_of_file(d.nodes, "src/Brand_17/economy.py"))
+query("f4_file_symbols", "SELECT * FROM nodes WHERE type = 'function' AND path = (SELECT min(path) FROM fnodes)")(lambda d: lookup.symbols_of_file(d.nodes, d.fnodes.agg(F.min("path")).first()[0]))
 query("f5_source_slice", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, p_partkey % 1000 AS doc, start_line % 7 + 1 AS a, start_line % 7 + 1 + p_partkey % 4 AS b FROM symbols) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")(
     lambda d: lookup.source_slices(d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1000).cast("string").alias("path"), (F.col("start_line") % 7 + 1).alias("line"), (F.col("start_line") % 7 + 1 + F.col("p_partkey") % 4).cast("int").alias("end_line")), d.lines)
 )
@@ -154,6 +156,13 @@ def _details(d: Data) -> DataFrame:
     return graph.neighbour_details(graph.direct_callers(d.edges, seeds), d.nodes.where("type = 'function'"), lines)
 
 
+@query("j8_callee_details", "SELECT e.src AS seed, n.id, n.name, split_part(n.path, '/', -1) AS file, n.line AS jump_line, coalesce(trim(c.text), '') AS signature FROM edges e JOIN fnodes n ON n.id = e.dst LEFT JOIN (SELECT path, row_number() OVER (PARTITION BY path ORDER BY o1, o2, text) AS k, text FROM corpus_lines) c ON c.path = n.path AND c.k = n.line")
+def _callee_details(d: Data) -> DataFrame:
+    lines = trees.source_lines(d.corpus).withColumn("path", F.regexp_replace("path", r"\.js$", ".py"))
+    seeds = d.edges.select(F.col("src").alias("id")).distinct()
+    return graph.neighbour_details(graph.direct_callees(d.edges, seeds), d.nodes.where("type = 'function'"), lines, callers=False)
+
+
 query("j9_call_view", "SELECT * FROM nodes WHERE id IN (SELECT src FROM edges UNION SELECT dst FROM edges)")(lambda d: graph.call_view(d.nodes, d.edges))
 query("j10_structure_view", "SELECT src, dst FROM has WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")(lambda d: graph.structure_view(d.has, d.nodes))
 query("j11_roots", "SELECT * FROM nodes WHERE type <> 'function' AND id NOT IN (SELECT dst FROM has)")(lambda d: graph.roots(d.nodes, d.has))
@@ -192,7 +201,7 @@ def _shortest(d: Data) -> DataFrame:
     return traverse.shortest_paths(d.edges, first.join(d.seed.select(F.col("id").alias("end"))))  # one row each
 
 
-query("g5_ancestors", "SELECT DISTINCT s.id AS seed, CASE k WHEN 1 THEN s.path WHEN 2 THEN s.dir WHEN 3 THEN 'src' ELSE '.' END AS id, CAST(k AS INT) AS distance FROM (SELECT id, min(path) AS path, min(dir) AS dir FROM symbols GROUP BY id) s, unnest([1, 2, 3, 4]) u(k)")(lambda d: traverse.ancestors(d.has, d.fnodes))
+query("g5_ancestors", "SELECT DISTINCT s.id AS seed, CASE k WHEN 1 THEN s.path WHEN 2 THEN s.dir WHEN 3 THEN 'src' ELSE '.' END AS id, CAST(k AS INT) AS distance FROM (SELECT id, min(path) AS path, min(dir) AS dir FROM symbols GROUP BY id) s, unnest([1, 2, 3, 4]) u(k)")(lambda d: traverse.ancestors(graph.containment_edges(d.symbols, d.symbols.select("path"), ordered=True), d.fnodes))
 query("g6_flatten_tree", "SELECT n.id, CASE WHEN n.type = 'directory' THEN n.name || '/' ELSE n.name END AS label, CAST(depth AS INT) AS depth, n.type, n.id IN (SELECT src FROM has) AS has_children FROM (SELECT '.' AS id, 0 AS depth UNION ALL SELECT 'src', 1 UNION ALL SELECT path, 2 FROM dirs WHERE path LIKE 'src/%' UNION ALL SELECT path, 3 FROM paths UNION ALL SELECT DISTINCT id, 4 FROM (SELECT DISTINCT path, id FROM symbols)) t JOIN nodes n ON n.id = t.id WHERE depth < 4 UNION ALL SELECT n.id, n.name, 4, n.type, false FROM (SELECT DISTINCT path, id FROM symbols) t JOIN nodes n ON n.id = t.id")(
     lambda d: hierarchy.flatten(d.nodes, d.has, graph.roots(d.nodes, d.has)).select("id", "label", "depth", "type", "has_children")
 )
@@ -223,6 +232,18 @@ query("x6_go_calls", _CALLS.format(suffix=".go"))(lambda d: extract.extract_call
 query("x8_c_calls", _CALLS.format(suffix=".c"))(lambda d: extract.extract_calls(_as(d, ".c", "static int $1(int a)"))[0].select("path", "line", "callee_name"))
 
 
+# The same corpus in forms over several lines: each symbol takes two lines more; and as methods of one class
+_RANKED = f", {_CORPUS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY sym_ord) AS r FROM symbols)"
+_NEXT_LINE = "static int $1(int a, /* and include/*.h\n  */ int b)\n"
+query("x7_c_definitions_next_line", _RANKED + " SELECT regexp_replace(split_part(n.path, '/', -1), '\\.js$', '.c') || '::' || s.name AS id, CAST(min(k) + 2 * (r - 1) AS INT) AS start_line, CAST(max(k) + 2 * r AS INT) AS end_line, regexp_replace(n.path, '\\.js$', '.c') AS path FROM numbered n JOIN ranked s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name, s.r")(lambda d: extract.extract_symbols(_as(d, ".c", _NEXT_LINE))[0].select("id", "start_line", "end_line", "path"))
+query("x8_c_calls_next_line", _RANKED + " SELECT regexp_replace(n.path, '\\.js$', '.c') AS path, CAST(k + 2 * r AS INT) AS line, regexp_extract(text, '\\{ ([A-Za-z_0-9]+)\\(', 1) AS callee_name FROM numbered n JOIN ranked s ON s.sym_ord = n.o1 WHERE o2 = 1 AND regexp_extract(text, '\\{ ([A-Za-z_0-9]+)\\(', 1) <> ''")(lambda d: extract.extract_calls(_as(d, ".c", _NEXT_LINE))[0].select("path", "line", "callee_name"))
+_METHOD = "  static async *$1(a = f()) "
+query("x3_js_methods", f", {_CORPUS} SELECT regexp_replace(split_part(n.path, '/', -1), '\\.js$', '') || '.Box.' || s.name AS id, n.path, min(k) + 1 AS start_line, max(k) + 1 AS end_line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name")(
+    lambda d: extract.extract_symbols(_as(d, ".js", _METHOD).withColumn("content", F.concat(F.lit("class Box {\n"), "content", F.lit("\n}\n"))))[0].select("id", "path", "start_line", "end_line")
+)
+query("x10_assigned_sites", f", {_CORPUS} SELECT n.path, s.name, n.k AS line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 WHERE n.o2 = 0")(lambda d: extract.definition_sites(_as(d, ".js", "obj.$1 = async (a) =>")).select("path", "name", "line"))
+
+
 def _python(d: Data) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("sym_ord", "name")))
     body = F.transform(rows, lambda x: F.concat(F.lit("def "), x["name"], F.lit("(a):\n    return obj."), x["name"], F.lit("(print(a))\n")))
@@ -237,7 +258,9 @@ query("u1_union_symbols", f", {_CORPUS} SELECT 'js' AS lang, s.name, min(k) AS s
 
 # Streams, run to their end over tables dealt into files
 query("t1_live_events", "SELECT CAST(run_id AS STRING) AS run_id, fn, file, line FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>'")(lambda d: streams.live_events(d.trace))
-query("t2_malformed_lines", "SELECT count(*) AS n, count(*) FILTER (NOT good) AS bad FROM (SELECT true AS good FROM trace UNION ALL SELECT false FROM documents WHERE text IS NOT NULL AND text <> '')")(lambda d: streams.routed_lines(d.trace, d.documents))
+query("t2_malformed_lines", "SELECT 'event' AS kind, fn || '|' || file || '|' || line AS value FROM trace UNION ALL SELECT 'malformed', text FROM documents WHERE text IS NOT NULL AND text <> ''")(lambda d: streams.routed_lines(d.trace, d.documents))
 query("t3_running_hits", "SELECT id, count(*) AS hits FROM hit WHERE seq IN (SELECT seq FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>') GROUP BY id")(lambda d: streams.hits(d.trace, d.fnodes))
-query("t4_running_numbers", "SELECT run_id, count(*) AS n, max(number) AS last FROM (SELECT CAST(run_id AS STRING) AS run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS number FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>') GROUP BY run_id")(lambda d: streams.numbers(d.trace))
-query("t5_latest_events")(lambda d: streams.latest(d.trace))
+_CLEAN = "(SELECT CAST(run_id AS STRING) AS run_id, seq, fn, file, line FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>')"
+query("t4_running_numbers", f"SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS number FROM {_CLEAN}")(lambda d: streams.numbers(d.trace))
+query("t4_state_numbers", f"SELECT run_id, count(*) AS n, count(*) AS last FROM {_CLEAN} GROUP BY run_id")(lambda d: streams.state_numbers(d.trace))
+query("t5_latest_events", f"SELECT run_id, max(seq) AS seq, arg_max(fn, seq) AS fn, arg_max(file, seq) AS file, arg_max(line, seq) AS line FROM {_CLEAN} GROUP BY run_id")(lambda d: streams.latest(d.trace))

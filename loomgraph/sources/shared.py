@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(df: DataFrame) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    conf = df.sparkSession.conf
+    """The folder in spark.checkpoint.dir. Where that is unset a session in one local process gets a
+    temporary one; a cluster has no folder of its own that all its machines see, so there it is an error."""
+    conf, master = df.sparkSession.conf, df.sparkSession.sparkContext.master
     at = conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-loomgraph-")
         conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -1,4 +1,4 @@
-"""Source trees, recorded traces and source lines as tables; graphs and traces as files."""
+"""Source trees, recorded traces and source lines as tables; graphs as files."""
 
 from __future__ import annotations
 
@@ -11,18 +11,42 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.paths import PRUNED_DIRECTORIES, is_pruned, language, language_order
 from loomgraph.operators.trace import parse
+from loomgraph.sources.shared import cut
 
 #: Bytes of files that one row group of the scan reads.
 BATCH_BYTES = 16 << 20
 
 
+def _entries(d: str) -> list[tuple[str, bool]]:
+    """(path, is_dir) of what stands in a directory, local or in a store that pyarrow knows by its URI;
+    local links to directories are not followed."""
+    if "://" not in d:
+        with os.scandir(d) as entries:
+            return [(e.path, e.is_dir(follow_symlinks=False)) for e in entries]
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(d)
+    root = d[: len(d) - len(at.rstrip("/"))] if d.rstrip("/").endswith(at.rstrip("/")) else d.split("://")[0] + "://"
+    return [(root + f.path, f.type == fs.FileType.Directory) for f in store.get_file_info(fs.FileSelector(at))]
+
+
+def _bytes(path: str) -> bytes:
+    if "://" not in path:
+        with open(path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        return f.read()
+
+
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, is_dir, pruned) of what stands in each directory; the folder must be one that executors share."""
     for batch in batches:
         found = []
         for d in batch.column(0).to_pylist():
-            with os.scandir(d) as entries:
-                found += [(e.path, e.is_dir(follow_symlinks=False)) for e in entries if e.name not in PRUNED_DIRECTORIES or not e.is_dir(follow_symlinks=False)]
+            found += [(p, is_dir) for p, is_dir in _entries(d) if not is_dir or p.rstrip("/").rsplit("/", 1)[-1] not in PRUNED_DIRECTORIES]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())], ["path", "is_dir"])
 
 
@@ -30,8 +54,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths, texts, size = [], [], 0
         for p in batch.column(0).to_pylist():
-            with open(p, "rb") as f:
-                texts.append(f.read().decode("utf-8", "replace"))
+            texts.append(_bytes(p).decode("utf-8", "replace"))
             paths.append(p)
             size += len(texts[-1])
             if size > BATCH_BYTES:
@@ -44,11 +67,11 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(files (path, content), directories (path)) below root, relative to it; pruned directories are not
     entered, and a directory that can't be read fails the job. A job a level lists it in parallel; hidden
     and underscored names are in, which Spark's own file readers would skip."""
-    root = os.path.abspath(root)
+    root = root.rstrip("/") if "://" in root else os.path.abspath(root)
     level = spark.createDataFrame([(root,)], "path string")
     files, dirs = None, level
     while True:
-        found = level.mapInArrow(_listing, "path string, is_dir boolean").cache()
+        found = cut(level.mapInArrow(_listing, "path string, is_dir boolean"))
         files = found.where("not is_dir").select("path") if files is None else files.unionByName(found.where("not is_dir").select("path"))
         level = found.where("is_dir").select("path")
         if level.isEmpty():
@@ -83,11 +106,6 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
 
 
-def write_trace(events: DataFrame, path: str) -> None:
-    """Raw lines, a file a partition."""
-    events.select("value").write.mode("append").text(path)
-
-
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """nodes and edges as tables; edges by type, so that a walk over calls reads no other."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -105,12 +123,3 @@ def export_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), "id", "type", "name", "path", zero("line"), zero("end_line"))).alias("value"))
     e = edges.select(F.to_json(F.struct(F.lit("edge").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "type", zero("line"))).alias("value"))
     return n.unionByName(e)
-
-
-def export_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(value): {"nodes": {id: node}, "edges": [...]} as one value, for graphs that a viewer can show."""
-    zero = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
-    node = F.struct("id", "type", "name", "path", zero("line"), zero("end_line"))
-    edge = F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "type", zero("line"))
-    n = nodes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id"), node.alias("n"))))).alias("nodes"))
-    return n.join(edges.agg(F.sort_array(F.collect_list(edge)).alias("edges"))).select(F.to_json(F.struct("nodes", "edges")).alias("value"))

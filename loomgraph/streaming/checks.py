@@ -1,8 +1,9 @@
-"""Streams run to their end: a table is dealt into files, a run a file, and read back as a stream."""
+"""Streams run to their end: a trace is written as JSON lines, a folder a run, and read back as a stream."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,66 +20,92 @@ def _path(df: DataFrame) -> str:
 
 
 def _lines(trace: DataFrame) -> DataFrame:
-    return trace.select(F.to_json(F.struct("fn", "file", "line")).alias("value"), F.col("run_id").cast("string").alias("run_id"))
+    args = ["args"] if "args" in trace.columns else []
+    return trace.select(F.to_json(F.struct("fn", "file", "line", "seq", *args)).alias("value"), F.col("run_id").cast("string").alias("run_id"))
 
 
-def _stream(trace: DataFrame) -> DataFrame:
+def _stream(trace: DataFrame, files_per_batch: int = 1000) -> DataFrame:
     path = _path(trace)
-    _lines(trace).write.parquet(path)
-    spark = trace.sparkSession
-    return spark.readStream.schema("value string, run_id string").option("maxFilesPerTrigger", 1000).parquet(path)
+    _lines(trace.repartition("run_id").sortWithinPartitions("run_id", "seq")).write.partitionBy("run_id").text(path)
+    return live.read_lines(trace.sparkSession, path, files_per_batch)
 
 
-def _finished(stream: DataFrame, mode: str) -> DataFrame:
-    """The rows that a stream has written once its input is read. Complete and append results only."""
-    path, spark = _path(stream), stream.sparkSession
+def _finish(stream: DataFrame, batch: Callable) -> int:
+    """Runs the stream to its end; the number of its last batch."""
+    q = stream.writeStream.option("checkpointLocation", _path(stream)).foreachBatch(batch).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.lastProgress["batchId"] if q.lastProgress else -1
+
+
+def _appended(stream: DataFrame) -> DataFrame:
+    """The rows that an appending stream has written once its input is read."""
+    path = _path(stream)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", _path(stream)).foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+    _finish(stream, write)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+def _merged(stream: DataFrame, of: Callable[[str], Callable], schema: str) -> DataFrame:
+    """The table that a merging stream has come to."""
+    path, spark = _path(stream), stream.sparkSession
+    last = [-1]
+    write = of(path)
+
+    def noted(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        last[0] = number
+
+    _finish(stream, noted)
+    return spark.createDataFrame([], schema) if last[0] < 0 else spark.read.schema(schema).parquet(f"{path}/after={last[0]}")
 
 
 def live_events(trace: DataFrame) -> DataFrame:
-    return _finished(live.events_of(_stream(trace)).select("run_id", "fn", "file", "line"), "append")
+    return _appended(live.events_of(_stream(trace)).select("run_id", "fn", "file", "line"))
 
 
 def routed_lines(trace: DataFrame, documents: DataFrame) -> DataFrame:
-    """Counts of all lines and of those that are no events, the documents being none."""
+    """(kind, value): events as fn, file and line, and the lines that are none as they came; the documents
+    are such lines."""
     lines = _lines(trace).select("value").unionByName(documents.where("text is not null and text <> ''").select(F.col("text").alias("value")))
-    return parse(lines).agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    events = parse(lines).where("not bad").select(F.lit("event").alias("kind"), F.concat_ws("|", "fn", "file", "line").alias("value"))
+    return events.unionByName(live.malformed(lines).select(F.lit("malformed").alias("kind"), "value"))
 
 
 def hits(trace: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _finished(live.running_hits(live.events_of(_stream(trace)), live.unique_targets(nodes)), "complete")
+    return _merged(live.events_of(_stream(trace, 3)), lambda path: live.running_hits(path, nodes), "id string, hits long")
 
 
 def numbers(trace: DataFrame) -> DataFrame:
-    """(run_id, n, last): how many events each run has numbered, and the last number."""
+    """(run_id, seq, number): each run's events with their numbers."""
+    stream = live.events_of(_stream(trace, 3))
+    path = _path(trace)
+    _finish(stream, live.numbered_in_batches(path))
+    return trace.sparkSession.read.schema("run_id string, seq long, fn string, file string, line int, number long").parquet(f"{path}/rows").select("run_id", "seq", "number")
+
+
+def state_numbers(trace: DataFrame) -> DataFrame:
+    """(run_id, n, last): the same by arbitrary state: how many events each run has numbered, and the last number."""
     spark = trace.sparkSession
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ROCKSDB)
     try:
-        out = _finished(live.running_numbers(live.events_of(_stream(trace))), "append")
+        out = _appended(live.running_numbers(live.events_of(_stream(trace))))
     finally:
         spark.conf.set(name, before)
     return out.groupBy("run_id").agg(F.count("*").alias("n"), F.max("number").alias("last"))
 
 
 def latest(trace: DataFrame) -> DataFrame:
-    """Each batch's last event of each run."""
-    path = _path(trace)
-    events = live.events_of(_stream(trace)).select("run_id", "fn", "file", "line")
-    q = events.writeStream.option("checkpointLocation", _path(trace)).foreachBatch(live.latest_events(path)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return trace.sparkSession.read.parquet(path).select("run_id", "fn", "file", "line")
+    """Each run's last event."""
+    return _merged(live.events_of(_stream(trace, 3)), live.latest_events, "run_id string, seq long, fn string, file string, line int")
 
 
 def recorded(trace: DataFrame) -> DataFrame:
-    """The lines of a trace after they went through the recording sink."""
+    """The lines of a trace after they went through the recording sink, read back as a recorded trace."""
     path = _path(trace)
     live.record(_stream(trace), path, _path(trace)).awaitTermination()
-    return parse(trace.sparkSession.read.text(path)).select("fn", "file", "line")
+    return parse(trace.sparkSession.read.text(path)).select("seq", "fn", "file", "line")

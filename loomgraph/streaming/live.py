@@ -6,18 +6,26 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from loomgraph.operators.resolve import resolve_events
+from loomgraph.operators.resolve import event_functions
 from loomgraph.operators.trace import parse, without_noise
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, run_id): lines of the files that appear in a folder, a run a file."""
-    d = spark.readStream.format("text").load(path)
-    return d.select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("run_id"))
+def read_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """(value, run_id): lines of the files that appear in a folder or below it. A file's run is named by a
+    directory run_id=... above it, or else by the file itself."""
+    d = spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+    file = F.input_file_name()
+    run = F.regexp_extract(file, "/run_id=([^/]*)/", 1)
+    return d.select("value", F.when(run != "", run).otherwise(F.element_at(F.split(file, "/"), -1)).alias("run_id"))
+
+
+def lines_of_messages(messages: DataFrame) -> DataFrame:
+    """(value, run_id) of a message stream (key, value as binary, as from Kafka); the key names the run."""
+    return messages.select(F.col("value").cast("string").alias("value"), F.col("key").cast("string").alias("run_id"))
 
 
 def events_of(lines: DataFrame, root: str | None = None) -> DataFrame:
@@ -30,24 +38,33 @@ def malformed(lines: DataFrame) -> DataFrame:
     return parse(lines).where("bad").select(*lines.columns)
 
 
-def running_hits(events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, hits): a stream-static join and a running count; state is a row a function. As in a batch an
-    event counts for the smallest id that it fits: names and paths that fit several are settled in
-    `nodes` before, by `unique_targets`."""
-    return resolve_events(events, nodes).groupBy("id").agg(F.count("*").alias("hits"))
+def merging(path: str, of_batch: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: what of_batch makes of a batch is merged with the table so far, and written
+    under the batch's number, so that a batch that runs again starts from the same table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = of_batch(batch)
+        if number:
+            new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/after={number - 1}"))
+        merge(new).write.mode("overwrite").parquet(f"{path}/after={number}")
+
+    return write
 
 
-def unique_targets(nodes: DataFrame) -> DataFrame:
-    """nodes of which no two have one name and path: the smallest id stays."""
-    row = F.struct("id", "line", "end_line")
-    return nodes.groupBy("name", "path").agg(F.min(row).alias("n")).select("n.id", "name", "path", "n.line", "n.end_line")
+def running_hits(path: str, nodes: DataFrame) -> Callable[[DataFrame, int], None]:
+    """(id, hits) so far, a row a function: each batch goes through the resolution of batches, where an
+    event counts once, for the smallest id that it fits."""
+    # the number stands in for seq, which names an event within its batch only
+    count = lambda batch: event_functions(batch.withColumn("seq", F.lit(0)), nodes).groupBy("id").agg(F.count("*").alias("hits"))
+    return merging(path, count, lambda d: d.groupBy("id").agg(F.sum("hits").alias("hits")))
 
 
 def running_numbers(events: DataFrame) -> DataFrame:
-    """(run_id, fn, file, line, number): state is one number a run. Needs the RocksDB state store."""
+    """(run_id, seq, fn, file, line, number): state is one number a run. Events of one batch are numbered by
+    seq where they carry it, else as they come. Needs the RocksDB state store."""
 
     class Counter(StatefulProcessor):
-        """Numbers a run's events as they come."""
+        """Numbers a run's events batch by batch; Spark hands over the rows of a run in the order of seq."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.count = handle.getValueState("count", "n long")
@@ -57,28 +74,41 @@ def running_numbers(events: DataFrame) -> DataFrame:
             for part in rows:
                 out = part.assign(number=range(n + 1, n + 1 + len(part)))
                 n += len(part)
-                yield out[["run_id", "fn", "file", "line", "number"]]
+                yield out[["run_id", "seq", "fn", "file", "line", "number"]]
             self.count.update((n,))
 
         def close(self) -> None:
             pass
 
-    d = events.select("run_id", "fn", "file", "line")
-    return d.groupBy("run_id").transformWithStateInPandas(Counter(), "run_id string, fn string, file string, line int, number long", "Append", "None")
+    d = events.select("run_id", "seq", "fn", "file", "line")
+    return d.groupBy("run_id").transformWithStateInPandas(Counter(), "run_id string, seq long, fn string, file string, line int, number long", "Append", "None")
 
 
-def latest_events(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: for each batch the last event of each run, written under the batch's
-    number, so that a batch that runs again replaces its own."""
+def numbered_in_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for events with seq: (run_id, seq, fn, file, line, number), each batch's events
+    in the order of seq behind those of the batches before. What is kept is one count a run."""
 
     def write(batch: DataFrame, number: int) -> None:
-        d = batch.withColumn("number", F.monotonically_increasing_id())
-        last = d.groupBy("run_id").agg(F.max_by(F.struct("fn", "file", "line"), "number").alias("e")).select("run_id", "e.*")
-        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        run = Window.partitionBy("run_id").orderBy("seq")
+        d = batch.select("run_id", "seq", "fn", "file", "line", F.row_number().over(run).cast("long").alias("k"))
+        sizes = batch.groupBy("run_id").agg(F.count("*").alias("n"))
+        if number:
+            before = spark.read.schema("run_id string, n long").parquet(f"{path}/counts={number - 1}")
+            d = d.join(before, "run_id", "left").withColumn("k", F.col("k") + F.coalesce("n", F.lit(0))).drop("n")
+            sizes = sizes.unionByName(before).groupBy("run_id").agg(F.sum("n").alias("n"))
+        d.withColumnRenamed("k", "number").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        sizes.write.mode("overwrite").parquet(f"{path}/counts={number}")
 
     return write
 
 
+def latest_events(path: str) -> Callable[[DataFrame, int], None]:
+    """(run_id, seq, fn, file, line) so far: each run's last event by seq."""
+    last = lambda d: d.groupBy("run_id").agg(F.max_by(F.struct("seq", "fn", "file", "line"), "seq").alias("e")).select("run_id", "e.*")
+    return merging(path, lambda batch: last(batch.select("run_id", "seq", "fn", "file", "line")), last)
+
+
 def record(lines: DataFrame, path: str, checkpoint: str) -> Any:
     """A started query that writes the raw lines to files, each once."""
     return lines.select("value").writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

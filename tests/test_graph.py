@@ -130,3 +130,24 @@ def test_slices_without_an_end_go_on_for_twenty_lines(spark):
 @pytest.mark.parametrize("paths, want", [([], "Unknown"), (["a.txt"], "Unknown"), (["b.go", "a.py", "c.go"], "Go, Python")])
 def test_language_list(spark, paths, want):
     assert graph.language_list(spark.createDataFrame([(p,) for p in paths], "path string")).first()[0] == want
+
+
+def test_ancestors_take_the_first_edge_and_end_on_cycles(spark):
+    d = spark.createDataFrame([("z", "f", 1), ("a", "f", 2), ("r", "z", 3), ("q", "r", 4), ("r", "q", 5)], "src string, dst string, edge_ord int")
+    got = sorted(tuple(r) for r in traverse.ancestors(d, spark.createDataFrame([("f",)], "id string")).collect())
+    assert got == [("f", "q", 3), ("f", "r", 2), ("f", "z", 1)]
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(3)], "src string, dst string")
+    assert traverse.ancestors(chain, spark.createDataFrame([("n3",)], "id string")).count() == 3
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("fg"), st.sampled_from(["x.f", "y.f", "x.g", "y.z.g"]), st.sampled_from("de")), min_size=1, max_size=8), st.lists(st.tuples(st.sampled_from("fgh"), st.sampled_from(["", "x", "y", "nope"]), st.sampled_from("dek")), min_size=1, max_size=8))
+def test_callees_match_a_plain_search(spark, symbols, facts):
+    s = spark.createDataFrame([(k, *x) for k, x in enumerate(symbols)], "sym_ord int, name string, id string, dir string")
+    f = spark.createDataFrame([(k, *x) for k, x in enumerate(facts)], "fact_ord int, callee_name string, callee_qualifier string, dir string")
+    want = {}
+    for k, (name, q, d) in enumerate(facts):
+        fits = [(x[2] != d, o, x[1]) for o, x in enumerate(symbols) if x[0] == name and q in x[1]]
+        if fits:
+            want[k] = min(fits)[2]
+    assert {r.fact_ord: r.callee for r in resolve.resolve_callees(f, s).collect()} == want

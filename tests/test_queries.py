@@ -41,3 +41,15 @@ def test_slices_reach_all_documents(spark, duck):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_extraction_errors_match_a_plain_scan(spark):
+    import re
+
+    from loomgraph.extract.line_rules import TOKENS
+
+    token = re.compile(TOKENS["python"].replace(r"\z", r"\Z"))
+    open_ = {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}
+    want = {f"{r.doc_id}.py" for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is None or sum(open_.get(c, 0) for c in token.sub("", r.text))}
+    got = [r.path for r in entry.queries()["x9_extraction_errors"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and want

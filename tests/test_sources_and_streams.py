@@ -11,9 +11,10 @@ def test_scan_sees_hidden_names_and_prunes(spark, tmp_path):
     for p in ("a/__init__.py", "a/.hidden/x.py", "node_modules/b/y.js", "a/env/z.py", "envy/_w.go"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(p)
-    files, dirs = trees.scan(spark, str(tmp_path))
-    assert {r.path: r.content for r in files.collect()} == {p: p for p in ("a/__init__.py", "a/.hidden/x.py", "envy/_w.go")}
-    assert {r.path for r in dirs.collect()} == {".", "a", "a/.hidden", "envy"}
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        files, dirs = trees.scan(spark, root)
+        assert {r.path: r.content for r in files.collect()} == {p: p for p in ("a/__init__.py", "a/.hidden/x.py", "envy/_w.go")}
+        assert {r.path for r in dirs.collect()} == {".", "a", "a/.hidden", "envy"}
 
 
 def test_source_lines(spark):
@@ -34,10 +35,10 @@ def test_graph_files_and_export(spark, tmp_path):
     trees.write_graph(nodes, edges, str(tmp_path / "g"))
     n, e = trees.read_graph(spark, str(tmp_path / "g"))
     assert n.count() == 2 and e.where("type = 'calls'").count() == 1
-    doc = json.loads(trees.export_document(nodes, edges).first().value)
-    assert "line" not in doc["nodes"]["."] and doc["nodes"]["m.f"]["end_line"] == 2
-    assert [x.get("line") for x in doc["edges"] if x["type"] == "contains"] == [None]
-    assert trees.export_lines(nodes, edges).count() == 4
+    got = [json.loads(r.value) for r in trees.export_lines(nodes, edges).collect()]
+    assert {"kind": "node", "id": "m.f", "type": "function", "name": "f", "path": "m.py", "line": 1, "end_line": 2} in got
+    assert {"kind": "node", "id": ".", "type": "directory", "name": ".", "path": "."} in got
+    assert [x.get("line") for x in got if x["kind"] == "edge"] == [1, None] and len(got) == 4
 
 
 def events(spark, n=60):
@@ -51,11 +52,37 @@ def test_stream_equals_batch(spark):
     clean = trace.without_noise(e)
     batch = graph.hit_counts(resolve.event_functions(clean, nodes))
     assert sorted(map(tuple, checks.hits(e, nodes).collect())) == sorted(map(tuple, batch.collect()))
-    numbers = {r.run_id: (r.n, r["last"]) for r in checks.numbers(e).collect()}
+    want = {(str(r.run_id), r.seq, r.number) for r in trace.numbered(clean).collect()}
+    assert {tuple(r) for r in checks.numbers(e).collect()} == want
     sizes = {str(r.run_id): r.n for r in trace.run_sizes(clean).collect()}
-    assert numbers == {k: (n, n) for k, n in sizes.items()}
-    assert checks.recorded(e).count() == e.count()
-    assert {r.run_id for r in checks.latest(e).collect()} == set(sizes)
+    assert {r.run_id: (r.n, r["last"]) for r in checks.state_numbers(e).collect()} == {k: (n, n) for k, n in sizes.items()}
+    assert sorted(map(tuple, checks.recorded(e).collect())) == sorted(map(tuple, e.select("seq", "fn", "file", "line").collect()))
+    assert {(r.run_id, r.seq) for r in checks.latest(e).collect()} == {(str(r.run_id), r.seq) for r in trace.playhead(clean).collect()}
+
+
+def test_an_event_counts_once_in_a_stream(spark):
+    nodes = spark.createDataFrame([("b.f", "f", "m.py", 1, 2), ("a.f", "f", "a/m.py", 1, 2)], "id string, name string, path string, line int, end_line int")
+    e = spark.createDataFrame([(k, k % 5, "f", "/x/a/m.py" if k % 2 else "/x/m.py", 1) for k in range(40)], "seq long, run_id long, fn string, file string, line int")
+    assert sorted(map(tuple, checks.hits(e, nodes).collect())) == [("a.f", 20), ("b.f", 20)]
+
+
+def test_batches_that_run_again_change_nothing(spark, tmp_path):
+    e = events(spark).withColumn("run_id", F.col("run_id").cast("string"))
+    write = live.latest_events(f"file://{tmp_path}/t")
+    for number, part in enumerate((e.where("seq < 20"), e.where("seq >= 40"), e.where("seq between 20 and 39"))):
+        write(part, number)
+        write(part, number)
+    assert {(r.run_id, r.seq) for r in spark.read.parquet(f"file://{tmp_path}/t/after=2").collect()} == {("0", 57), ("1", 58), ("2", 59)}
+
+
+def test_lines_name_their_runs(spark, tmp_path):
+    (tmp_path / "run_id=7").mkdir()
+    (tmp_path / "run_id=7" / "x.txt").write_text('{"fn":"f","file":"a","seq":4}\n{bad\n')
+    (tmp_path / "solo.jsonl").write_text('{"fn":"g"}\n')
+    got = checks._appended(live.read_lines(spark, f"file://{tmp_path}"))
+    assert sorted((r.run_id, r.value[:6]) for r in got.collect()) == [("7", '{"fn":'), ("7", "{bad"), ("solo.jsonl", '{"fn":')]
+    d = spark.createDataFrame([(b"r1", b'{"fn":"f"}')], "key binary, value binary")
+    assert tuple(live.events_of(live.lines_of_messages(d)).select("run_id", "fn", "seq").first()) == ("r1", "f", None)
 
 
 def test_malformed_lines_come_through_as_they_were(spark):
