@@ -252,7 +252,15 @@ def _python(d: Data) -> DataFrame:
 
 query("x1_python_definitions", "SELECT path, name, regexp_replace(split_part(path, '/', -1), '\\.py$', '') || '.' || name AS id, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 2 AS INT) AS start_line FROM symbols")(lambda d: extract.extract_symbols(_python(d))[0].select("path", "name", "id", "start_line"))
 query("x2_python_calls", "SELECT path, line, unnest([name, 'print']) AS callee_name, unnest(['obj', '']) AS callee_qualifier FROM (SELECT path, name, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 1 AS INT) AS line FROM symbols)")(lambda d: extract.extract_calls(_python(d))[0].select("path", "line", "callee_name", "callee_qualifier"))
-query("x9_extraction_errors")(lambda d: extract.extract_symbols(d.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content")))[1])
+
+
+@query("x9_extraction_errors")
+def _extraction_errors(d: Data) -> DataFrame:
+    """The documents as Python files, of which every second one opens a bracket that it does not close."""
+    opened = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("x = ("), F.col("text"))).otherwise(F.col("text"))
+    return extract.extract_symbols(d.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), opened.alias("content")))[1]
+
+
 query("x10_definition_sites", f", {_CORPUS} SELECT n.path, s.name, n.k AS line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 WHERE n.o2 = 0")(lambda d: extract.definition_sites(d.corpus).select("path", "name", "line"))
 query("u1_union_symbols", f", {_CORPUS} SELECT 'js' AS lang, s.name, min(k) AS start_line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name UNION ALL SELECT 'python', name, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 2 AS INT) FROM symbols")(lambda d: extract.extract_symbols(d.corpus.unionByName(_python(d)))[0].select("lang", "name", "start_line"))
 
