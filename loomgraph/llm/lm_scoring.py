@@ -1,17 +1,23 @@
-"""Operator 10, LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Operator 10, LM scoring: an interpolated modified Kneser-Ney n-gram model of order 2 or 3, counted in Spark.
 
-Words are 64-bit hashes. Three counting jobs, each a pass or a shuffle of blocks (arrays of many
-counts in one row, so that a bigram costs about 7 bytes on the wire):
+Words are 64-bit hashes, and numbers once the vocabulary is known. Four counting steps, each a pass or a
+shuffle of blocks (packed arrays of many counts in one row, about 6 bytes a trigram on the wire):
 
-1. words: counts by hash range;
-2. bigrams: dealt by the left word's range, the few left words that make up over 1/4096 of all
-   tokens also by the right word; each bucket becomes one sorted array and its left words' totals;
-3. continuations: how many left words each right word has seen; with the totals they become one
-   vocabulary file a bucket.
+1. words: counts by hash range; a word's number is its place in the order of hashes;
+2. n-grams (u, v, w), or (v, w) at order 2, dealt by the range of v, so that the counts of u v w, the
+   totals of its context u v and the left words of v w all meet in one bucket; the few words v that make
+   up over 1/4096 of all tokens are dealt by u too;
+3. of those few, the left words of v w are added up once more;
+4. left words of single words; with all totals they become one vocabulary file a bucket.
 
-The model is those sorted arrays in the shared folder. Scoring tasks memory-map them; a batch looks
-its distinct words and bigrams up in sorted order, so that reads walk the files forward. What the
-driver holds are sums and the hot words (4096 at most).
+Every n-gram is padded with order - 1 begin marks. Counts of the highest order are raw, those below are
+numbers of different left words, and the lowest level backs off to 1 / (V + 1). The number of buckets
+follows the bytes of text, BUCKET_BYTES each, so that what one task holds does not grow with the input.
+
+The model is sorted arrays in the shared folder. Scoring tasks memory-map them; a batch looks its distinct
+n-grams up in sorted order, so that reads walk the files forward. What the driver holds are sums, a number
+a bucket and the hot words (4097 at most). An n-gram is known by its bucket and 40 bits of its hash: one
+that was never seen is taken for a seen one in about 4 of a million lookups (a bucket's entries / 2**40).
 
 Defined results: a null or empty text is the end token alone; a null id counts as training; repeated
 rows count and score each; with no training text every token has the uniform probability 1 / (V + 1);
@@ -29,17 +35,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textcore
-from loomgraph.llm.common import new_path, table
+from loomgraph.llm.common import new_path, scope, stored, table
 from loomgraph.llm.shared_files import mapped, write_array
 
+ORDER = 3
 BEGIN, END = np.uint64(0x5BD1E995_00000001), np.uint64(0x5BD1E995_00000003)
-#: A left word with over 1 / HOT of all tokens is dealt by its right words too.
+#: A word with over 1 / HOT of all tokens has its n-grams dealt by their other word too.
 HOT = 4096
 SPREAD = 64
-#: Bigrams that a task gathers before it counts and sends them.
-FLUSH = 3_000_000
-SHORT = np.uint64(16)  # right words travel as the upper 48 bits of their hash
-LOW = np.uint64(0xFF)  # a bigram's count, up to 254, lies in the low 8 bits of its sorted key
+#: Bytes of text a bucket, and tokens that a task gathers before it counts and sends them; three words
+#: of so many tokens make one 64-bit number.
+BUCKET_BYTES = 24 << 20
+FLUSH = 2_400_000
+#: Tokens that are scored together.
+SCORED = 1_000_000
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 @dataclass
@@ -47,35 +57,41 @@ class Model:
     """Where the arrays lie, and the sums that every score needs."""
 
     path: str
+    order: int
     buckets: int
-    tokens: int
-    words: int
-    hot: np.ndarray
-    discounts: list[float] = field(default_factory=list)
-    bigram_types: int = 0
-    continuation: list[float] = field(default_factory=list)
-    continuation_left: float = 1.0
-    begin: np.ndarray = field(default_factory=lambda: np.zeros(4, np.int64))
+    tokens: int = 0
+    words: int = 0
+    #: Number of the first word of each bucket.
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    #: Discounts for counts 0, 1, 2, 3 or more, by order from 1.
+    discounts: list[np.ndarray] = field(default_factory=list)
+    pair_types: int = 0
+    left_over: float = 1.0
+    #: Number of the begin mark.
+    begin: int = -1
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def tokens_of(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, first token of each row and one more): each row's words and one end."""
+def tokens_of(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w, first token of each row and one more): each row's words and one end as w, with the two before."""
     n = len(rows) - 1
     at = rows + np.arange(n + 1)
-    right = np.empty(len(h) + n, np.uint64)
-    ends = at[1:] - 1
-    is_end = np.zeros(len(right), bool)
-    is_end[ends] = True
-    right[is_end] = END
-    right[~is_end] = h
-    left = np.empty_like(right)
-    left[1:] = right[:-1]
-    left[at[:-1]] = BEGIN
-    return left, right, at
+    w = np.empty(len(h) + n, np.uint64)
+    is_end = np.zeros(len(w), bool)
+    is_end[at[1:] - 1] = True
+    w[is_end] = END
+    w[~is_end] = h
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[at[:-1]] = BEGIN
+    u = np.empty_like(w)
+    u[1:] = v[:-1]
+    u[at[:-1]] = BEGIN
+    return u, v, w, at
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -83,78 +99,147 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_bucket(left: np.ndarray, right: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    b = bucket_of(left, buckets)
-    if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, left), len(hot) - 1)] == left
-        b[is_hot] = (b[is_hot] + (textcore.mix(right[is_hot] >> SHORT) % np.uint64(SPREAD)).astype(np.int64)) % buckets
+def is_hot(model: Model, v: np.ndarray) -> np.ndarray:
+    return model.hot[np.minimum(np.searchsorted(model.hot, v), len(model.hot) - 1)] == v if len(model.hot) else np.zeros(len(v), bool)
+
+
+def dealt(model: Model, v: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Bucket of an n-gram by its word v, of a hot one by the other word's hash too."""
+    b = bucket_of(v, model.buckets)
+    hot = is_hot(model, v)
+    b[hot] = (b[hot] + (textcore.mix(other[hot]) % np.uint64(SPREAD)).astype(np.int64)) % model.buckets
     return b
 
 
-def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return textcore.mix(left * np.uint64(0x9E3779B97F4A7C15) + (right >> SHORT)) & ~LOW
+def key_of(*numbers: np.ndarray) -> np.ndarray:
+    """40 bits for an n-gram of word numbers, as the upper bits."""
+    h = np.zeros(len(numbers[0]), np.uint64)
+    for x, m in zip(numbers, (_A, _B, _C), strict=False):
+        h = textcore.mix(h * m + x.astype(np.uint64) + np.uint64(len(numbers)))
+    return h & ~np.uint64((1 << 24) - 1)
+
 
+def small(values: np.ndarray) -> np.ndarray:
+    """In the narrowest unsigned type that holds them."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
-def _counted(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    v, c = np.concatenate(values), np.concatenate(counts)
-    order = np.argsort(v, kind="stable")
-    v, c = v[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-    return v[first], np.add.reduceat(c, first) if len(first) else c
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, compressed: narrow and repeating ones cost little."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Of rows sorted by bucket."""
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel().astype(np.int64)
+
+
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, its rows) of rows sorted by bucket."""
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(bucket[a]), [c[a:b] for c in columns]
+        yield int(bucket[a]), slice(int(a), int(b))
+
 
+def grouped(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of numbers in order, with their counts added up."""
+    if not len(counts):
+        return columns, counts
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(counts), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first)
 
-def _row(bucket: int, **arrays: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays.values()]], ["bucket", *arrays])
+
+def profile(groups: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(total, ones, twos, more) of the counts of each group; rows are sorted by group, numbered from 0."""
+    n = int(groups[-1]) + 1 if len(groups) else 0
+    return np.stack([np.bincount(groups, x, n).astype(np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
+
+
+def of_counts(counts: np.ndarray) -> np.ndarray:
+    """How many things were seen once to four times."""
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64)
+
+
+def discounts(of: np.ndarray) -> list[float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more from the numbers of things seen
+    1 to 4 times; the usual fixed ones where those numbers give none."""
+    n1, n2, n3, n4 = (float(x) for x in of)
+    if min(n1, n2, n3, n4) <= 0:
+        return [0.5, 1.0, 1.5]
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def _pairs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens of many chunks together, about FLUSH at once."""
-    some: list[tuple[np.ndarray, np.ndarray]] = []
+def _tokens_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """u, v, w of many chunks together, FLUSH tokens at most at once."""
+    some: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
         for _, data, offsets in textcore.chunks(batch.column(0)):
-            left, right, _ = tokens_of(*textcore.words(data, offsets))
-            some.append((left, right))
-            size += len(right)
-            if size >= FLUSH:
-                yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
-                some, size = [], 0
+            found = tokens_of(*textcore.words(data, offsets))[:3]
+            for k in range(0, len(found[0]), FLUSH):
+                part = tuple(x[k : k + FLUSH] for x in found)
+                if size + len(part[0]) > FLUSH:
+                    yield [np.concatenate(x) for x in zip(*some, strict=True)]
+                    some, size = [], 0
+                some.append(part)
+                size += len(part[0])
     if some:
-        yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
-
+        yield [np.concatenate(x) for x in zip(*some, strict=True)]
 
-def _word_blocks(buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, right in _pairs_in(batches):
-            h, c = np.unique(right, return_counts=True)
-            for b, (bh, bc) in _by_bucket(bucket_of(h, buckets), h, c.astype(np.uint32)):
-                yield _row(b, h=bh, c=bc)
 
-    return run
+def _row(bucket: int, n: int, **arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([n], pa.int64()), *[pa.array([packed(a)], pa.binary()) for a in arrays.values()]], ["bucket", "n", *arrays])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[list[bytes]]]:
-    out: dict[int, list[list[bytes]]] = {}
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(bucket, its columns) from rows (bucket, n, packed column, ...) in the order of buckets."""
+    bucket, held = None, []
     for batch in batches:
-        for b, *blobs in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)], strict=True):
-            out.setdefault(b, []).append(blobs)
-    return out
+        for b, n, *blobs in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)], strict=True):
+            if bucket is not None and b != bucket:
+                yield bucket, [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            bucket = b
+            held.append([unpacked(x, n) for x in blobs])
+    if bucket is not None:
+        yield bucket, [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _by_bucket(d: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket whole in one task, which takes its buckets one after another."""
+    return d.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+
+
+# 1. words
+
+
+def _word_blocks(model: Model) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, w in _tokens_in(batches):
+            h, c = np.unique(np.append(w, BEGIN), return_counts=True)
+            c[np.searchsorted(h, BEGIN)] -= 1  # the begin mark has a number and no count
+            for b, at in _runs(bucket_of(h, model.buckets)):
+                yield _row(b, at.stop - at.start, h=h[at], c=c[at])
+
+    return run
 
 
-def _write_words(path: str) -> Callable:
+def _write_words(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs in _gathered(batches).items():
-            h, c = _counted([np.frombuffer(x[0], np.uint64) for x in blobs], [np.frombuffer(x[1], np.uint32).astype(np.int64) for x in blobs])
-            write_array(f"{path}/word-{b}.npy", h)
-            write_array(f"{path}/count-{b}.npy", c)
-            yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["types", "tokens"])
+        for b, (h, c) in _gathered(batches):
+            (h,), c = grouped([h.view(np.uint64)], c)
+            write_array(f"{model.path}/word-{b}.npy", h)
+            write_array(f"{model.path}/count-{b}.npy", small(c))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (b, len(h), int(c.sum()))], ["bucket", "types", "tokens"])
 
     return run
 
@@ -165,91 +250,200 @@ def _hot_words(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                c = mapped(f"{model.path}/count-{b}.npy")
-                h = np.asarray(mapped(f"{model.path}/word-{b}.npy")[np.flatnonzero(c * HOT > model.tokens)])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+                c = _maybe(f"{model.path}/count-{b}.npy")
+                if c is not None:
+                    h = np.asarray(mapped(f"{model.path}/word-{b}.npy")[np.flatnonzero(c.astype(np.int64) * HOT > model.tokens)])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
     return run
 
 
-def _pair_blocks(model: Model) -> Callable:
+def numbers_of(model: Model, h: np.ndarray) -> np.ndarray:
+    """Numbers of sorted hashes; -1 for unknown words."""
+    out = np.full(len(h), -1, np.int64)
+    for b, at in _runs(bucket_of(h, model.buckets)):
+        words = _maybe(f"{model.path}/word-{b}.npy")
+        if words is not None and len(words):
+            k = np.minimum(np.searchsorted(words, h[at]), len(words) - 1)
+            out[at] = np.where(words[k] == h[at], model.first[b] + k, -1)
+    return out
+
+
+# 2. n-grams
+
+
+def _gram_blocks(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in _pairs_in(batches):
-            key = pair_key(left, right)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.diff(np.append(first, len(key)))
-            left, right = left[order[first]], right[order[first]]
-            bucket = pair_bucket(left, right, model.hot, model.buckets)
-            order = np.lexsort((left, bucket))
-            bucket, left, right, count = bucket[order], left[order], right[order], count[order]
-            for b, (bl, br, bc) in _by_bucket(bucket, left, right, count):
-                starts = np.flatnonzero(np.concatenate([[True], bl[1:] != bl[:-1]]))
-                short = (br >> SHORT).view(np.uint16).reshape(-1, 4)[:, :3]  # little-endian: the low 48 bits
-                yield _row(b, left=bl[starts], run=np.diff(np.append(starts, len(bl))).astype(np.uint32), right=np.ascontiguousarray(short), count=bc.astype(np.uint32))
+        for u, v, w in _tokens_in(batches):
+            words = np.unique(np.append(w, BEGIN))
+            n = np.uint64(len(words))
+            ranks = [np.searchsorted(words, x).astype(np.uint64) for x in ((v, u, w) if model.order == 3 else (v, w))]
+            code = ranks[0]
+            for r in ranks[1:]:
+                code = code * n + r
+            code, count = np.unique(code, return_counts=True)
+            found = []
+            for _ in ranks[1:]:
+                found.append((code % n).astype(np.int64))
+                code = code // n
+            found.append(code.astype(np.int64))
+            own = found[::-1]  # v, then u and w, or w
+            bucket = dealt(model, words[own[0]], words[own[1]])
+            order = np.argsort(bucket, kind="stable")
+            number = numbers_of(model, words)
+            columns = [number[x[order]] for x in own]
+            count, bucket = count[order], bucket[order]
+            for b, at in _runs(bucket):
+                steps = np.diff(columns[0][at], prepend=0)  # v in order: small steps
+                others = dict(zip(("u", "w"), columns[1:], strict=False)) if model.order == 3 else {"w": columns[1]}
+                yield _row(b, at.stop - at.start, v=steps, **{k: x[at] for k, x in others.items()}, c=count[at])
 
     return run
 
 
-def _write_pairs(model: Model) -> Callable:
-    """A bucket's sorted bigrams and its left words' totals; yields what the other steps gather."""
+def _gathered_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """As _gathered, with v summed up again in each row."""
+
+    def summed() -> Iterator[tuple[int, list[np.ndarray]]]:
+        for batch in batches:
+            for b, n, v, *blobs in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)], strict=True):
+                yield b, [np.cumsum(unpacked(v, n)), *(unpacked(x, n) for x in blobs)]
+
+    bucket, held = None, []
+    for b, columns in summed():
+        if bucket is not None and b != bucket:
+            yield bucket, [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        bucket = b
+        held.append(columns)
+    if bucket is not None:
+        yield bucket, [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _write_table(path: str, name: str, b: int, key: np.ndarray, count: np.ndarray) -> None:
+    """Sorted 40-bit keys with a count each; counts from 255 on lie beside."""
+    big = count >= 255
+    order = np.argsort(key[big])
+    write_array(f"{path}/{name}-bigkey-{b}.npy", key[big][order])
+    write_array(f"{path}/{name}-bigcount-{b}.npy", count[big][order])
+    whole = np.sort(key | np.minimum(count, 255).astype(np.uint64))
+    write_array(f"{path}/{name}-high-{b}.npy", (whole >> np.uint64(32)).astype(np.uint32))
+    write_array(f"{path}/{name}-low-{b}.npy", ((whole >> np.uint64(24)) & np.uint64(255)).astype(np.uint8))
+    write_array(f"{path}/{name}-count-{b}.npy", (whole & np.uint64(255)).astype(np.uint8))
+
+
+def _write_profiles(path: str, name: str, b: int, key: np.ndarray, rows: np.ndarray) -> None:
+    """Sorted 40-bit keys with the place of their row among the distinct ones."""
+    order = np.argsort(key)
+    distinct, code = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+    key, code = key[order], code.ravel()[order]
+    write_array(f"{path}/{name}-high-{b}.npy", (key >> np.uint64(32)).astype(np.uint32))
+    write_array(f"{path}/{name}-low-{b}.npy", ((key >> np.uint64(24)) & np.uint64(255)).astype(np.uint8))
+    write_array(f"{path}/{name}-code-{b}.npy", small(code))
+    write_array(f"{path}/{name}-rows-{b}.npy", distinct.astype(np.int64))
+
+
+_STATS = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_STATS_TYPE = "kind string, bucket int, n long, a binary, b binary, c binary"
+
+
+def _stat(kind: str, bucket: int, *columns: np.ndarray) -> dict:
+    blobs = [packed(c) for c in columns]
+    return {"kind": kind, "bucket": bucket, "n": len(columns[0]), **dict(zip("abc", blobs, strict=False))}
+
+
+def _bucket_of_number(model: Model, numbers: np.ndarray) -> np.ndarray:
+    return np.searchsorted(model.first, numbers, "right") - 1
+
+
+def _spread(model: Model, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Bucket of pairs of numbers of which v is hot."""
+    return (_bucket_of_number(model, v) + (textcore.mix(w.astype(np.uint64)) % np.uint64(SPREAD)).astype(np.int64)) % model.buckets
+
+
+def _pairs(model: Model, b: int, v: np.ndarray, w: np.ndarray, count: np.ndarray, hot: np.ndarray, name: str) -> Iterator[dict]:
+    """Writes a bucket's pairs, distinct and sorted by v, and yields what the vocabulary needs of them."""
+    _write_table(model.path, name, b, key_of(v, w), count)
+    yield _stat("of2", 0, of_counts(count))
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    left, rows = v[new], profile(np.cumsum(new) - 1, count)
+    if name == "pair":  # every pair of these left words is here
+        write_array(f"{model.path}/left-{b}.npy", left[~hot[new]])
+        write_array(f"{model.path}/totals-{b}.npy", rows[~hot[new]])
+    if hot[new].any():
+        yield _stat("hot", 0, left[hot[new]], rows[hot[new]].ravel())
+    seen, n = np.unique(w, return_counts=True)
+    for to, at in _runs(_bucket_of_number(model, seen)):
+        yield _stat("left words", to, seen[at], n[at])
+
+
+def _write_grams(model: Model) -> Callable:
+    """A bucket's n-grams as tables; yields what the other steps gather."""
+    hot_numbers = np.sort(numbers_of(model, model.hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs in _gathered(batches).items():
-            left = np.concatenate([np.repeat(np.frombuffer(x[0], np.uint64), np.frombuffer(x[1], np.uint32)) for x in blobs])
-            raw = np.concatenate([np.frombuffer(x[2], np.uint16).reshape(-1, 3) for x in blobs])
-            count = np.concatenate([np.frombuffer(x[3], np.uint32) for x in blobs]).astype(np.int64)
-            right = np.zeros((len(raw), 4), np.uint16)
-            right[:, :3] = raw
-            right = (right.view(np.uint64).ravel()) << SHORT
-            key = pair_key(left, right)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.add.reduceat(count[order], first)
-            key, left, right = key[first], left[order[first]], right[order[first]]
-            write_array(f"{model.path}/pair-{b}.npy", key | np.minimum(count, 255).astype(np.uint64))
-            big = count >= 255
-            write_array(f"{model.path}/bigkey-{b}.npy", key[big])
-            write_array(f"{model.path}/bigcount-{b}.npy", count[big])
-            of_counts = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-            # totals of left words; a hot word has a part here and parts in other buckets
-            words, inverse = np.unique(left, return_inverse=True)
-            totals = np.stack([np.bincount(inverse, w, len(words)) for w in (count, count == 1, count == 2, count >= 3)], 1).astype(np.int64)
-            hot = np.isin(words, model.hot)
-            write_array(f"{model.path}/left-{b}.npy", words[~hot])
-            write_array(f"{model.path}/totals-{b}.npy", totals[~hot])
-            seen, n = np.unique(right >> SHORT, return_counts=True)
-            parts = list(_by_bucket(bucket_of(seen << SHORT, model.buckets), seen, n.astype(np.uint32)))
-            yield pa.RecordBatch.from_pylist([{"bucket": -1, "h": words[hot].tobytes(), "c": totals[hot].tobytes(), "of": of_counts.astype(np.int64).tobytes(), "n": len(key)}, *[{"bucket": k, "h": h.tobytes(), "c": c.tobytes(), "of": None, "n": 0} for k, (h, c) in parts]], _STATS)
+        for b, columns in _gathered_grams(batches):
+            *words, count = columns
+            words, count = grouped(words, count)
+            out: list[dict] = []
+            v = words[0]
+            hot = np.isin(v, hot_numbers)
+            if model.order == 3:
+                u, w = words[1:]
+                _write_table(model.path, "triple", b, key_of(u, v, w), count)
+                out.append(_stat("of3", 0, of_counts(count)))
+                new = np.ones(len(v), bool)
+                new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+                rows = profile(np.cumsum(new) - 1, count)
+                keep = (rows[:, 0] > 1) | (v[new] == model.begin)  # a context met once is known by its pair
+                _write_profiles(model.path, "context", b, key_of(u[new], v[new])[keep], rows[keep])
+                (v, w), count = grouped([v, w], np.ones(len(v), np.int64))
+                hot = np.isin(v, hot_numbers)
+                to = _spread(model, v[hot], w[hot])
+                order = np.argsort(to, kind="stable")
+                for k, at in _runs(to[order]):
+                    out.append(_stat("pairs", k, *(x[hot][order][at] for x in (v, w, count))))
+                v, w, count, hot = v[~hot], w[~hot], count[~hot], hot[~hot]
+            else:
+                w = words[1]
+            out += _pairs(model, b, v, w, count, hot, "pair")
+            yield pa.RecordBatch.from_pylist(out, _STATS)
 
     return run
 
 
-_STATS = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("c", pa.binary()), ("of", pa.binary()), ("n", pa.int64())])
+def _write_hot_pairs(model: Model) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (v, w, count) in _gathered(batches):
+            (v, w), count = grouped([v, w], count)
+            yield pa.RecordBatch.from_pylist(list(_pairs(model, b, v, w, count, np.ones(len(v), bool), "hot-pair")), _STATS)
+
+    return run
 
 
 def _write_vocabulary(model: Model, hot_totals: np.ndarray) -> Callable:
-    """For each word of a bucket one row of (count, left words seen before it, its totals as left word)."""
+    """For each word of a bucket (count, left words seen before it, its totals as a context)."""
+    hot_numbers = numbers_of(model, model.hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, blobs in _gathered(batches).items():
-            seen, n = _counted([np.frombuffer(x[0], np.uint64) for x in blobs], [np.frombuffer(x[1], np.uint32).astype(np.int64) for x in blobs])
-            h = np.asarray(mapped(f"{model.path}/word-{b}.npy"))
-            out = np.zeros((len(h), 6), np.int64)
+        for b, (seen, n) in _gathered(batches):
+            words = _maybe(f"{model.path}/word-{b}.npy")
+            if words is None:
+                continue
+            out = np.zeros((len(words), 6), np.int64)
             out[:, 0] = mapped(f"{model.path}/count-{b}.npy")
-            k = np.searchsorted(seen, h >> SHORT)
-            k[k == len(seen)] = 0
-            out[:, 1] = np.where(seen[k] == h >> SHORT, n[k], 0) if len(seen) else 0
-            for words, totals in ((_maybe(f"{model.path}/left-{b}.npy"), _maybe(f"{model.path}/totals-{b}.npy")), (model.hot, hot_totals)):
-                if words is not None and len(words):
-                    k = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    hit = words[k] == h
-                    out[hit, 2:] = totals[k[hit]]
-            write_array(f"{model.path}/vocabulary-{b}.npy", out)
-            cont = out[:, 1]
-            yield pa.RecordBatch.from_arrays([pa.array([np.bincount(np.minimum(cont, 5), minlength=6)[1:5].astype(np.int64).tobytes()]), pa.array([int((cont >= 3).sum())], pa.int64()), pa.array([int(cont.sum())], pa.int64())], ["of", "three", "total"])
+            np.add.at(out[:, 1], seen - model.first[b], n)
+            left = _maybe(f"{model.path}/left-{b}.npy")
+            if left is not None and len(left):
+                out[left - model.first[b], 2:] = mapped(f"{model.path}/totals-{b}.npy")
+            here = (hot_numbers >= model.first[b]) & (hot_numbers < model.first[b] + len(words))
+            out[hot_numbers[here] - model.first[b], 2:] = hot_totals[here]
+            rows, code = np.unique(out, axis=0, return_inverse=True)
+            write_array(f"{model.path}/vocabulary-rows-{b}.npy", rows)
+            write_array(f"{model.path}/vocabulary-code-{b}.npy", small(code.ravel()))
+            left_words = out[:, 1]
+            yield pa.RecordBatch.from_arrays([pa.array([of_counts(left_words).tobytes()]), pa.array([int((left_words >= 3).sum())], pa.int64()), pa.array([int(left_words.sum())], pa.int64())], ["of", "three", "total"])
 
     return run
 
@@ -261,147 +455,194 @@ def _maybe(path: str) -> np.ndarray | None:
         return None
 
 
-def discounts(of_counts: np.ndarray) -> list[float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more from the numbers of things seen
-    1 to 4 times; the usual fixed ones where those numbers give none."""
-    n1, n2, n3, n4 = (float(x) for x in of_counts)
-    if min(n1, n2, n3, n4) <= 0:
-        return [0.5, 1.0, 1.5]
-    y = n1 / (n1 + 2 * n2)
-    return [min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-
-
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts docs into a model in the shared folder."""
-    spark = docs.sparkSession
-    texts = docs.select(text_col)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    path = new_path(spark, "lm")
-    blocks = texts.mapInArrow(_word_blocks(buckets), "bucket int, h binary, c binary")
-    sums = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_write_words(path), "types long, tokens long").agg(F.sum("types"), F.sum("tokens")).first()
-    model = Model(path, buckets, int(sums[1] or 0), int(sums[0] or 0), np.zeros(0, np.uint64), [0.5, 1.0, 1.5], 0, [0.5, 1.0, 1.5], 1.0)
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """Counts docs into a model of order 2 or 3 in the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
+    with scope(docs.sparkSession):
+        return _trained(docs.select(text_col), order)
+
+
+def _trained(texts: DataFrame, order: int) -> Model:
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]).cast("long"))).first()[0] or 0
+    model = Model(new_path(spark, "lm"), order, 1 + size // BUCKET_BYTES)
+    blocks = texts.mapInArrow(_word_blocks(model), "bucket int, n long, h binary, c binary")
+    sums = _by_bucket(blocks, model.buckets).mapInArrow(_write_words(model), "bucket long, types long, tokens long").collect()  # a row a bucket
+    types = np.zeros(model.buckets + 1, np.int64)
+    for b, n, tokens in sums:
+        types[b + 1] = n
+        model.tokens += tokens
+    model.first = np.cumsum(types)[:-1]
+    model.words = max(int(types.sum()) - 1, 0)
     if not model.tokens:
         return model
-    numbers = spark.range(buckets).select(F.col("id").cast("int").alias("b"))
-    held = numbers.repartition(min(buckets, 16)).mapInArrow(_existing(model, _hot_words(model)), "h long").collect()
-    model.hot = np.sort(np.concatenate([np.array([r[0] for r in held], np.int64).view(np.uint64), [BEGIN]]).astype(np.uint64))
-    pairs = texts.mapInArrow(_pair_blocks(model), "bucket int, left binary, run binary, right binary, count binary")
-    stats = pairs.repartitionById(buckets, F.col("bucket")).mapInArrow(_write_pairs(model), "bucket int, h binary, c binary, of binary, n long")
-    at = new_path(spark, "lm-stats")
-    stats.write.parquet(at)
-    stats = spark.read.parquet(at)
-    hot_totals, of_counts = np.zeros((len(model.hot), 4), np.int64), np.zeros(4, np.int64)
-    for _, h, c, of, _ in stats.where("bucket = -1").toLocalIterator():  # a row a bucket, of hot words only
-        k = np.searchsorted(model.hot, np.frombuffer(h, np.uint64))
-        hot_totals[k] += np.frombuffer(c, np.int64).reshape(-1, 4)
-        of_counts += np.frombuffer(of, np.int64)
-    model.discounts = discounts(of_counts)
-    # every bucket of words comes up, whether or not a right word of it was sent
-    empty = numbers.select(F.col("b").alias("bucket"), F.lit(b"").alias("h"), F.lit(b"").alias("c"))
-    blocks = stats.where("bucket >= 0").select("bucket", "h", "c").unionByName(empty)
-    parts = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_existing_blocks(model, _write_vocabulary(model, hot_totals)), "of binary, three long, total long")
-    of_counts, three, total = np.zeros(4, np.int64), 0, 0
-    for of, t, s in parts.toLocalIterator():
-        of_counts, three, total = of_counts + np.frombuffer(of, np.int64), three + t, total + s
-    model.continuation = discounts(of_counts)
-    d = model.continuation
-    model.continuation_left = (d[0] * of_counts[0] + d[1] * of_counts[1] + d[2] * three) / total
-    model.bigram_types = total
-    model.begin = hot_totals[np.searchsorted(model.hot, BEGIN)]
+    every = spark.range(model.buckets).select(F.col("id").cast("int").alias("bucket"))
+    found = every.repartition(min(model.buckets, 64)).mapInArrow(_hot_words(model), "h long").collect()
+    model.hot = np.unique(np.concatenate([np.array([r[0] for r in found], np.int64).view(np.uint64), [BEGIN]]).astype(np.uint64))
+    model.begin = int(numbers_of(model, np.array([BEGIN]))[0])
+    grams = texts.mapInArrow(_gram_blocks(model), f"bucket int, n long, v binary, {'u binary, ' if order == 3 else ''}w binary, c binary")
+    stats = stored(_by_bucket(grams, model.buckets).mapInArrow(_write_grams(model), _STATS_TYPE), "lm-stats")
+    if order == 3:
+        pairs = _by_bucket(stats.where("kind = 'pairs'").select("bucket", "n", "a", "b", "c"), model.buckets)
+        stats = stats.unionByName(stored(pairs.mapInArrow(_write_hot_pairs(model), _STATS_TYPE), "lm-hot-stats"))
+    hot_totals = np.zeros((len(model.hot), 4), np.int64)
+    of = {"of2": np.zeros(4, np.int64), "of3": np.zeros(4, np.int64)}
+    hot_numbers = numbers_of(model, model.hot)
+    place = np.argsort(hot_numbers)
+    for kind, n, a, b in stats.where("kind in ('of2', 'of3', 'hot')").select("kind", "n", "a", "b").toLocalIterator():  # rows a bucket, of hot words only
+        if kind == "hot":
+            at = place[np.searchsorted(hot_numbers[place], unpacked(a, n))]
+            hot_totals[at] += unpacked(b, 4 * n).reshape(-1, 4)
+        else:
+            of[kind] += unpacked(a, n)
+    # every bucket of words comes up, whether or not a word of it was sent
+    empty = every.select("bucket", F.lit(0).cast("long").alias("n"), F.lit(packed(np.zeros(0, np.int64))).alias("a"), F.lit(packed(np.zeros(0, np.int64))).alias("b"))
+    seen = stats.where("kind = 'left words'").select("bucket", "n", "a", "b").unionByName(empty)
+    one, three, total = np.zeros(4, np.int64), 0, 0
+    for o, t, s in _by_bucket(seen, model.buckets).mapInArrow(_write_vocabulary(model, hot_totals), "of binary, three long, total long").toLocalIterator():
+        one, three, total = one + np.frombuffer(o, np.int64), three + t, total + s
+    model.discounts = [np.array([0.0, *discounts(x)]) for x in (one, of["of2"], of["of3"])[:order]]
+    d = model.discounts[0]
+    model.left_over = float(d[1] * one[0] + d[2] * one[1] + d[3] * three) / total
+    model.pair_types = total
     return model
 
 
-def _existing(model: Model, run: Callable) -> Callable:
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            has = pa.array([_maybe(f"{model.path}/word-{b}.npy") is not None for b in batch.column(0).to_pylist()])
-            yield from run(iter([batch.filter(has)]))
+# Scoring
 
-    return only
 
+def _vocabulary(model: Model, h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Rows of the vocabulary for sorted hashes and their numbers; zeros for unknown words."""
+    out = np.zeros((len(h), 6), np.int64)
+    for b, at in _runs(bucket_of(h, model.buckets)):
+        known = np.flatnonzero(number[at] >= 0) + at.start
+        if len(known):
+            code = mapped(f"{model.path}/vocabulary-code-{b}.npy")[number[known] - model.first[b]]
+            out[known] = mapped(f"{model.path}/vocabulary-rows-{b}.npy")[code]
+    return out
 
-def _existing_blocks(model: Model, run: Callable) -> Callable:
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([_maybe(f"{model.path}/word-{b}.npy") is not None for b in batch.column(0).to_pylist()], pa.bool_()))
 
-        yield from run(some())
+def _positions(model: Model, name: str, b: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key stands in a bucket's table, where)."""
+    high = _maybe(f"{model.path}/{name}-high-{b}.npy")
+    hit, at = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    if high is None or not len(high):
+        return hit, at
+    low = mapped(f"{model.path}/{name}-low-{b}.npy")
+    want, tail = (key >> np.uint64(32)).astype(np.uint32), ((key >> np.uint64(24)) & np.uint64(255)).astype(np.uint8)
+    at = np.searchsorted(high, want)
+    open_ = np.arange(len(key))
+    k = at.copy()
+    while len(open_):
+        open_ = open_[k[open_] < len(high)]
+        open_ = open_[high[k[open_]] == want[open_]]
+        found = low[k[open_]] == tail[open_]
+        hit[open_[found]] = True
+        at[open_[found]] = k[open_[found]]
+        open_ = open_[~found]
+        k[open_] += 1
+    return hit, at
+
+
+def _looked_up(bucket: np.ndarray, key: np.ndarray, ask: Callable, width: int) -> np.ndarray:
+    """Values of n-grams in any order: distinct ones are asked for bucket by bucket, in the order of keys."""
+    out = np.zeros((len(key), width), np.int64)
+    order = np.lexsort((key, bucket))
+    for b, at in _runs(bucket[order]):
+        rows = order[at]
+        own, inverse = np.unique(key[rows], return_inverse=True)
+        out[rows] = ask(b, own)[inverse]
+    return out
 
-    return only
 
+def _counts(model: Model, name: str, b: int, key: np.ndarray) -> np.ndarray:
+    hit, at = _positions(model, name, b, key)
+    n = np.zeros(len(key), np.int64)
+    if hit.any():
+        n[hit] = mapped(f"{model.path}/{name}-count-{b}.npy")[at[hit]]
+        big = np.flatnonzero(n == 255)
+        if len(big):
+            n[big] = mapped(f"{model.path}/{name}-bigcount-{b}.npy")[np.searchsorted(mapped(f"{model.path}/{name}-bigkey-{b}.npy"), key[big])]
+    return n[:, None]
 
-def _vocabulary(model: Model, h: np.ndarray) -> np.ndarray:
-    """Rows of the vocabulary for sorted hashes h; zeros for unknown words."""
-    out = np.zeros((len(h), 6), np.int64)
-    for b, (part, at) in _by_bucket(bucket_of(h, model.buckets), h, np.arange(len(h))):
-        words = _maybe(f"{model.path}/word-{b}.npy")
-        if words is None or not len(words):
-            continue
-        k = np.minimum(np.searchsorted(words, part), len(words) - 1)
-        hit = words[k] == part
-        out[at[hit]] = mapped(f"{model.path}/vocabulary-{b}.npy")[k[hit]]
+
+def _profiles(model: Model, b: int, key: np.ndarray) -> np.ndarray:
+    hit, at = _positions(model, "context", b, key)
+    out = np.zeros((len(key), 4), np.int64)
+    if hit.any():
+        out[hit] = mapped(f"{model.path}/context-rows-{b}.npy")[mapped(f"{model.path}/context-code-{b}.npy")[at[hit]]]
     return out
 
 
-def _pair_counts(model: Model, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Counts of bigrams sorted by (bucket, key)."""
-    out = np.zeros(len(key), np.int64)
-    for b, (part, at) in _by_bucket(bucket, key, np.arange(len(key))):
-        pairs = _maybe(f"{model.path}/pair-{b}.npy")
-        if pairs is None:
-            continue
-        k = np.minimum(np.searchsorted(pairs, part), len(pairs) - 1)
-        found = pairs[k]
-        hit = (found & ~LOW) == part
-        n = np.where(hit, (found & LOW).astype(np.int64), 0)
-        if (n == 255).any():
-            big = np.flatnonzero(n == 255)
-            n[big] = mapped(f"{model.path}/bigcount-{b}.npy")[np.searchsorted(mapped(f"{model.path}/bigkey-{b}.npy"), part[big])]
-        out[at] = n
-    return out
+def _interpolated(count: np.ndarray, rows: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Discounted share of the context's total, and its freed mass times the lower order; lower where the context is new."""
+    total = rows[:, 0]
+    some = np.maximum(total, 1)
+    return np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / some + (rows[:, 1:] @ d[1:]) / some * lower, lower)
 
 
-def score_tokens(model: Model, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known, log10 of the base probability, log10 of the model's) of each token."""
-    v = model.words
+def score_tokens(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, log10 of the base probability, log10 of the model's) of each token of whole texts."""
     if not model.tokens:
-        flat = np.full(len(right), -np.log10(v + 1.0))
-        return np.zeros(len(right), bool), flat, flat
-    h, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
-    rows = _vocabulary(model, h)
-    begin = np.searchsorted(h, BEGIN)
-    if begin < len(h) and h[begin] == BEGIN:
-        rows[begin, 2:] = model.begin
-    li, ri = inverse[: len(left)], inverse[len(left) :]
-    d = np.array([0.0, *model.continuation])
-    cont = rows[:, 1]
-    one = np.maximum(cont - d[np.minimum(cont, 3)], 0) / model.bigram_types + model.continuation_left / (v + 1.0)
-    base = np.log10((rows[:, 0] + 1.0) / (model.tokens + 1.0 * (v + 1)))
-    d = np.array([0.0, *model.discounts])
-    total = rows[:, 2]
-    back = np.where(total > 0, (rows[:, 3:] @ d[1:]) / np.maximum(total, 1), 1.0)
-    key, bucket = pair_key(left, right), pair_bucket(left, right, model.hot, model.buckets)
-    order = np.lexsort((key, bucket))
-    new = np.ones(len(order), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    c = _pair_counts(model, bucket[order][new], key[order][new])[of]
-    p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[li], 1) + back[li] * one[ri]
-    return rows[ri, 0] > 0, base[ri], np.log10(p)
+        flat = np.full(len(w), -np.log10(model.words + 1.0))
+        return np.zeros(len(w), bool), flat, flat
+    h = np.unique(np.append(w, BEGIN))
+    number = numbers_of(model, h)
+    rows = _vocabulary(model, h, number)
+    ui, vi, wi = (np.searchsorted(h, x) for x in (u, v, w))
+    un, vn, wn = number[ui], number[vi], number[wi]
+    d1 = model.discounts[0]
+    left_words = rows[:, 1]
+    one = np.maximum(left_words - d1[np.minimum(left_words, 3)], 0) / model.pair_types + model.left_over / (model.words + 1.0)
+    base = np.log10((rows[:, 0] + 1.0) / (model.tokens + 1.0 * (model.words + 1)))
+    pair = np.zeros(len(w), np.int64)
+    known = np.flatnonzero((vn >= 0) & (wn >= 0))
+    hot = is_hot(model, v[known])
+    for of_hot, name in ((False, "pair"), (True, "hot-pair" if model.order == 3 else "pair")):
+        at = known[hot == of_hot]
+        if not of_hot:
+            bucket = bucket_of(v[at], model.buckets)
+        else:
+            bucket = _spread(model, vn[at], wn[at]) if model.order == 3 else dealt(model, v[at], w[at])
+        pair[at] = _looked_up(bucket, key_of(vn[at], wn[at]), lambda b, key, name=name: _counts(model, name, b, key), 1)[:, 0]
+    p = _interpolated(pair, rows[vi, 2:], model.discounts[1], one[wi])
+    if model.order == 3:
+        at = np.flatnonzero((un >= 0) & (vn >= 0))
+        bucket, context = dealt(model, v[at], u[at]), np.zeros((len(w), 4), np.int64)
+        context[at] = _looked_up(bucket, key_of(un[at], vn[at]), lambda b, key: _profiles(model, b, key), 4)
+        before = np.zeros(len(w), np.int64)
+        before[1:] = pair[:-1]  # the pair (u, v) is that of the token before, in a text
+        once = (context[:, 0] == 0) & (before > 0) & (v != BEGIN)
+        context[once] = (1, 1, 0, 0)
+        at = np.flatnonzero((context[:, 0] > 0) & (wn >= 0))
+        triple = np.zeros(len(w), np.int64)
+        triple[at] = _looked_up(dealt(model, v[at], u[at]), key_of(un[at], vn[at], wn[at]), lambda b, key: _counts(model, "triple", b, key), 1)[:, 0]
+        p = _interpolated(triple, context, model.discounts[2], p)
+    return rows[wi, 0] > 0, base[wi], np.log10(p)
 
 
 def _scores(shared: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+
+        def out(batch: pa.RecordBatch, first: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            u, v, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            n = np.concatenate([np.diff(p[3]) for p in parts])
+            at = np.concatenate([[0], np.cumsum(n)[:-1]])
+            sums = [np.add.reduceat(x, at) for x in score_tokens(model, u, v, w)]
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
         for batch in batches:
+            parts, since, size = [], 0, 0
             for first, data, offsets in textcore.chunks(batch.column(2)):
-                left, right, at = tokens_of(*textcore.words(data, offsets))
-                known, base, full = score_tokens(model, left, right)
-                n = np.diff(at)
-                sums = [np.add.reduceat(x, at[:-1]) for x in (known.astype(np.int64), base, full)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), batch.column(1).slice(first, len(n)), pa.array(n, pa.int64()), *map(pa.array, sums)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                if size >= SCORED:
+                    yield out(batch, since, parts)
+                    parts, since, size = [], first, 0
+                parts.append(tokens_of(*textcore.words(data, offsets)))
+                size += len(parts[-1][0])
+            if parts:
+                yield out(batch, since, parts)
 
     return run
 
