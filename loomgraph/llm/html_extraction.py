@@ -1,27 +1,33 @@
 """Operator 9, HTML extraction: wrapper induction by simple tree matching over pages of a host.
 
 1. Every page is parsed into a tree of block elements; inline markup is transparent, and a run of
-   siblings of one shape is one list node. The different trees of a host, a few hundred bytes
+   siblings of one shape is one list slot. The different trees of a host, a few hundred bytes
    without text, are merged into the host's wrapper: what aligns is one node, what does not is added.
 2. Every page is aligned with its host's wrapper by simple tree matching (the pairs of children in
-   order that match most nodes). Each matched node votes with a hash of its text.
+   order that match most nodes), and its blocks of text are written down with their wrapper nodes.
 3. A wrapper node is a slot unless most of the host's different pages that fill it have a text there
-   that repeats. The nodes of a page whose own text is such a repeating one are template and dropped,
-   what fills slots or is found on one page alone is content.
+   that repeats; such texts are template. The host's region is the lowest container that holds most
+   of the varying text outside links, with no heading or paragraph that varies beside it; varying
+   slots around it (menus, adverts, footers) are template too.
+4. Blocks of template nodes are dropped, the others are the text. No page is parsed again for that.
 
 Elements that say themselves what they are (menus, adverts, forms, comments, by tag, class, id or
-role) are template on any host, and what stands in an article element is content even where pages
-repeat it; so hosts of one page are extracted too.
+role) are template on any host, which settles hosts of one or two pages and what stands inside the
+region; in an article or main element only whole class names count, and repeating texts stay.
+
+Wrappers and template texts lie in the shared folder as sorted arrays that workers map, so that no
+page travels to its host: a host with a third of all pages is no larger task than others.
 
 Defined results: a null or empty html gives an empty text; a null or hostless URL is a host of its
-own kind (''); cut-off or badly nested markup is read as far as it goes; repeated rows give repeated
-results, and copies of a page vote once; other columns are ignored, whatever their names.
+own kind (''); cut-off or badly nested markup is read as far as it goes, at any depth; repeated rows
+give repeated results, and copies of a page vote once; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -31,19 +37,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import new_path, stored, table
+from loomgraph.llm.common import new_path, scope, stored, table
 from loomgraph.llm.shared_files import mapped, write_array
 
 # Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select button object audio video canvas head".split())
-BREAKS = frozenset(("br", "wbr", "img", "td", "th"))
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select button object audio video canvas head".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold running text themselves, into which a region does not shrink.
+PROSE = HEADINGS | frozenset("p pre blockquote li dt dd td th tr caption figcaption summary".split())
+#: Of these, a text that varies beside a region is content too, so that the region grows over it.
+BESIDE = HEADINGS | frozenset("p pre blockquote td th".split())
 # What elements say of themselves.
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social comment comments reply replies disqus respond related recommended footer header masthead site-header site-footer toolbar pagination pager login search hidden skip copyright".split())
+#: Words that inside an article may be its own.
+OWN_WORDS = frozenset("header search skip copyright".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
@@ -53,17 +65,23 @@ _TOKEN = re.compile(r"[a-z]+(?:-[a-z]+)?")
 #: Pages of a host on which a text repeats, and share of a node's pages whose texts do, from which these are template.
 LEAST_PAGES = 2
 REPEATING = 0.5
+#: Different pages of a host from which it has a region, and the share of its varying text that this holds.
+REGION_PAGES = 3
+REGION = 0.75
 #: Parts in which a host's shapes are merged before the parts are.
 PARTS = 64
+#: Entries of the caches of wrappers and alignments in a worker.
+CACHED = 4096
 
 
 class Node:
-    __slots__ = ("label", "tag", "children", "parts", "order", "boilerplate", "content")
+    __slots__ = ("label", "tag", "children", "parts", "boilerplate", "content", "groups")
 
     def __init__(self, tag: str, label: str, boilerplate: bool, content: bool) -> None:
         self.tag, self.label, self.boilerplate, self.content = tag, label, boilerplate, content
         self.children: list[Node] = []
-        self.parts: list[tuple[int, str]] = []  # (order in the page, text of a block)
+        self.parts: list[tuple[int, str, int]] = []  # (order in the page, text of a block, characters of it in links)
+        self.groups: list[list[Node]] = []  # runs of children of one shape
 
 
 def _label(tag: str, attributes: str, inside_content: bool) -> tuple[str, bool]:
@@ -73,118 +91,172 @@ def _label(tag: str, attributes: str, inside_content: bool) -> tuple[str, bool]:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                words += re.split(r"\s+", value)
+                words += value.split()
             elif name == "role":
                 roles = value
             else:
                 hidden |= name == "hidden" or value == "true"
-    tokens = {t for w in words for t in (w, *_TOKEN.findall(w), *re.split(r"[-_]", w))}
     own = tag in BOILERPLATE_TAGS and not (tag == "header" and inside_content)
-    bad = own or hidden or roles in BOILERPLATE_ROLES or (tag not in ("html", "body", "article", "main") and bool(tokens & BOILERPLATE_WORDS))
-    return f"{tag}.{'.'.join(re.sub(r'[0-9]+', '', w) for w in sorted(words) if w)}", bad
+    bad = own or hidden or roles in BOILERPLATE_ROLES
+    if not bad and words and tag not in ("html", "body", "article", "main"):
+        if inside_content or tag in PROSE:
+            bad = not BOILERPLATE_WORDS.isdisjoint(set(words) - OWN_WORDS)
+        else:
+            bad = not BOILERPLATE_WORDS.isdisjoint({t for w in words for t in (w, *_TOKEN.findall(w), *re.split(r"[-_]", w))})
+    label = ".".join([tag, *(re.sub(r"[0-9()*\s]+", "", w) for w in sorted(words) if w)])
+    return re.sub(r"[()*\s]+", "", label), bad
 
 
 def parse(html: str) -> Node:
     """The tree of block elements; every run of text between block boundaries is a part of its element."""
     root = Node("#", "#", False, False)
-    stack, order, text = [root], 0, []
-    at, end = 0, len(html)
+    stack, order = [root], 0
+    text: list[str] = []
+    linked, links = 0, 0
+    opened: Counter = Counter()
+    at, end, last = 0, len(html), html.rfind(">")
 
     def flush() -> None:
-        nonlocal order
+        nonlocal order, linked
         if text:
             block = " ".join(entities.unescape("".join(text)).split())
             if block:
-                stack[-1].parts.append((order, block))
+                stack[-1].parts.append((order, block, min(linked, len(block))))
                 order += 1
             text.clear()
+            linked = 0
+
+    def close(to: int) -> None:
+        for n in stack[to:]:
+            opened[n.tag] -= 1
+        del stack[to:]
 
     while at < end:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at) if at <= last else None
         if m is None:
             text.append(html[at:])
             break
         if m.start() > at:
             text.append(html[at : m.start()])
+            if links:
+                linked += m.start() - at
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "a":
+            links = 0 if m[1] else 1
+            continue
         if m[1]:
-            if tag in BLOCKS and any(n.tag == tag for n in stack[1:]):
+            if tag in BLOCKS and opened[tag]:
                 flush()
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end if tag in ("script", "style", "textarea", "title") else at
+                closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                at = closing.end() if closing else end if tag in ("script", "style", "textarea", "title") else at
             continue
-        if tag in BREAKS:
+        if tag == "br":
             text.append(" ")
         if tag not in BLOCKS:
             continue
         flush()
         if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
-                elif stack[k].tag in LIMITS[tag]:
-                    break
+            if any(opened[t] for t in ENDS[tag]):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in ENDS[tag]:
+                        close(k)
+                    elif stack[k].tag in LIMITS[tag]:
+                        break
+            if stack[-1].tag == "p":
+                close(len(stack) - 1)
         elif stack[-1].tag == "p":
-            stack.pop()
-        if tag in ENDS and stack[-1].tag == "p":
-            stack.pop()
+            close(len(stack) - 1)
         parent = stack[-1]
         label, bad = _label(tag, m[3], parent.content)
         node = Node(tag, label, parent.boilerplate or bad, parent.content or tag in CONTENT_TAGS)
         parent.children.append(node)
         if tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
     flush()
     return root
 
 
-def shape(node: Node) -> str:
-    """The tree as a string; runs of children of one shape are a list node, marked *."""
-    return node.label.replace("(", "").replace(")", "").replace("*", "").replace(" ", "") + "(" + " ".join(s + "*" * (len(group) > 1) for s, group in grouped(node)) + ")"
-
-
-def grouped(node: Node) -> list[tuple[str, list[Node]]]:
-    out: list[tuple[str, list[Node]]] = []
-    for child in node.children:
-        s = shape(child)
-        if out and out[-1][0] == s:
-            out[-1][1].append(child)
-        else:
-            out.append((s, [child]))
-    return out
-
-
 class Slot:
     """A node of a page's tree with its lists folded, or of a wrapper."""
 
     __slots__ = ("label", "children", "nodes", "number")
 
-    def __init__(self, label: str, children: list[Slot], nodes: list[Node] | None = None) -> None:
-        self.label, self.children, self.nodes, self.number = label, children, nodes or [], -1
+    def __init__(self, label: str, nodes: list[Node]) -> None:
+        self.label, self.nodes, self.number = label, nodes, -1
+        self.children: list[Slot] = []
+
+
+def fold(root: Node) -> Slot:
+    """The tree with each run of children of one shape as one slot; equal shapes fold place by place."""
+    nodes = [root]
+    for n in nodes:  # grows: parents before children
+        nodes += n.children
+    shapes: dict[tuple, int] = {}
+    shape: dict[int, int] = {}
+    for n in reversed(nodes):
+        n.groups = []
+        inside = []
+        for child in n.children:
+            s = shape[id(child)]
+            if n.groups and shape[id(n.groups[-1][0])] == s:
+                n.groups[-1].append(child)
+                inside[-1] = (s, True)
+            else:
+                n.groups.append([child])
+                inside.append((s, False))
+        shape[id(n)] = shapes.setdefault((n.label, *inside), len(shapes))
+    top = Slot(root.label, [root])
+    todo = [top]
+    while todo:
+        slot = todo.pop()
+        for place in zip(*(n.groups for n in slot.nodes), strict=True):
+            slot.children.append(Slot(place[0][0].label, [x for group in place for x in group]))
+        todo += slot.children
+    return top
+
+
+def in_order(root: Slot) -> list[Slot]:
+    """The slots, parents before children, as `written` lists them; numbered so."""
+    out, todo = [], [root]
+    while todo:
+        slot = todo.pop()
+        slot.number = len(out)
+        out.append(slot)
+        todo += reversed(slot.children)
+    return out
 
 
-def fold(nodes: list[Node]) -> Slot:
-    """Nodes of one shape as one slot; their children are folded place by place."""
-    groups = [grouped(n) for n in nodes]
-    children = [fold([x for g in place for x in g[1]]) for place in zip(*groups, strict=True)] if len({len(g) for g in groups}) == 1 else [fold(g[1]) for gs in groups for g in gs]
-    return Slot(nodes[0].label, children, nodes)
+def written(root: Slot) -> str:
+    out: list[str] = []
+    todo: list[Slot | None] = [root]
+    while todo:
+        slot = todo.pop()
+        if slot is None:
+            out.append(")")
+        else:
+            out.append(f"{slot.label}(")
+            todo.append(None)
+            todo += reversed(slot.children)
+    return "".join(out)
 
 
 def read_shape(text: str) -> list[Slot]:
-    """The slots of a wrapper in order, numbered; the first is its root."""
+    """The slots of a written tree in order, numbered; the first is its root."""
     slots: list[Slot] = []
     stack: list[Slot] = []
-    for label, mark in re.findall(r"([^()\s*]+)\(|(\)\*?)", text):
+    for label in re.findall(r"([^()]+)\(|\)", text):
         if label:
             slot = Slot(label, [])
             slot.number = len(slots)
@@ -192,127 +264,104 @@ def read_shape(text: str) -> list[Slot]:
             if stack:
                 stack[-1].children.append(slot)
             stack.append(slot)
-        elif mark:
+        else:
             stack.pop()
     return slots
 
 
-def align(page: Slot, wrapper: Slot, found: list[tuple[Slot, int]]) -> int:
-    """Simple tree matching: how many nodes match, and in found the pairs of a best matching."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def weight(a: Slot, b: Slot) -> int:
-        if a.label != b.label:
-            return 0
-        key = (id(a), id(b))
-        if key not in memo:
-            n, m = len(a.children), len(b.children)
-            table = [[0] * (m + 1) for _ in range(n + 1)]
-            for i in range(1, n + 1):
-                up, row, child = table[i - 1], table[i], a.children[i - 1]
-                for j in range(1, m + 1):
-                    both = up[j - 1] + weight(child, b.children[j - 1])
-                    row[j] = max(up[j], row[j - 1], both)
-            memo[key] = (table[n][m] + 1, table)
-        return memo[key][0]
-
-    def pairs(a: Slot, b: Slot) -> None:
-        found.append((a, b.number))
-        table = memo[id(a), id(b)][1]
+def align(page: Slot, wrapper: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
+    """Simple tree matching: how many nodes match, and the pairs of a best matching."""
+    if page.label != wrapper.label:
+        return 0, []
+    pairs = [(page, wrapper)]
+    at: dict[tuple[int, int], int] = {}
+    for a, b in pairs:  # grows: each pair of children of one label, once, as its parents are one pair
+        for x in a.children:
+            for y in b.children:
+                if x.label == y.label:
+                    at[id(x), id(y)] = len(pairs)
+                    pairs.append((x, y))
+    weight = [0] * len(pairs)
+    tables: list[list[list[int]]] = [[]] * len(pairs)
+    for k in range(len(pairs) - 1, -1, -1):
+        a, b = pairs[k]
+        rows = [[0] * (len(b.children) + 1)]
+        for x in a.children:
+            up, row = rows[-1], [0]
+            for j, y in enumerate(b.children):
+                found = at.get((id(x), id(y)))
+                row.append(max(up[j + 1], row[j], up[j] + weight[found] if found is not None else 0))
+            rows.append(row)
+        weight[k], tables[k] = rows[-1][-1] + 1, rows
+    out: list[tuple[Slot, Slot]] = []
+    todo = [0]
+    while todo:
+        k = todo.pop()
+        (a, b), rows = pairs[k], tables[k]
+        out.append((a, b))
         i, j = len(a.children), len(b.children)
         while i and j:
-            w = weight(a.children[i - 1], b.children[j - 1])
-            if w and table[i][j] == table[i - 1][j - 1] + w:
-                pairs(a.children[i - 1], b.children[j - 1])
+            found = at.get((id(a.children[i - 1]), id(b.children[j - 1])))
+            if found is not None and rows[i][j] == rows[i - 1][j - 1] + weight[found]:
+                todo.append(found)
                 i, j = i - 1, j - 1
-            elif table[i][j] == table[i - 1][j]:
+            elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-
-    total = weight(page, wrapper)
-    if total:
-        pairs(page, wrapper)
-    return total
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def _key(host: str, number: int, slot: Slot) -> int | None:
-    """Hash of host, wrapper node and the text that the slot's nodes hold themselves; None without text."""
-    own = "\n".join(p[1] for n in slot.nodes for p in n.parts)
-    return _hash(f"{host}\n{number}\n{own}") if own else None
-
-
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shapes = [shape(parse(h or "")) for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], ["host", "shape"])
-
-
-def _wrapped(wrappers: dict[str, list[Slot]], text: str) -> list[Slot]:
-    if text not in wrappers:
-        if len(wrappers) > 10_000:
-            wrappers.clear()
-        wrappers[text] = read_shape(text)
-    return wrappers[text]
-
-
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, text, page): keys of what each page holds at each wrapper node."""
-    wrappers: dict[str, list[Slot]] = {}
-    for batch in batches:
-        rows: list[tuple] = []
-        for host, html, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            found: list[tuple[Slot, int]] = []
-            align(fold([parse(html or "")]), _wrapped(wrappers, text)[0], found)
-            page = _hash(html or "")
-            for slot, number in found:
-                key = _key(host, number, slot)
-                if key is not None:
-                    rows.append((host, number, key, page))
-        names = ["host", "node", "text", "page"]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names)
+    return weight[0], out
 
 
 def merge(wrapper: Slot, page: Slot) -> None:
     """Lays page into wrapper: what aligns is one node, what does not is a new one between its neighbours."""
-    found: list[tuple[Slot, int]] = []
-    numbered(wrapper)
-    align(page, wrapper, found)
-    matched = {id(slot): number for slot, number in found}
+    partner = {id(p): w for p, w in align(page, wrapper)[1]}
     todo = [(wrapper, page)]
     while todo:
         w, p = todo.pop()
         children, k = [], 0
         for child in p.children:
-            if id(child) in matched:
-                while w.children[k].number != matched[id(child)]:
-                    children.append(w.children[k])
-                    k += 1
+            other = partner.get(id(child))
+            if other is None:
+                children.append(child)
+                continue
+            while w.children[k] is not other:
                 children.append(w.children[k])
-                todo.append((w.children[k], child))
                 k += 1
-            else:
-                children.append(child)
+            children.append(other)
+            todo.append((other, child))
+            k += 1
         w.children = children + w.children[k:]
 
 
-def numbered(root: Slot) -> None:
-    """Numbers the slots in the order in which read_shape finds them in the text of the tree."""
-    todo, number = [root], 0
-    while todo:
-        slot = todo.pop()
-        slot.number = number
-        number += 1
-        todo += reversed(slot.children)
+def region(slots: list[Slot], plain: dict[int, int]) -> tuple[int, int]:
+    """(first, last) node number of the region, given the varying characters outside links of each node."""
+    inside = [plain.get(k, 0) for k in range(len(slots))]
+    prose = [n > 0 and slots[k].label.split(".")[0] in BESIDE for k, n in enumerate(inside)]
+    size = [1] * len(slots)
+    for slot in reversed(slots):
+        for child in slot.children:
+            inside[slot.number] += inside[child.number]
+            prose[slot.number] |= prose[child.number]
+            size[slot.number] += size[child.number]
+    at = slots[0]
+    while True:
+        best = max(at.children, key=lambda c: inside[c.number], default=None)
+        if best is None or inside[best.number] < REGION * inside[0] or best.label.split(".")[0] in PROSE:
+            break
+        if plain.get(at.number, 0) and at.label.split(".")[0] in PROSE or any(prose[c.number] for c in at.children if c is not best):
+            break
+        at = best
+    return at.number, at.number + size[at.number] - 1
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def written(slot: Slot) -> str:
-    return slot.label + "(" + " ".join(map(written, slot.children)) + ")"
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shapes = [written(fold(parse(h or ""))) for h in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], ["host", "shape"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,65 +385,152 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _write_template(path: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[int, list[int]] = {}
-        for batch in batches:
-            for b, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.setdefault(b, []).append(key)
-        for b, some in keys.items():
-            write_array(f"{path}/template-{b}.npy", np.unique(np.array(some, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int64())], ["n"])
-
-    return run
-
-
 @dataclass
-class Template:
-    """Sorted keys of repeating texts at wrapper nodes, dealt over files by their remainder."""
+class Mapped:
+    """Sorted 64-bit keys, dealt over files by their remainder, with a value each if there are any."""
 
     path: str
     buckets: int
 
-    def holds(self, keys: list[int]) -> np.ndarray:
-        k = np.array(keys, np.int64)
-        out = np.zeros(len(k), bool)
-        bucket = k % self.buckets
-        for b in set(bucket.tolist()):
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is there, its position in its bucket)."""
+        hit, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        bucket = keys % self.buckets
+        for b in np.unique(bucket).tolist():
             try:
-                held = mapped(f"{self.path}/template-{b}.npy")
+                held = mapped(f"{self.path}/keys-{b}.npy")
             except FileNotFoundError:  # no key has this remainder
                 continue
             of = bucket == b
-            out[of] = held[np.minimum(np.searchsorted(held, k[of]), len(held) - 1)] == k[of]
-        return out
-
-
-def content(html: str, wrapper: list[Slot], host: str, template: Template) -> str:
-    """The blocks that no node with a template text and no self-declared boilerplate holds, in page order."""
-    root = parse(html)
-    found: list[tuple[Slot, int]] = []
-    align(fold([root]), wrapper[0], found)
-    texts = [(slot, key) for slot, number in found if (key := _key(host, number, slot)) is not None]
-    dropped: set[int] = set()
-    if texts:
-        dropped = {id(n) for (slot, _), is_template in zip(texts, template.holds([key for _, key in texts]).tolist(), strict=True) if is_template for n in slot.nodes if not n.content}
-    parts: list[tuple[int, str]] = []
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if not node.boilerplate and id(node) not in dropped:
-            parts += node.parts
-        todo += node.children
-    return " ".join(text for _, text in sorted(parts))
+            at[of] = np.minimum(np.searchsorted(held, keys[of]), len(held) - 1)
+            hit[of] = held[at[of]] == keys[of]
+        return hit, at
+
+    def value(self, name: str, key: int, at: int) -> np.ndarray:
+        """The slice of a blob that belongs to a key that was found."""
+        b = key % self.buckets
+        ends = mapped(f"{self.path}/{name}-ends-{b}.npy")
+        return mapped(f"{self.path}/{name}-{b}.npy")[(ends[at - 1] if at else 0) : ends[at]]
+
 
+def _write(to: Mapped) -> Callable:
+    """Rows (bucket, key) or (bucket, key, blob) as the files of `to`; a task gathers one bucket at a time."""
 
-def _extract(template: Template) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrappers: dict[str, list[Slot]] = {}
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        blobs = False
         for batch in batches:
-            texts = [content(h or "", _wrapped(wrappers, w), host, template) for h, host, w in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            blobs = batch.num_columns > 2
+            values = batch.column(2).to_pylist() if blobs else [b""] * batch.num_rows
+            for b, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values, strict=True):
+                held.setdefault(b, []).append((key, value))
+        for b, rows in held.items():
+            rows = sorted(dict(rows).items())
+            write_array(f"{to.path}/keys-{b}.npy", np.array([k for k, _ in rows], np.int64))
+            if blobs:
+                write_array(f"{to.path}/blob-ends-{b}.npy", np.cumsum([len(v) for _, v in rows], dtype=np.int64))
+                write_array(f"{to.path}/blob-{b}.npy", np.frombuffer(b"".join(v for _, v in rows), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+
+    return run
+
+
+def _put(d: DataFrame, name: str) -> Mapped:
+    """d (key, or key and blob) as mapped files in the shared folder."""
+    spark = d.sparkSession
+    to = Mapped(new_path(spark, name), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    rows = d.select(F.pmod("key", F.lit(to.buckets)).cast("int").alias("bucket"), *d.columns)
+    rows.repartitionById(to.buckets, F.col("bucket")).mapInArrow(_write(to), "n long").agg(F.sum("n")).first()
+    return to
+
+
+_BLOCK = "array<struct<node:int,key:long,drop:boolean,content:boolean,text:string>>"
+_SLOT = "array<struct<node:int,key:long,chars:long,linked:long>>"
+
+
+def _blocks(wrappers: Mapped) -> Callable:
+    """Rows (page_id, url, html, host, host_key) with their page's hash, its blocks of text in order and its filled slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[int, list[Slot]] = {}
+        numbers: dict[tuple[int, str], list[int]] = {}
+        for batch in batches:
+            keys = batch.column(4).to_numpy(zero_copy_only=False)
+            _, at = wrappers.find(keys)
+            pages, blocks, slots = [], [], []
+            for html, key, k in zip(batch.column(2).to_pylist(), keys.tolist(), at.tolist(), strict=True):
+                top = fold(parse(html or ""))
+                own, shape = in_order(top), written(top)
+                if len(numbers) > CACHED:
+                    numbers.clear()
+                    trees.clear()
+                if (key, shape) not in numbers:
+                    if key not in trees:
+                        trees[key] = read_shape(bytes(wrappers.value("blob", key, k)).decode())
+                    found = {id(p): w.number for p, w in align(top, trees[key][0])[1]}
+                    numbers[key, shape] = [found.get(id(s), -1) for s in own]
+                of_page, filled = [], []
+                for slot, number in zip(own, numbers[key, shape], strict=True):
+                    parts = [(*p, n) for n in slot.nodes for p in n.parts]
+                    if parts:
+                        parts.sort(key=lambda p: p[0])
+                        code = _hash(f"{key}\n{number}\n" + "\n".join(p[1] for p in parts))
+                        filled.append((number, code, sum(len(p[1]) for p in parts), sum(p[2] for p in parts)))
+                        of_page += [(order, number, code, n.boilerplate, n.content, text) for order, text, _, n in parts]
+                of_page.sort(key=lambda p: p[0])
+                pages.append(_hash(html or ""))
+                blocks.append(of_page)
+                slots.append(filled)
+            yield _blocks_batch(batch, pages, blocks, slots)
+
+    return run
+
+
+def _lists(rows: list[list[tuple]], names: list[str], kinds: list[pa.DataType], first: int = 0) -> pa.Array:
+    flat = [x for r in rows for x in r]
+    ends = np.cumsum([0, *(len(r) for r in rows)])
+    columns = [pa.array([x[first + k] for x in flat], kind) for k, kind in enumerate(kinds)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+
+
+def _blocks_batch(batch: pa.RecordBatch, pages: list, blocks: list, slots: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            *[batch.column(k) for k in (0, 1, 3, 4)],
+            pa.array(pages, pa.int64()),
+            _lists(blocks, ["node", "key", "drop", "content", "text"], [pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()], 1),
+            _lists(slots, ["node", "key", "chars", "linked"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]),
+        ],
+        ["page_id", "url", "host", "host_key", "page", "blocks", "slots"],
+    )
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, blob), the first and last node of each host, from (host_key, shape, plain: (node, characters) pairs)."""
+    for batch in batches:
+        found = [region(read_shape(shape), {p["node"]: p["chars"] for p in plain}) for shape, plain in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(f, np.int32).tobytes() for f in found], pa.binary())], ["key", "blob"])
+
+
+def _chosen(template: Mapped, regions: Mapped) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts = batch.column(2).to_numpy(zero_copy_only=False)
+            known, at = regions.find(hosts)
+            bounds = np.tile(np.array([0, np.iinfo(np.int32).max], np.int64), (len(hosts), 1))
+            for k in np.flatnonzero(known).tolist():
+                bounds[k] = np.frombuffer(bytes(regions.value("blob", int(hosts[k]), int(at[k]))), np.int32)
+            blocks = batch.column(3)
+            ends = blocks.offsets.to_numpy()
+            flat = blocks.values.slice(ends[0], ends[-1] - ends[0]).flatten()
+            node, key, drop, content = (flat[k].to_numpy(zero_copy_only=False) for k in range(4))
+            row = np.repeat(np.arange(len(hosts)), np.diff(ends))
+            around = (node >= 0) & ((node < bounds[row, 0]) | (node > bounds[row, 1]))
+            keep = ~drop & (content | ~(around | template.find(key)[0]))
+            texts = flat[4].filter(pa.array(keep)).to_pylist()
+            upto = np.concatenate([[0], np.cumsum(keep)])[ends - ends[0]].tolist()
+            joined = [" ".join(texts[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined, pa.string())], ["page_id", "url", "text"])
 
     return run
 
@@ -403,33 +539,46 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def induce(pages: DataFrame) -> tuple[DataFrame, Template]:
-    """(host, shape), each host's wrapper, and the texts that are template at its nodes. The distinct
-    shapes of a host are merged in PARTS parts first, so that no task holds a large host's."""
-    spark = pages.sparkSession
+def induce(pages: DataFrame) -> DataFrame:
+    """(host, host_key, shape): each host's wrapper. The distinct shapes of a host are merged in PARTS
+    parts first, so that no task holds a large host's."""
     d = pages.select(host_of(F.col("url")).alias("host"), F.col("html"))
     part = F.pmod(F.xxhash64("shape"), F.lit(PARTS))
     shapes = d.mapInArrow(_shapes, "host string, shape string").distinct().select("host", part.alias("part"), "shape")
     parts = shapes.repartition("host", "part").sortWithinPartitions("host", "part", "shape").mapInArrow(_merged, "host string, shape string")
     whole = parts.select("host", F.lit(0).alias("part"), "shape").repartition("host").sortWithinPartitions("host", "part", "shape")
-    wrappers = stored(whole.mapInArrow(_merged, "host string, shape string"), "wrappers")
-    votes = d.join(wrappers, "host").mapInArrow(_votes, "host string, node int, text long, page long").distinct()
-    texts = stored(votes.groupBy("host", "node", "text").agg(F.count("*").alias("pages")), "votes")
+    return stored(whole.mapInArrow(_merged, "host string, shape string").select("host", F.xxhash64("host").alias("host_key"), "shape"), "wrappers")
+
+
+def template_of(blocks: DataFrame, wrappers: DataFrame) -> tuple[Mapped, Mapped]:
+    """(keys of repeating texts at template nodes, regions by host) from the slots that pages fill."""
     again = F.col("pages") >= LEAST_PAGES
-    nodes = texts.groupBy("host", "node").agg(F.sum("pages").alias("all"), F.sum(F.when(again, F.col("pages"))).alias("repeating"))
-    nodes = nodes.where(F.col("repeating") >= REPEATING * F.col("all")).select("host", "node")
-    template = Template(new_path(spark, "template"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    keys = texts.where(again).join(nodes, ["host", "node"]).select(F.pmod("text", F.lit(template.buckets)).cast("int").alias("bucket"), F.col("text"))
-    keys.repartitionById(template.buckets, F.col("bucket")).mapInArrow(_write_template(template.path), "n long").agg(F.sum("n")).first()
-    return wrappers, template
+    votes = blocks.select("host_key", "page", F.explode("slots").alias("s")).select("host_key", "page", "s.*")
+    votes = votes.groupBy("host_key", "node", "key", "page").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+    texts = votes.groupBy("host_key", "node", "key").agg(F.count("*").alias("pages"), F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+    texts = stored(texts, "votes")
+    plain = F.sum(F.when(~again, F.greatest(F.col("chars") - F.col("linked"), F.lit(0))))
+    nodes = texts.groupBy("host_key", "node").agg(F.sum("pages").alias("all"), F.sum(F.when(again, F.col("pages"))).alias("repeating"), F.coalesce(plain, F.lit(0)).alias("chars"))
+    nodes = stored(nodes, "votes-by-node")
+    constant = nodes.where(F.col("repeating") >= REPEATING * F.col("all")).select("host_key", "node")
+    template = _put(texts.where(again).join(constant, ["host_key", "node"]).select("key").distinct(), "template")
+    many = blocks.select("host_key", "page").distinct().groupBy("host_key").agg(F.count("*").alias("n")).where(F.col("n") >= REGION_PAGES).select("host_key")
+    filled = nodes.where("node >= 0 and chars > 0").groupBy("host_key").agg(F.collect_list(F.struct("node", "chars")).alias("plain"))  # no more than a wrapper's nodes
+    found = wrappers.join(many, "host_key").join(filled, "host_key").select("host_key", "shape", "plain")
+    return template, _put(found.mapInArrow(_regions, "key long, blob binary"), "regions")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row."""
     d = pages.select(F.col("page_id"), F.col("url"), F.col("html"), host_of(F.col("url")).alias("host"))
-    wrappers, template = induce(pages)
-    d = d.join(wrappers, "host", "left").select("page_id", "url", "html", "host", F.coalesce("shape", F.lit("#()")).alias("shape"))
-    return d.mapInArrow(_extract(template), f"page_id {d.schema[0].dataType.simpleString()}, url string, text string")
+    kind = d.schema[0].dataType.simpleString()
+    with scope(pages.sparkSession):
+        wrappers = induce(pages)
+        lookup = _put(wrappers.select(F.col("host_key").alias("key"), F.encode("shape", "UTF-8").alias("blob")), "wrapper-files")
+        rows = d.withColumn("host_key", F.xxhash64("host")).mapInArrow(_blocks(lookup), f"page_id {kind}, url string, host string, host_key long, page long, blocks {_BLOCK}, slots {_SLOT}")
+        blocks = stored(rows, "blocks", keep=True)
+        template, regions = template_of(blocks, wrappers)
+    return blocks.select("page_id", "url", "host_key", "blocks").mapInArrow(_chosen(template, regions), f"page_id {kind}, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
