@@ -5,9 +5,14 @@ starts another at MAX_FILE_BYTES; only files of tasks that were committed are re
 task that runs again, or twice, leaves no second copy. Each record is a gzip member of its own that
 carries its own length (the `sl` extra field), so that a reader can step over it.
 
-Reading: partitions are planned over files by size. Predicates on the record type and on header
-columns are pushed down and tested on the parsed header; the payload of a record that fails, and every
-payload when `payload` is false, is stepped over without being inflated.
+Reading: partitions are planned over files by size, `.warc.gz` and `.warc`, in the folder or below it.
+Predicates on the record type and on header columns are pushed down and tested on the parsed header; the
+payload of a record that fails, and every payload when `payload` is false, is not decoded: members with a
+length are stepped over without being inflated, plain records by their Content-Length, and other gzip
+members, whose length only inflating tells, are inflated in pieces that are not kept. Header names are
+read whatever their case. A record without an HTTP message (warcinfo, metadata, resource, ...) has its
+block for a payload. Digests other than SHA-1 are read, not checked; page_id and refers_to are null where
+ids are not of this writer's form.
 
 Defined results: a null payload is empty; a null record type is response; line breaks in a URL are
 percent-encoded; a null URL, id or reference leaves its header out and is read as null; rows are
@@ -18,10 +23,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,6 +44,10 @@ PARTITION_BYTES = 32 << 20
 ID = "urn:page:"
 #: Long enough for the headers of nearly all records; a longer header is read on.
 HEAD_BYTES = 4096
+PIECE_BYTES = 1 << 16
+#: Repeating digests, of about 100 bytes each, up to which they are broadcast.
+BROADCAST_DIGESTS = 100_000
+SALTS = 64
 
 
 def _store(path: str) -> tuple[object, str]:
@@ -82,54 +92,170 @@ def member(data: bytes, level: int = 1) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def parse_header(text: bytes) -> tuple[dict, int] | None:
-    """(columns, where the block begins); None if the header goes on beyond text."""
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; lines that go on with white space belong to the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _page(value: str | None) -> int | None:
+    """The number in an id of this writer's form."""
+    value = (value or "").strip("<>")
+    number = value.removeprefix(ID)
+    return int(number) if value.startswith(ID) and re.fullmatch(r"-?[0-9]+", number) else None
+
+
+def parse_header(text: bytes) -> tuple[dict, int, int] | None:
+    """(columns, where the payload begins, where the block ends) of a record; None if its headers, or those
+    of the HTTP message in it, go on beyond text."""
     end = text.find(b"\r\n\r\n")
-    http_end = text.find(b"\r\n\r\n", end + 4) if end >= 0 else -1
-    if end < 0 or http_end < 0:
+    if end < 0:
         return None
-    fields = dict(line.split(": ", 1) for line in text[:end].decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
-    http = dict(line.split(": ", 1) for line in text[end + 4 : http_end].decode("latin-1").split("\r\n")[1:] if ": " in line)
-    number = lambda x: int(x[len(ID) + 1 : -1]) if x else None
+    fields = _fields(text[:end].decode("utf-8", "surrogateescape").split("\r\n")[1:])
+    length = int(fields.get("content-length", 0))
+    start, stop = end + 4, end + 4 + length
+    size = length
+    if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http") and length:
+        http_end = text.find(b"\r\n\r\n", start, stop)
+        if http_end < 0 and len(text) < stop:
+            return None
+        if http_end >= 0:
+            http = _fields(text[start:http_end].decode("latin-1").split("\r\n")[1:])
+            start = http_end + 4
+            size = stop - start
+            if fields.get("warc-type") == "revisit" and http.get("content-length", "").isdigit():
+                size = int(http["content-length"])  # of the payload that it stands for
+    digest_ = fields.get("warc-payload-digest", "")
+    sha = digest_.split(":", 1)[1] if digest_.lower().startswith("sha1:") else digest_
     return {
-        "page_id": number(fields.get("WARC-Record-ID")),
-        "record_type": fields.get("WARC-Type"),
-        "url": fields.get("WARC-Target-URI"),
-        "payload_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
-        "payload_bytes": int(http.get("Content-Length", 0)),
-        "refers_to": number(fields.get("WARC-Refers-To")),
-    }, http_end + 4
+        "page_id": _page(fields.get("warc-record-id")),
+        "record_type": fields.get("warc-type"),
+        "url": fields.get("warc-target-uri", "").strip("<>") or None,
+        "payload_digest": sha or None,
+        "payload_bytes": size,
+        "refers_to": _page(fields.get("warc-refers-to")),
+    }, start, stop
+
+
+def _checked(row: dict, payload: bytes, at: int) -> bytes:
+    """The payload, held against a SHA-1 in base32."""
+    if row["payload_digest"] and re.fullmatch("[A-Z2-7]{32}", row["payload_digest"]) and digest(payload) != row["payload_digest"]:
+        raise ValueError(f"payload and digest of the record at byte {at} differ")
+    return payload
+
+
+class _Member:
+    """A gzip member without a length, read forward in pieces."""
+
+    def __init__(self, source: object, at: int) -> None:
+        self.source, self.inflate, self.end = source, zlib.decompressobj(31), at
+        source.seek(at)
+
+    def more(self) -> bytes:
+        """Some further bytes; none at the end of the member, whose place is then known."""
+        while not self.inflate.eof:
+            raw = self.source.read(PIECE_BYTES)
+            if not raw:
+                raise ValueError("a gzip member is cut off")
+            out = self.inflate.decompress(raw)
+            self.end += len(raw) - len(self.inflate.unused_data)
+            if out:
+                return out
+        return b""
+
+
+def _take(more: Callable[[], bytes], passes: Callable[[dict], bool], payload: bool, at: int) -> dict | None:
+    """Reads headers from pieces; the record if it passes, its payload in it if that is wanted."""
+    text = b""
+    while (parsed := parse_header(text)) is None:
+        piece = more()
+        if not piece:
+            raise ValueError(f"no record header at byte {at}")
+        text += piece
+    row, start, stop = parsed
+    if not passes(row):
+        return None
+    if payload and row["record_type"] != "revisit":
+        parts, have = [text], len(text)
+        while have < stop:
+            piece = more()
+            if not piece:
+                raise ValueError(f"the record at byte {at} is cut off")
+            parts.append(piece)
+            have += len(piece)
+        row["payload"] = _checked(row, b"".join(parts)[start:stop], at)
+    return row
 
 
 def records(source: object, size: int, wanted: list, payload: bool) -> Iterator[dict]:
-    """The records of an open archive that pass the tests; only theirs are inflated beyond the header."""
+    """The records of an open archive that pass the tests; only theirs are decoded beyond the header."""
+    passes = lambda row: all(test(row) for test in wanted)
     at = 0
     while at < size:
         source.seek(at)
         head = source.read(HEAD_BYTES + 24)
-        if head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"sl":
-            raise ValueError(f"no record with a length at byte {at}")
-        length = struct.unpack("<I", head[16:20])[0]
-        inflate = zlib.decompressobj(-15)
-        text = inflate.decompress(head[24:])
-        parsed = parse_header(text)
-        rest = None
-        if parsed is None:
-            source.seek(at + 24)
-            text = rest = zlib.decompressobj(-15).decompress(source.read(length - 32))
-            parsed = parse_header(text)
-        row, start = parsed
-        if all(test(row) for test in wanted):
-            if payload and row["record_type"] != "revisit":
-                if rest is None:
-                    if length > len(head):
-                        text += inflate.decompress(source.read(length - len(head)))
-                    text += inflate.flush()
-                row["payload"] = text[start : start + row["payload_bytes"]]
-                if digest(row["payload"]) != row["payload_digest"]:
-                    raise ValueError(f"payload and digest of the record at byte {at} differ")
+        if head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"sl" and (length := struct.unpack("<I", head[16:20])[0]):
+            row = _sized(source, at, head, length, passes, payload)
+            at += length
+        elif head[:2] == b"\x1f\x8b":
+            member_ = _Member(source, at)
+            row = _take(member_.more, passes, payload, at)
+            while member_.more():  # to its end, piece by piece
+                pass
+            at = member_.end
+        elif head.lstrip(b"\r\n")[:5] == b"WARC/":
+            at += len(head) - len(head.lstrip(b"\r\n"))
+            row, at = _plain(source, at, passes, payload)
+        elif not head.strip(b"\r\n\0"):
+            at, row = at + len(head), None
+        else:
+            raise ValueError(f"no record at byte {at}")
+        if row is not None:
             yield row
-        at += length
+
+
+def _sized(source: object, at: int, head: bytes, length: int, passes: Callable, payload: bool) -> dict | None:
+    """A gzip member that says its length: what its header does not pass is not inflated."""
+    inflate = zlib.decompressobj(-15)
+    pieces = iter((head[24:length], None))
+
+    def more() -> bytes:
+        raw = next(pieces, b"")
+        if raw is None:
+            source.seek(at + len(head))
+            raw = source.read(max(length - len(head), 0))
+        return inflate.decompress(raw) if raw else b""
+
+    return _take(more, passes, payload, at)
+
+
+def _plain(source: object, at: int, passes: Callable, payload: bool) -> tuple[dict | None, int]:
+    """(record, where the next one begins) of an archive that is not compressed."""
+    source.seek(at)
+    text = source.read(HEAD_BYTES)
+    while (parsed := parse_header(text)) is None:
+        piece = source.read(PIECE_BYTES)
+        if not piece:
+            raise ValueError(f"no record header at byte {at}")
+        text += piece
+    row, start, stop = parsed
+    if not passes(row):
+        return None, at + stop
+    if payload and row["record_type"] != "revisit":
+        source.seek(at + start)
+        block = source.read(stop - start)
+        if len(block) < stop - start:
+            raise ValueError(f"the record at byte {at} is cut off")
+        row["payload"] = _checked(row, block, at)
+    return row, at + stop
 
 
 @dataclass
@@ -157,7 +283,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, at = _store(self.path)
-        found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(at)) if f.is_file and f.path.endswith(".warc.gz"))
+        info = store.get_file_info(at)
+        listed = [info] if info.is_file else store.get_file_info(fs.FileSelector(at, recursive=True))
+        found = sorted((f.path, f.size) for f in listed if f.is_file and f.path.endswith((".warc.gz", ".warc")))
         out: list[Files] = []
         size = 0
         for path, n in found:
@@ -197,7 +325,7 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, date: str, file_bytes: int) -> None:
-        self.path, self.date, self.file_bytes = path, date, file_bytes
+        self.path, self.date, self.file_bytes, self.job = path, date, file_bytes, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, at = _store(self.path)
@@ -212,7 +340,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     names.append(uuid.uuid4().hex)
-                    out, size = store.open_output_stream(f"{at}/_{names[-1]}.part", compression=None), 0
+                    out, size = store.open_output_stream(f"{at}/_{self.job}-{names[-1]}.part", compression=None), 0
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -222,12 +350,20 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, at = _store(self.path)
         for name in (n for m in messages if m for n in m.names):
-            store.move(f"{at}/_{name}.part", f"{at}/{name}.warc.gz")
+            store.move(f"{at}/_{self.job}-{name}.part", f"{at}/{name}.warc.gz")
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        """Removes what tasks of this job that failed, or ran twice, have left."""
+        from pyarrow import fs
+
         store, at = _store(self.path)
-        for name in (n for m in messages if m for n in m.names):
-            store.delete_file(f"{at}/_{name}.part")
+        for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if f.base_name.startswith(f"_{self.job}-"):
+                store.delete_file(f.path)
 
 
 class WarcSource(DataSource):
@@ -258,8 +394,15 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     least_bytes, that of largest page_id is the response and the others revisit it."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    last = stored(d.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "payloads")
-    d = d.join(last, "sha", "left")
+    again = d.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    again = stored(again.select("sha", "last"), "payloads")
+    # only payloads that repeat can be revisits: where their digests are too many to be broadcast they are
+    # dealt in SALTS copies, so that a payload of a third of all pages is many tasks
+    if again.count() <= BROADCAST_DIGESTS:
+        d = d.join(F.broadcast(again), "sha", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        d = d.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(again.withColumn("salt", salts), ["sha", "salt"], "left")
     revisit = F.coalesce((F.col("page_id").isNull() | (F.col("page_id") != F.col("last"))) & F.col("last").isNotNull() & (F.octet_length("payload") >= least_bytes), F.lit(False))
     return d.select("page_id", F.when(revisit, "revisit").otherwise("response").alias("record_type"), "url", F.when(revisit, F.col("last")).alias("refers_to"), "payload")
 
@@ -277,7 +420,9 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, which the reader holds against their digests; of revisits
+    the headers tell all, so that no payload is decoded for them."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    got = read_archives(spark, path)  # with payloads: the reader holds each against its digest
+    got = read_archives(spark, path).where("record_type = 'response'").unionByName(read_archives(spark, path, payload=False).where("record_type = 'revisit'"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("stored_bytes"))
