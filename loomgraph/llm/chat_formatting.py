@@ -74,7 +74,7 @@ def _formatted(sides: DataFrame) -> DataFrame:
 def pair_by_id(conversations: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, rejected_id, a, b): conversation 2k is the chosen side of pair k and 2k + 1
     the rejected. Both ends of a pair come from one aggregation, so that no join is needed."""
-    t = turns_of(conversations).withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
+    t = turns_of(conversations).withColumn("pair_id", F.shiftright(F.col("conv_id").cast("long"), 1))
     side = lambda r, c: F.max(F.when(F.pmod(F.col("conv_id"), F.lit(2)) == r, F.col(c)))
     turns = lambda r: F.max(F.when(F.pmod(F.col("conv_id"), F.lit(2)) == r, F.col("turns")))
     return t.groupBy("pair_id").agg(side(0, "conv_id").alias("chosen_id"), side(1, "conv_id").alias("rejected_id"), turns(0).alias("a"), turns(1).alias("b"))
@@ -89,7 +89,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH t AS (
-  SELECT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, role, text,
+  SELECT conv_id, conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
          '<|start|>' || coalesce(role, '') || '<|message|>' || coalesce(text, '') || '<|end|>' || chr(10) AS r,
          CASE WHEN role = 'assistant' THEN length(coalesce(text, '')) + 8 ELSE 0 END AS learned

@@ -7,18 +7,21 @@ far (d_k) lies within t * d_k**2 in projection with at least that probability: s
 
 Equal vectors are one entry with its smallest ids, k + 1 at most, which is exact as ties go to
 smaller ids; so neither a hot vector nor its queries meet in pairs. A kd-tree over a bounded sample
-cuts the projected space into cells; every entry is then dealt to its cell, and large cells into
-parts of about PART_ROWS. A query first searches its own cell, which bounds d_k, and then the cells
-within its radius. Each (part, block of queries) is a task's group of bounded size.
-
-Defined results: vectors that are null, zero, of another length than most, or with null or
-non-finite components take no part, as queries or as candidates; a null id takes no part; a query
+cuts the projected space into cells, one for each `part_rows` entries; every entry is then dealt to its
+cell, and large cells into parts of about part_rows. A query first searches its own cell, which bounds
+d_k, and then the cells within its radius, which it finds by going down the tree. Each (part, block of
+queries) is a task's group of bounded size. The sample grows with the cells, SAMPLE_A_CELL rows each,
+so what the driver holds is 1 / 256 of the entries' projections.
+
+Defined results: vectors that are null, zero, of another length than `dim` (by default the length that
+most have), or with null or non-finite components take no part, as queries or as candidates; a null id takes no part; a query
 with fewer candidates than k gets them all; repeated (id, vector) rows are one; other columns are
 ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import scope, stored, table
 
 K = 10
 M = 8  # even: the chi-square distribution then has a closed form
 PROBABILITY = 0.985
-#: Entries that the cells are cut on: those of smallest hash.
-SAMPLE_ROWS = 16_384
+#: Entries that the cells are cut on, a cell: those of smallest hash.
+SAMPLE_A_CELL = 16
+LEAST_SAMPLE = 1024
 PART_ROWS = 4096
 BLOCK_QUERIES = 2048
-MAX_CELLS = 1024
 LEAF = 64
+#: Queries that go down the tree together.
+REACH_ROWS = 256
 
 
 def chi_square_quantile(p: float, m: int = M) -> float:
@@ -57,20 +62,31 @@ def chi_square_quantile(p: float, m: int = M) -> float:
     return high
 
 
-def kd_leaves(points: np.ndarray, most: int, leaf: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(indices, low corner, high corner) of the leaves of a kd-tree: halved at the median of the widest
-    dimension until a leaf has `leaf` points or there are `most`. Corners tile the whole space."""
+def kd_leaves(points: np.ndarray, most: int, leaf: int) -> list[np.ndarray]:
+    """The indices in each leaf of `kd_tree`."""
+    return kd_tree(points, most, leaf)[1]
+
+
+def kd_tree(points: np.ndarray, most: int, leaf: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(tree, indices of the points in each leaf): the largest leaf is halved at the median of its widest
+    dimension until leaves have `leaf` points or there are `most`. A row of the tree is (dimension, cut,
+    left, right); a point at the cut goes left. Leaf k stands as -1 - k; a tree of one leaf has no rows."""
     m = points.shape[1]
-    todo = [(np.arange(len(points)), np.full(m, -np.inf), np.full(m, np.inf))]
-    done = []
-    while todo:
-        if len(todo) + len(done) >= most:
-            return done + todo
-        todo.sort(key=lambda x: len(x[0]))
-        at, low, high = todo.pop()
+    rows: list[list[float]] = []
+    done: list[np.ndarray] = []
+    heap: list[tuple[int, int, np.ndarray, int, int]] = [(-len(points), 0, np.arange(len(points)), -1, 0)]  # (-size, order, indices, row and side above)
+    order = 1
+
+    def put(above: int, side: int, value: float) -> None:
+        if above >= 0:
+            rows[above][2 + side] = value
+
+    while heap:
+        _, _, at, above, side = heapq.heappop(heap)
         spread = points[at].max(0) - points[at].min(0) if len(at) else np.zeros(m)
-        if len(at) <= leaf or spread.max() <= 0:
-            done.append((at, low, high))
+        if len(heap) + len(done) + 1 >= most or len(at) <= leaf or spread.max() <= 0:
+            put(above, side, -1.0 - len(done))
+            done.append(at)
             continue
         dim = int(spread.argmax())
         cut = float(np.median(points[at, dim]))
@@ -78,53 +94,79 @@ def kd_leaves(points: np.ndarray, most: int, leaf: int) -> list[tuple[np.ndarray
         if left.all():
             left = points[at, dim] < cut
             cut = float(points[at[left], dim].max())
-        l_high, r_low = high.copy(), low.copy()
-        l_high[dim] = r_low[dim] = cut
-        todo += [(at[left], low, l_high), (at[~left], r_low, high)]
-    return done
+        put(above, side, float(len(rows)))
+        rows.append([float(dim), cut, 0.0, 0.0])
+        for k, part in enumerate((at[left], at[~left])):
+            heapq.heappush(heap, (-len(part), order, part, len(rows) - 1, k))
+            order += 1
+    return np.array(rows, float).reshape(-1, 4), done
 
 
 @dataclass
 class Cells:
-    """Projection and cells; a few hundred numbers a cell, MAX_CELLS at most."""
+    """Projection, and the tree of cells: 32 bytes a cell."""
 
     matrix: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
+    tree: np.ndarray
 
     def project(self, v: np.ndarray) -> np.ndarray:
         return v @ self.matrix
 
-    def distances(self, p: np.ndarray) -> np.ndarray:
-        """Squared distance of each point to each cell."""
-        out = np.empty((len(p), len(self.low)))
-        for k in range(0, len(p), 256):
-            q = p[k : k + 256, None, :]
-            out[k : k + 256] = (np.maximum(np.maximum(self.low - q, q - self.high), 0) ** 2).sum(2)
-        return out
-
     def home(self, p: np.ndarray) -> np.ndarray:
-        """The cell of each point; on a border the first."""
+        """The cell of each point."""
         out = np.zeros(len(p), np.int32)
-        for k in range(0, len(p), 256):
-            q = p[k : k + 256, None, :]
-            out[k : k + 256] = ((q > self.low) & (q <= self.high)).all(2).argmax(1)
+        if not len(self.tree):
+            return out
+        at, todo = np.zeros(len(p), np.int64), np.arange(len(p))
+        while len(todo):
+            row = self.tree[at[todo]]
+            right = p[todo, row[:, 0].astype(np.int64)] > row[:, 1]
+            below = np.where(right, row[:, 3], row[:, 2]).astype(np.int64)
+            out[todo[below < 0]] = (-1 - below[below < 0]).astype(np.int32)
+            at[todo] = below
+            todo = todo[below >= 0]
         return out
 
+    def within(self, p: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) of the cells whose squared distance from a point is no more than its radius2."""
+        if not len(self.tree):
+            return np.arange(len(p)), np.zeros(len(p), np.int32)
+        who, at = np.arange(len(p)), np.zeros(len(p), np.int64)
+        gap = np.zeros((len(p), p.shape[1]))  # distance in each dimension, by the cuts gone past
+        found_who, found_cell = [], []
+        while len(who):
+            row = self.tree[at]
+            dim = row[:, 0].astype(np.int64)
+            over = p[who, dim] - row[:, 1]
+            each = np.arange(len(who))
+            parts = []
+            for side, off in ((2, np.maximum(over, 0)), (3, np.maximum(-over, 0))):
+                g = gap.copy()
+                g[each, dim] = np.maximum(g[each, dim], off)
+                ok = (g**2).sum(1) <= radius2[who]
+                parts.append((who[ok], row[ok, side].astype(np.int64), g[ok]))
+            who, at, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
+            leaf = at < 0
+            found_who.append(who[leaf])
+            found_cell.append((-1 - at[leaf]).astype(np.int32))
+            who, at, gap = who[~leaf], at[~leaf], gap[~leaf]
+        return np.concatenate(found_who), np.concatenate(found_cell)
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(id, v as array<double>) of the vectors that take part, and their length."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
+    """(id, v as array<double>) of the vectors that take part, and their length: dim, or that which most have."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     d = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     d = d.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    most = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = most[0] if most else 0
+    if dim is None:
+        most = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dim = most[0] if most else 0
     return d.where(F.size("v") == dim), dim
 
 
@@ -137,6 +179,15 @@ def _place(shared: object, dim: int) -> Callable:
     return run
 
 
+def _projected(matrix: np.ndarray, dim: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = (_matrix(batch.column(0), dim) @ matrix).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * M, pa.int32()), pa.array(p.ravel()))], ["p"])
+
+    return run
+
+
 def _reach(shared: object, dim: int, quantile: float) -> Callable:
     """(cell, query, v, limit) for the cells within a query's radius, but its own."""
 
@@ -146,11 +197,13 @@ def _reach(shared: object, dim: int, quantile: float) -> Callable:
                 continue
             cells = shared.value
             p = cells.project(_matrix(batch.column(1), dim))
-            near = cells.distances(p) <= quantile * batch.column(2).to_numpy(zero_copy_only=False)[:, None] ** 2
-            near[np.arange(len(p)), cells.home(p)] = False
-            row, cell = np.nonzero(near)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *[c.take(at) for c in batch.columns]], ["cell", *batch.schema.names])
+            radius2 = quantile * batch.column(2).to_numpy(zero_copy_only=False) ** 2
+            home = cells.home(p)
+            for k in range(0, len(p), REACH_ROWS):
+                row, cell = cells.within(p[k : k + REACH_ROWS], radius2[k : k + REACH_ROWS])
+                row, cell = row[cell != home[k + row]] + k, cell[cell != home[k + row]]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *[c.take(at) for c in batch.columns]], ["cell", *batch.schema.names])
 
     return run
 
@@ -165,8 +218,8 @@ def _search(shared: object, dim: int, k: int, quantile: float) -> Callable:
             ids = left.column("ids").to_pylist()
             p = shared.value.project(v)
             leaves = kd_leaves(p, 1 << 30, LEAF)
-            low = np.array([p[a].min(0) for a, _, _ in leaves])
-            high = np.array([p[a].max(0) for a, _, _ in leaves])
+            low = np.array([p[a].min(0) for a in leaves])
+            high = np.array([p[a].max(0) for a in leaves])
             sizes = np.array([len(x) for x in ids])
             qv = _matrix(right.column("v"), dim)
             qp = shared.value.project(qv)
@@ -177,7 +230,7 @@ def _search(shared: object, dim: int, k: int, quantile: float) -> Callable:
                 for leaf in np.argsort(bound, kind="stable"):
                     if bound[leaf] > quantile * limit2:  # the chi-square test holds for all that is left
                         break
-                    at = leaves[leaf][0]
+                    at = leaves[leaf]
                     at = at[((p[at] - qp[j]) ** 2).sum(1) <= quantile * limit2]
                     d = ((v[at] - qv[j]) ** 2).sum(1)
                     keep = d <= limit2
@@ -207,25 +260,33 @@ def _blocks(index: DataFrame, visits: DataFrame, run: Callable) -> DataFrame:
     return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, "key long, id long, score double")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probability: float = PROBABILITY, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", probability: float = PROBABILITY, seed: int = 11, part_rows: int = PART_ROWS, dim: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every row for which is_query, a test of column `id`, holds."""
+    with scope(vectors.sparkSession):
+        return _searched(vectors, is_query, k, id_col, vec_col, probability, seed, part_rows, dim)
+
+
+def _searched(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, probability: float, seed: int, part_rows: int, dim: int | None) -> DataFrame:
     spark = vectors.sparkSession
-    d, dim = usable(vectors, id_col, vec_col)
+    d, dim = usable(vectors, id_col, vec_col, dim)
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     kept = d.distinct().withColumn("r", first).where(F.col("r") <= k + 1)
     entries = stored(kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("key", F.element_at("ids", 1)), "entries")
     n = entries.count()
-    sample = entries.orderBy(F.md5(F.col("key").cast("string"))).limit(SAMPLE_ROWS).select("v").collect()
+    cells = max(1, n // part_rows)
     matrix = np.random.default_rng(seed).standard_normal((dim, M))
-    points = np.array([r[0] for r in sample]) @ matrix
-    leaves = kd_leaves(points, min(MAX_CELLS, max(1, n // PART_ROWS)), LEAF)
-    shared = spark.sparkContext.broadcast(Cells(matrix, np.array([x[1] for x in leaves]), np.array([x[2] for x in leaves])))
+    # of the entries those whose hash falls below a threshold, about SAMPLE_A_CELL a cell, as projections
+    share = min(1.0, max(LEAST_SAMPLE, SAMPLE_A_CELL * cells) / max(n, 1))
+    drawn = entries.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").mapInArrow(_projected(matrix, dim), "p array<float>")
+    points = np.array([r[0] for r in drawn.collect()], float).reshape(-1, M)
+    tree, _ = kd_tree(points, cells, 1)
+    shared = spark.sparkContext.broadcast(Cells(matrix, tree))
     quantile = chi_square_quantile(probability)
 
     placed = stored(entries.select("v", "key", "ids").select("key", "v", "ids").mapInArrow(_place(shared, dim), "cell int, key long, v array<double>, ids array<long>"), "placed")
-    sizes = {r[0]: -(-r[1] // PART_ROWS) for r in placed.groupBy("cell").count().collect()}  # a row a cell
+    sizes = {r[0]: -(-r[1] // part_rows) for r in placed.groupBy("cell").count().collect()}  # a row a cell
     start, parts = {}, 0
     for cell in sorted(sizes):
         start[cell], parts = parts, parts + sizes[cell]
@@ -233,7 +294,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     index = stored(placed.join(F.broadcast(layout), "cell").select((F.col("start") + F.pmod(F.xxhash64("key"), F.col("n"))).cast("int").alias("part"), "v", "ids"), "index")
     of_cell = lambda q: q.join(F.broadcast(layout), "cell").select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("part"), "key", "v", "limit")
 
-    asked = stored(d.where(is_query).select("id", "v").distinct(), "asked")
+    asked = stored(d.where(is_query).select("id", "v").distinct(), "asked", keep=True)
     keys = asked.groupBy("v").agg(F.min("id").alias("key"))
     wanted = stored(keys.select("key", "v").mapInArrow(_place(shared, dim), "cell int, key long, v array<double>").withColumn("limit", F.lit(None).cast("double")), "wanted")
     run = _search(shared, dim, k + 1, quantile)
@@ -243,7 +304,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     further = wanted.select("key", "v").join(limits, "key", "left").select("key", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
     reached = further.mapInArrow(_reach(shared, dim, quantile), "cell int, key long, v array<double>, limit double")
     away = _blocks(index, of_cell(reached), run)
-    found = stored(best(home.select("key", "id", "score").unionByName(away)), "found")
+    found = stored(best(home.select("key", "id", "score").unionByName(away)), "found", keep=True)
     by_key = asked.join(keys, "v").select(F.col("id").alias("query_id"), "key")
     out = by_key.join(found, "key").where(F.col("query_id") != F.col("id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))

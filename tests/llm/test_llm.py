@@ -170,6 +170,52 @@ def test_neighbours_match_brute_force(spark):
     assert found / total >= 0.95 and set(got) == set(range(0, 2000, 20))
 
 
+def test_recall_over_many_cells(spark):
+    """Cells and parts of 32 entries, so that nearly all neighbours lie in other cells than the query's."""
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((40, 24)) * 2
+    v = (centres[r.integers(0, 40, 4000)] + r.standard_normal((4000, 24))).astype(np.float32)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for x in nearest_neighbours.search(d, F.col("id") % 40 == 0, part_rows=32).collect():
+        got[x.query_id].add(x.vec_id)
+    w, found = v.astype(float), 0
+    for q in range(0, 4000, 40):
+        dist = ((w - w[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        found += len(got[q] & set(np.lexsort((np.arange(4000), dist))[:10].tolist()))
+    assert len(got) == 100 and all(len(x) == 10 for x in got.values()) and found >= 0.95 * 1000
+
+
+def test_cells_tile_the_space():
+    r = np.random.default_rng(5)
+    p = r.standard_normal((3000, 8))
+    p[:600] = p[0]
+    tree, leaves = nearest_neighbours.kd_tree(p, 100, 4)
+    cells = nearest_neighbours.Cells(np.eye(8), tree)
+    home = cells.home(p)
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(3000)) and all((home[a] == k).all() for k, a in enumerate(leaves))
+    radius2 = np.full(50, 4.0)
+    pairs = set(zip(*(x.tolist() for x in cells.within(p[:50], radius2)), strict=True))
+    for k in range(50):
+        near = np.flatnonzero(((p - p[k]) ** 2).sum(1) <= 4.0)
+        assert {(k, c) for c in home[near].tolist()} <= pairs
+
+
+def test_neighbour_query(spark, tmp_path):
+    r = np.random.default_rng(2)
+    v = r.standard_normal((600, 12))
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    d.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = registry.QUERIES["op2_nearest_neighbours"](spark, str(tmp_path)).collect()
+    assert {x.query_id for x in rows} == set(range(0, 600, 100)) and len(rows) == 60
+    for q in range(0, 600, 100):
+        own = sorted((x["rank"], x.vec_id, x.score) for x in rows if x.query_id == q)
+        dist = np.sqrt(((v - v[q]) ** 2).sum(1))
+        assert [k for k, _, _ in own] == list(range(1, 11)) and all(abs(dist[i] - s) < 1e-12 for _, i, s in own)
+        assert [(s, i) for _, i, s in own] == sorted((s, i) for _, i, s in own)
+
+
 def test_few_and_no_neighbours(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest_neighbours.search(d, F.col("id") == 0).collect()] == [(0, 1, 1, 1.0)]
@@ -415,6 +461,63 @@ def test_small_payloads_are_all_responses(spark):
     assert {r.record_type for r in warc.with_revisits(d, 4).collect()} == {"response", "revisit"}
 
 
+def foreign(kind, uri, body, lower=False, http=True, folded=False):
+    block = (b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n" + body) if http else body
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8>", f"WARC-Target-URI: <{uri}>"]
+    head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}"] if http else []
+    head += ["X-Long: a", " b" * 3000] if folded else []
+    head += [f"Content-Type: {'application/http; msgtype=response' if http else 'application/warc-fields'}", f"Content-Length: {len(block)}"]
+    text = "\r\n".join([head[0], *(h.lower() if lower and "URI" not in h and "Digest" not in h else h for h in head[1:])])
+    return text.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    big = random.Random(4).randbytes(400_000)
+    parts = [foreign("warcinfo", "", b"software: x\r\n", http=False), foreign("response", "http://a/1", b"<p>one</p>", lower=True), foreign("response", "http://a/2", big, folded=True), foreign("metadata", "http://a/2", b"k: v", http=False), foreign("resource", "http://a/3", b"", http=False)]
+    (tmp_path / "w" / "deep").mkdir(parents=True)
+    (tmp_path / "w" / "plain.warc").write_bytes(b"".join(parts))
+    (tmp_path / "w" / "deep" / "zip.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "w" / "notes.txt").write_text("no archive")
+    path = f"file://{tmp_path}/w"
+    rows = warc.read_archives(spark, path).collect()
+    assert len(rows) == 10 and {r.page_id for r in rows} == {None}
+    for kind, url, body in (("warcinfo", None, b"software: x\r\n"), ("response", "http://a/1", b"<p>one</p>"), ("response", "http://a/2", big), ("metadata", "http://a/2", b"k: v"), ("resource", "http://a/3", b"")):
+        got = [r for r in rows if (r.record_type, r.url) == (kind, url)]
+        assert len(got) == 2 and all(bytes(r.payload) == body and r.payload_bytes == len(body) for r in got)
+    heads = warc.read_archives(spark, path, payload=False).where("record_type = 'response'").collect()
+    assert sorted(r.payload_bytes for r in heads) == [10, 10, 400_000, 400_000] and {r.payload for r in heads} == {None}
+    assert warc.read_archives(spark, f"{path}/plain.warc").count() == 5
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    d = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").repartition(2)
+    warc.write_archives(d, f"file://{tmp_path}/w")
+    writer = warc.WarcWriter(f"file://{tmp_path}/w", "2024-01-01T00:00:00Z", 1 << 20)
+    (tmp_path / "w" / f"_{writer.job}-x.part").write_text("left over")
+    (tmp_path / "w" / "_other-x.part").write_text("of another job")
+    writer.abort([])
+    assert sorted(f.name for f in (tmp_path / "w").iterdir() if not f.name.endswith(".gz")) == ["_other-x.part"]
+
+
+def test_archive_query(spark, tmp_path, monkeypatch):
+    rows = [(k, f"u{k}", ("same" * 3 if k % 3 else "") if k < 60 else f"own {k}") for k in range(90)] + [(200, None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    d.write.parquet(f"{tmp_path}/pages.parquet")
+    for most in (100_000, 0):  # digests broadcast, and dealt with salt
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+        got = {r.page_id: r for r in registry.QUERIES["op8_warc"](spark, str(tmp_path)).collect()}
+        assert len(got) == len(rows)
+        last = {}
+        for k, _, h in rows:
+            last[h or ""] = max(k, last.get(h or "", -1))
+        for k, _, h in rows:
+            raw, top = (h or "").encode(), last[h or ""]
+            assert (got[k].payload_bytes, got[k].payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+            assert (got[k].record_type, got[k].refers_to) == (("response", None) if k == top else ("revisit", top))
+
+
 def test_no_archives(spark, tmp_path):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(d, f"file://{tmp_path}/none")
@@ -467,60 +570,147 @@ def test_every_layout_has_its_template(spark):
 
 
 def test_tree_matching_counts_the_most_nodes():
-    read = lambda t: html_extraction.read_shape(t)
-    a, b = read("r(a(x() y()) b() c())"), read("r(a(y()) c() b())")
-    found = []
-    assert html_extraction.align(a[0], b[0], found) == 4
-    assert len(found) == 4
+    read = lambda t: html_extraction.read_shape(t)[0]
+    most, pairs = html_extraction.align(read("r(a(x()y())b()c())"), read("r(a(y())c()b())"))
+    assert most == len(pairs) == 4
+    r = random.Random(3)
+
+    def tree(depth):
+        return f"{r.choice('ab')}({''.join(tree(depth - 1) for _ in range(r.randrange(4)))})" if depth else ""
+
+    def plain(a, b):
+        if a.label != b.label:
+            return 0
+        table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + plain(x, y))
+        return table[-1][-1] + 1
+
+    for _ in range(60):
+        x, y = read(f"r({tree(4)})"), read(f"r({tree(4)})")
+        most, pairs = html_extraction.align(x, y)
+        assert most == len(pairs) == plain(x, y)
+        assert html_extraction.written(x) == html_extraction.written(html_extraction.read_shape(html_extraction.written(x))[0])
+
+
+def off(monkeypatch):
+    """No element says of itself what it is: only wrappers decide. Wrappers are drawn on the driver's side here."""
+    for name in ("BOILERPLATE_TAGS", "BOILERPLATE_WORDS", "BOILERPLATE_ROLES", "CONTENT_TAGS"):
+        monkeypatch.setattr(html_extraction, name, frozenset())
+
+
+def test_regions_without_names(monkeypatch):
+    off(monkeypatch)
+    text = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    shell = "<body><div>{0} <a href=x>m{0}</a></div><section><h1>T{0}</h1><p>{1}</p><p>{1} again</p></section><div>low {0}</div></body>"
+    beside = "<body><div>menu {0}</div><h1>T{0}</h1><div><p>{1}</p></div></body>"
+    for layout, kept in ((shell, "section"), (beside, "body")):
+        wrapper, plain = None, collections.Counter()
+        for k in range(4):
+            page = html_extraction.fold(html_extraction.parse(layout.format(k, text(k, 60))))
+            if wrapper is None:
+                wrapper = page
+            else:
+                html_extraction.merge(wrapper, page)
+        slots = html_extraction.read_shape(html_extraction.written(wrapper))
+        for k in range(4):
+            page = html_extraction.fold(html_extraction.parse(layout.format(k, text(k, 60))))
+            for slot, w in html_extraction.align(page, slots[0])[1]:
+                plain[w.number] += sum(len(p[1]) - p[2] for n in slot.nodes for p in n.parts)
+        first, last = html_extraction.region(slots, plain)
+        assert slots[first].label == kept and last >= first
+
+
+def test_what_an_article_holds_stays_whole(spark):
+    parts = '<article><div class="article-header"><h1>Title</h1></div><h2 id="search-engines">On search</h2><p class="related-work">super<wbr>cali x<img src=a>y</p><div class="notice-of-intent">Intent</div><p>so <math><mi>a</mi></math> is</p><div class="comments"><p>first!</p></div><div class=ad>Buy</div></article>'
+    deep = "<div>" * 20_000 + "deep text" + "</div>" * 20_000
+    rows = [(1, "http://a.org/1", f"<body><nav>m</nav>{parts}<footer>f</footer></body>"), (2, "http://b.org/1", deep), (3, "http://b.org/2", "<ul>" + "<li>x" * 3000), (4, "http://b.org/3", "<a " * 50_000)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Title On search supercali xy Intent so a is"
+    assert got[2] == "deep text" and got[3] == " ".join("x" * 3000) and got[4].startswith("<a <a")
+
+
+def test_extraction_query(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = registry.QUERIES["op9_html_extraction"](spark, SF).collect()
+    assert len(got) == len(pages)
+    assert all(r.n_chars == len(r.text) and r.url == pages[r.page_id].url for r in got)
 
 
 # 10
 
 
-def kneser_ney(train):
-    pairs, unigrams = collections.Counter(), collections.Counter()
+def kneser_ney(train, order):
+    """p(context, word) of a plain interpolated modified Kneser-Ney model over lists of words."""
+    grams = collections.Counter()
+    unigrams = collections.Counter()
     for t in train:
         w = [*lower_words(t), "</s>"]
         unigrams.update(w)
-        pairs.update(zip(["<s>", *w], w))
-    cont = collections.Counter(b for _, b in pairs)
-    d2, d1 = (lm_scoring.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for c in (pairs, cont))
-    after = collections.defaultdict(list)
-    for (a, _), c in pairs.items():
-        after[a].append(c)
-    n, v = sum(unigrams.values()), len(unigrams)
-    left = sum(d1[min(c, 3) - 1] for c in cont.values()) / len(pairs)
-
-    def p(a, b):
-        one = max(cont[b] - (d1[min(cont[b], 3) - 1] if cont[b] else 0), 0) / len(pairs) + left / (v + 1)
-        if a not in after:
-            return one
-        t, c = sum(after[a]), pairs[a, b]
-        return max(c - (d2[min(c, 3) - 1] if c else 0), 0) / t + sum(d2[min(x, 3) - 1] for x in after[a]) / t * one
-
-    return p, unigrams, n, v
-
-
-def test_scores_match_a_plain_model(spark, docs, hard):
+        w = ["<s>"] * (order - 1) + w
+        grams.update(tuple(w[k : k + order]) for k in range(len(w) - order + 1))
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    d = {k: lm_scoring.discounts([sum(v == n for v in c.values()) for n in (1, 2, 3, 4)]) for k, c in levels.items()}
+    after = {k: collections.defaultdict(list) for k in levels}
+    for k, c in levels.items():
+        for g, n in c.items():
+            after[k][g[:-1]].append(n)
+    v = len(unigrams)
+
+    def p(context, b):
+        k = len(context) + 1
+        lower = p(context[1:], b) if k > 1 else 1 / (v + 1)
+        if context not in after[k]:
+            return lower
+        cut = lambda n: d[k][min(n, 3) - 1] if n else 0
+        t, c = sum(after[k][context]), levels[k][(*context, b)]
+        return max(c - cut(c), 0) / t + sum(map(cut, after[k][context])) / t * lower
+
+    return p, unigrams, sum(unigrams.values()), v
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_match_a_plain_model(spark, docs, hard, monkeypatch, order):
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 20_000)  # several buckets
     d = docs.select("doc_id", "text").limit(60).unionByName(hard.where("doc_id > 1 and doc_id <> 5").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
     rows = d.collect()
     held = {r.doc_id: r.h for r in d.select("doc_id", lm_scoring.held_out().alias("h")).collect()}
-    p, unigrams, n, v = kneser_ney([r.text for r in rows if not held[r.doc_id]])
-    assert abs(sum(p("the", w) for w in unigrams) + p("the", "never seen") - 1) < 1e-9
-    got = {r.doc_id: r for r in lm_scoring.score(d, lm_scoring.train(d.where(~lm_scoring.held_out())), out=lm_scoring.held_out()).collect()}
+    p, unigrams, n, v = kneser_ney([r.text for r in rows if not held[r.doc_id]], order)
+    some = ("<s>",) * (order - 2) + ("the",)
+    assert abs(sum(p(some, w) for w in unigrams) + p(some, "never seen") - 1) < 1e-9
+    model = lm_scoring.train(d.where(~lm_scoring.held_out()), order=order)
+    assert model.buckets > 3
+    got = {r.doc_id: r for r in lm_scoring.score(d, model, out=lm_scoring.held_out()).collect()}
     for r in rows:
         w = [*lower_words(r.text), "</s>"]
         g = got[r.doc_id]
         assert (g.n_tokens, g.n_known, g.train_tokens, g.held_out) == (len(w), sum(x in unigrams for x in w), n, held[r.doc_id])
         assert math.isclose(g.base_score, sum(math.log10((unigrams[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(g.score, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w)), rel_tol=1e-9)
+        padded = ["<s>"] * (order - 1) + w
+        want = sum(math.log10(p(tuple(padded[k : k + order - 1]), padded[k + order - 1])) for k in range(len(w)))
+        assert math.isclose(g.score, want, rel_tol=1e-9)
+
+
+def test_longer_context_scores_better(spark, docs):
+    d = docs.where("doc_id % 10 < 8")
+    sums = [lm_scoring.score(d, lm_scoring.train(d, order=k)).agg(F.sum("score")).first()[0] for k in (2, 3)]
+    assert sums[1] > sums[0]
 
 
-def test_scores_of_hard_rows(hard, empty):
-    model = lm_scoring.train(hard)
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_of_hard_rows(spark, hard, empty, order):
+    model = lm_scoring.train(hard, order=order)
     assert lm_scoring.score(hard, model).count() == len(HARD) and lm_scoring.score(empty, model).count() == 0
-    none = lm_scoring.train(empty)
+    none = lm_scoring.train(empty, order=order)
     assert {r.score for r in lm_scoring.score(hard.where("doc_id = 3"), none).collect()} == {0.0}
+    one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    p, *_ = kneser_ney(["a b"], order)
+    padded = ["<s>"] * (order - 1) + ["a", "b", "</s>"]
+    want = sum(math.log10(p(tuple(padded[k : k + order - 1]), padded[k + order - 1])) for k in range(3))
+    assert math.isclose(lm_scoring.score(one, lm_scoring.train(one, order=order)).first().score, want, rel_tol=1e-9)
 
 
 # Registered queries and the pipeline
