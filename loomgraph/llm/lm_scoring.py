@@ -45,10 +45,10 @@ HOT = 4096
 SPREAD = 64
 #: Bytes of text a bucket, and tokens that a task gathers before it counts and sends them; three words
 #: of so many tokens make one 64-bit number.
-BUCKET_BYTES = 24 << 20
-FLUSH = 2_400_000
+BUCKET_BYTES = 16 << 20
+FLUSH = 2_000_000
 #: Tokens that are scored together.
-SCORED = 1_000_000
+SCORED = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -143,11 +143,28 @@ def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(int(a), int(b))
 
 
+def in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """Places of rows of numbers in their order: by one 64-bit number where that holds them, as it does
+    for the words of a bucket, else column by column."""
+    code, room = None, 1
+    for k, c in enumerate(columns):
+        if k == 0 and len(columns) > 1:
+            c = np.unique(c, return_inverse=True)[1].ravel()  # few words v a bucket
+        low = int(c.min())
+        span = int(c.max()) - low + 1
+        room *= span
+        if room >= 1 << 64:
+            return np.lexsort(columns[::-1])
+        c = (c - np.asarray(low, c.dtype)).astype(np.uint64)
+        code = c if code is None else code * np.uint64(span) + c
+    return np.argsort(code)
+
+
 def grouped(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of numbers in order, with their counts added up."""
     if not len(counts):
         return columns, counts
-    order = np.lexsort(columns[::-1])
+    order = in_order(columns)
     columns = [c[order] for c in columns]
     new = np.ones(len(counts), bool)
     new[1:] = False
@@ -163,6 +180,19 @@ def profile(groups: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(groups, x, n).astype(np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
 
 
+def shifted(places: np.ndarray, mark: int, u: np.ndarray, v: np.ndarray, find: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Places of u and v from those of w, of which they are the words before; where a text is cut the first are found anew."""
+    vi = np.empty_like(places)
+    vi[1:] = places[:-1]
+    vi[:1] = find(v[:1])
+    vi[v == BEGIN] = mark
+    ui = np.empty_like(places)
+    ui[1:] = vi[:-1]
+    ui[:1] = find(u[:1])
+    ui[u == BEGIN] = mark
+    return ui, vi
+
+
 def of_counts(counts: np.ndarray) -> np.ndarray:
     """How many things were seen once to four times."""
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64)
@@ -275,9 +305,12 @@ def numbers_of(model: Model, h: np.ndarray) -> np.ndarray:
 def _gram_blocks(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u, v, w in _tokens_in(batches):
-            words = np.unique(np.append(w, BEGIN))
+            words, wi = np.unique(np.concatenate([w, [BEGIN], u[:1], v[:1]]), return_inverse=True)
             n = np.uint64(len(words))
-            ranks = [np.searchsorted(words, x).astype(np.uint64) for x in ((v, u, w) if model.order == 3 else (v, w))]
+            find = lambda x, words=words: np.searchsorted(words, x)
+            wi = wi[: len(w)]
+            ui, vi = shifted(wi, int(find(BEGIN)), u, v, find)
+            ranks = [x.astype(np.uint64) for x in ((vi, ui, wi) if model.order == 3 else (vi, wi))]
             code = ranks[0]
             for r in ranks[1:]:
                 code = code * n + r
@@ -548,11 +581,17 @@ def _positions(model: Model, name: str, b: int, key: np.ndarray) -> tuple[np.nda
 def _looked_up(bucket: np.ndarray, key: np.ndarray, ask: Callable, width: int) -> np.ndarray:
     """Values of n-grams in any order: distinct ones are asked for bucket by bucket, in the order of keys."""
     out = np.zeros((len(key), width), np.int64)
-    order = np.lexsort((key, bucket))
-    for b, at in _runs(bucket[order]):
-        rows = order[at]
-        own, inverse = np.unique(key[rows], return_inverse=True)
-        out[rows] = ask(b, own)[inverse]
+    if not len(key):
+        return out
+    order = in_order([bucket, key >> np.uint64(24)])
+    bucket, key = bucket[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+    first = np.flatnonzero(new)
+    values = np.empty((len(first), width), np.int64)
+    for b, at in _runs(bucket[first]):
+        values[at] = ask(b, key[first[at]])
+    out[order] = values[np.cumsum(new) - 1]
     return out
 
 
@@ -587,37 +626,43 @@ def score_tokens(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> t
     if not model.tokens:
         flat = np.full(len(w), -np.log10(model.words + 1.0))
         return np.zeros(len(w), bool), flat, flat
-    h = np.unique(np.append(w, BEGIN))
+    h, wi = np.unique(np.append(w, BEGIN), return_inverse=True)
+    wi = wi[: len(w)]
     number = numbers_of(model, h)
     rows = _vocabulary(model, h, number)
-    ui, vi, wi = (np.searchsorted(h, x) for x in (u, v, w))
+    find = lambda x: np.searchsorted(h, x)
+    ui, vi = shifted(wi, int(find(BEGIN)), u, v, find)
     un, vn, wn = number[ui], number[vi], number[wi]
+    # the buckets of `dealt` and `_spread`, by distinct word
+    home, spread = bucket_of(h, model.buckets)[vi], (textcore.mix(h) % np.uint64(SPREAD)).astype(np.int64)
+    hot = is_hot(model, h)[vi]
+    whole = home.copy()
+    whole[hot] = (whole[hot] + spread[(ui if model.order == 3 else wi)[hot]]) % model.buckets
     d1 = model.discounts[0]
     left_words = rows[:, 1]
     one = np.maximum(left_words - d1[np.minimum(left_words, 3)], 0) / model.pair_types + model.left_over / (model.words + 1.0)
     base = np.log10((rows[:, 0] + 1.0) / (model.tokens + 1.0 * (model.words + 1)))
     pair = np.zeros(len(w), np.int64)
-    known = np.flatnonzero((vn >= 0) & (wn >= 0))
-    hot = is_hot(model, v[known])
-    for of_hot, name in ((False, "pair"), (True, "hot-pair" if model.order == 3 else "pair")):
-        at = known[hot == of_hot]
-        if not of_hot:
-            bucket = bucket_of(v[at], model.buckets)
-        else:
-            bucket = _spread(model, vn[at], wn[at]) if model.order == 3 else dealt(model, v[at], w[at])
-        pair[at] = _looked_up(bucket, key_of(vn[at], wn[at]), lambda b, key, name=name: _counts(model, name, b, key), 1)[:, 0]
+    known = (vn >= 0) & (wn >= 0)
+    if model.order == 3:
+        at = np.flatnonzero(known & hot)
+        split = (home[at] + (textcore.mix(number.astype(np.uint64)) % np.uint64(SPREAD)).astype(np.int64)[wi[at]]) % model.buckets
+        pair[at] = _looked_up(split, key_of(vn[at], wn[at]), lambda b, key: _counts(model, "hot-pair", b, key), 1)[:, 0]
+        known &= ~hot
+    at = np.flatnonzero(known)
+    pair[at] = _looked_up(whole[at], key_of(vn[at], wn[at]), lambda b, key: _counts(model, "pair", b, key), 1)[:, 0]
     p = _interpolated(pair, rows[vi, 2:], model.discounts[1], one[wi])
     if model.order == 3:
         at = np.flatnonzero((un >= 0) & (vn >= 0))
-        bucket, context = dealt(model, v[at], u[at]), np.zeros((len(w), 4), np.int64)
-        context[at] = _looked_up(bucket, key_of(un[at], vn[at]), lambda b, key: _profiles(model, b, key), 4)
+        context = np.zeros((len(w), 4), np.int64)
+        context[at] = _looked_up(whole[at], key_of(un[at], vn[at]), lambda b, key: _profiles(model, b, key), 4)
         before = np.zeros(len(w), np.int64)
         before[1:] = pair[:-1]  # the pair (u, v) is that of the token before, in a text
         once = (context[:, 0] == 0) & (before > 0) & (v != BEGIN)
         context[once] = (1, 1, 0, 0)
         at = np.flatnonzero((context[:, 0] > 0) & (wn >= 0))
         triple = np.zeros(len(w), np.int64)
-        triple[at] = _looked_up(dealt(model, v[at], u[at]), key_of(un[at], vn[at], wn[at]), lambda b, key: _counts(model, "triple", b, key), 1)[:, 0]
+        triple[at] = _looked_up(whole[at], key_of(un[at], vn[at], wn[at]), lambda b, key: _counts(model, "triple", b, key), 1)[:, 0]
         p = _interpolated(triple, context, model.discounts[2], p)
     return rows[wi, 0] > 0, base[wi], np.log10(p)
 
