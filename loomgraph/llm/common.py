@@ -55,11 +55,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, so a lost
-    executor costs a read and not the work before it. keep: a result that is still to run reads it."""
+    executor costs a read and not the work before it. keep: a result that is still to run reads it, so
+    that it outlives its scope and is left to the one around that, if any."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    level = len(_scopes) - (2 if keep else 1)
+    if level >= 0:
+        _scopes[level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

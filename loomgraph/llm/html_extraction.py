@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import new_path, scope, stored, table
+from loomgraph.llm.common import new_path, remove, scope, stored, table
 from loomgraph.llm.shared_files import mapped, write_array
 
 # Fixed values of HTML.
@@ -578,6 +578,7 @@ def extract(pages: DataFrame) -> DataFrame:
         rows = d.withColumn("host_key", F.xxhash64("host")).mapInArrow(_blocks(lookup), f"page_id {kind}, url string, host string, host_key long, page long, blocks {_BLOCK}, slots {_SLOT}")
         blocks = stored(rows, "blocks", keep=True)
         template, regions = template_of(blocks, wrappers)
+        remove(pages.sparkSession, lookup.path)
     return blocks.select("page_id", "url", "host_key", "blocks").mapInArrow(_chosen(template, regions), f"page_id {kind}, url string, text string")
 
 

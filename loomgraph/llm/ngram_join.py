@@ -86,7 +86,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_classes(docs: DataFrame, text_col: str) -> np.ndarray:
     """log2 of each sketch cell's count, over all documents: 4 MB, whatever the input."""
-    parts = docs.select(text_col).mapInArrow(_sketch, "block int, counts binary")
+    parts = docs.select(text_col).mapInArrow(textcore.lean(_sketch), "block int, counts binary")
     merged = parts.repartition(BLOCKS, "block").mapInArrow(_merge, "block int, classes binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     size = len(out) // BLOCKS
@@ -242,7 +242,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, classes: objec
     d = d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     wanted = spark.sparkContext.broadcast(bits)
     rows = docs.select(cell(id_col).alias("c"), F.col(text_col).alias("t"))
-    sets = stored(rows.mapInArrow(_candidate_sets(classes, wanted), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "sets")
+    sets = stored(rows.mapInArrow(textcore.lean(_candidate_sets(classes, wanted)), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "sets")
     one = d.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
     both = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
@@ -289,13 +289,13 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col), F.col(text_col))
     classes = spark.sparkContext.broadcast(frequency_classes(d, text_col))
     id_type = d.schema[0].dataType.simpleString()
-    sig = stored(d.mapInArrow(_signatures(classes), f"id {id_type}, n long, node long, grp long, prefix array<long>"), "signatures", keep=True)
+    sig = stored(d.mapInArrow(textcore.lean(_signatures(classes)), f"id {id_type}, n long, node long, grp long, prefix array<long>"), "signatures", keep=True)
     nodes = stored(sig.where("n > 0").groupBy("node", "n", "grp").agg(F.min("id").alias("id")), "nodes")
 
     tokens = sig.where("n > 0").select("grp", "n", F.posexplode("prefix").alias("i", "token")).select("token", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("n")).alias("packed"), "grp")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = tokens.repartition(parts, "token").sortWithinPartitions("token", "packed", "grp")
-    found = stored(dealt.mapInArrow(_runs, "kind int, x long, y long, z long"), "runs")
+    found = stored(dealt.mapInArrow(textcore.lean(_runs), "kind int, x long, y long, z long"), "runs")
     met = stored(found.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("met")), "met")
     put_by = found.where("kind = 1").select(F.col("x").alias("token"), F.shiftright("y", 32).alias("i"), F.col("z").alias("grp")).distinct()
     put_by = stored(put_by, "put_by")

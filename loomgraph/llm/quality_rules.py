@@ -115,7 +115,7 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, features: tuple[str, ...] = FEAT
     for f in range(x.shape[1]):  # the bad rows' own quantiles too, as they may all lie beyond one cut
         if bad.any():
             grid[f] = np.unique(np.concatenate([grid[f], np.quantile(x[bad, f], np.linspace(0, 1, cuts))]))
-    while len(rules) < 32:
+    while True:  # each rule takes `least` bad rows at least away
         grow, prune = alive & part, alive & ~part
         tests: list[tuple[int, bool, float]] = []
         rows = np.flatnonzero(grow)

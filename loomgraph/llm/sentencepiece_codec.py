@@ -38,7 +38,7 @@ UNKNOWN_PENALTY = 10.0
 #: Segments of up to so many bytes are encoded together.
 TOGETHER = 64
 #: Segments that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1 << 18
 _EXACT = textcore._RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -347,16 +347,17 @@ def _encode(shared: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            texts = _marked(batch.column(1))
-            for first, data, offsets in textcore.chunks(texts):
-                ids, at = encoder.encode(data, offsets)
-                back, upto = decode_bytes(encoder.codec, ids)
-                whole = np.diff(upto[at]) == np.diff(offsets)
-                if len(back) == len(data):
-                    wrong = np.concatenate([[0], np.cumsum(back != data)])
-                    whole &= wrong[offsets[1:]] == wrong[offsets[:-1]]
-                n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(whole)], ["id", "ids", "round_trip"])
+            for part in textcore.slices(batch, 1):
+                texts = _marked(part.column(1))
+                for first, data, offsets in textcore.chunks(texts):
+                    ids, at = encoder.encode(data, offsets)
+                    back, upto = decode_bytes(encoder.codec, ids)
+                    whole = np.diff(upto[at]) == np.diff(offsets)
+                    if len(back) == len(data):
+                        wrong = np.concatenate([[0], np.cumsum(back != data)])
+                        whole &= wrong[offsets[1:]] == wrong[offsets[:-1]]
+                    n = len(offsets) - 1
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(first, n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(whole)], ["id", "ids", "round_trip"])
 
     return run
 
@@ -366,7 +367,7 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(codec)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = d.schema[0].dataType.simpleString()
-    return d.mapInArrow(_encode(shared), f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return d.mapInArrow(textcore.lean(_encode(shared)), f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def _decode(shared: object) -> Callable:

@@ -7,10 +7,11 @@ so that the cost is a few numpy passes for each byte whatever the number of word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RANDOM = np.random.default_rng(20240229)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,6 +51,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about `most` bytes together; a longer text is one of its own, whole."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, first = np.cumsum(size), 0
+    while first < batch.num_rows:
+        before = upto[first - 1] if first else 0
+        last = max(int(np.searchsorted(upto, before + most, "right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function over batches, which at its end gives freed Arrow memory back: a worker stays for other
+    tasks, and beside it others need the room."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return out
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about CHUNK_BYTES; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):

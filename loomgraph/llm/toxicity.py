@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm import textcore
 from loomgraph.llm.common import stored, table
 
 #: Labelled rows that the learner may see: those of smallest md5(doc_id).
@@ -369,8 +370,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
 def _count_features(auto: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in textcore.slices(batch, 0):
                 counts = features(auto.value, part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(counts), pa.list_(pa.float64()))], ["toxic", "counts"])
 
@@ -397,15 +397,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Scorer:
     return scorer
 
 
-#: Texts that are scored together; a longer text is scored in its place, whole.
-BATCH_TEXTS = 256
-
-
 def _score(scorer: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(k, BATCH_TEXTS)
+            for part in textcore.slices(batch, batch.num_columns - 1):
                 counts = features(scorer.value.auto, part.column(part.num_columns - 1).to_pylist())
                 score = scorer.value.scores(counts)
                 counts[:, 2] += counts[:, 7]
@@ -422,7 +417,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     """(id, score, predicted, hit counts) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    s = d.mapInArrow(_score(shared), f"id {d.schema[0].dataType.simpleString()}, score double, " + ", ".join(f"{n} long" for n in NAMES))
+    s = d.mapInArrow(textcore.lean(_score(shared)), f"id {d.schema[0].dataType.simpleString()}, score double, " + ", ".join(f"{n} long" for n in NAMES))
     return s.select(F.col("id").alias(id_col), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *NAMES)
 
 
@@ -435,9 +430,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rejects(scorer: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(k, BATCH_TEXTS)
-                keep = scorer.value.scores(features(scorer.value.auto, part.column(part.schema.get_field_index("text")).to_pylist())) < THRESHOLD
+            text = batch.schema.get_field_index("text")
+            for part in textcore.slices(batch, text):
+                keep = scorer.value.scores(features(scorer.value.auto, part.column(text).to_pylist())) < THRESHOLD
                 yield part.filter(pa.array(keep))
 
     return run
@@ -446,4 +441,4 @@ def _rejects(scorer: object) -> Callable:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score THRESHOLD or more go; rows pass the scorer whole, so no join is needed."""
     scorer = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
-    return docs.mapInArrow(_rejects(scorer), docs.schema)
+    return docs.mapInArrow(textcore.lean(_rejects(scorer)), docs.schema)
