@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import mixing, ngram_join, quality_rules, sentencepiece_codec, toxicity
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import scope, stored, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -24,7 +24,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns; tables in between are removed but for the one that it reads."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    with scope(spark):
+        for name, stage in STAGES[:-2]:
+            with scope(spark):
+                docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        name, stage = STAGES[-2]
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
