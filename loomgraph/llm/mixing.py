@@ -5,7 +5,7 @@ are summed by (source, first digit); the digit where the running sum passes the
 boundary bucket, and only its rows are summed again by the next digit, and so on. A source whose
 target passes its size takes every document once and a second copy below its threshold (nested
 thresholds: what a smaller budget takes, a larger one takes too). No rows are sorted: windows run
-over histograms, of 65,536 rows for a source at most.
+over histograms, of 65,536 rows for a source at most, and over the sources of a range of names.
 
 Defined results: a null text has size 0; the null source is one source, ordered last; documents of
 one hash (repeated or null ids) are taken together; a source of size 0 has target 0; no rows give
@@ -29,23 +29,36 @@ def digits(id_col: str) -> list[Column]:
     return [F.conv(F.substring(h, 1 + 4 * k, 4), 16, 10).cast("int") for k in range(DIGITS)]
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with k, the place of src by code point, null last, from 0: sources are dealt by range, numbered
+    within a partition and moved up by the partitions before, so that no task holds all of them."""
+    key = [F.col("src").isNull(), F.col("src").cast("string").cast("binary")]
+    parts = max(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = stored(sizes.repartitionByRange(parts, *key).withColumn("p", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("p").agg(F.count("*").alias("c"))  # a row a partition
+    before = counts.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("p").orderBy(*key)) - 1
+    return dealt.withColumn("k", within).join(F.broadcast(before), "p").withColumn("k", F.col("k") + F.col("before")).drop("p", "before")
+
+
 def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, cap: int = 2) -> DataFrame:
     """(src, n, target) from (src, n): the shared budget by weight, each target at most cap * n.
 
-    Ordered by n / weight, the capped sources are a prefix, so one running sum finds how many are
-    capped and the level (words a weight) of the rest. One row a source."""
-    order = Window.orderBy(F.col("src").isNull(), F.col("src").cast("binary"))
-    k = (F.row_number().over(order) - 1) % len(weights)
-    d = sizes.withColumn("w", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), k + 1))
-    every = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("n") / F.col("w"), F.col("src").isNull(), F.col("src").cast("binary"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumns({"all_n": F.sum("n").over(every), "all_w": F.sum("w").over(every), "n0": F.coalesce(F.sum("n").over(before), F.lit(0)), "w0": F.coalesce(F.sum("w").over(before), F.lit(0))})
-    level = (F.lit(share) * F.col("all_n") - cap * F.col("n0")) / (F.col("all_w") - F.col("w0"))
-    d = d.withColumn("level", level)
-    # the first source, in this order, that its level does not cap: from there on the level is shared
-    d = d.withColumn("shared", F.min(F.when(F.col("level") <= cap * F.col("n") / F.col("w"), F.struct(F.col("n") / F.col("w"), F.col("level").alias("level")))).over(every)["level"])
-    return d.select("src", "n", F.least((cap * F.col("n")).cast("double"), F.coalesce(F.col("shared") * F.col("w"), (cap * F.col("n")).cast("double"))).alias("target"))
+    The level (words a weight) starts with no source capped and rises as the excess of those above it is
+    shared again, until none is above; each step is one aggregate of two sums. One row a source."""
+    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("k") % len(weights)).cast("int") + 1)
+    d = stored(ranked(sizes).select("src", "n", w.alias("w")), "weights", keep=True)
+    all_n, all_w = d.agg(F.sum("n"), F.sum("w")).first()
+    n0 = w0 = 0
+    level = share * (all_n or 0) / (all_w or 1)
+    while True:
+        above = cap * F.col("n") / F.col("w") < F.lit(level)
+        n1, w1 = d.agg(F.coalesce(F.sum(F.when(above, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(above, F.col("w"))), F.lit(0))).first()
+        if w1 == (all_w or 0) or (n1, w1) == (n0, w0):
+            break
+        n0, w0, level = n1, w1, (share * all_n - float(cap * n1)) / (all_w - w1)
+    every = (cap * F.col("n")).cast("double")
+    return d.select("src", "n", F.least(every, F.lit(float(level)) * F.col("w")).alias("target"))
 
 
 def thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
@@ -114,16 +127,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
 r AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS w FROM s),
-o AS (SELECT *, sum(n) OVER () AS all_n, sum(w) OVER () AS all_w,
-        coalesce(sum(n) OVER (ORDER BY n / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n0,
-        coalesce(sum(w) OVER (ORDER BY n / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0 FROM r),
-l AS (SELECT *, (CAST(1.5 AS DOUBLE) * CAST(all_n AS DOUBLE) - CAST(2 * n0 AS DOUBLE)) / CAST(all_w - w0 AS DOUBLE) AS level FROM o),
-t AS (SELECT source, n, least(CAST(2 * n AS DOUBLE), (SELECT arg_min(level, n / w) FROM l WHERE level <= CAST(2 * n AS DOUBLE) / w) * w) AS target FROM l),
+a AS (SELECT CAST(sum(n) AS DOUBLE) AS all_n, CAST(sum(w) AS DOUBLE) AS all_w FROM r),
+l(level) AS (
+  SELECT CAST(1.5 AS DOUBLE) * all_n / all_w FROM a
+  UNION
+  SELECT (CAST(1.5 AS DOUBLE) * any_value(all_n) - coalesce(CAST(sum(CASE WHEN 2 * n / w < level THEN 2 * n END) AS DOUBLE), 0)) / (any_value(all_w) - coalesce(CAST(sum(CASE WHEN 2 * n / w < level THEN w END) AS DOUBLE), 0))
+  FROM l, r, a GROUP BY level),
+t AS (SELECT source, n, least(CAST(2 * n AS DOUBLE), (SELECT max(level) FROM l) * w) AS target FROM r),
 f AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS copies FROM t),
 g AS (SELECT d.doc_id, d.size, f.n, f.target, f.copies, f.target - f.copies * f.n AS rest,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,

@@ -565,6 +565,30 @@ def test_mix_meets_its_targets(spark, docs, hard):
     assert all(abs(taken[s] - target[s]) <= max(n for _, n in by[s]) for s in sizes)
 
 
+def test_targets_of_equal_sources(spark):
+    """Sources of one size and weight, capped ones, empty ones: the whole budget is shared."""
+    r = random.Random(5)
+    for sizes in ([100, 10, 10, 100], [0, 0, 0], [7], [r.choice((0, 3, 50, 50, 400, 9000)) for _ in range(60)]):
+        names = [None] + [f"s{k:03d}" for k in range(len(sizes) - 1)]
+        got = {x.src: x.target for x in mixing.targets(spark.createDataFrame(list(zip(names, sizes, strict=True)), "src string, n long")).collect()}
+        _, want, _ = mixed([(k, "w " * n, s) for k, (s, n) in enumerate(zip(names, sizes, strict=True))])
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+        assert math.isclose(sum(got.values()), 1.5 * sum(sizes))
+
+
+def test_mix_sql_of_equal_sources(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, "w " * (k % 7), s) for k, s in enumerate(x for s, n in (("a", 90), ("b", 9), ("c", 9), ("d", 90), (None, 40), ("é", 90), ("", 90)) for x in [s] * n)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    r = c.execute(mixing.SQL)
+    names = [x[0] for x in r.description]
+    want = sorted(tuple(x[names.index(k)] for k in sorted(names)) for x in r.fetchall())
+    assert sorted(tuple(x[k] for k in sorted(names)) for x in mixing.query(spark, str(tmp_path)).collect()) == want
+
+
 def test_mix_of_no_rows(empty):
     assert mixing.mix(empty).count() == 0
 
