@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEI
     The level (words a weight) starts with no source capped and rises as the excess of those above it is
     shared again, until none is above; each step is one aggregate of two sums. One row a source."""
     w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("k") % len(weights)).cast("int") + 1)
-    d = stored(ranked(sizes).select("src", "n", w.alias("w")), "weights", keep=True)
+    d = stored(ranked(sizes).select("src", "n", w.alias("w")), "weights")
     all_n, all_w = d.agg(F.sum("n"), F.sum("w")).first()
     n0 = w0 = 0
     level = share * (all_n or 0) / (all_w or 1)
