@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.sources.shared import cut
+from loomgraph.sources.shared import cut, scope
 
 RANK = {"directory": 0, "file": 1, "function": 2}
 
@@ -28,6 +28,11 @@ def sibling_order(nodes: DataFrame, contains: DataFrame) -> DataFrame:
 def flatten(nodes: DataFrame, contains: DataFrame, roots: DataFrame) -> DataFrame:
     """(path_key, id, label, depth, type, has_children) in pre-order of path_key; directories end in '/';
     a node of two parents stands under both. A job a level; a cycle ends where a node would hold itself."""
+    with scope(nodes.sparkSession):
+        return cut(_flattened(nodes, contains, roots), keep=True)
+
+
+def _flattened(nodes: DataFrame, contains: DataFrame, roots: DataFrame) -> DataFrame:
     kids = contains.select(F.col("src").alias("parent"), F.col("dst").alias("id")).distinct().join(nodes.select("id", "type", "name", "line"), "id")
     kids = cut(kids.withColumn("key", _key()))
     has = kids.select(F.col("parent").alias("id")).distinct().withColumn("has", F.lit(True))

@@ -1,16 +1,23 @@
-"""Iterative walks over call and containment edges: a job a level, lineage cut at each."""
+"""Iterative walks over call and containment edges: a job a level, lineage cut at each.
+
+What a walk returns is one table; those of its levels are removed when it ends."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sources.shared import cut
+from loomgraph.sources.shared import cut, scope
 
 
 def closure(calls: DataFrame, seeds: DataFrame, callers: bool = True, max_depth: int | None = None) -> DataFrame:
     """(seed, id, depth): everything that calls a seed (or is called by it) directly or not, with the
     fewest calls between. A seed itself is in only if it lies on a cycle. All seeds walk together."""
+    with scope(calls.sparkSession):
+        return cut(_closed(calls, seeds, callers, max_depth), keep=True)
+
+
+def _closed(calls: DataFrame, seeds: DataFrame, callers: bool, max_depth: int | None) -> DataFrame:
     near, far = ("dst", "src") if callers else ("src", "dst")
     steps = cut(calls.select(F.col(near).alias("at"), F.col(far).alias("id")).distinct())
     frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct()
@@ -39,6 +46,11 @@ def shortest_paths(calls: DataFrame, requests: DataFrame) -> DataFrame:
 
     Distances to the end are found level by level backwards; each node's next step is then its edge of
     smallest edge_ord that comes one nearer, so no path is carried along."""
+    with scope(calls.sparkSession):
+        return cut(_shortest(calls, requests), keep=True)
+
+
+def _shortest(calls: DataFrame, requests: DataFrame) -> DataFrame:
     edges = cut(calls.groupBy("src", "dst").agg(F.min("edge_ord").alias("edge_ord")))
     want = cut(requests.select("start", "end").distinct())
     level = want.select("end", F.col("end").alias("id"), F.lit(0).alias("d")).distinct()
@@ -69,6 +81,11 @@ def ancestors(contains: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, id, distance): what contains a seed, up to the root; of several parents that of the first
     edge (smallest edge_ord where contains has it, else smallest id). On a cycle a walk ends where it
     would meet an id again."""
+    with scope(contains.sparkSession):
+        return cut(_above(contains, seeds), keep=True)
+
+
+def _above(contains: DataFrame, seeds: DataFrame) -> DataFrame:
     order = "edge_ord" if "edge_ord" in contains.columns else "src"
     parent = cut(contains.groupBy(F.col("dst").alias("at")).agg(F.min_by("src", F.struct(order, "src")).alias("id")))
     level = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct()

@@ -119,8 +119,8 @@ query("f1_resolve_symbol", "SELECT s AS symbol, CASE WHEN e THEN 'exact' WHEN n
 query("f2_find_symbol", "SELECT * FROM nodes WHERE type = 'function' AND name = 'red_widget'")(lambda d: lookup.functions_named(d.nodes, "red_widget"))
 query("f3_node_details", "SELECT * FROM nodes WHERE id = 'economy.red_widget'")(lambda d: lookup.node_details(d.nodes, "economy.red_widget"))
 query("f4_file_symbols", "SELECT * FROM nodes WHERE type = 'function' AND path = (SELECT min(path) FROM fnodes)")(lambda d: lookup.symbols_of_file(d.nodes, d.fnodes.agg(F.min("path")).first()[0]))
-query("f5_source_slice", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, p_partkey % 1000 AS doc, start_line % 7 + 1 AS a, start_line % 7 + 1 + p_partkey % 4 AS b FROM symbols) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")(
-    lambda d: lookup.source_slices(d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1000).cast("string").alias("path"), (F.col("start_line") % 7 + 1).alias("line"), (F.col("start_line") % 7 + 1 + F.col("p_partkey") % 4).cast("int").alias("end_line")), d.lines)
+query("f5_source_slice", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, p_partkey % (SELECT count(*) FROM documents) AS doc, start_line % 7 + 1 AS a, start_line % 7 + 1 + p_partkey % 4 AS b FROM symbols) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")(
+    lambda d: lookup.source_slices(d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % d.documents.count()).cast("string").alias("path"), (F.col("start_line") % 7 + 1).alias("line"), (F.col("start_line") % 7 + 1 + F.col("p_partkey") % 4).cast("int").alias("end_line")), d.lines)
 )
 
 @query("f5_source_slice_all", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, doc_id, p_partkey * 31 % len(parts) + 1 AS a, p_partkey * 31 % len(parts) + 1 + CASE WHEN p_partkey % 4 = 0 THEN 20 ELSE p_partkey % 4 END AS b FROM symbols JOIN (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)) ON doc_id = p_partkey % (SELECT count(*) FROM documents) WHERE len(parts) > 0) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc_id AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")

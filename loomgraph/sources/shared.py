@@ -1,17 +1,22 @@
-"""Cutting lineage through the folder that all executors see."""
+"""Cutting lineage through the folder that all executors see, and removing what was written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written: the session's own, then those of the scopes that are open, innermost last.
+_written: list[list[str]] = [[]]
 
-def shared_dir(df: DataFrame) -> str:
+
+def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset a session in one local process gets a
     temporary one; a cluster has no folder of its own that all its machines see, so there it is an error."""
-    conf, master = df.sparkSession.conf, df.sparkSession.sparkContext.master
+    conf, master = spark.conf, spark.sparkContext.master
     at = conf.get("spark.checkpoint.dir", None)
     if not at:
         if not master.startswith("local[") and master != "local":
@@ -21,9 +26,42 @@ def shared_dir(df: DataFrame) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, name: str = "table", keep: bool = False) -> str:
+    """A path of its own in the shared folder. It goes with the innermost scope; keep: with the one around that."""
+    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
+    _written[-2 if keep and len(_written) > 1 else -1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside, but for those to keep, are removed at its end."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            remove(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that no scope has: results returned before can't be read any more."""
+    paths, _written[0] = _written[0], []
+    for path in paths:
+        remove(spark, path)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """df written to the shared folder and read back: later steps plan over a table and not over all
-    steps before, and a lost executor costs a read."""
-    path = f"{shared_dir(df)}/loomgraph-{uuid.uuid4().hex}"
+    steps before, and a lost executor costs a read. keep: a result still to run reads it, so it
+    outlives its scope."""
+    spark = df.sparkSession
+    path = new_path(spark, keep=keep)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

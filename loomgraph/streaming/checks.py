@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.trace import parse
-from loomgraph.sources.shared import shared_dir
+from loomgraph.sources.shared import new_path
 from loomgraph.streaming import live
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _path(df: DataFrame) -> str:
-    return f"{shared_dir(df)}/loomgraph-stream-{uuid.uuid4().hex}"
+    return new_path(df.sparkSession, "stream")
 
 
 def _lines(trace: DataFrame) -> DataFrame:

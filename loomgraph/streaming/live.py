@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from loomgraph.operators.resolve import event_functions
 from loomgraph.operators.trace import parse, without_noise
+from loomgraph.sources.shared import remove
 
 
 def read_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -40,13 +41,16 @@ def malformed(lines: DataFrame) -> DataFrame:
 
 def merging(path: str, of_batch: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: what of_batch makes of a batch is merged with the table so far, and written
-    under the batch's number, so that a batch that runs again starts from the same table."""
+    under the batch's number, so that a batch that runs again starts from the same table. The table before
+    that one goes: no batch can ask for it again."""
 
     def write(batch: DataFrame, number: int) -> None:
         new = of_batch(batch)
         if number:
             new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/after={number - 1}"))
         merge(new).write.mode("overwrite").parquet(f"{path}/after={number}")
+        if number > 1:
+            remove(batch.sparkSession, f"{path}/after={number - 2}")
 
     return write
 
@@ -86,7 +90,8 @@ def running_numbers(events: DataFrame) -> DataFrame:
 
 def numbered_in_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for events with seq: (run_id, seq, fn, file, line, number), each batch's events
-    in the order of seq behind those of the batches before. What is kept is one count a run."""
+    in the order of seq behind those of the batches before. What is kept is one count a run, of the last
+    two batches."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -99,6 +104,8 @@ def numbered_in_batches(path: str) -> Callable[[DataFrame, int], None]:
             sizes = sizes.unionByName(before).groupBy("run_id").agg(F.sum("n").alias("n"))
         d.withColumnRenamed("k", "number").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
         sizes.write.mode("overwrite").parquet(f"{path}/counts={number}")
+        if number > 1:
+            remove(spark, f"{path}/counts={number - 2}")
 
     return write
 

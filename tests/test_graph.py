@@ -1,11 +1,13 @@
 import random
 from collections import deque
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from loomgraph.operators import graph, hierarchy, lookup, resolve, traverse
+from loomgraph.sources import shared
 
 EDGE = "edge_ord long, src string, dst string, line int"
 SYMBOL = "sym_ord int, id string, name string, path string, dir string, start_line int, end_line int"
@@ -151,3 +153,16 @@ def test_callees_match_a_plain_search(spark, symbols, facts):
         if fits:
             want[k] = min(fits)[2]
     assert {r.fact_ord: r.callee for r in resolve.resolve_callees(f, s).collect()} == want
+
+
+def test_walks_leave_one_table(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    pairs = [(f"n{k}", f"n{k + 1}") for k in range(10)]
+    before = set(folder.iterdir())
+    got = traverse.closure(edges_of(spark, pairs), ids(spark, "n10"))
+    assert len(set(folder.iterdir()) - before) == 1 and got.count() == 10
+    with shared.scope(spark):
+        assert traverse.ancestors(edges_of(spark, pairs), ids(spark, "n10")).count() == 10
+    assert len(set(folder.iterdir()) - before) == 1
+    shared.clear(spark)
+    assert not set(folder.iterdir()) - before
