@@ -1,67 +1,28 @@
-"""Shared helpers: the folder all executors see, and cutting lineage through it."""
+"""Shared helpers: tables, words, and cutting lineage through the folder that all executors see."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import new_path, scope
+
+__all__ = ["new_path", "scope", "stored", "table", "word_count", "words_of"]
+
 #: Java pattern for one run of the separators of `[^\x20\x09-\x0D]+`.
 SPACES = "[ \\x09-\\x0D]+"
-#: Paths written in the scopes that are open, innermost last.
-_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset a session in one local process gets a
-    temporary one; a cluster has no folder of its own that all its machines see, so there it is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside, but for those to keep, are removed at its end."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            remove(spark, path)
-
-
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, so a lost
     executor costs a read and not the work before it. keep: a result that is still to run reads it, so
     that it outlives its scope and is left to the one around that, if any."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    level = len(_scopes) - (2 if keep else 1)
-    if level >= 0:
-        _scopes[level].append(path)
+    path = new_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

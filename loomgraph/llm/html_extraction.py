@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import new_path, remove, scope, stored, table
+from loomgraph.llm.common import new_path, scope, stored, table
 from loomgraph.llm.shared_files import mapped, write_array
 
 # Fixed values of HTML.
@@ -435,10 +435,10 @@ def _write(to: Mapped) -> Callable:
     return run
 
 
-def _put(d: DataFrame, name: str) -> Mapped:
-    """d (key, or key and blob) as mapped files in the shared folder."""
+def _put(d: DataFrame, name: str, keep: bool = False) -> Mapped:
+    """d (key, or key and blob) as mapped files in the shared folder; keep: they outlive their scope."""
     spark = d.sparkSession
-    to = Mapped(new_path(spark, name), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    to = Mapped(new_path(spark, name, keep), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
     rows = d.select(F.pmod("key", F.lit(to.buckets)).cast("int").alias("bucket"), *d.columns)
     rows.repartitionById(to.buckets, F.col("bucket")).mapInArrow(_write(to), "n long").agg(F.sum("n")).first()
     return to
@@ -561,11 +561,11 @@ def template_of(blocks: DataFrame, wrappers: DataFrame) -> tuple[Mapped, Mapped]
     nodes = texts.groupBy("host_key", "node").agg(F.sum("pages").alias("all"), F.sum(F.when(again, F.col("pages"))).alias("repeating"), F.coalesce(plain, F.lit(0)).alias("chars"))
     nodes = stored(nodes, "votes-by-node")
     constant = nodes.where(F.col("repeating") >= REPEATING * F.col("all")).select("host_key", "node")
-    template = _put(texts.where(again).join(constant, ["host_key", "node"]).select("key").distinct(), "template")
+    template = _put(texts.where(again).join(constant, ["host_key", "node"]).select("key").distinct(), "template", keep=True)
     many = blocks.select("host_key", "page").distinct().groupBy("host_key").agg(F.count("*").alias("n")).where(F.col("n") >= REGION_PAGES).select("host_key")
     filled = nodes.where("node >= 0 and chars > 0").groupBy("host_key").agg(F.collect_list(F.struct("node", "chars")).alias("plain"))  # no more than a wrapper's nodes
     found = wrappers.join(many, "host_key").join(filled, "host_key").select("host_key", "shape", "plain")
-    return template, _put(found.mapInArrow(_regions, "key long, blob binary"), "regions")
+    return template, _put(found.mapInArrow(_regions, "key long, blob binary"), "regions", keep=True)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -578,7 +578,6 @@ def extract(pages: DataFrame) -> DataFrame:
         rows = d.withColumn("host_key", F.xxhash64("host")).mapInArrow(_blocks(lookup), f"page_id {kind}, url string, host string, host_key long, page long, blocks {_BLOCK}, slots {_SLOT}")
         blocks = stored(rows, "blocks", keep=True)
         template, regions = template_of(blocks, wrappers)
-        remove(pages.sparkSession, lookup.path)
     return blocks.select("page_id", "url", "host_key", "blocks").mapInArrow(_chosen(template, regions), f"page_id {kind}, url string, text string")
 
 

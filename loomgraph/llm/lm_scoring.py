@@ -499,7 +499,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
 def _trained(texts: DataFrame, order: int) -> Model:
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]).cast("long"))).first()[0] or 0
-    model = Model(new_path(spark, "lm"), order, 1 + size // BUCKET_BYTES)
+    model = Model(new_path(spark, "lm", keep=True), order, 1 + size // BUCKET_BYTES)
     blocks = texts.mapInArrow(_word_blocks(model), "bucket int, n long, h binary, c binary")
     sums = _by_bucket(blocks, model.buckets).mapInArrow(_write_words(model), "bucket long, types long, tokens long").collect()  # a row a bucket
     types = np.zeros(model.buckets + 1, np.int64)
