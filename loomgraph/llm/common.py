@@ -35,3 +35,17 @@ def words_of(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """How many `[^\\x20\\x09-\\x0D]+` a text has, as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def grid_vectors(vectors: DataFrame, scale: int, vec_col: str, keep: dict[str, str], most: int) -> tuple[DataFrame, int]:
+    """(columns of keep as they are named there, x array<long>) and the length of x: floor(scale * component), within
+    -most..most, of the vectors without null or non-finite components and of that length which most of them have
+    (of equally many the shortest). A vector without components takes no part."""
+    v = F.transform(F.col(vec_col), lambda c: c.cast("double"))
+    d = vectors.select(*[F.col(c).alias(new) for c, new in keep.items()], v.alias("v"))
+    fine = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    d = d.where(F.forall("v", fine) & (F.size("v") > 0))
+    first = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    dim = first[0] if first else 0
+    held = lambda c: F.greatest(F.lit(-float(most)), F.least(F.lit(float(most)), F.floor(c * F.lit(float(scale))).cast("double"))).cast("long")
+    return d.where(F.size("v") == dim).select(*keep.values(), F.transform("v", held).alias("x")), dim

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat_formatting, html_extraction, lm_scoring, mixing, nearest_neighbours, ngram_join, quality_rules, sentencepiece_codec, toxicity, warc
+from loomgraph.llm import byte_bpe, chat_formatting, html_extraction, lm_scoring, mixing, nearest_neighbours, ngram_join, quality_rules, sentencepiece_codec, toxicity, vector_codes, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_html_extraction": html_extraction.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_whitening": whitening.query,
+    "op13_byte_bpe": byte_bpe.query,
 }
 
 ORACLES = {
