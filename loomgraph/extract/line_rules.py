@@ -1,4 +1,5 @@
-"""Definitions and call sites from source text, by a table of rules (native).
+"""Definitions and call sites from source text, by a table of rules (native): Python, and languages with rules of a
+user's own. C, Go and JavaScript are read by tokens; their rules here are what a user's start from.
 
 1. Strings and comments are blanked over the whole file, so that quotes and comments of several lines
    are one token; their line breaks stay as marks. A parameter list over several lines, and a brace on
@@ -7,8 +8,8 @@
 3. Rules are applied to each line. A definition ends on the first line at or after it that takes the
    depth back to that before it; its class is the innermost one around it.
 
-Known gaps: calls inside string interpolation, regular-expression literals that hold quotes or braces,
-parameter lists with parentheses nested more than once.
+Known gaps: calls inside string interpolation, and for rules of brace languages regular-expression literals
+that hold quotes or braces, parameter lists with parentheses nested more than once.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class Rule:
 # Words of each language that look like names before a parenthesis.
 NOT_C = ("if", "for", "while", "switch", "return", "else", "do", "case", "sizeof", "void", "char", "short", "int", "long", "float", "double", "signed", "unsigned", "const", "volatile", "struct", "union", "enum", "defined")
 NOT_GO = ("if", "for", "switch", "return", "func", "else", "case", "go", "defer", "select", "range")
-NOT_JS = ("if", "for", "while", "switch", "catch", "return", "function", "else", "do", "case", "typeof", "new", "await", "in", "of", "with", "super", "void", "delete", "throw", "yield")
+NOT_JS = ("if", "for", "while", "switch", "catch", "return", "function", "else", "do", "case", "typeof", "new", "await", "in", "of", "with", "super", "void", "delete", "throw", "yield", "import")
 NOT_JS_METHOD = ("if", "for", "while", "switch", "catch", "function", "with")
 NOT_PYTHON = ("if", "elif", "else", "while", "for", "in", "return", "not", "and", "or", "is", "lambda", "assert", "yield", "del", "raise", "except", "with", "class", "def", "import", "from", "await", "async")
 _NAME = r"[A-Za-z_$][\w$]*"
@@ -132,10 +133,11 @@ def logical_lines(clean: DataFrame) -> DataFrame:
     return d.select("path", "lang", "line_no", "end_no", "code", F.when(python, F.col("indent")).otherwise(F.col("before")).cast("int").alias("before"), F.when(python, following).otherwise(F.col("after")).cast("int").alias("after"))
 
 
-def unbalanced(clean: DataFrame) -> DataFrame:
-    """(path, lang, error) of files whose brackets do not close."""
-    open_ = _count(F.col("code"), "(\\[{") - _count(F.col("code"), ")\\]}")
-    return clean.where(open_ != 0).select("path", "lang", F.concat(F.lit("brackets do not close: "), open_.cast("string")).alias("error"))
+def brackets(clean: DataFrame) -> DataFrame:
+    """(path, k, line, text, is_punct) of the brackets of clean_files, in their order."""
+    lines = clean.select("path", F.posexplode(F.split(F.translate("code", MARK, "\n"), "\n")).alias("n", "code"))
+    found = lines.select("path", "n", F.posexplode(F.regexp_extract_all("code", F.lit(r"[(\[{}\])]"), 0)).alias("j", "text"))
+    return found.select("path", F.struct("n", "j").alias("k"), (F.col("n") + 1).alias("line"), "text", F.lit(True).alias("is_punct"))
 
 
 def hits(lines: DataFrame, kind: str, rules: list[Rule] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.extract import line_rules
+from loomgraph.extract import line_rules, token_rules, tokens
 from loomgraph.functions.paths import LANGUAGE_SUFFIXES, dirname, function_id, go_package, suffix
 from loomgraph.sources.shared import cut
 
@@ -22,13 +22,15 @@ CALL_TYPE = "lang string, path string, line int, start_line int, end_line int, s
 
 @dataclass
 class Extractor:
-    """Either rules for the line scan, or functions (path, content) -> rows of a user's own."""
+    """Rules for the line scan, or the windows over tokens that the library has for the language, or functions
+    (path, content) -> rows of a user's own."""
 
     lang: str
     suffixes: tuple[str, ...]
     definitions: Callable | None = None
     calls: Callable | None = None
     rules: list[line_rules.Rule] = field(default_factory=list)
+    by_tokens: bool = False
 
 
 _all: dict[str, Extractor] = {}
@@ -44,7 +46,7 @@ def extractors() -> list[Extractor]:
 
 
 for _lang, _suffixes in LANGUAGE_SUFFIXES:
-    register_extractor(Extractor(_lang, _suffixes, rules=[r for r in line_rules.RULES if r.lang == _lang]))
+    register_extractor(Extractor(_lang, _suffixes, rules=[r for r in line_rules.RULES if r.lang == _lang], by_tokens=_lang in tokens.LANGUAGES))
 
 
 def _routed(files: DataFrame) -> DataFrame:
@@ -81,28 +83,44 @@ def _of_functions(files: DataFrame, part: str, schema: pa.Schema, kind: str) ->
     return out
 
 
-def _clean(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _no_content(files: DataFrame, langs: list[str]) -> DataFrame:
+    return files.where(F.col("lang").isin(*langs) & F.col("content").isNull()).select("path", F.lit("no content").alias("error"))
+
+
+def _clean(files: DataFrame, rules: list[line_rules.Rule]) -> tuple[DataFrame, DataFrame]:
     """(path, lang, code) of the files that rules scan, and (path, error) of those without content or
     whose brackets do not close. Python files of the second kind are left out: their lines cannot be told."""
-    f = files.where(F.col("lang").isin(*[e.lang for e in _all.values() if e.rules]))
-    clean = cut(line_rules.clean_files(f))  # each rule reads it
-    bad = line_rules.unbalanced(clean)
-    errors = bad.select("path", "error").unionByName(f.where("content is null").select("path", F.lit("no content").alias("error")))
-    return clean.join(bad.where("lang = 'python'").select("path"), "path", "left_anti"), errors
+    langs = sorted({r.lang for r in rules})
+    clean = cut(line_rules.clean_files(files.where(F.col("lang").isin(*langs))))  # each rule reads it
+    bad = tokens.fault_text(tokens.faults(line_rules.brackets(clean)))
+    errors = bad.unionByName(_no_content(files, langs))
+    return clean.join(bad.join(clean.where("lang = 'python'").select("path"), "path", "left_semi").select("path"), "path", "left_anti"), errors
+
+
+def _tokens(files: DataFrame, langs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nested tokens, scanned files, errors) of the files in langs."""
+    scanned = cut(tokens.scanned(files.where(F.col("lang").isin(*langs))))
+    rows = tokens.rows(scanned)
+    errors = tokens.fault_text(tokens.faults(rows)).unionByName(_no_content(files, langs))
+    return cut(tokens.nested(rows)), scanned, errors
 
 
-def _rules(rules: list[line_rules.Rule] | None) -> list[line_rules.Rule]:
-    """Of each language the given rules, or where there are none its registered ones."""
+def _rules(rules: list[line_rules.Rule] | None) -> tuple[list[line_rules.Rule], list[str]]:
+    """Of each language the given rules, or where there are none its registered ones; and the languages read by tokens."""
     given = {r.lang for r in rules or []}
-    return [*(rules or []), *(r for e in _all.values() if e.lang not in given for r in e.rules)]
+    by_tokens = [e.lang for e in _all.values() if e.by_tokens and e.lang not in given]
+    return [*(rules or []), *(r for e in _all.values() if e.lang not in given and not e.by_tokens for r in e.rules)], by_tokens
 
 
 def extract_symbols(files: DataFrame, id_scheme: str = "module", rules: list[line_rules.Rule] | None = None) -> tuple[DataFrame, DataFrame]:
     """(symbols, errors) of files (path, content). sym_ord orders by language, path part by part, line and
     column; id_scheme `path` puts the whole relative path in place of the module."""
     f = _routed(files)
-    clean, errors = _clean(f)
-    rows = line_rules.definitions(cut(line_rules.logical_lines(clean)), _rules(rules))
+    by_lines, by_tokens = _rules(rules)
+    clean, errors = _clean(f, by_lines)
+    rows = line_rules.definitions(cut(line_rules.logical_lines(clean)), by_lines)
+    nested, _, token_errors = _tokens(f, by_tokens)
+    rows, errors = rows.unionByName(token_rules.definitions(nested)), errors.unionByName(token_errors)
     own = _of_functions(f, "definitions", SYMBOLS, SYMBOL_TYPE)
     if own is not None:
         rows = rows.unionByName(own.where("error is null").drop("error"))
@@ -118,10 +136,12 @@ def extract_symbols(files: DataFrame, id_scheme: str = "module", rules: list[lin
 def extract_calls(files: DataFrame, rules: list[line_rules.Rule] | None = None) -> tuple[DataFrame, DataFrame]:
     """(call sites, errors) of files (path, content), ordered by fact_ord as symbols are."""
     f = _routed(files)
-    clean, errors = _clean(f)
-    of = _rules(rules)
+    of, by_tokens = _rules(rules)
+    clean, errors = _clean(f, of)
+    nested, scanned, token_errors = _tokens(f, by_tokens)
+    errors = errors.unionByName(token_errors)
     defined = line_rules.hits(line_rules.logical_lines(clean), "def", of).select("path", "line_no", "name").distinct()
-    rows = line_rules.calls(line_rules.physical_lines(clean), defined, of)
+    rows = line_rules.calls(line_rules.physical_lines(clean), defined, of).unionByName(token_rules.calls(nested, scanned))
     own = _of_functions(f, "calls", CALLS, CALL_TYPE)
     if own is not None:
         rows = rows.unionByName(own.where("error is null").drop("error"))

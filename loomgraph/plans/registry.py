@@ -244,6 +244,39 @@ query("x3_js_methods", f", {_CORPUS} SELECT regexp_replace(split_part(n.path, '/
 query("x10_assigned_sites", f", {_CORPUS} SELECT n.path, s.name, n.k AS line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 WHERE n.o2 = 0")(lambda d: extract.definition_sites(_as(d, ".js", "obj.$1 = async (a) =>")).select("path", "name", "line"))
 
 
+# The same corpus in forms that only the token stream tells
+_ONE = "SELECT regexp_replace(split_part(n.path, '/', -1), '\\.js$', '') || '{scope}.' || s.name AS id, n.path, {start} AS start_line, {end} AS end_line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name"
+_ID = ("id", "path", "start_line", "end_line")
+
+
+def _one_line(d: Data) -> DataFrame:
+    """All of a file's functions as methods of a class on one line."""
+    code = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", "// (.*)", "/* $1 */"), "function ", ""), "\n", " ")
+    return d.corpus.select("path", F.concat(F.lit("class Box { "), code, F.lit(" }")).alias("content"))
+
+
+def _wrapped(d: Data, head: str, definition: str, end: str, tail: str) -> DataFrame:
+    code = F.regexp_replace(F.regexp_replace("content", r"function (\w+)\(a\)", definition), r"(?m)^\}", end)
+    return d.corpus.select("path", F.concat(F.lit(head + "\n"), code, F.lit("\n" + tail)).alias("content"))
+
+
+def _called_as(d: Data, calls: str) -> DataFrame:
+    return d.corpus.select("path", F.regexp_replace("content", r"\{ (\w+)\(\); \}", calls).alias("content"))
+
+
+query("x3_js_one_line", f", {_CORPUS} " + _ONE.format(scope=".Box", start=1, end=1))(lambda d: extract.extract_symbols(_one_line(d))[0].select(*_ID))
+query("x3_js_object_methods", f", {_CORPUS} " + _ONE.format(scope="", start="min(k) + 1", end="max(k) + 1"))(lambda d: extract.extract_symbols(_wrapped(d, "const box = {", "async $1(a)", "},", "};"))[0].select(*_ID))
+_DECLARATOR = "$1 = async (a = g(h(1))) =>"
+query("x3_js_declarators", f", {_CORPUS} " + _ONE.format(scope="", start="min(k) + 1", end="max(k) + 1"))(lambda d: extract.extract_symbols(_wrapped(d, "const zero = 0,", _DECLARATOR, "},", "end = 1;"))[0].select(*_ID))
+_OF_CALLS = "(SELECT path, k, regexp_extract(text, '\\{{ ([A-Za-z_0-9]+)\\(', 1) AS name FROM numbered WHERE o2 = 1 AND regexp_extract(text, '\\{{ ([A-Za-z_0-9]+)\\(', 1) <> '')"
+query("x4_js_default_calls", f", {_CORPUS} SELECT path, k + 1 AS line, name AS callee_name FROM {_OF_CALLS.format()} UNION ALL SELECT path, k + 1, unnest(['g', 'h']) FROM numbered WHERE o2 = 0")(lambda d: extract.extract_calls(_wrapped(d, "const zero = 0,", _DECLARATOR, "},", "end = 1;"))[0].select("path", "line", "callee_name"))
+query("x4_js_qualifiers", f", {_CORPUS} SELECT path, k AS line, unnest(['foo', name, name, name]) AS callee_name, unnest(['', 'foo()', 'arr[0].b', 'obj']) AS callee_qualifier FROM {_OF_CALLS.format()}")(lambda d: extract.extract_calls(_called_as(d, "{ foo().$1(3); arr[0].b.$1(2); obj?.$1(1); new $1(4); }"))[0].select("path", "line", "callee_name", "callee_qualifier"))
+query("x4_js_code_in_strings", f", {_CORPUS} SELECT path, k AS line, unnest([name, 'test', 'last']) AS callee_name, unnest(['', '/\"/', 'z']) AS callee_qualifier FROM {_OF_CALLS.format()}")(lambda d: extract.extract_calls(_called_as(d, "{ x = `no(1) ${$1(`${1}`)} no(2)`; y = /\"/.test(\"no(3)\") || z.last(); }".replace("${", "\\${")))[0].select("path", "line", "callee_name", "callee_qualifier"))
+_TYPE_LINE = "#define M$1(x) \\\\\n  no(x)\nstatic int\n$1(int a)\n"
+query("x7_c_type_line", _RANKED + " SELECT regexp_replace(split_part(n.path, '/', -1), '\\.js$', '.c') || '::' || s.name AS id, CAST(min(k) + 4 * r - 2 AS INT) AS start_line, CAST(max(k) + 4 * r AS INT) AS end_line, regexp_replace(n.path, '\\.js$', '.c') AS path FROM numbered n JOIN ranked s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name, s.r")(lambda d: extract.extract_symbols(_as(d, ".c", _TYPE_LINE))[0].select("id", "start_line", "end_line", "path"))
+query("x8_c_preprocessor", _RANKED + " SELECT regexp_replace(n.path, '\\.js$', '.c') AS path, CAST(k + 4 * r AS INT) AS line, regexp_extract(text, '\\{ ([A-Za-z_0-9]+)\\(', 1) AS callee_name FROM numbered n JOIN ranked s ON s.sym_ord = n.o1 WHERE o2 = 1 AND regexp_extract(text, '\\{ ([A-Za-z_0-9]+)\\(', 1) <> ''")(lambda d: extract.extract_calls(_as(d, ".c", _TYPE_LINE))[0].select("path", "line", "callee_name"))
+
+
 def _python(d: Data) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("sym_ord", "name")))
     body = F.transform(rows, lambda x: F.concat(F.lit("def "), x["name"], F.lit("(a):\n    return obj."), x["name"], F.lit("(print(a))\n")))
@@ -254,6 +287,32 @@ query("x1_python_definitions", "SELECT path, name, regexp_replace(split_part(pat
 query("x2_python_calls", "SELECT path, line, unnest([name, 'print']) AS callee_name, unnest(['obj', '']) AS callee_qualifier FROM (SELECT path, name, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 1 AS INT) AS line FROM symbols)")(lambda d: extract.extract_calls(_python(d))[0].select("path", "line", "callee_name", "callee_qualifier"))
 
 
+# Brackets of a text one after the other: a state is the string of those that are open, or * and the first fault
+_BRACKETS = "SELECT path, i, text[i] AS c, length(text[1:i]) - length(replace(text[1:i], chr(10), '')) + 1 AS line FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM code) WHERE text[i] IN ('(', '[', '{', ')', ']', '}')"
+_STEP = "CASE WHEN a[1:1] = '*' THEN a WHEN c[1] IN ('(', '[', '{') THEN a || c WHEN a <> '' AND a[-1:] = '' THEN a WHEN translate(c[1], ')]}', '([{') = regexp_extract(a, '([(\\[{])[0-9]+$', 1) THEN regexp_replace(a, '[(\\[{][0-9]+$', '') ELSE '*' || c || '/' || translate(regexp_extract(a, '([(\\[{])[0-9]+$', 1), '([{', ')]}') END"
+
+
+@query(
+    "x9_bracket_faults",
+    """, code AS (SELECT CAST(doc_id AS STRING) || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.go' ELSE '.c' END AS path,
+  CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '([' ELSE '{' END || regexp_replace(coalesce(text, ''), '["''`#/\\x5c]', ' ', 'g') || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '])' ELSE '}' END AS text FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT path, list_reduce(list_prepend('', list(c || line ORDER BY i)), lambda a, c: """
+    + _STEP
+    + """) AS state FROM ("""
+    + _BRACKETS
+    + """) GROUP BY path)
+SELECT path, CASE WHEN state[1:1] = '*' THEN 'line ' || regexp_extract(state, '^\\*.([0-9]+)', 1) || ': ' || state[2:2] || ', ' || CASE WHEN state[-1:] = '/' THEN 'nothing is open' ELSE state[-1:] || ' expected' END
+  ELSE 'line ' || regexp_extract(state, '^.([0-9]+)', 1) || ': ' || state[1:1] || ', ' || translate(state[1:1], '([{', ')]}') || ' expected' END AS error FROM runs WHERE state <> ''""",
+)
+def _bracket_faults(d: Data) -> DataFrame:
+    """Every document as a file of one of the four languages, most with brackets put around them; quotes and comments are taken out."""
+    k = F.col("doc_id")
+    suffix = F.when(k % 4 == 0, ".py").when(k % 4 == 1, ".js").when(k % 4 == 2, ".go").otherwise(".c")
+    code = F.concat(F.when(k % 3 == 0, "").when(k % 3 == 1, "([").otherwise("{"), F.regexp_replace("text", "[\"'`#/\\\\]", " "), F.when(k % 5 == 0, "").when(k % 5 == 1, "])").otherwise("}"))
+    files = d.documents.where("text is not null").select(F.concat(k.cast("string"), suffix).alias("path"), code.alias("content"))
+    return extract.extract_symbols(files)[1]
+
+
 @query("x9_extraction_errors")
 def _extraction_errors(d: Data) -> DataFrame:
     """The documents as Python files, of which every second one opens a bracket that it does not close."""
