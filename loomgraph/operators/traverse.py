@@ -54,7 +54,7 @@ def _shortest(calls: DataFrame, requests: DataFrame) -> DataFrame:
     edges = cut(calls.groupBy("src", "dst").agg(F.min("edge_ord").alias("edge_ord")))
     want = cut(requests.select("start", "end").distinct())
     level = want.select("end", F.col("end").alias("id"), F.lit(0).alias("d")).distinct()
-    dist, depth = cut(level), 0
+    dist, depth = cut(level), 0  # the levels so far, eight tables at most beside one of all before
     waiting = want.where(F.col("start") != F.col("end"))
     level = dist
     while True:
@@ -64,7 +64,9 @@ def _shortest(calls: DataFrame, requests: DataFrame) -> DataFrame:
         level = cut(new.join(dist, ["end", "id"], "left_anti").withColumn("d", F.lit(depth)))
         if level.isEmpty():
             break
-        dist = cut(dist.unionByName(level))
+        dist = dist.unionByName(level)
+        if depth % 8 == 0:
+            dist = cut(dist)
     nearer = edges.join(dist.select("end", F.col("id").alias("src"), "d"), "src").join(dist.select("end", F.col("id").alias("dst"), F.col("d").alias("d2")), ["end", "dst"]).where("d2 = d - 1")
     after = cut(nearer.groupBy("end", F.col("src").alias("id")).agg(F.min_by("dst", "edge_ord").alias("next")))
     at = want.join(dist.select("end", F.col("id").alias("start")), ["end", "start"], "left_semi")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written: the session's own, then those of the scopes that are open, innermost last.
-_written: list[list[str]] = [[]]
+#: Paths of the scopes that are open in this thread or task of asyncio, innermost last; and, by application, those
+#: that no scope has.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("loomgraph_scopes", default=())
+_unscoped: defaultdict[str, list[str]] = defaultdict(list)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str = "table", keep: bool = False) -> str:
     """A path of its own in the shared folder. It goes with the innermost scope; keep: with the one around that."""
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    _written[-2 if keep and len(_written) > 1 else -1].append(path)
+    owners = [_unscoped[spark.sparkContext.applicationId], *_scopes.get()]
+    owners[-2 if keep and len(owners) > 1 else -1].append(path)
     return path
 
 
@@ -41,19 +46,20 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables cut inside, but for those to keep, are removed at its end."""
-    _written.append([])
+    """Tables cut inside by this thread, but for those to keep, are removed at its end."""
+    own: list[str] = []
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _written.pop():
+        _scopes.reset(before)
+        for path in own:
             remove(spark, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes the tables that no scope has: results returned before can't be read any more."""
-    paths, _written[0] = _written[0], []
-    for path in paths:
+    for path in _unscoped.pop(spark.sparkContext.applicationId, []):
         remove(spark, path)
 
 

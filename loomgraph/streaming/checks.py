@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.trace import parse
 from loomgraph.sources.shared import new_path
-from loomgraph.streaming import live
+from loomgraph.streaming import growing, live
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -47,34 +47,44 @@ def _appended(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
-def _merged(stream: DataFrame, of: Callable[[str], Callable], schema: str) -> DataFrame:
-    """The table that a merging stream has come to."""
-    path, spark = _path(stream), stream.sparkSession
-    last = [-1]
-    write = of(path)
-
-    def noted(batch: DataFrame, number: int) -> None:
-        write(batch, number)
-        last[0] = number
-
-    _finish(stream, noted)
-    return spark.createDataFrame([], schema) if last[0] < 0 else spark.read.schema(schema).parquet(f"{path}/after={last[0]}")
+def _upserted(stream: DataFrame, keys: list[str], schema: str, compact_every: int = 32) -> DataFrame:
+    """The table that a stream in update mode has come to."""
+    path = _path(stream)
+    write = live.upserting(path, keys, schema, compact_every=compact_every)
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", _path(stream)).foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return live.upserted(stream.sparkSession, path, keys, schema)
 
 
 def live_events(trace: DataFrame) -> DataFrame:
     return _appended(live.events_of(_stream(trace)).select("run_id", "fn", "file", "line"))
 
 
+def growing_events(trace: DataFrame) -> DataFrame:
+    """live_events of the same lines in one growing file a run, by the data source that follows such files."""
+    spark, path = trace.sparkSession, _path(trace)
+    growing.register(spark)
+    _lines(trace.repartition("run_id").sortWithinPartitions("run_id", "seq")).write.partitionBy("run_id").text(path)
+    stream = spark.readStream.format("growing_lines").option("path", path).load()
+    return _appended(live.events_of(stream).select("run_id", "fn", "file", "line"))
+
+
 def routed_lines(trace: DataFrame, documents: DataFrame) -> DataFrame:
-    """(kind, value): events as fn, file and line, and the lines that are none as they came; the documents
-    are such lines."""
-    lines = _lines(trace).select("value").unionByName(documents.where("text is not null and text <> ''").select(F.col("text").alias("value")))
-    events = parse(lines).where("not bad").select(F.lit("event").alias("kind"), F.concat_ws("|", "fn", "file", "line").alias("value"))
-    return events.unionByName(live.malformed(lines).select(F.lit("malformed").alias("kind"), "value"))
+    """(kind, value) out of the two sinks of one stream: events as fn, file and line, and the lines that are none
+    as they came. The documents' lines are such lines; they arrive beside the trace's in files of their own."""
+    spark, path, out = trace.sparkSession, _path(trace), _path(trace)
+    _lines(trace).write.partitionBy("run_id").text(path)
+    documents.select("text", F.lit("documents").alias("run_id")).write.partitionBy("run_id").mode("append").text(path)
+    _finish(live.read_lines(spark, path, 3), live.routed(out))
+    events = spark.read.schema("fn string, file string, line int").parquet(f"{out}/events")
+    events = events.select(F.lit("event").alias("kind"), F.concat_ws("|", "fn", "file", "line").alias("value"))
+    return events.unionByName(spark.read.schema("value string").parquet(f"{out}/malformed").select(F.lit("malformed").alias("kind"), "value"))
 
 
-def hits(trace: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _merged(live.events_of(_stream(trace, 3)), lambda path: live.running_hits(path, nodes), "id string, hits long")
+def hits(trace: DataFrame, nodes: DataFrame, compact_every: int = 32) -> DataFrame:
+    """(id, hits) that a trace's stream has come to."""
+    counts = _upserted(live.running_hits(live.events_of(_stream(trace, 3))), live.HIT_KEYS, live.HIT_SCHEMA, compact_every)
+    return live.hits_of(counts, nodes)
 
 
 def numbers(trace: DataFrame) -> DataFrame:
@@ -86,21 +96,19 @@ def numbers(trace: DataFrame) -> DataFrame:
 
 
 def state_numbers(trace: DataFrame) -> DataFrame:
-    """(run_id, n, last): the same by arbitrary state: how many events each run has numbered, and the last number."""
-    spark = trace.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
-    try:
-        out = _appended(live.running_numbers(live.events_of(_stream(trace))))
-    finally:
-        spark.conf.set(name, before)
+    """(run_id, n, last): the same by arbitrary state: how many events each run has numbered, and the last number.
+    The state store is set in a session of the stream's own."""
+    spark = trace.sparkSession.newSession()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    path = _path(trace)
+    _lines(trace.repartition("run_id").sortWithinPartitions("run_id", "seq")).write.partitionBy("run_id").text(path)
+    out = _appended(live.running_numbers(live.events_of(live.read_lines(spark, path))))
     return out.groupBy("run_id").agg(F.count("*").alias("n"), F.max("number").alias("last"))
 
 
 def latest(trace: DataFrame) -> DataFrame:
     """Each run's last event."""
-    return _merged(live.events_of(_stream(trace, 3)), live.latest_events, "run_id string, seq long, fn string, file string, line int")
+    return _upserted(live.latest_events(live.events_of(_stream(trace, 3))), live.LAST_KEYS, live.LAST_SCHEMA)
 
 
 def recorded(trace: DataFrame) -> DataFrame:

@@ -39,28 +39,65 @@ def malformed(lines: DataFrame) -> DataFrame:
     return parse(lines).where("bad").select(*lines.columns)
 
 
-def merging(path: str, of_batch: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: what of_batch makes of a batch is merged with the table so far, and written
-    under the batch's number, so that a batch that runs again starts from the same table. The table before
-    that one goes: no batch can ask for it again."""
+def upserting(path: str, keys: list[str], schema: str, of_batch: Callable[[DataFrame], DataFrame] = lambda d: d, compact_every: int = 32) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for a stream in update mode, whose rows are the new values of the keys that changed. A
+    batch writes them, and nothing else, under its number; so it may run again. Every compact_every batches those
+    of the batches before become one table, and go. `upserted` reads the whole."""
 
     def write(batch: DataFrame, number: int) -> None:
-        new = of_batch(batch)
-        if number:
-            new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/after={number - 1}"))
-        merge(new).write.mode("overwrite").parquet(f"{path}/after={number}")
-        if number > 1:
-            remove(batch.sparkSession, f"{path}/after={number - 2}")
+        spark = batch.sparkSession
+        of_batch(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        base, deltas = _layers(spark, path)
+        done = [n for n in deltas if n < number]
+        if len(done) >= compact_every:
+            upserted(spark, path, keys, schema, before=number).write.mode("overwrite").parquet(f"{path}/base={done[-1]}")
+            for n in done:
+                remove(spark, f"{path}/batch={n}")
+            if base is not None:
+                remove(spark, f"{path}/base={base}")
 
     return write
 
 
-def running_hits(path: str, nodes: DataFrame) -> Callable[[DataFrame, int], None]:
-    """(id, hits) so far, a row a function: each batch goes through the resolution of batches, where an
-    event counts once, for the smallest id that it fits."""
-    # the number stands in for seq, which names an event within its batch only
-    count = lambda batch: event_functions(batch.withColumn("seq", F.lit(0)), nodes).groupBy("id").agg(F.count("*").alias("hits"))
-    return merging(path, count, lambda d: d.groupBy("id").agg(F.sum("hits").alias("hits")))
+def _layers(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The last base that is whole, and the batches behind it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None, []
+    there = [x.getPath() for x in fs.listStatus(at)]
+    whole = [x.getName().split("=") for x in there if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    base = max((int(n) for kind, n in whole if kind == "base"), default=None)
+    return base, sorted(int(n) for kind, n in whole if kind == "batch" and (base is None or int(n) > base))
+
+
+def upserted(spark: SparkSession, path: str, keys: list[str], schema: str, before: int | None = None) -> DataFrame:
+    """The table that batches have come to: of each key the row of the last batch that has one."""
+    base, deltas = _layers(spark, path)
+    read = spark.read.schema(schema)
+    parts = [(n, f"{path}/batch={n}") for n in deltas if before is None or n < before] + ([(-1, f"{path}/base={base}")] if base is not None else [])
+    if not parts:
+        return spark.createDataFrame([], schema)
+    numbers = F.regexp_extract(F.input_file_name(), "/batch=([0-9]+)/", 1)
+    d = read.parquet(*[p for _, p in parts]).withColumn("_batch", F.coalesce(F.nullif(numbers, F.lit("")).cast("long"), F.lit(-1)))
+    names = [c for c in d.columns if c != "_batch"]
+    return d.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in names if c not in keys]), "_batch").alias("_v")).select(*[c if c in keys else F.col(f"_v.{c}").alias(c) for c in names])
+
+
+#: What is kept of the events of a stream: how often each (fn, file) came, and each run's last event.
+HIT_KEYS, HIT_SCHEMA = ["fn", "file"], "fn string, file string, n long"
+LAST_KEYS, LAST_SCHEMA = ["run_id"], "run_id string, seq long, fn string, file string, line int"
+
+
+def running_hits(events: DataFrame) -> DataFrame:
+    """(fn, file, n) in update mode: how often an event of each kind has come; the counts are the stream's state."""
+    return events.groupBy("fn", "file").agg(F.count("*").alias("n"))
+
+
+def hits_of(counts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, hits) of running_hits: each kind of event is resolved once, as in a batch, to the smallest id that it fits."""
+    ids = event_functions(counts.withColumn("seq", F.struct("fn", "file")), nodes)
+    return ids.join(counts.select(F.struct("fn", "file").alias("seq"), "n"), "seq").groupBy("id").agg(F.sum("n").alias("hits"))
 
 
 def running_numbers(events: DataFrame) -> DataFrame:
@@ -110,10 +147,24 @@ def numbered_in_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest_events(path: str) -> Callable[[DataFrame, int], None]:
-    """(run_id, seq, fn, file, line) so far: each run's last event by seq."""
-    last = lambda d: d.groupBy("run_id").agg(F.max_by(F.struct("seq", "fn", "file", "line"), "seq").alias("e")).select("run_id", "e.*")
-    return merging(path, lambda batch: last(batch.select("run_id", "seq", "fn", "file", "line")), last)
+def latest_events(events: DataFrame) -> DataFrame:
+    """(run_id, seq, fn, file, line) in update mode: each run's last event by seq; a row a run is the stream's state."""
+    return events.groupBy("run_id").agg(F.max_by(F.struct("seq", "fn", "file", "line"), "seq").alias("e")).select("run_id", "e.*")
+
+
+def routed(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for lines: events go to one folder and lines that are none, as they came, to another,
+    both under the batch's number. The batch is read once and kept for the second."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            parse(kept).where("not bad").drop("bad", "value").write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+            malformed(kept).write.mode("overwrite").parquet(f"{path}/malformed/batch={number}")
+        finally:
+            kept.unpersist()
+
+    return write
 
 
 def record(lines: DataFrame, path: str, checkpoint: str) -> Any:

@@ -1,10 +1,13 @@
 import json
+import os
+import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, resolve, trace
-from loomgraph.sources import trees
-from loomgraph.streaming import checks, live
+from loomgraph.sources import shared, trees
+from loomgraph.streaming import checks, growing, live
 
 
 def test_scan_sees_hidden_names_and_prunes(spark, tmp_path):
@@ -67,12 +70,101 @@ def test_an_event_counts_once_in_a_stream(spark):
 
 
 def test_batches_that_run_again_change_nothing(spark, tmp_path):
-    e = events(spark).withColumn("run_id", F.col("run_id").cast("string"))
-    write = live.latest_events(f"file://{tmp_path}/t")
-    for number, part in enumerate((e.where("seq < 20"), e.where("seq >= 40"), e.where("seq between 20 and 39"))):
-        write(part, number)
-        write(part, number)
-    assert {(r.run_id, r.seq) for r in spark.read.parquet(f"file://{tmp_path}/t/after=2").collect()} == {("0", 57), ("1", 58), ("2", 59)}
+    path = f"file://{tmp_path}/t"
+    write = live.upserting(path, ["k"], "k string, n long", compact_every=3)
+    want = {}
+    for number in range(11):
+        new = {f"k{j}": number for j in range(number % 4, 7, 2)}
+        want |= new
+        batch = spark.createDataFrame(list(new.items()), "k string, n long")
+        write(batch, number)
+        write(batch, number)
+        assert {r.k: r.n for r in live.upserted(spark, path, ["k"], "k string, n long").collect()} == want
+    kept = [p.name for p in (tmp_path / "t").iterdir()]
+    assert sum(n.startswith("base=") for n in kept) == 1 and len(kept) <= 5
+    assert live.upserted(spark, f"file://{tmp_path}/none", ["k"], "k string, n long").count() == 0
+
+
+def test_batches_write_what_changed(spark, tmp_path):
+    """200 kinds of events, then batches of one event each: each writes one row."""
+    rows = [(k, f"f{k % 200}", "/app/m.py", 1) for k in range(400)] + [(400, "f0", "/app/m.py", 1), (401, "f1", "/app/m.py", 1)]
+    for k, (low, high) in enumerate(((0, 400), (400, 401), (401, 402))):
+        (tmp_path / f"in{k}.jsonl").write_text("".join(f'{{"seq":{s},"fn":"{f}","file":"{p}","line":{n}}}\n' for s, f, p, n in rows[low:high]))
+    stream = live.running_hits(live.events_of(live.read_lines(spark, f"file://{tmp_path}", 1)))
+    path = f"file://{tmp_path}/_out"
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/_c").foreachBatch(live.upserting(path, live.HIT_KEYS, live.HIT_SCHEMA)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    sizes = sorted(spark.read.parquet(f"{path}/batch={n}").count() for n in range(3))
+    assert sizes == [1, 1, 200]
+    got = {r.fn: r.n for r in live.upserted(spark, path, live.HIT_KEYS, live.HIT_SCHEMA).collect()}
+    assert got == {f"f{k}": 2 + (k < 2) for k in range(200)}
+
+
+def test_growing_files_are_read_once(spark, tmp_path):
+    growing.register(spark)
+    folder, out, check = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/check"
+    (folder / "run_id=a").mkdir(parents=True)
+
+    def run():
+        stream = spark.readStream.format("growing_lines").option("path", str(folder)).option("partition_bytes", "7").load()
+        stream.writeStream.option("checkpointLocation", check).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(out).select("run_id", "value").collect()))
+
+    a, b = folder / "run_id=a" / "x", folder / "b.jsonl"
+    a.write_bytes("one\r\ntwo é\nhal".encode())
+    assert run() == [("a", "one"), ("a", "two é")]
+    with a.open("ab") as f:
+        f.write(b"f\n\nlong line of more than one range\n")
+    b.write_bytes(b"other\n" * 3)
+    want = [("a", ""), ("a", "half"), ("a", "long line of more than one range"), ("a", "one"), ("a", "two é"), *[("b.jsonl", "other")] * 3]
+    assert run() == want
+    with b.open("ab") as f:
+        f.write(b"unfinished")
+    assert run() == want
+    reader = growing.GrowingReader({"path": str(folder)})
+    before = reader.latestOffset()
+    b.write_bytes(b"short\n")
+    with pytest.raises(ValueError, match="shorter"):
+        reader.partitions(before, reader.latestOffset())
+
+
+def test_lines_are_routed_to_two_sinks(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"fn":"f","file":"a"}\n{bad\n\n')
+    (tmp_path / "b.jsonl").write_text("worse\n")
+    out = f"file://{tmp_path}/_out"
+    checks._finish(live.read_lines(spark, f"file://{tmp_path}", 1), live.routed(out))
+    assert [r.fn for r in spark.read.parquet(f"{out}/events").collect()] == ["f"]
+    bad = spark.read.parquet(f"{out}/malformed")
+    assert sorted(map(tuple, bad.select("value", "run_id", "batch").collect())) in ([("", "a.jsonl", n), ("worse", "b.jsonl", 1 - n), ("{bad", "a.jsonl", n)] for n in (0, 1))
+
+
+def test_scopes_of_two_threads(spark):
+    """A thread's scope ends while another's is open: each removes its own tables."""
+    inside, ended = threading.Event(), threading.Event()
+    found = {}
+
+    def first():
+        with shared.scope(spark):
+            t = shared.cut(spark.range(3))
+            with shared.scope(spark):
+                kept = shared.cut(spark.range(5), keep=True)
+            inside.set()
+            ended.wait(60)
+            found["first"] = (t.count(), kept.count())
+        found["gone"] = not os.path.exists(t.inputFiles()[0].removeprefix("file://"))
+
+    def second():
+        inside.wait(60)
+        with shared.scope(spark):
+            found["second"] = shared.cut(spark.range(4)).count()
+        ended.set()
+
+    threads = [threading.Thread(target=f) for f in (first, second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert found == {"first": (3, 5), "second": 4, "gone": True}
 
 
 def test_lines_name_their_runs(spark, tmp_path):
