@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat_formatting, html_extraction, lm_scoring, mixing, nearest_neighbours, ngram_join, quality_rules, registry, sentencepiece_codec, textcore, toxicity, warc
+from loomgraph.llm import byte_bpe, chat_formatting, html_extraction, lm_scoring, mixing, nearest_neighbours, ngram_join, quality_rules, registry, sentencepiece_codec, textcore, toxicity, vector_codes, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, row string"
@@ -273,7 +273,7 @@ def test_neighbour_query(spark, tmp_path):
     for q in range(0, 600, 100):
         own = sorted((x["rank"], x.vec_id, x.score) for x in rows if x.query_id == q)
         dist = np.sqrt(((v - v[q]) ** 2).sum(1))
-        assert [k for k, _, _ in own] == list(range(1, 11)) and all(abs(dist[i] - s) < 1e-12 for _, i, s in own)
+        assert [k for k, _, _ in own] == list(range(1, 14)) and all(abs(dist[i] - s) < 1e-12 for _, i, s in own)
         assert [(s, i) for _, i, s in own] == sorted((s, i) for _, i, s in own)
 
 
@@ -906,7 +906,7 @@ def test_registered_sql(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_hard_rows(spark, hard, empty, tmp_path):
