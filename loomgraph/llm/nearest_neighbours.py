@@ -8,10 +8,13 @@ far (d_k) lies within t * d_k**2 in projection with at least that probability: s
 Equal vectors are one entry with its smallest ids, k + 1 at most, which is exact as ties go to
 smaller ids; so neither a hot vector nor its queries meet in pairs. A kd-tree over a bounded sample
 cuts the projected space into cells, one for each `part_rows` entries; every entry is then dealt to its
-cell, and large cells into parts of about part_rows. A query first searches its own cell, which bounds
-d_k, and then the cells within its radius, which it finds by going down the tree. Each (part, block of
-queries) is a task's group of bounded size. The sample grows with the cells, SAMPLE_A_CELL rows each,
-so what the driver holds is 1 / 256 of the entries' projections.
+cell, and large cells into parts of about part_rows. A query searches in three rounds, each with the d_k of the
+one before: its own cell, then the NEAR next ones by distance in projection, then all others within its radius,
+which it finds by going down the tree. Each (part, block of queries) is a task's group of bounded size, in which
+leaves come in the order of their distance until the test holds, and only rows within the radius are verified.
+
+M and PROBABILITY are by measurement (README): how many cells a radius touches is the data's matter, as
+distances of equal size, d_10 close to the median, leave no room between cells; what the test then saves is verifying.
 
 Defined results: vectors that are null, zero, of another length than `dim` (by default the length that
 most have), or with null or non-finite components take no part, as queries or as candidates; a null id takes no part; a query
@@ -33,11 +36,15 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import scope, stored, table
 
 K = 10
-M = 8  # even: the chi-square distribution then has a closed form
-PROBABILITY = 0.985
+M = 24  # even: the chi-square distribution then has a closed form
+PROBABILITY = 0.95
+#: Cells of the second round.
+NEAR = 8
 #: Entries that the cells are cut on, a cell: those of smallest hash.
 SAMPLE_A_CELL = 16
 LEAST_SAMPLE = 1024
+#: Of more entries the cells are larger, and have several parts; the driver's arrays stay below 100 MB.
+MOST_SAMPLE = 1 << 18
 PART_ROWS = 4096
 BLOCK_QUERIES = 2048
 LEAF = 64
@@ -127,13 +134,13 @@ class Cells:
             todo = todo[below >= 0]
         return out
 
-    def within(self, p: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(point, cell) of the cells whose squared distance from a point is no more than its radius2."""
+    def within(self, p: np.ndarray, radius2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, cell, squared distance) of the cells whose squared distance from a point is no more than its radius2."""
         if not len(self.tree):
-            return np.arange(len(p)), np.zeros(len(p), np.int32)
+            return np.arange(len(p)), np.zeros(len(p), np.int32), np.zeros(len(p))
         who, at = np.arange(len(p)), np.zeros(len(p), np.int64)
         gap = np.zeros((len(p), p.shape[1]))  # distance in each dimension, by the cuts gone past
-        found_who, found_cell = [], []
+        found = []
         while len(who):
             row = self.tree[at]
             dim = row[:, 0].astype(np.int64)
@@ -147,10 +154,9 @@ class Cells:
                 parts.append((who[ok], row[ok, side].astype(np.int64), g[ok]))
             who, at, gap = (np.concatenate(x) for x in zip(*parts, strict=True))
             leaf = at < 0
-            found_who.append(who[leaf])
-            found_cell.append((-1 - at[leaf]).astype(np.int32))
+            found.append((who[leaf], (-1 - at[leaf]).astype(np.int32), (gap[leaf] ** 2).sum(1)))
             who, at, gap = who[~leaf], at[~leaf], gap[~leaf]
-        return np.concatenate(found_who), np.concatenate(found_cell)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -188,8 +194,9 @@ def _projected(matrix: np.ndarray, dim: int) -> Callable:
     return run
 
 
-def _reach(shared: object, dim: int, quantile: float) -> Callable:
-    """(cell, query, v, limit) for the cells within a query's radius, but its own."""
+def _reach(shared: object, dim: int, quantile: float, near: int | None) -> Callable:
+    """(cell, query, v, limit) for the cells within a query's radius, but its own: the NEAR nearest, or with
+    near None all but those. A smaller radius leaves out the last cells, so the nearest are the same ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +207,14 @@ def _reach(shared: object, dim: int, quantile: float) -> Callable:
             radius2 = quantile * batch.column(2).to_numpy(zero_copy_only=False) ** 2
             home = cells.home(p)
             for k in range(0, len(p), REACH_ROWS):
-                row, cell = cells.within(p[k : k + REACH_ROWS], radius2[k : k + REACH_ROWS])
-                row, cell = row[cell != home[k + row]] + k, cell[cell != home[k + row]]
+                row, cell, gap = cells.within(p[k : k + REACH_ROWS], radius2[k : k + REACH_ROWS])
+                other = cell != home[k + row]
+                row, cell, gap = row[other] + k, cell[other], gap[other]
+                order = np.lexsort((cell, gap, row))
+                row, cell = row[order], cell[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                some = place < NEAR if near is not None else place >= NEAR
+                row, cell = row[some], cell[some]
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *[c.take(at) for c in batch.columns]], ["cell", *batch.schema.names])
 
@@ -275,12 +288,12 @@ def _searched(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col
     kept = d.distinct().withColumn("r", first).where(F.col("r") <= k + 1)
     entries = stored(kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("key", F.element_at("ids", 1)), "entries")
     n = entries.count()
-    cells = max(1, n // part_rows)
+    cells = max(1, min(n // part_rows, MOST_SAMPLE // SAMPLE_A_CELL))
     matrix = np.random.default_rng(seed).standard_normal((dim, M))
     # of the entries those whose hash falls below a threshold, about SAMPLE_A_CELL a cell, as projections
     share = min(1.0, max(LEAST_SAMPLE, SAMPLE_A_CELL * cells) / max(n, 1))
     drawn = entries.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").mapInArrow(_projected(matrix, dim), "p array<float>")
-    points = np.array([r[0] for r in drawn.collect()], float).reshape(-1, M)
+    points = _matrix(drawn.toArrow().column(0), M)
     tree, _ = kd_tree(points, cells, 1)
     shared = spark.sparkContext.broadcast(Cells(matrix, tree))
     quantile = chi_square_quantile(probability)
@@ -299,12 +312,17 @@ def _searched(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col
     wanted = stored(keys.select("key", "v").mapInArrow(_place(shared, dim), "cell int, key long, v array<double>").withColumn("limit", F.lit(None).cast("double")), "wanted")
     run = _search(shared, dim, k + 1, quantile)
     best = lambda x: x.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("score", "id"))).where(F.col("r") <= k + 1)
-    home = stored(best(_blocks(index, of_cell(wanted), run)), "home")
-    limits = home.where(F.col("r") == k + 1).select("key", F.col("score").alias("limit"))
-    further = wanted.select("key", "v").join(limits, "key", "left").select("key", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-    reached = further.mapInArrow(_reach(shared, dim, quantile), "cell int, key long, v array<double>, limit double")
-    away = _blocks(index, of_cell(reached), run)
-    found = stored(best(home.select("key", "id", "score").unionByName(away)), "found", keep=True)
+    home = stored(best(_blocks(index, of_cell(wanted), run)), "home", keep=True)
+
+    def onward(so_far: DataFrame, near: int | None) -> DataFrame:
+        """so_far and what the next cells hold, by the limits so far."""
+        limits = so_far.where(F.col("r") == k + 1).select("key", F.col("score").alias("limit"))
+        further = wanted.select("key", "v").join(limits, "key", "left").select("key", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+        reached = further.mapInArrow(_reach(shared, dim, quantile, near), "cell int, key long, v array<double>, limit double")
+        return best(so_far.select("key", "id", "score").unionByName(_blocks(index, of_cell(reached), run)))
+
+    so_far = stored(onward(home, NEAR), "near", keep=True) if cells > 1 else home
+    found = stored(onward(so_far, None), "found", keep=True) if cells > 1 + NEAR else so_far
     by_key = asked.join(keys, "v").select(F.col("id").alias("query_id"), "key")
     out = by_key.join(found, "key").where(F.col("query_id") != F.col("id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
