@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import new_path, scope, stored, table
-from loomgraph.llm.shared_files import mapped, write_array
+from loomgraph.llm.shared_files import mapped, write_arrays
 
 # Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -391,16 +391,17 @@ class Mapped:
 
     path: str
     buckets: int
+    #: The buckets that have keys; a file of any of them that is not there is an error.
+    full: frozenset[int] = frozenset()
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether each key is there, its position in its bucket)."""
         hit, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         bucket = keys % self.buckets
         for b in np.unique(bucket).tolist():
-            try:
-                held = mapped(f"{self.path}/keys-{b}.npy")
-            except FileNotFoundError:  # no key has this remainder
+            if b not in self.full:
                 continue
+            held = mapped(f"{self.path}/{b}")["keys"]
             of = bucket == b
             at[of] = np.minimum(np.searchsorted(held, keys[of]), len(held) - 1)
             hit[of] = held[at[of]] == keys[of]
@@ -408,9 +409,9 @@ class Mapped:
 
     def value(self, name: str, key: int, at: int) -> np.ndarray:
         """The slice of a blob that belongs to a key that was found."""
-        b = key % self.buckets
-        ends = mapped(f"{self.path}/{name}-ends-{b}.npy")
-        return mapped(f"{self.path}/{name}-{b}.npy")[(ends[at - 1] if at else 0) : ends[at]]
+        held = mapped(f"{self.path}/{key % self.buckets}")
+        ends = held[f"{name}-ends"]
+        return held[name][(ends[at - 1] if at else 0) : ends[at]]
 
 
 def _write(to: Mapped) -> Callable:
@@ -426,11 +427,12 @@ def _write(to: Mapped) -> Callable:
                 held.setdefault(b, []).append((key, value))
         for b, rows in held.items():
             rows = sorted(dict(rows).items())
-            write_array(f"{to.path}/keys-{b}.npy", np.array([k for k, _ in rows], np.int64))
+            arrays = {"keys": np.array([k for k, _ in rows], np.int64)}
             if blobs:
-                write_array(f"{to.path}/blob-ends-{b}.npy", np.cumsum([len(v) for _, v in rows], dtype=np.int64))
-                write_array(f"{to.path}/blob-{b}.npy", np.frombuffer(b"".join(v for _, v in rows), np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+                arrays["blob-ends"] = np.cumsum([len(v) for _, v in rows], dtype=np.int64)
+                arrays["blob"] = np.frombuffer(b"".join(v for _, v in rows), np.uint8)
+            write_arrays(f"{to.path}/{b}", arrays)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())], ["bucket"])
 
     return run
 
@@ -440,7 +442,8 @@ def _put(d: DataFrame, name: str, keep: bool = False) -> Mapped:
     spark = d.sparkSession
     to = Mapped(new_path(spark, name, keep), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
     rows = d.select(F.pmod("key", F.lit(to.buckets)).cast("int").alias("bucket"), *d.columns)
-    rows.repartitionById(to.buckets, F.col("bucket")).mapInArrow(_write(to), "n long").agg(F.sum("n")).first()
+    written = rows.repartitionById(to.buckets, F.col("bucket")).mapInArrow(_write(to), "bucket int")
+    to.full = frozenset(r[0] for r in written.collect())  # a row a bucket
     return to
 
 

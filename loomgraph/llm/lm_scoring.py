@@ -16,7 +16,8 @@ follows the bytes of text, BUCKET_BYTES each, so that what one task holds does n
 
 The model is sorted arrays in the shared folder. Scoring tasks memory-map them; a batch looks its distinct
 n-grams up in sorted order, so that reads walk the files forward. What the driver holds are sums, a number
-a bucket and the hot words (4097 at most). An n-gram is known by its bucket and 40 bits of its hash: one
+a bucket and the hot words (4097 at most). A bucket is four files, of which a worker keeps a bounded number mapped
+(`shared_files.MOST_MAPS`); a file that is lost is an error and not a table without entries. An n-gram is known by its bucket and 40 bits of its hash: one
 that was never seen is taken for a seen one in about 4 of a million lookups (a bucket's entries / 2**40).
 
 Defined results: a null or empty text is the end token alone; a null id counts as training; repeated
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import textcore
 from loomgraph.llm.common import new_path, scope, stored, table
-from loomgraph.llm.shared_files import mapped, write_array
+from loomgraph.llm.shared_files import mapped, write_arrays
 
 ORDER = 3
 BEGIN, END = np.uint64(0x5BD1E995_00000001), np.uint64(0x5BD1E995_00000003)
@@ -70,6 +71,12 @@ class Model:
     left_over: float = 1.0
     #: Number of the begin mark.
     begin: int = -1
+    #: Of each kind of table which buckets have one; any other file that is not there is an error.
+    wrote: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def file(self, kind: str, b: int) -> dict[str, np.ndarray] | None:
+        """A bucket's arrays of a kind: words, vocabulary, grams or hot pairs."""
+        return mapped(f"{self.path}/{kind}-{b}") if kind in self.wrote and self.wrote[kind][b] else None
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
@@ -267,8 +274,7 @@ def _write_words(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (h, c) in _gathered(batches):
             (h,), c = grouped([h.view(np.uint64)], c)
-            write_array(f"{model.path}/word-{b}.npy", h)
-            write_array(f"{model.path}/count-{b}.npy", small(c))
+            write_arrays(f"{model.path}/words-{b}", {"word": h, "count": small(c)})
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (b, len(h), int(c.sum()))], ["bucket", "types", "tokens"])
 
     return run
@@ -280,9 +286,9 @@ def _hot_words(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                c = _maybe(f"{model.path}/count-{b}.npy")
-                if c is not None:
-                    h = np.asarray(mapped(f"{model.path}/word-{b}.npy")[np.flatnonzero(c.astype(np.int64) * HOT > model.tokens)])
+                words = model.file("words", b)
+                if words is not None:
+                    h = np.asarray(words["word"][np.flatnonzero(words["count"].astype(np.int64) * HOT > model.tokens)])
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
     return run
@@ -292,8 +298,9 @@ def numbers_of(model: Model, h: np.ndarray) -> np.ndarray:
     """Numbers of sorted hashes; -1 for unknown words."""
     out = np.full(len(h), -1, np.int64)
     for b, at in _runs(bucket_of(h, model.buckets)):
-        words = _maybe(f"{model.path}/word-{b}.npy")
-        if words is not None and len(words):
+        held = model.file("words", b)
+        if held is not None:
+            words = held["word"]
             k = np.minimum(np.searchsorted(words, h[at]), len(words) - 1)
             out[at] = np.where(words[k] == h[at], model.first[b] + k, -1)
     return out
@@ -353,27 +360,23 @@ def _gathered_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, li
         yield bucket, [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _write_table(path: str, name: str, b: int, key: np.ndarray, count: np.ndarray) -> None:
+def _table(name: str, key: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
     """Sorted 40-bit keys with a count each; counts from 255 on lie beside."""
     big = count >= 255
     order = np.argsort(key[big])
-    write_array(f"{path}/{name}-bigkey-{b}.npy", key[big][order])
-    write_array(f"{path}/{name}-bigcount-{b}.npy", count[big][order])
     whole = np.sort(key | np.minimum(count, 255).astype(np.uint64))
-    write_array(f"{path}/{name}-high-{b}.npy", (whole >> np.uint64(32)).astype(np.uint32))
-    write_array(f"{path}/{name}-low-{b}.npy", ((whole >> np.uint64(24)) & np.uint64(255)).astype(np.uint8))
-    write_array(f"{path}/{name}-count-{b}.npy", (whole & np.uint64(255)).astype(np.uint8))
+    out = {"bigkey": key[big][order], "bigcount": count[big][order], "high": (whole >> np.uint64(32)).astype(np.uint32)}
+    out |= {"low": ((whole >> np.uint64(24)) & np.uint64(255)).astype(np.uint8), "count": (whole & np.uint64(255)).astype(np.uint8)}
+    return {f"{name}-{k}": v for k, v in out.items()}
 
 
-def _write_profiles(path: str, name: str, b: int, key: np.ndarray, rows: np.ndarray) -> None:
+def _contexts(key: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
     """Sorted 40-bit keys with the place of their row among the distinct ones."""
     order = np.argsort(key)
     distinct, code = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
     key, code = key[order], code.ravel()[order]
-    write_array(f"{path}/{name}-high-{b}.npy", (key >> np.uint64(32)).astype(np.uint32))
-    write_array(f"{path}/{name}-low-{b}.npy", ((key >> np.uint64(24)) & np.uint64(255)).astype(np.uint8))
-    write_array(f"{path}/{name}-code-{b}.npy", small(code))
-    write_array(f"{path}/{name}-rows-{b}.npy", distinct.astype(np.int64))
+    out = {"high": (key >> np.uint64(32)).astype(np.uint32), "low": ((key >> np.uint64(24)) & np.uint64(255)).astype(np.uint8)}
+    return {f"context-{k}": v for k, v in (out | {"code": small(code), "rows": distinct.astype(np.int64)}).items()}
 
 
 _STATS = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -385,6 +388,10 @@ def _stat(kind: str, bucket: int, *columns: np.ndarray) -> dict:
     return {"kind": kind, "bucket": bucket, "n": len(columns[0]), **dict(zip("abc", blobs, strict=False))}
 
 
+def _wrote(kind: str, bucket: int) -> dict:
+    return {"kind": f"wrote {kind}", "bucket": bucket, "n": 0}
+
+
 def _bucket_of_number(model: Model, numbers: np.ndarray) -> np.ndarray:
     return np.searchsorted(model.first, numbers, "right") - 1
 
@@ -394,21 +401,20 @@ def _spread(model: Model, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (_bucket_of_number(model, v) + (textcore.mix(w.astype(np.uint64)) % np.uint64(SPREAD)).astype(np.int64)) % model.buckets
 
 
-def _pairs(model: Model, b: int, v: np.ndarray, w: np.ndarray, count: np.ndarray, hot: np.ndarray, name: str) -> Iterator[dict]:
-    """Writes a bucket's pairs, distinct and sorted by v, and yields what the vocabulary needs of them."""
-    _write_table(model.path, name, b, key_of(v, w), count)
-    yield _stat("of2", 0, of_counts(count))
+def _pairs(model: Model, v: np.ndarray, w: np.ndarray, count: np.ndarray, hot: np.ndarray) -> tuple[dict[str, np.ndarray], list[dict]]:
+    """A bucket's pairs, distinct and sorted by v, as a table, and what the vocabulary needs of them."""
     new = np.ones(len(v), bool)
     new[1:] = v[1:] != v[:-1]
     left, rows = v[new], profile(np.cumsum(new) - 1, count)
-    if name == "pair":  # every pair of these left words is here
-        write_array(f"{model.path}/left-{b}.npy", left[~hot[new]])
-        write_array(f"{model.path}/totals-{b}.npy", rows[~hot[new]])
+    # every pair of these left words is here
+    arrays = _table("pair", key_of(v, w), count) | {"left": left[~hot[new]], "totals": rows[~hot[new]]}
+    stats = [_stat("of2", 0, of_counts(count))]
     if hot[new].any():
-        yield _stat("hot", 0, left[hot[new]], rows[hot[new]].ravel())
+        stats.append(_stat("hot", 0, left[hot[new]], rows[hot[new]].ravel()))
     seen, n = np.unique(w, return_counts=True)
     for to, at in _runs(_bucket_of_number(model, seen)):
-        yield _stat("left words", to, seen[at], n[at])
+        stats.append(_stat("left words", to, seen[at], n[at]))
+    return arrays, stats
 
 
 def _write_grams(model: Model) -> Callable:
@@ -419,18 +425,19 @@ def _write_grams(model: Model) -> Callable:
         for b, columns in _gathered_grams(batches):
             *words, count = columns
             words, count = grouped(words, count)
-            out: list[dict] = []
+            out: list[dict] = [_wrote("grams", b)]
+            arrays: dict[str, np.ndarray] = {}
             v = words[0]
             hot = np.isin(v, hot_numbers)
             if model.order == 3:
                 u, w = words[1:]
-                _write_table(model.path, "triple", b, key_of(u, v, w), count)
+                arrays |= _table("triple", key_of(u, v, w), count)
                 out.append(_stat("of3", 0, of_counts(count)))
                 new = np.ones(len(v), bool)
                 new[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
                 rows = profile(np.cumsum(new) - 1, count)
                 keep = (rows[:, 0] > 1) | (v[new] == model.begin)  # a context met once is known by its pair
-                _write_profiles(model.path, "context", b, key_of(u[new], v[new])[keep], rows[keep])
+                arrays |= _contexts(key_of(u[new], v[new])[keep], rows[keep])
                 (v, w), count = grouped([v, w], np.ones(len(v), np.int64))
                 hot = np.isin(v, hot_numbers)
                 to = _spread(model, v[hot], w[hot])
@@ -440,7 +447,9 @@ def _write_grams(model: Model) -> Callable:
                 v, w, count, hot = v[~hot], w[~hot], count[~hot], hot[~hot]
             else:
                 w = words[1]
-            out += _pairs(model, b, v, w, count, hot, "pair")
+            pairs, stats = _pairs(model, v, w, count, hot)
+            write_arrays(f"{model.path}/grams-{b}", arrays | pairs)
+            out += stats
             yield pa.RecordBatch.from_pylist(out, _STATS)
 
     return run
@@ -450,7 +459,9 @@ def _write_hot_pairs(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (v, w, count) in _gathered(batches):
             (v, w), count = grouped([v, w], count)
-            yield pa.RecordBatch.from_pylist(list(_pairs(model, b, v, w, count, np.ones(len(v), bool), "hot-pair")), _STATS)
+            pairs, stats = _pairs(model, v, w, count, np.ones(len(v), bool))
+            write_arrays(f"{model.path}/hot-{b}", pairs)
+            yield pa.RecordBatch.from_pylist([_wrote("hot", b), *stats], _STATS)
 
     return run
 
@@ -461,33 +472,25 @@ def _write_vocabulary(model: Model, hot_totals: np.ndarray) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (seen, n) in _gathered(batches):
-            words = _maybe(f"{model.path}/word-{b}.npy")
+            words = model.file("words", b)
             if words is None:
                 continue
-            out = np.zeros((len(words), 6), np.int64)
-            out[:, 0] = mapped(f"{model.path}/count-{b}.npy")
+            out = np.zeros((len(words["word"]), 6), np.int64)
+            out[:, 0] = words["count"]
             np.add.at(out[:, 1], seen - model.first[b], n)
-            left = _maybe(f"{model.path}/left-{b}.npy")
-            if left is not None and len(left):
-                out[left - model.first[b], 2:] = mapped(f"{model.path}/totals-{b}.npy")
-            here = (hot_numbers >= model.first[b]) & (hot_numbers < model.first[b] + len(words))
+            grams = model.file("grams", b)
+            if grams is not None:
+                out[grams["left"] - model.first[b], 2:] = grams["totals"]
+            here = (hot_numbers >= model.first[b]) & (hot_numbers < model.first[b] + len(out))
             out[hot_numbers[here] - model.first[b], 2:] = hot_totals[here]
             rows, code = np.unique(out, axis=0, return_inverse=True)
-            write_array(f"{model.path}/vocabulary-rows-{b}.npy", rows)
-            write_array(f"{model.path}/vocabulary-code-{b}.npy", small(code.ravel()))
+            write_arrays(f"{model.path}/vocabulary-{b}", {"rows": rows, "code": small(code.ravel())})
             left_words = out[:, 1]
             yield pa.RecordBatch.from_arrays([pa.array([of_counts(left_words).tobytes()]), pa.array([int((left_words >= 3).sum())], pa.int64()), pa.array([int(left_words.sum())], pa.int64())], ["of", "three", "total"])
 
     return run
 
 
-def _maybe(path: str) -> np.ndarray | None:
-    try:
-        return mapped(path)
-    except FileNotFoundError:
-        return None
-
-
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     """Counts docs into a model of order 2 or 3 in the shared folder."""
     if order not in (2, 3):
@@ -507,6 +510,7 @@ def _trained(texts: DataFrame, order: int) -> Model:
         types[b + 1] = n
         model.tokens += tokens
     model.first = np.cumsum(types)[:-1]
+    model.wrote = {"words": types[1:] > 0, "vocabulary": types[1:] > 0, "grams": np.zeros(model.buckets, bool), "hot": np.zeros(model.buckets, bool)}
     model.words = max(int(types.sum()) - 1, 0)
     if not model.tokens:
         return model
@@ -519,6 +523,8 @@ def _trained(texts: DataFrame, order: int) -> Model:
     if order == 3:
         pairs = _by_bucket(stats.where("kind = 'pairs'").select("bucket", "n", "a", "b", "c"), model.buckets)
         stats = stats.unionByName(stored(pairs.mapInArrow(_write_hot_pairs(model), _STATS_TYPE), "lm-hot-stats"))
+    for kind, b in stats.where("kind like 'wrote %'").select("kind", "bucket").collect():  # two rows a bucket at most
+        model.wrote[kind.removeprefix("wrote ")][b] = True
     hot_totals = np.zeros((len(model.hot), 4), np.int64)
     of = {"of2": np.zeros(4, np.int64), "of3": np.zeros(4, np.int64)}
     hot_numbers = numbers_of(model, model.hot)
@@ -551,18 +557,15 @@ def _vocabulary(model: Model, h: np.ndarray, number: np.ndarray) -> np.ndarray:
     for b, at in _runs(bucket_of(h, model.buckets)):
         known = np.flatnonzero(number[at] >= 0) + at.start
         if len(known):
-            code = mapped(f"{model.path}/vocabulary-code-{b}.npy")[number[known] - model.first[b]]
-            out[known] = mapped(f"{model.path}/vocabulary-rows-{b}.npy")[code]
+            held = model.file("vocabulary", b)
+            out[known] = held["rows"][held["code"][number[known] - model.first[b]]]
     return out
 
 
-def _positions(model: Model, name: str, b: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _positions(held: dict[str, np.ndarray], name: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether each key stands in a bucket's table, where)."""
-    high = _maybe(f"{model.path}/{name}-high-{b}.npy")
+    high, low = held[f"{name}-high"], held[f"{name}-low"]
     hit, at = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
-    if high is None or not len(high):
-        return hit, at
-    low = mapped(f"{model.path}/{name}-low-{b}.npy")
     want, tail = (key >> np.uint64(32)).astype(np.uint32), ((key >> np.uint64(24)) & np.uint64(255)).astype(np.uint8)
     at = np.searchsorted(high, want)
     open_ = np.arange(len(key))
@@ -595,22 +598,22 @@ def _looked_up(bucket: np.ndarray, key: np.ndarray, ask: Callable, width: int) -
     return out
 
 
-def _counts(model: Model, name: str, b: int, key: np.ndarray) -> np.ndarray:
-    hit, at = _positions(model, name, b, key)
-    n = np.zeros(len(key), np.int64)
-    if hit.any():
-        n[hit] = mapped(f"{model.path}/{name}-count-{b}.npy")[at[hit]]
+def _counts(model: Model, kind: str, name: str, b: int, key: np.ndarray) -> np.ndarray:
+    n, held = np.zeros(len(key), np.int64), model.file(kind, b)
+    if held is not None:
+        hit, at = _positions(held, name, key)
+        n[hit] = held[f"{name}-count"][at[hit]]
         big = np.flatnonzero(n == 255)
         if len(big):
-            n[big] = mapped(f"{model.path}/{name}-bigcount-{b}.npy")[np.searchsorted(mapped(f"{model.path}/{name}-bigkey-{b}.npy"), key[big])]
+            n[big] = held[f"{name}-bigcount"][np.searchsorted(held[f"{name}-bigkey"], key[big])]
     return n[:, None]
 
 
 def _profiles(model: Model, b: int, key: np.ndarray) -> np.ndarray:
-    hit, at = _positions(model, "context", b, key)
-    out = np.zeros((len(key), 4), np.int64)
-    if hit.any():
-        out[hit] = mapped(f"{model.path}/context-rows-{b}.npy")[mapped(f"{model.path}/context-code-{b}.npy")[at[hit]]]
+    out, held = np.zeros((len(key), 4), np.int64), model.file("grams", b)
+    if held is not None:
+        hit, at = _positions(held, "context", key)
+        out[hit] = held["context-rows"][held["context-code"][at[hit]]]
     return out
 
 
@@ -647,10 +650,10 @@ def score_tokens(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> t
     if model.order == 3:
         at = np.flatnonzero(known & hot)
         split = (home[at] + (textcore.mix(number.astype(np.uint64)) % np.uint64(SPREAD)).astype(np.int64)[wi[at]]) % model.buckets
-        pair[at] = _looked_up(split, key_of(vn[at], wn[at]), lambda b, key: _counts(model, "hot-pair", b, key), 1)[:, 0]
+        pair[at] = _looked_up(split, key_of(vn[at], wn[at]), lambda b, key: _counts(model, "hot", "pair", b, key), 1)[:, 0]
         known &= ~hot
     at = np.flatnonzero(known)
-    pair[at] = _looked_up(whole[at], key_of(vn[at], wn[at]), lambda b, key: _counts(model, "pair", b, key), 1)[:, 0]
+    pair[at] = _looked_up(whole[at], key_of(vn[at], wn[at]), lambda b, key: _counts(model, "grams", "pair", b, key), 1)[:, 0]
     p = _interpolated(pair, rows[vi, 2:], model.discounts[1], one[wi])
     if model.order == 3:
         at = np.flatnonzero((un >= 0) & (vn >= 0))
@@ -662,7 +665,7 @@ def score_tokens(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> t
         context[once] = (1, 1, 0, 0)
         at = np.flatnonzero((context[:, 0] > 0) & (wn >= 0))
         triple = np.zeros(len(w), np.int64)
-        triple[at] = _looked_up(whole[at], key_of(un[at], vn[at], wn[at]), lambda b, key: _counts(model, "triple", b, key), 1)[:, 0]
+        triple[at] = _looked_up(whole[at], key_of(un[at], vn[at], wn[at]), lambda b, key: _counts(model, "grams", "triple", b, key), 1)[:, 0]
         p = _interpolated(triple, context, model.discounts[2], p)
     return rows[wi, 0] > 0, base[wi], np.log10(p)
 

@@ -956,3 +956,48 @@ def test_pipeline(spark, docs):
             assert max(r["count"] for r in d.groupBy("doc_id").count().collect()) <= 2
     assert kept["sentencepiece"] == kept["mixing"] > 0 and d.where("not round_trip").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == kept["sentencepiece"]
+
+
+def test_models_of_many_buckets_need_few_descriptors(spark, docs, monkeypatch):
+    """200 buckets under a limit of 256 descriptors in the scoring process; a lost file is an error."""
+    import os
+    import resource
+
+    from loomgraph.llm import shared_files
+
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 + sum(len((r.text or "").encode()) for r in docs.collect()) // 200)
+    model = lm_scoring.train(docs)
+    assert model.buckets >= 200 and model.wrote["grams"].sum() > 150
+    shared_files._maps.clear()
+    soft, hard_limit = resource.getrlimit(resource.RLIMIT_NOFILE)
+    texts = [r.text or "" for r in docs.limit(40).collect()]
+
+    def scored():
+        import pyarrow as pa
+
+        out = []
+        for _, data, offsets in textcore.chunks(pa.array(texts)):
+            u, v, w, _ = lm_scoring.tokens_of(*textcore.words(data, offsets))
+            out.append(lm_scoring.score_tokens(model, u, v, w)[2])
+        return np.concatenate(out)
+
+    most = len(os.listdir("/proc/self/fd")) + 200
+    try:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (min(most, soft), hard_limit))
+        got = scored()
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard_limit))
+    assert len(shared_files._maps) <= shared_files.MOST_MAPS and np.isfinite(got).all()
+    shared_files._maps.clear()
+    os.remove(f"{model.path.removeprefix('file://')}/grams-{int(np.flatnonzero(model.wrote['grams'])[0])}")
+    with pytest.raises(FileNotFoundError):
+        scored()
+
+
+def test_arrays_of_a_file(tmp_path):
+    from loomgraph.llm import shared_files
+
+    arrays = {"a": np.arange(5, dtype=np.uint8), "none": np.zeros((0, 4), np.int64), "two": np.arange(6.0).reshape(2, 3)}
+    shared_files.write_arrays(f"file://{tmp_path}/x", arrays)
+    got = shared_files.mapped(f"file://{tmp_path}/x")
+    assert got.keys() == arrays.keys() and all(np.array_equal(got[k], v) and got[k].dtype == v.dtype for k, v in arrays.items())
