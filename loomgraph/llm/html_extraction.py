@@ -41,7 +41,7 @@ from loomgraph.llm.common import new_path, scope, stored, table
 from loomgraph.llm.shared_files import mapped, write_arrays
 
 # Fixed values of HTML.
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select button object audio video canvas head".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
@@ -54,14 +54,19 @@ BESIDE = HEADINGS | frozenset("p pre blockquote td th".split())
 # What elements say of themselves.
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social comment comments reply replies disqus respond related recommended footer header masthead site-header site-footer toolbar pagination pager login search hidden skip copyright".split())
+#: Words that say only where an element stands, or what holds it: beside a boilerplate word they take nothing from it.
+LAYOUT_WORDS = frozenset("site main page global top bottom left right primary secondary wrapper container box block area bar list item items link links slot unit widget section inner outer row col column group panel holder".split())
 #: Words that inside an article may be its own.
 OWN_WORDS = frozenset("header search skip copyright".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quote opens a value only behind an equals sign
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_TOKEN = re.compile(r"[a-z]+(?:-[a-z]+)?")
+#: Of raw elements, those whose text goes on to the end of the page if nothing closes them.
+TO_THE_END = frozenset("script style textarea title".split())
+_CLOSING = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 #: Pages of a host on which a text repeats, and share of a node's pages whose texts do, from which these are template.
 LEAST_PAGES = 2
 REPEATING = 0.5
@@ -84,6 +89,12 @@ class Node:
         self.groups: list[list[Node]] = []  # runs of children of one shape
 
 
+def _says_boilerplate(name: str) -> bool:
+    """Whether a class or id is a boilerplate word, or such words and those of layout only: `ad-slot` and not `ad-hoc`."""
+    parts = [x for x in re.split(r"[-_0-9]+", name) if x]
+    return name in BOILERPLATE_WORDS or (not BOILERPLATE_WORDS.isdisjoint(parts) and all(x in BOILERPLATE_WORDS or x in LAYOUT_WORDS for x in parts))
+
+
 def _label(tag: str, attributes: str, inside_content: bool) -> tuple[str, bool]:
     """(tag with its class and id, whether the element says that it is boilerplate)."""
     words, roles, hidden = [], "", False
@@ -102,7 +113,7 @@ def _label(tag: str, attributes: str, inside_content: bool) -> tuple[str, bool]:
         if inside_content or tag in PROSE:
             bad = not BOILERPLATE_WORDS.isdisjoint(set(words) - OWN_WORDS)
         else:
-            bad = not BOILERPLATE_WORDS.isdisjoint({t for w in words for t in (w, *_TOKEN.findall(w), *re.split(r"[-_]", w))})
+            bad = any(_says_boilerplate(w) for w in words)
     label = ".".join([tag, *(re.sub(r"[0-9()*\s]+", "", w) for w in sorted(words) if w)])
     return re.sub(r"[()*\s]+", "", label), bad
 
@@ -114,6 +125,7 @@ def parse(html: str) -> Node:
     text: list[str] = []
     linked, links = 0, 0
     opened: Counter = Counter()
+    unclosed: set[str] = set()  # raw elements that nothing closes from here on
     at, end, last = 0, len(html), html.rfind(">")
 
     def flush() -> None:
@@ -158,8 +170,10 @@ def parse(html: str) -> Node:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                closing = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = closing.end() if closing else end if tag in ("script", "style", "textarea", "title") else at
+                closing = None if tag in unclosed else _CLOSING[tag].search(html, at)
+                if closing is None:
+                    unclosed.add(tag)
+                at = closing.end() if closing else end if tag in TO_THE_END else at
             continue
         if tag == "br":
             text.append(" ")
@@ -269,47 +283,157 @@ def read_shape(text: str) -> list[Slot]:
     return slots
 
 
-def align(page: Slot, wrapper: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: how many nodes match, and the pairs of a best matching."""
-    if page.label != wrapper.label:
+class Shapes:
+    """Numbers of different subtrees: equal ones, wherever they stand, have one."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.height: list[int] = []
+
+    def number(self, root: Slot) -> dict[int, int]:
+        """The shape of each slot of a tree, by id()."""
+        slots, out = [root], {}
+        for x in slots:  # grows: parents before children
+            slots += x.children
+        for x in reversed(slots):
+            inside = tuple(out[id(c)] for c in x.children)
+            k = self.known.get((x.label, inside))
+            if k is None:
+                k = self.known[x.label, inside] = len(self.label)
+                self.label.append(x.label)
+                self.children.append(inside)
+                self.size.append(1 + sum(self.size[c] for c in inside))
+                self.height.append(1 + max((self.height[c] for c in inside), default=0))
+            out[id(x)] = k
+        return out
+
+    def middle(self, x: int, y: int) -> tuple[int, int]:
+        """How many children of two shapes are equal from the front, and of the rest from the back. To match equal
+        subtrees with each other there is never worse than another choice."""
+        a, b = self.children[x], self.children[y]
+        most = min(len(a), len(b))
+        front = next((k for k in range(most) if a[k] != b[k]), most)
+        back = next((k for k in range(most - front) if a[-1 - k] != b[-1 - k]), most - front)
+        return front, back
+
+
+#: Cells of a table of alignments up to which plain lists are quicker than arrays, and up to which it is held whole.
+FEW_CELLS = 1 << 10
+HELD_CELLS = 1 << 26
+
+
+def _last_row(a: list[int], b: list[int], weight: Callable[[int, int], int]) -> np.ndarray:
+    """For each front part of b the weight of its best alignment with a."""
+    values, at = np.unique(b, return_inverse=True)
+    row, rows = np.zeros(len(b) + 1, np.int64), {}
+    for x in a:
+        if x not in rows:
+            rows[x] = np.array([weight(x, y) for y in values.tolist()], np.int64)
+        best = np.maximum(row[1:], row[:-1] + rows[x][at])
+        row = np.concatenate([row[:1], np.maximum.accumulate(best)])
+    return row
+
+
+def best_alignment(a: list[int], b: list[int], weight: Callable[[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """(weight, places) of pairs in order that weigh most; a pair without weight is none. Memory follows the cells up to
+    HELD_CELLS of them, beyond that a is halved, and b where both halves weigh most."""
+    if not a or not b:
         return 0, []
-    pairs = [(page, wrapper)]
-    at: dict[tuple[int, int], int] = {}
-    for a, b in pairs:  # grows: each pair of children of one label, once, as its parents are one pair
-        for x in a.children:
-            for y in b.children:
-                if x.label == y.label:
-                    at[id(x), id(y)] = len(pairs)
-                    pairs.append((x, y))
-    weight = [0] * len(pairs)
-    tables: list[list[list[int]]] = [[]] * len(pairs)
-    for k in range(len(pairs) - 1, -1, -1):
-        a, b = pairs[k]
-        rows = [[0] * (len(b.children) + 1)]
-        for x in a.children:
-            up, row = rows[-1], [0]
-            for j, y in enumerate(b.children):
-                found = at.get((id(x), id(y)))
-                row.append(max(up[j + 1], row[j], up[j] + weight[found] if found is not None else 0))
-            rows.append(row)
-        weight[k], tables[k] = rows[-1][-1] + 1, rows
-    out: list[tuple[Slot, Slot]] = []
-    todo = [0]
-    while todo:
-        k = todo.pop()
-        (a, b), rows = pairs[k], tables[k]
-        out.append((a, b))
-        i, j = len(a.children), len(b.children)
+    if len(a) * len(b) > HELD_CELLS and len(a) > 1:
+        half = len(a) // 2
+        ahead, behind = _last_row(a[:half], b, weight), _last_row(a[half:][::-1], b[::-1], weight)[::-1]
+        cut = int((ahead + behind).argmax())
+        first, last = best_alignment(a[:half], b[:cut], weight), best_alignment(a[half:], b[cut:], weight)
+        return first[0] + last[0], first[1] + [(i + half, j + cut) for i, j in last[1]]
+    out, i, j = [], len(a), len(b)
+    if len(a) * len(b) <= FEW_CELLS:
+        table = [[0] * (j + 1)]
+        for x in a:
+            up, row = table[-1], [0]
+            for k, y in enumerate(b):
+                row.append(max(up[k + 1], row[k], up[k] + weight(x, y)))
+            table.append(row)
         while i and j:
-            found = at.get((id(a.children[i - 1]), id(b.children[j - 1])))
-            if found is not None and rows[i][j] == rows[i - 1][j - 1] + weight[found]:
-                todo.append(found)
+            w = weight(a[i - 1], b[j - 1])
+            if w and table[i][j] == table[i - 1][j - 1] + w:
                 i, j = i - 1, j - 1
-            elif rows[i][j] == rows[i - 1][j]:
+                out.append((i, j))
+            elif table[i][j] == table[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-    return weight[0], out
+        return table[-1][-1], out[::-1]
+    values, at = np.unique(b, return_inverse=True)
+    row, rows, steps = np.zeros(j + 1, np.int64), {}, np.zeros((i, j), np.uint8)
+    for k, x in enumerate(a):
+        if x not in rows:
+            rows[x] = np.array([weight(x, y) for y in values.tolist()], np.int64)
+        w = rows[x][at]
+        both = row[:-1] + w
+        new = np.concatenate([row[:1], np.maximum.accumulate(np.maximum(row[1:], both))])
+        steps[k] = np.where((w > 0) & (new[1:] == both), 2, np.where(new[1:] == row[1:], 1, 0))
+        row = new
+    while i and j:
+        step = steps[i - 1, j - 1]
+        if step == 2:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif step == 1:
+            i -= 1
+        else:
+            j -= 1
+    return int(row[-1]), out[::-1]
+
+
+def align(page: Slot, wrapper: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
+    """Simple tree matching: how many nodes match, and the pairs of a best matching. Equal subtrees match whole; two
+    different shapes are compared once, however often they meet, and of their children only what lies between
+    equal ones at the front and the back."""
+    if page.label != wrapper.label:
+        return 0, []
+    shapes = Shapes()
+    shape = shapes.number(page) | shapes.number(wrapper)
+    label, size, children = shapes.label, shapes.size, shapes.children
+    top = (shape[id(page)], shape[id(wrapper)])
+    matched: dict[tuple[int, int], tuple[int, int, int, list[tuple[int, int]]]] = {}  # weight, front, back, places between
+
+    def weight(x: int, y: int) -> int:
+        return size[x] if x == y else matched[x, y][0] if label[x] == label[y] else 0
+
+    pairs, seen = [top] if top[0] != top[1] else [], {top}
+    for x, y in pairs:  # grows
+        front, back = shapes.middle(x, y)
+        by_label: dict[str, list[int]] = {}
+        for c in set(children[y][front : len(children[y]) - back]):
+            by_label.setdefault(label[c], []).append(c)
+        for c in set(children[x][front : len(children[x]) - back]):
+            for d in by_label.get(label[c], ()):
+                if c != d and (c, d) not in seen:
+                    seen.add((c, d))
+                    pairs.append((c, d))
+    for x, y in sorted(pairs, key=lambda p: shapes.height[p[0]]):  # children before parents
+        front, back = shapes.middle(x, y)
+        a, b = children[x], children[y]
+        between, places = best_alignment(list(a[front : len(a) - back]), list(b[front : len(b) - back]), weight)
+        equal = sum(size[c] for c in a[:front]) + sum(size[c] for c in a[len(a) - back :])
+        matched[x, y] = (1 + equal + between, front, back, places)
+    out, todo = [], [(page, wrapper)]
+    while todo:
+        p, w = todo.pop()
+        out.append((p, w))
+        x, y = shape[id(p)], shape[id(w)]
+        if x == y:
+            todo += zip(p.children, w.children, strict=True)
+            continue
+        _, front, back, places = matched[x, y]
+        todo += zip(p.children[:front], w.children[:front], strict=True)
+        todo += [(p.children[front + i], w.children[front + j]) for i, j in places]
+        if back:
+            todo += zip(p.children[-back:], w.children[-back:], strict=True)
+    return weight(*top), out
 
 
 def merge(wrapper: Slot, page: Slot) -> None:

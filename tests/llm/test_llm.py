@@ -1001,3 +1001,61 @@ def test_arrays_of_a_file(tmp_path):
     shared_files.write_arrays(f"file://{tmp_path}/x", arrays)
     got = shared_files.mapped(f"file://{tmp_path}/x")
     assert got.keys() == arrays.keys() and all(np.array_equal(got[k], v) and got[k].dtype == v.dtype for k, v in arrays.items())
+
+
+def blocks_of(html):
+    out, todo = [], [html_extraction.parse(html)]
+    for n in todo:
+        out += [(order, text, n.boilerplate) for order, text, _ in n.parts]
+        todo += n.children
+    return [(text, bad) for _, text, bad in sorted(out)]
+
+
+def test_markup_that_pages_have():
+    kept = lambda html: [t for t, bad in blocks_of(html) if not bad]
+    assert kept("<p data-x=don't>Hello it's me</p><p>it's fine</p>") == ["Hello it's me", "it's fine"]
+    assert kept("<p title=\"a > b\" data-y = '>'>one</p><p a='>two</p>") == ["one", "two"]
+    assert kept("<hgroup>a</hgroup><fieldset><legend>b</legend>c</fieldset>") == ["a", "b", "c"]
+    assert kept('<div class="share-prices">a</div><div class="menu-recipes">b</div><div id="ad-hoc">c</div><div class="login-article">d</div>') == ["a", "b", "c", "d"]
+    assert kept('<div class="ad-slot">a</div><div class="site-header_2">b</div><div class="cookie-banner">c</div><div class="sidebar">d</div>') == []
+    assert kept("<p>a<svg>b<p>c<svg>x</svg>d") == ["ad"] and kept("<p>a<svg> b<p>c<select>") == ["a b", "c"]
+
+
+def test_long_and_unclosed_pages_are_quick():
+    import time
+
+    def shape(n, every=0):
+        return html_extraction.fold(html_extraction.parse("".join(f"<h2>a</h2><p>b</p>{'<ul><li>x</ul>' if every and k % every == 0 else ''}" for k in range(n))))
+
+    began = time.process_time()
+    count, pairs = html_extraction.align(shape(5000), shape(5000))
+    assert count == len(pairs) == 10_001
+    count, pairs = html_extraction.align(shape(1500, 7), shape(1400, 5))
+    assert count == len(pairs) >= 2801
+    assert sum(len(t) for t, _ in blocks_of("<svg><p>a" * 100_000)) == 100_000
+    assert time.process_time() - began < 60
+
+
+def test_alignments_weigh_most(monkeypatch):
+    """Lists, arrays and halves against the plain recursion."""
+    rng = random.Random(6)
+
+    def plain(a, b, weight):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(max(rows[-1][j + 1], row[j], rows[-1][j] + weight(x, y)))
+            rows.append(row)
+        return rows[-1][-1]
+
+    for few, held in ((1 << 10, 1 << 26), (0, 1 << 26), (0, 6)):
+        monkeypatch.setattr(html_extraction, "FEW_CELLS", few)
+        monkeypatch.setattr(html_extraction, "HELD_CELLS", held)
+        for _ in range(100):
+            a, b = ([rng.randrange(6) for _ in range(rng.randrange(14))] for _ in range(2))
+            table = {(x, y): (x + 1 if x == y else rng.choice((0, 0, 1))) for x in range(6) for y in range(6)}
+            weight = lambda x, y: table[x, y]  # noqa: B023, E731
+            total, places = html_extraction.best_alignment(a, b, weight)
+            assert total == plain(a, b, weight) == sum(table[a[i], b[j]] for i, j in places)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:])) and all(table[a[i], b[j]] for i, j in places)
