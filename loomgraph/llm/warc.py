@@ -12,7 +12,13 @@ length are stepped over without being inflated, plain records by their Content-L
 members, whose length only inflating tells, are inflated in pieces that are not kept. Header names are
 read whatever their case. A record without an HTTP message (warcinfo, metadata, resource, ...) has its
 block for a payload. Digests other than SHA-1 are read, not checked; page_id and refers_to are null where
-ids are not of this writer's form.
+ids are not of this writer's form. Headers may end their lines with a bare line feed. A chunked HTTP body is put
+together, and held against the digest in either form; where payloads are not read its payload_bytes are those of the chunks.
+A file is read by one task: gzip archives can only be read from their start, and plain ones go with them.
+
+A record that is odd does not stop the read (unless the option `strict` is true, which raises): it comes with what
+its header tells and an `error`: a payload that differs from its digest, a Content-Length that is no number, a record,
+member or file that is cut off, bytes that are no record. Reading goes on at the next thing that looks like a record.
 
 Defined results: a null payload is empty; a null record type is response; line breaks in a URL are
 percent-encoded; a null URL, id or reference leaves its header out and is read as null; rows are
@@ -37,7 +43,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from loomgraph.llm.common import new_path, stored, table
 
-SCHEMA = "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+SCHEMA = "page_id long, record_type string, url string, payload_digest string, payload_bytes long, refers_to long, payload binary, error string"
 HEADERS = ("page_id", "record_type", "url", "payload_digest", "payload_bytes", "refers_to")
 MAX_FILE_BYTES = 64 << 20
 PARTITION_BYTES = 32 << 20
@@ -45,6 +51,11 @@ ID = "urn:page:"
 #: Long enough for the headers of nearly all records; a longer header is read on.
 HEAD_BYTES = 4096
 PIECE_BYTES = 1 << 16
+_BLANK = re.compile(rb"\r?\n\r?\n")
+_LINE = re.compile("\r?\n")
+_CHUNK = re.compile(rb"(?:\r?\n)?([0-9A-Fa-f]{1,15})[^\r\n]*\r?\n")
+#: What a record looks like: a gzip header, or a line that begins one.
+_RECORD = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|\nWARC/[01]\.")
 #: Repeating digests, of about 100 bytes each, up to which they are broadcast.
 BROADCAST_DIGESTS = 100_000
 SALTS = 64
@@ -113,24 +124,40 @@ def _page(value: str | None) -> int | None:
     return int(number) if value.startswith(ID) and re.fullmatch(r"-?[0-9]+", number) else None
 
 
+def _dechunked(body: bytes) -> bytes | None:
+    """The body that chunks make up; None if they are not well-formed."""
+    parts, at = [], 0
+    while m := _CHUNK.match(body, at):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(parts)
+        if m.end() + n > len(body):
+            return None
+        parts.append(body[m.end() : m.end() + n])
+        at = m.end() + n
+    return None
+
+
 def parse_header(text: bytes) -> tuple[dict, int, int] | None:
     """(columns, where the payload begins, where the block ends) of a record; None if its headers, or those
-    of the HTTP message in it, go on beyond text."""
-    end = text.find(b"\r\n\r\n")
-    if end < 0:
+    of the HTTP message in it, go on beyond text. A length that is no number ends the block where it begins."""
+    end = _BLANK.search(text)
+    if end is None:
         return None
-    fields = _fields(text[:end].decode("utf-8", "surrogateescape").split("\r\n")[1:])
-    length = int(fields.get("content-length", 0))
-    start, stop = end + 4, end + 4 + length
-    size = length
+    fields = _fields(_LINE.split(text[: end.start()].decode("utf-8", "replace"))[1:])
+    given = fields.get("content-length", "0")
+    length = int(given) if given.isdecimal() and given.isascii() else 0
+    start, stop = end.end(), end.end() + length
+    size, chunked = length, False
     if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http") and length:
-        http_end = text.find(b"\r\n\r\n", start, stop)
-        if http_end < 0 and len(text) < stop:
+        http_end = _BLANK.search(text, start, stop)
+        if http_end is None and len(text) < stop:
             return None
-        if http_end >= 0:
-            http = _fields(text[start:http_end].decode("latin-1").split("\r\n")[1:])
-            start = http_end + 4
+        if http_end is not None:
+            http = _fields(_LINE.split(text[start : http_end.start()].decode("latin-1"))[1:])
+            start = http_end.end()
             size = stop - start
+            chunked = "chunked" in http.get("transfer-encoding", "").lower()
             if fields.get("warc-type") == "revisit" and http.get("content-length", "").isdigit():
                 size = int(http["content-length"])  # of the payload that it stands for
     digest_ = fields.get("warc-payload-digest", "")
@@ -142,130 +169,139 @@ def parse_header(text: bytes) -> tuple[dict, int, int] | None:
         "payload_digest": sha or None,
         "payload_bytes": size,
         "refers_to": _page(fields.get("warc-refers-to")),
+        "chunked": chunked,
+        "error": None if given == "0" or length or set(given) == {"0"} else f"Content-Length is {given!r}",
     }, start, stop
 
 
-def _checked(row: dict, payload: bytes, at: int) -> bytes:
-    """The payload, held against a SHA-1 in base32."""
-    if row["payload_digest"] and re.fullmatch("[A-Z2-7]{32}", row["payload_digest"]) and digest(payload) != row["payload_digest"]:
-        raise ValueError(f"payload and digest of the record at byte {at} differ")
-    return payload
+def _with_payload(row: dict, payload: bytes) -> None:
+    """Puts the payload into a row, held against a SHA-1 in base32."""
+    whole = _dechunked(payload) if row["chunked"] else None
+    row["payload"] = payload if whole is None else whole
+    row["payload_bytes"] = len(row["payload"])
+    sha = row["payload_digest"]
+    if sha and re.fullmatch("[A-Z2-7]{32}", sha) and sha not in (digest(row["payload"]), digest(payload)):
+        row["error"] = "payload and digest differ"
 
 
 class _Member:
-    """A gzip member without a length, read forward in pieces."""
+    """A gzip member read forward in pieces: from its start, or with its length from behind its header. broken says what
+    is wrong with it, if anything."""
 
-    def __init__(self, source: object, at: int) -> None:
-        self.source, self.inflate, self.end = source, zlib.decompressobj(31), at
-        source.seek(at)
+    def __init__(self, source: object, at: int, length: int = 0) -> None:
+        self.source, self.end, self.left = source, at + (24 if length else 0), max(length - 24, 0)
+        self.inflate = zlib.decompressobj(-15 if length else 31)
+        self.sized, self.broken = bool(length), ""
+        source.seek(self.end)
 
     def more(self) -> bytes:
-        """Some further bytes; none at the end of the member, whose place is then known."""
-        while not self.inflate.eof:
-            raw = self.source.read(PIECE_BYTES)
+        """Some further bytes; none at the end of the member."""
+        while not self.inflate.eof and not self.broken:
+            raw = self.source.read(min(PIECE_BYTES, self.left) if self.sized else PIECE_BYTES)
             if not raw:
-                raise ValueError("a gzip member is cut off")
-            out = self.inflate.decompress(raw)
+                self.broken = "a gzip member is cut off"
+                break
+            self.left -= len(raw)
+            try:
+                out = self.inflate.decompress(raw)
+            except zlib.error as e:
+                self.broken = f"a gzip member is broken: {e}"
+                break
             self.end += len(raw) - len(self.inflate.unused_data)
             if out:
                 return out
         return b""
 
 
-def _take(more: Callable[[], bytes], passes: Callable[[dict], bool], payload: bool, at: int) -> dict | None:
-    """Reads headers from pieces; the record if it passes, its payload in it if that is wanted."""
+def _take(more: Callable[[], bytes], passes: Callable[[dict], bool], payload: bool) -> tuple[dict | None, int]:
+    """(the record if it passes, its payload in it if that is wanted; its bytes) from pieces."""
     text = b""
     while (parsed := parse_header(text)) is None:
         piece = more()
         if not piece:
-            raise ValueError(f"no record header at byte {at}")
+            return {"error": "no whole record header"}, 0
         text += piece
     row, start, stop = parsed
     if not passes(row):
-        return None
-    if payload and row["record_type"] != "revisit":
+        return None, stop
+    if payload and row["record_type"] != "revisit" and not row["error"]:
         parts, have = [text], len(text)
         while have < stop:
             piece = more()
             if not piece:
-                raise ValueError(f"the record at byte {at} is cut off")
+                row["error"] = "the record is cut off"
+                return row, stop
             parts.append(piece)
             have += len(piece)
-        row["payload"] = _checked(row, b"".join(parts)[start:stop], at)
-    return row
+        _with_payload(row, b"".join(parts)[start:stop])
+    return row, stop
 
 
-def records(source: object, size: int, wanted: list, payload: bool) -> Iterator[dict]:
-    """The records of an open archive that pass the tests; only theirs are decoded beyond the header."""
+def _resumed(source: object, at: int, size: int) -> int:
+    """Where from `at` on something looks like a record; size if nothing does."""
+    while at < size:
+        source.seek(at)
+        piece = source.read(PIECE_BYTES)
+        m = _RECORD.search(piece)
+        if m:
+            return at + m.start() + (m[0][:1] == b"\n")
+        at += max(len(piece) - 8, 1) if len(piece) == PIECE_BYTES else size
+    return size
+
+
+def records(source: object, size: int, wanted: list, payload: bool, strict: bool = False) -> Iterator[dict]:
+    """The records of an open archive that pass the tests; only theirs are decoded beyond the header. Odd ones have an error."""
     passes = lambda row: all(test(row) for test in wanted)
     at = 0
     while at < size:
+        begin = at
         source.seek(at)
-        head = source.read(HEAD_BYTES + 24)
-        if head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"sl" and (length := struct.unpack("<I", head[16:20])[0]):
-            row = _sized(source, at, head, length, passes, payload)
-            at += length
-        elif head[:2] == b"\x1f\x8b":
-            member_ = _Member(source, at)
-            row = _take(member_.more, passes, payload, at)
-            while member_.more():  # to its end, piece by piece
-                pass
-            at = member_.end
+        head = source.read(64)
+        if head[:2] == b"\x1f\x8b":
+            length = struct.unpack("<I", head[16:20])[0] if head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"sl" and len(head) >= 20 else 0
+            member_ = _Member(source, at, length)
+            row, _ = _take(member_.more, passes, payload)
+            if length:
+                at += length
+                if at > size:
+                    member_.broken = member_.broken or "a gzip member is cut off"
+            else:
+                while member_.more():  # to its end, piece by piece
+                    pass
+                at = member_.end
+            if member_.broken:
+                if row is not None and (row["error"] or "payload" not in row):
+                    row["error"] = member_.broken
+                at = at if length and at <= size else _resumed(source, begin + 2, size)
         elif head.lstrip(b"\r\n")[:5] == b"WARC/":
             at += len(head) - len(head.lstrip(b"\r\n"))
-            row, at = _plain(source, at, passes, payload)
+            source.seek(at)
+            row, stop = _take(lambda: source.read(HEAD_BYTES), passes, payload)
+            odd = not stop or (row is not None and (row["error"] or "").startswith("Content-Length"))
+            at = _resumed(source, at + 5, size) if odd else at + stop
+            if at > size and row is not None and not row["error"]:
+                row["error"] = "the record is cut off"
         elif not head.strip(b"\r\n\0"):
             at, row = at + len(head), None
         else:
-            raise ValueError(f"no record at byte {at}")
+            row, at = {"error": "no record"}, _resumed(source, at + 1, size)
+        if row is not None and row["error"]:
+            row["error"] = f"byte {begin}: {row['error']}"
+            if strict:
+                raise ValueError(row["error"])
+            row = row if len(row) > 1 or passes(dict.fromkeys(HEADERS)) else None
         if row is not None:
             yield row
 
 
-def _sized(source: object, at: int, head: bytes, length: int, passes: Callable, payload: bool) -> dict | None:
-    """A gzip member that says its length: what its header does not pass is not inflated."""
-    inflate = zlib.decompressobj(-15)
-    pieces = iter((head[24:length], None))
-
-    def more() -> bytes:
-        raw = next(pieces, b"")
-        if raw is None:
-            source.seek(at + len(head))
-            raw = source.read(max(length - len(head), 0))
-        return inflate.decompress(raw) if raw else b""
-
-    return _take(more, passes, payload, at)
-
-
-def _plain(source: object, at: int, passes: Callable, payload: bool) -> tuple[dict | None, int]:
-    """(record, where the next one begins) of an archive that is not compressed."""
-    source.seek(at)
-    text = source.read(HEAD_BYTES)
-    while (parsed := parse_header(text)) is None:
-        piece = source.read(PIECE_BYTES)
-        if not piece:
-            raise ValueError(f"no record header at byte {at}")
-        text += piece
-    row, start, stop = parsed
-    if not passes(row):
-        return None, at + stop
-    if payload and row["record_type"] != "revisit":
-        source.seek(at + start)
-        block = source.read(stop - start)
-        if len(block) < stop - start:
-            raise ValueError(f"the record at byte {at} is cut off")
-        row["payload"] = _checked(row, block, at)
-    return row, at + stop
-
-
 @dataclass
 class Files(InputPartition):
     paths: list[tuple[str, int]]
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool, partition_bytes: int) -> None:
-        self.path, self.payload, self.partition_bytes = path, payload, partition_bytes
+    def __init__(self, path: str, payload: bool, partition_bytes: int, strict: bool = False) -> None:
+        self.path, self.payload, self.partition_bytes, self.strict = path, payload, partition_bytes, strict
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -299,8 +335,8 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
         wanted = [(lambda row, c=c, v=v: row[c] is not None) if kind == "not null" else (lambda row, c=c, v=v: row[c] in v) for c, kind, v in self.tests]
-        names = [*HEADERS, "payload"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        names = [*HEADERS, "payload", "error"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         rows, size = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -308,7 +344,7 @@ class WarcReader(DataSourceReader):
 
         for path, n in partition.paths:
             with store.open_input_file(path) as source:
-                for row in records(source, n, wanted, self.payload):
+                for row in records(source, n, wanted, self.payload, self.strict):
                     rows.append(row)
                     size += 200 + len(row.get("payload") or b"")
                     if size > 8 << 20:
@@ -367,7 +403,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Format `warc`; options: path, payload (true), date, file_bytes, partition_bytes."""
+    """Format `warc`; options: path, payload (true), strict (false), date, file_bytes, partition_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -377,7 +413,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", int(self.options.get("partition_bytes", PARTITION_BYTES)))
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true", int(self.options.get("partition_bytes", PARTITION_BYTES)), self.options.get("strict", "false").lower() == "true")
 
     def writer(self, schema: object, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], self.options.get("date", "2024-01-01T00:00:00Z"), int(self.options.get("file_bytes", MAX_FILE_BYTES)))
@@ -410,13 +446,13 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     register(pages.sparkSession)
     d = with_revisits(pages, least_bytes)
-    d = d.select("page_id", "record_type", "url", F.lit(None).cast("string").alias("payload_digest"), F.lit(None).cast("long").alias("payload_bytes"), "refers_to", "payload")
+    d = d.select("page_id", "record_type", "url", F.lit(None).cast("string").alias("payload_digest"), F.lit(None).cast("long").alias("payload_bytes"), "refers_to", "payload", F.lit(None).cast("string").alias("error"))
     d.write.format("warc").mode("append").save(path)
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, strict: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("strict", str(strict).lower()).load(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,5 +460,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     the headers tell all, so that no payload is decoded for them."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    got = read_archives(spark, path).where("record_type = 'response'").unionByName(read_archives(spark, path, payload=False).where("record_type = 'revisit'"))
+    got = read_archives(spark, path, strict=True).where("record_type = 'response'").unionByName(read_archives(spark, path, payload=False, strict=True).where("record_type = 'revisit'"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("stored_bytes"))

@@ -670,6 +670,46 @@ def test_archives_of_others(spark, tmp_path):
     assert warc.read_archives(spark, f"{path}/plain.warc").count() == 5
 
 
+def test_odd_records_are_rows_with_errors(spark, tmp_path):
+    import gzip
+
+    def rec(body, head="HTTP/1.1 200 OK\r\n\r\n", length=None, of=None, line="\r\n", url="http://a/"):
+        block = head.encode() + body
+        lines = ["WARC/1.0", "WARC-Type: response", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{warc.digest(body if of is None else of)}", "Content-Type: application/http", f"Content-Length: {len(block) if length is None else length}"]
+        return line.join(lines).encode() + (line * 2).encode() + block + b"\r\n\r\n"
+
+    chunks = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    chunked = "HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    odd = [rec(b"good"), rec(b"feeds", head="HTTP/1.1 200 OK\nA: b\n\n", line="\n"), rec(chunks, head=chunked, of=b"hello world"), rec(chunks, head=chunked), rec(b"bad", of=b"other"), rec(b"length", length="abc"), rec(b"last")]
+    want = [(b"good", None), (b"feeds", None), (b"hello world", None), (b"hello world", None), (b"bad", "payload and digest differ"), (None, "Content-Length is 'abc'"), (b"last", None)]
+    (tmp_path / "w").mkdir()
+    files = {"a.warc": b"".join(odd), "b.warc.gz": b"".join(map(gzip.compress, odd)), "c.warc.gz": b"".join(map(warc.member, odd))}
+    for name, data in files.items():
+        (tmp_path / "w" / name).write_bytes(data)
+        rows = warc.read_archives(spark, f"file://{tmp_path}/w/{name}").collect()
+        assert [(None if r.payload is None else bytes(r.payload), r.error and r.error.split(": ", 1)[1]) for r in rows] == want, name
+        with pytest.raises(Exception, match="payload and digest differ"):
+            warc.read_archives(spark, f"file://{tmp_path}/w/{name}", strict=True).collect()
+        heads = warc.read_archives(spark, f"file://{tmp_path}/w/{name}", payload=False).where("record_type = 'response'").collect()
+        assert len(heads) == 7 and sum(r.error is not None for r in heads) == 1
+    # cut off at every byte: what is whole before comes through, and no read fails
+    for name, data in files.items():
+        whole = len(list(warc.records(pa_file(data), len(data), [], True)))
+        for n in range(0, len(data), 7):
+            got = list(warc.records(pa_file(data[:n]), n, [], True))
+            assert len(got) <= whole and sum(r["error"] is not None for r in got) <= 3
+            assert all(r.get("payload") == want[k][0] for k, r in enumerate(got[:-1])), (name, n)
+    garbage = b"junk\x00 and more" + odd[0] + b"junk" + gzip.compress(odd[1])[:-30] + gzip.compress(odd[0]) + b"\x1f\x8b\x08\x00broken"
+    got = list(warc.records(pa_file(garbage), len(garbage), [], True))
+    assert sum(r.get("payload") == b"good" for r in got) >= 1 and any(r["error"] for r in got)
+
+
+def pa_file(data):
+    import io
+
+    return io.BytesIO(data)
+
+
 def test_failed_writes_leave_nothing(spark, tmp_path):
     d = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").repartition(2)
     warc.write_archives(d, f"file://{tmp_path}/w")
