@@ -1,13 +1,14 @@
 """Sorted numpy arrays as files in the shared folder, several a file, memory-mapped by workers.
 
-A worker keeps MOST_MAPS files mapped, those that it used last, so descriptors and maps are bounded whatever the
-number of files. A file that is not there is an error: which files there are is for its writer to tell."""
+A worker keeps as many files mapped as half of its descriptors, and MOST_MAPS at most, those that it used last; so
+both are bounded whatever the number of files. A file that is not there is an error: which files there are is for its writer to tell."""
 
 from __future__ import annotations
 
 import io
 import json
 import os
+import resource
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -16,7 +17,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 
 #: Files that a worker keeps mapped, and the bytes that an array's place is a multiple of.
-MOST_MAPS = 128
+MOST_MAPS = 4096
 ALIGN = 64
 _maps: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
@@ -87,6 +88,6 @@ def mapped(path: str) -> dict[str, np.ndarray]:
             copy.flush()
             data = np.memmap(copy.name, np.uint8, "r")
     _maps[path] = _views(data)
-    while len(_maps) > MOST_MAPS:
+    while len(_maps) > max(16, min(MOST_MAPS, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 2)):
         _maps.popitem(last=False)  # its descriptor goes with the last view of it
     return _maps[path]
