@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Rule:
     """kind: def, class or call; pattern: one match a hit; name, other: groups of name and scope or
-    qualifier, 0 for none; unless: names that are no hit."""
+    qualifier, 0 for none; unless: names that are no hit; suffixes: of the files of a language that no extractor knows."""
 
     lang: str
     kind: str
@@ -31,6 +31,7 @@ class Rule:
     name: int = 1
     other: int = 0
     unless: tuple[str, ...] = ()
+    suffixes: tuple[str, ...] = ()
 
 
 # Words of each language that look like names before a parenthesis.
@@ -96,13 +97,12 @@ def _count(code: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(code, f"[^{chars}]", ""))
 
 
-def clean_files(files: DataFrame) -> DataFrame:
-    """(path, lang, code) of files (path, content, lang)."""
-    code = None
-    for lang in TOKENS:
-        one = blanked(F.col("content"), lang)
-        one = one if lang == "python" else with_headers(one)
-        code = F.when(F.col("lang") == lang, one) if code is None else code.when(F.col("lang") == lang, one)
+def clean_files(files: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """(path, lang, code) of files (path, content, lang) in langs; a language without tokens of its own has those of C."""
+    code = F.lit(None).cast("string")
+    for lang in TOKENS if langs is None else langs:
+        one = blanked(F.col("content"), lang if lang in TOKENS else "c")
+        code = F.when(F.col("lang") == lang, one if lang == "python" else with_headers(one)).otherwise(code)
     return files.where(F.col("content").isNotNull()).select("path", "lang", code.alias("code"))
 
 
@@ -140,19 +140,29 @@ def brackets(clean: DataFrame) -> DataFrame:
     return found.select("path", F.struct("n", "j").alias("k"), (F.col("n") + 1).alias("line"), "text", F.lit(True).alias("is_punct"))
 
 
+def _matches(r: Rule, place: int) -> Column:
+    """The rule's matches in a line (place, name, other), placed from `place` on."""
+    names = F.regexp_extract_all("code", F.lit(r.pattern), r.name)
+    others = F.regexp_extract_all("code", F.lit(r.pattern), r.other) if r.other else F.transform(names, lambda _: F.lit(""))
+    both = F.zip_with(names, others, lambda a, b: F.struct(a.alias("name"), b.alias("other")))
+    placed = F.transform(both, lambda x, i: F.struct((i + place).alias("place"), x["name"].alias("name"), x["other"].alias("other")))
+    return F.filter(placed, lambda x: (x["name"] != "") & ~x["name"].isin(*r.unless))
+
+
 def hits(lines: DataFrame, kind: str, rules: list[Rule] | None = None) -> DataFrame:
-    """lines with name, other and place: every match of the rules of a kind; place is its order among
-    the line's matches."""
-    out = None
-    for k, r in enumerate(x for x in (RULES if rules is None else rules) if x.kind == kind):
-        group = lambda g, p=r.pattern: F.regexp_extract_all("code", F.lit(p), g) if g else None
-        names, others = group(r.name), group(r.other)
-        both = F.zip_with(names, others if others is not None else F.transform(names, lambda _: F.lit("")), lambda a, b: F.struct(a.alias("name"), b.alias("other")))
-        own = [c for c in lines.columns if c != "code"]
-        d = lines.where((F.col("lang") == r.lang) & F.col("code").rlike(r.pattern)).select(*own, F.posexplode(both).alias("place", "x"))
-        d = d.select(*own, (F.col("place") + 1000 * k).alias("place"), "x.name", "x.other").where((F.col("name") != "") & ~F.col("name").isin(*r.unless))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """lines with name, other and place: every match of the rules of a kind; place is its order among the line's
+    matches, rule by rule. One pass: a line's matches of all its language's rules are one array."""
+    own = [c for c in lines.columns if c != "code"]
+    none = F.lit(None).cast("array<struct<place: int, name: string, other: string>>")
+    found, k = none, 0
+    by_lang: dict[str, list[Rule]] = {}
+    for r in RULES if rules is None else rules:
+        if r.kind == kind:
+            by_lang.setdefault(r.lang, []).append(r)
+    for lang, some in by_lang.items():
+        found = F.when(F.col("lang") == lang, F.concat(*[_matches(r, 1000 * (k + j)) for j, r in enumerate(some)])).otherwise(found)
+        k += len(some)
+    return lines.select(*own, F.explode(found).alias("x")).select(*own, "x.place", "x.name", "x.other")
 
 
 def _with_end(found: DataFrame, lines: DataFrame) -> DataFrame:

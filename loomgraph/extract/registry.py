@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.extract import line_rules, token_rules, tokens
@@ -49,9 +48,18 @@ for _lang, _suffixes in LANGUAGE_SUFFIXES:
     register_extractor(Extractor(_lang, _suffixes, rules=[r for r in line_rules.RULES if r.lang == _lang], by_tokens=_lang in tokens.LANGUAGES))
 
 
-def _routed(files: DataFrame) -> DataFrame:
+def _known(rules: list[line_rules.Rule] | None) -> list[Extractor]:
+    """The registered extractors, and behind them those of languages that only the rules know, by their suffixes."""
+    new: dict[str, tuple[str, ...]] = {}
+    for r in rules or []:
+        if r.lang not in _all:
+            new[r.lang] = (*new.get(r.lang, ()), *r.suffixes)
+    return [*_all.values(), *(Extractor(lang, suffixes) for lang, suffixes in new.items())]
+
+
+def _routed(files: DataFrame, rules: list[line_rules.Rule] | None) -> DataFrame:
     s, lang, order = suffix(F.col("path")), F.lit(None).cast("string"), F.lit(None).cast("int")
-    for k, e in enumerate(_all.values()):
+    for k, e in enumerate(_known(rules)):
         lang, order = F.when(s.isin(*e.suffixes), e.lang).otherwise(lang), F.when(s.isin(*e.suffixes), k).otherwise(order)
     return files.select("path", "content", lang.alias("lang"), order.alias("lang_ord")).where("lang is not null")
 
@@ -91,7 +99,7 @@ def _clean(files: DataFrame, rules: list[line_rules.Rule]) -> tuple[DataFrame, D
     """(path, lang, code) of the files that rules scan, and (path, error) of those without content or
     whose brackets do not close. Python files of the second kind are left out: their lines cannot be told."""
     langs = sorted({r.lang for r in rules})
-    clean = cut(line_rules.clean_files(files.where(F.col("lang").isin(*langs))))  # each rule reads it
+    clean = cut(line_rules.clean_files(files.where(F.col("lang").isin(*langs)), langs))  # each rule reads it
     bad = tokens.fault_text(tokens.faults(line_rules.brackets(clean)))
     errors = bad.unionByName(_no_content(files, langs))
     return clean.join(bad.join(clean.where("lang = 'python'").select("path"), "path", "left_semi").select("path"), "path", "left_anti"), errors
@@ -115,7 +123,7 @@ def _rules(rules: list[line_rules.Rule] | None) -> tuple[list[line_rules.Rule],
 def extract_symbols(files: DataFrame, id_scheme: str = "module", rules: list[line_rules.Rule] | None = None) -> tuple[DataFrame, DataFrame]:
     """(symbols, errors) of files (path, content). sym_ord orders by language, path part by part, line and
     column; id_scheme `path` puts the whole relative path in place of the module."""
-    f = _routed(files)
+    f = _routed(files, rules)
     by_lines, by_tokens = _rules(rules)
     clean, errors = _clean(f, by_lines)
     rows = line_rules.definitions(cut(line_rules.logical_lines(clean)), by_lines)
@@ -135,7 +143,7 @@ def extract_symbols(files: DataFrame, id_scheme: str = "module", rules: list[lin
 
 def extract_calls(files: DataFrame, rules: list[line_rules.Rule] | None = None) -> tuple[DataFrame, DataFrame]:
     """(call sites, errors) of files (path, content), ordered by fact_ord as symbols are."""
-    f = _routed(files)
+    f = _routed(files, rules)
     of, by_tokens = _rules(rules)
     clean, errors = _clean(f, of)
     nested, scanned, token_errors = _tokens(f, by_tokens)
@@ -153,10 +161,10 @@ def extract_calls(files: DataFrame, rules: list[line_rules.Rule] | None = None)
 
 
 def read_rules(spark: SparkSession, path: str) -> list[line_rules.Rule]:
-    """Rules from JSON lines {"lang", "kind", "pattern", "name", "other", "unless"}, a few rows that the
-    driver holds; pass them as `rules`. Languages that the files do not name keep their own."""
-    schema = "lang string, kind string, pattern string, name int, other int, unless array<string>"
-    return [line_rules.Rule(r.lang, r.kind, r.pattern, 1 if r.name is None else r.name, r.other or 0, tuple(r.unless or ())) for r in spark.read.schema(schema).json(path).collect()]
+    """Rules from JSON lines {"lang", "kind", "pattern", "name", "other", "unless", "suffixes"}, a few rows that the
+    driver holds; pass them as `rules`. Languages that the files do not name keep their own; a new one needs suffixes."""
+    schema = "lang string, kind string, pattern string, name int, other int, unless array<string>, suffixes array<string>"
+    return [line_rules.Rule(r.lang, r.kind, r.pattern, 1 if r.name is None else r.name, r.other or 0, tuple(r.unless or ()), tuple(r.suffixes or ())) for r in spark.read.schema(schema).json(path).collect()]
 
 
 # Definition sites of JavaScript in their order of precedence, and names that are none.
@@ -172,22 +180,17 @@ NO_SITES = ("if", "else", "for", "while", "switch", "catch", "do")
 
 def definition_sites(files: DataFrame, patterns: tuple[str, ...] = SITES) -> DataFrame:
     """(path, name, line, brace): of patterns that end at one brace the first counts, also where its name
-    is then none; the line is that on which the match begins. null content has no sites."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [re.compile(p, re.ASCII) for p in patterns]
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = content or ""
-                for k, p in enumerate(own):
-                    line, at = 1, 0
-                    for m in p.finditer(text):
-                        line, at = line + text.count("\n", at, m.start()), m.start()
-                        rows.append((path, m[1], line, m.end() - 1, k))
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(5)], ["path", "name", "line", "brace", "k"])
-
-    d = files.select("path", "content").mapInArrow(run, "path string, name string, line int, brace long, k int")
+    is then none; the line is that on which the match begins. null content has no sites. Patterns have one group.
+
+    Each pattern is matched with the text before it, and the text behind the last match with no name, so that a
+    match's place is the length of all before: a sum over a file's matches."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), *[F.regexp_extract_all("content", F.lit(rf"((?s:.*?))(?:{p}|\z)"), g).alias(name) for g, name in ((0, "whole"), (1, "gap"), (2, "name"))]) for k, p in enumerate(patterns)])
+    d = files.where("content is not null").select("path", F.explode(kinds).alias("m"))
+    d = d.select("path", "m.k", F.posexplode(F.arrays_zip("m.whole", "m.gap", "m.name")).alias("j", "x")).select("path", "k", "j", "x.*")
+    breaks = lambda c: F.length(F.regexp_replace(c, r"[^\n]", ""))
+    d = d.select("path", "k", "j", "name", F.length("whole").alias("size"), breaks("whole").alias("lines"), breaks("gap").alias("above"))
+    upto = Window.partitionBy("path", "k").orderBy("j")
+    before = F.coalesce(F.sum("lines").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.select("path", "name", (before + F.col("above") + 1).cast("int").alias("line"), (F.sum("size").over(upto) - 1).alias("brace"), "k").where("name <> ''")
     first = d.groupBy("path", "brace").agg(F.min_by(F.struct("name", "line"), "k").alias("x")).select("path", "x.name", "x.line", "brace")
     return first.where(~F.col("name").isin(*NO_SITES))

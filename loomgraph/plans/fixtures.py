@@ -71,14 +71,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table in Spark, or one of the given ones."""
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived table in Spark, or one of the given ones; made: tables that are there already."""
+    if name in (made or {}):
+        return made[name]
     if name not in BY_NAME:
         return table(spark, sf_dir, name)
     needs, text = BY_NAME[name]
     if "{n_part}" in text:
         text = text.replace("{n_part}", str(table(spark, sf_dir, "part").count()))
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in needs})
+    return spark.sql(text, **{n: view(spark, sf_dir, n, made) for n in needs})
 
 
 def oracle(query: str) -> str:

@@ -15,7 +15,7 @@ from loomgraph.functions import paths as P
 from loomgraph.operators import graph, hierarchy, lookup, resolve, trace, traverse
 from loomgraph.plans.fixtures import oracle, table, view
 from loomgraph.sources import trees
-from loomgraph.sources.shared import cut
+from loomgraph.sources.shared import cut, new_path
 from loomgraph.streaming import checks as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,8 +39,11 @@ class Data:
     def make_callees(self) -> DataFrame:
         return resolve.resolve_callees(self.facts, self.symbols)
 
+    def make_symbols(self) -> DataFrame:
+        return cut(view(self.spark, self.sf_dir, "symbols"))
+
     def make_facts(self) -> DataFrame:
-        return cut(view(self.spark, self.sf_dir, "facts"))
+        return cut(view(self.spark, self.sf_dir, "facts", {"symbols": self.symbols}))
 
     def make_edges(self) -> DataFrame:
         return cut(resolve.call_edges(self.facts, self.callers, self.callees))
@@ -211,6 +214,8 @@ query("w1_neighbour_order", "SELECT dst AS seed, src AS id, line FROM edges")(la
 query("w2_sibling_order", "SELECT src AS parent, id, CAST(row_number() OVER (PARTITION BY src ORDER BY CASE type WHEN 'directory' THEN 0 WHEN 'file' THEN 1 ELSE 2 END, CASE WHEN type = 'function' THEN line ELSE 0 END, CASE WHEN type = 'function' THEN '' ELSE name END, id) AS INT) AS position FROM (SELECT DISTINCT src, dst FROM has) h JOIN nodes n ON n.id = h.dst")(lambda d: hierarchy.sibling_order(d.nodes, d.has))
 query("w3_first_events", "SELECT seq, fn, file, line FROM trace WHERE fn = 'red_widget' ORDER BY seq LIMIT 20")(lambda d: trace.first_events(trace.of_function(d.trace, "red_widget"), 20).select("seq", "fn", "file", "line"))
 query("w4_sequence_number", "SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) AS INT) AS number, count(*) OVER (PARTITION BY run_id) AS n FROM trace")(lambda d: trace.numbered(d.trace).select("run_id", "seq", "number", "n"))
+query("w5_event_at", "SELECT run_id, seq, fn, file, line FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS number FROM trace) WHERE number = 7")(lambda d: trace.playhead(d.trace, 7))
+query("w3_all_events", "SELECT seq, fn, file, line FROM trace WHERE fn = 'red_widget' ORDER BY seq")(lambda d: trace.first_events(trace.of_function(d.trace, "red_widget"), 0).select("seq", "fn", "file", "line"))
 query("w5_playhead", "SELECT run_id, max(seq) AS seq, arg_max(fn, seq) AS fn, arg_max(file, seq) AS file, arg_max(line, seq) AS line FROM trace GROUP BY run_id")(lambda d: trace.playhead(d.trace))
 
 # Extraction over the generated corpus, and union over languages
@@ -320,6 +325,15 @@ def _extraction_errors(d: Data) -> DataFrame:
     return extract.extract_symbols(d.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), opened.alias("content")))[1]
 
 
+@query("e3_rule_file", _DEFS.format(id="regexp_replace(split_part(n.path, '/', -1), '\\.js$', '') || '.' || s.name", suffix=".rs"))
+def _rule_file(d: Data) -> DataFrame:
+    """A fifth language, known by a file of rules alone."""
+    path = new_path(d.spark, "rules")
+    rows = [("rust", "def", r"\bfn\s+(\w+)\s*\(", [".rs"]), ("rust", "call", r"(?<![\w.])(\w+)\s*\(", [".rs"])]
+    d.spark.createDataFrame(rows, "lang string, kind string, pattern string, suffixes array<string>").write.json(path)
+    return extract.extract_symbols(_as(d, ".rs", "pub fn $1(a: bool)"), rules=extract.read_rules(d.spark, path))[0].select("id", "name", "path", "start_line", "end_line")
+
+
 query("x10_definition_sites", f", {_CORPUS} SELECT n.path, s.name, n.k AS line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 WHERE n.o2 = 0")(lambda d: extract.definition_sites(d.corpus).select("path", "name", "line"))
 query("u1_union_symbols", f", {_CORPUS} SELECT 'js' AS lang, s.name, min(k) AS start_line FROM numbered n JOIN symbols s ON s.sym_ord = n.o1 GROUP BY n.path, s.sym_ord, s.name UNION ALL SELECT 'python', name, CAST(3 * row_number() OVER (PARTITION BY path ORDER BY sym_ord) - 2 AS INT) FROM symbols")(lambda d: extract.extract_symbols(d.corpus.unionByName(_python(d)))[0].select("lang", "name", "start_line"))
 
