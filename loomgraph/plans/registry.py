@@ -122,8 +122,8 @@ query("f1_resolve_symbol", "SELECT s AS symbol, CASE WHEN e THEN 'exact' WHEN n
 query("f2_find_symbol", "SELECT * FROM nodes WHERE type = 'function' AND name = 'red_widget'")(lambda d: lookup.functions_named(d.nodes, "red_widget"))
 query("f3_node_details", "SELECT * FROM nodes WHERE id = 'economy.red_widget'")(lambda d: lookup.node_details(d.nodes, "economy.red_widget"))
 query("f4_file_symbols", "SELECT * FROM nodes WHERE type = 'function' AND path = (SELECT min(path) FROM fnodes)")(lambda d: lookup.symbols_of_file(d.nodes, d.fnodes.agg(F.min("path")).first()[0]))
-query("f5_source_slice", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, p_partkey % (SELECT count(*) FROM documents) AS doc, start_line % 7 + 1 AS a, start_line % 7 + 1 + p_partkey % 4 AS b FROM symbols) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")(
-    lambda d: lookup.source_slices(d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % d.documents.count()).cast("string").alias("path"), (F.col("start_line") % 7 + 1).alias("line"), (F.col("start_line") % 7 + 1 + F.col("p_partkey") % 4).cast("int").alias("end_line")), d.lines)
+query("f5_source_slice", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, p_partkey % (SELECT count(*) FROM documents) AS doc, start_line AS a, start_line + p_partkey % 40 AS b FROM symbols) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")(
+    lambda d: lookup.source_slices(d.symbols.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % d.documents.count()).cast("string").alias("path"), F.col("start_line").alias("line"), (F.col("start_line") + F.col("p_partkey") % 40).cast("int").alias("end_line")), d.lines)
 )
 
 @query("f5_source_slice_all", "SELECT f.p_partkey AS id, string_agg(l.text, chr(10) ORDER BY l.n) AS source FROM (SELECT p_partkey, doc_id, p_partkey * 31 % len(parts) + 1 AS a, p_partkey * 31 % len(parts) + 1 + CASE WHEN p_partkey % 4 = 0 THEN 20 ELSE p_partkey % 4 END AS b FROM symbols JOIN (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)) ON doc_id = p_partkey % (SELECT count(*) FROM documents) WHERE len(parts) > 0) f JOIN (SELECT doc_id, n, parts[n] AS text FROM (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)) l ON l.doc_id = f.doc_id AND l.n BETWEEN f.a AND f.b GROUP BY f.p_partkey")
@@ -138,9 +138,13 @@ def _slices_of_all(d: Data) -> DataFrame:
 query("f6_trace_of_function", "SELECT seq, file, line FROM trace WHERE fn = 'red_widget'")(lambda d: trace.of_function(d.trace, "red_widget").select("seq", "file", "line"))
 query("f7_search_node", "SELECT * FROM nodes WHERE contains(lower(name), 'widg') ORDER BY id LIMIT 1")(lambda d: lookup.search_nodes(d.nodes, "WIDG"))
 query("f8_search_history", "SELECT run_id, min(seq) AS seq, arg_min(fn, seq) AS fn, arg_min(file, seq) AS file, arg_min(line, seq) AS line FROM trace WHERE contains(lower(fn), 'cls.') GROUP BY run_id")(lambda d: lookup.search_history(d.trace, "cls."))
-query("f9_signature", "SELECT p_partkey, coalesce(trim(parts[k], ' '), '') AS signature FROM (SELECT p_partkey, p_partkey % 5 + 1 AS k, regexp_split_to_array(text, '\\r?\\n') AS parts FROM symbols LEFT JOIN documents ON doc_id = p_partkey)")(
-    lambda d: lookup.signatures(d.symbols.select("p_partkey", F.col("p_partkey").cast("string").alias("path"), (F.col("p_partkey") % 5 + 1).cast("int").alias("line")), d.lines).select("p_partkey", "signature")
-)
+@query("f9_signature", "SELECT p_partkey, coalesce(trim(parts[p_partkey * 7 % coalesce(len(parts), 1) + 1], ' '), '') AS signature FROM (SELECT p_partkey, regexp_split_to_array(text, '\\r?\\n') AS parts FROM symbols LEFT JOIN documents ON doc_id = p_partkey)")
+def _signatures(d: Data) -> DataFrame:
+    """A line of every document that a symbol has, over all of its lines."""
+    lengths = d.documents.where("text is not null").select(F.col("doc_id").alias("p_partkey"), F.size(F.split("text", "\r?\n")).alias("n"))
+    at = d.symbols.join(lengths, "p_partkey", "left").withColumn("line", (F.col("p_partkey") * 7 % F.coalesce("n", F.lit(1)) + 1).cast("int"))
+    return lookup.signatures(at.select("p_partkey", F.col("p_partkey").cast("string").alias("path"), "line"), d.lines).select("p_partkey", "signature")
+
 
 # Joins
 query("j1_enclosing_function", "SELECT * FROM caller")(lambda d: d.callers)
@@ -193,8 +197,8 @@ query("g2_wide_impact", ", top AS (SELECT dst AS id FROM wide GROUP BY dst ORDER
 @query(
     "g4_shortest_path",
     """, goal AS (SELECT min(id) AS a, (SELECT id FROM seed) AS b FROM fnodes WHERE id IN (SELECT src FROM edges)),
-reach AS (SELECT b AS id, 0 AS d FROM goal UNION SELECT e.src, r.d + 1 FROM reach r JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.dst = r.id WHERE r.d < 12),
-dist AS (SELECT id, min(d) AS d FROM reach GROUP BY id),
+reach(id, d) USING KEY (id) AS (SELECT b, 0 FROM goal UNION SELECT e.src, min(r.d) + 1 FROM reach r JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.dst = r.id WHERE e.src NOT IN (SELECT id FROM recurring.reach) GROUP BY e.src),
+dist AS (SELECT id, d FROM reach),
 nxt AS (SELECT e.src AS id, arg_min(e.dst, e.edge_ord) AS n FROM edges e JOIN dist p ON p.id = e.src JOIN dist q ON q.id = e.dst AND q.d = p.d - 1 GROUP BY e.src),
 path AS (SELECT a AS id, 0 AS step FROM goal WHERE a IN (SELECT id FROM dist) UNION ALL SELECT n.n, p.step + 1 FROM path p JOIN nxt n ON n.id = p.id WHERE p.id <> (SELECT b FROM goal))
 SELECT g.a AS start, g.b AS "end", p.step, p.id FROM path p, goal g""",
