@@ -344,6 +344,7 @@ query("u1_union_symbols", f", {_CORPUS} SELECT 'js' AS lang, s.name, min(k) AS s
 # Streams, run to their end over tables dealt into files
 query("t1_live_events", "SELECT CAST(run_id AS STRING) AS run_id, fn, file, line FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>'")(lambda d: streams.live_events(d.trace))
 query("t1_growing_files", "SELECT CAST(run_id AS STRING) AS run_id, fn, file, line FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>'")(lambda d: streams.growing_events(d.trace))
+query("t1_messages", "SELECT CAST(run_id AS STRING) AS run_id, fn, file, line FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>'")(lambda d: streams.message_events(d.trace))
 query("t2_malformed_lines", "SELECT 'event' AS kind, fn || '|' || file || '|' || line AS value FROM trace UNION ALL SELECT 'malformed', parts[n] FROM (SELECT CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS parts FROM documents WHERE text IS NOT NULL)), unnest(range(1, len(parts) + 1)) u(n)")(lambda d: streams.routed_lines(d.trace, d.documents))
 query("t3_running_hits", "SELECT id, count(*) AS hits FROM hit WHERE seq IN (SELECT seq FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>') GROUP BY id")(lambda d: streams.hits(d.trace, d.fnodes))
 _CLEAN = "(SELECT CAST(run_id AS STRING) AS run_id, seq, fn, file, line FROM trace WHERE NOT contains(file, 'lib/') AND fn <> '<listcomp>')"

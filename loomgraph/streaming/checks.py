@@ -69,6 +69,14 @@ def growing_events(trace: DataFrame) -> DataFrame:
     return _appended(live.events_of(stream).select("run_id", "fn", "file", "line"))
 
 
+def message_events(trace: DataFrame) -> DataFrame:
+    """live_events of the same lines as messages, a run a key."""
+    spark, path = trace.sparkSession, _path(trace)
+    _lines(trace).select(F.encode("run_id", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value")).write.parquet(path)
+    stream = live.lines_of_messages(spark.readStream.schema("key binary, value binary").option("maxFilesPerTrigger", 3).parquet(path))
+    return _appended(live.events_of(stream).select("run_id", "fn", "file", "line"))
+
+
 def routed_lines(trace: DataFrame, documents: DataFrame) -> DataFrame:
     """(kind, value) out of the two sinks of one stream: events as fn, file and line, and the lines that are none
     as they came. The documents' lines are such lines; they arrive beside the trace's in files of their own."""
