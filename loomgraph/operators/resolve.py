@@ -13,18 +13,44 @@ from pyspark.sql import functions as F
 BUCKET_LINES = 64
 
 
-def enclosing_function(facts: DataFrame, symbols: DataFrame, innermost: bool = False) -> DataFrame:
+def enclosing_function(facts: DataFrame, symbols: DataFrame, innermost: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(fact_ord, caller): the first symbol of the same file whose lines hold the call site's; with
-    innermost, that which starts last. Call sites outside any function are left out.
+    innermost, that which starts last. Call sites outside any function are left out. carry: more columns
+    of the call sites to keep.
 
-    Symbols are laid into every bucket of lines that they touch and call sites into one, so that the
-    join is by (path, bucket) and a long file does not meet itself as a whole."""
+    Of symbols of the same lines only the first (innermost: the last) can be the answer. What is left is laid
+    into every bucket of lines that it touches, a row a bucket with its distinct spans in order; a call site meets
+    the one row of its own bucket and takes the first span that holds it. So a long file does not meet itself as
+    a whole, a file of one line has one span, and no pair of a call site and a symbol is ever a row."""
     buckets = F.sequence(F.floor(F.col("start_line") / BUCKET_LINES), F.floor(F.col("end_line") / BUCKET_LINES))
-    s = symbols.where("start_line <= end_line").select("path", "id", "sym_ord", F.col("start_line").alias("s0"), F.col("end_line").alias("s1"), F.explode(buckets).alias("bucket"))
-    f = facts.select("fact_ord", "path", "start_line", "end_line", F.floor(F.col("start_line") / BUCKET_LINES).alias("bucket"))
-    met = f.join(s, ["path", "bucket"]).where("start_line >= s0 and end_line <= s1")
-    best = F.max_by("id", F.struct("s0", "sym_ord")) if innermost else F.min_by("id", "sym_ord")
-    return met.groupBy("fact_ord").agg(best.alias("caller"))
+    last, best = (F.max_by, F.max) if innermost else (F.min_by, F.min)
+    spans = symbols.where("start_line <= end_line").groupBy("path", "start_line", "end_line").agg(last("id", "sym_ord").alias("id"), best("sym_ord").alias("sym_ord"))
+    order = ("s0", "sym_ord", "s1", "id") if innermost else ("sym_ord", "s0", "s1", "id")
+    s = spans.select("path", "id", "sym_ord", F.col("start_line").alias("s0"), F.col("end_line").alias("s1"), F.explode(buckets).alias("bucket"))
+    s = s.groupBy("path", "bucket").agg(F.sort_array(F.collect_list(F.struct(*order)), asc=not innermost).alias("spans"))
+    f = facts.select("fact_ord", "path", "start_line", "end_line", F.floor(F.col("start_line") / BUCKET_LINES).alias("bucket"), *carry)
+    holds = F.filter("spans", lambda x: (F.col("start_line") >= x["s0"]) & (F.col("end_line") <= x["s1"]))
+    met = f.join(s, ["path", "bucket"]).select("fact_ord", F.get(holds, F.lit(0))["id"].alias("caller"), *carry)
+    return met.where("caller is not null")
+
+
+def _asked(facts: DataFrame, ignore_qualifiers: tuple[str, ...], *keep: str) -> DataFrame:
+    """(keep, name, qualifier, dir) of the call sites."""
+    q = F.col("callee_qualifier")
+    q = F.when(q.isin(*ignore_qualifiers), "").otherwise(q) if ignore_qualifiers else q
+    return facts.select(*keep, F.col("callee_name").alias("name"), q.alias("qualifier"), "dir")
+
+
+def _answers(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(name, qualifier, dir, callee) for each distinct (name, qualifier, dir) that resolves."""
+    s = symbols.groupBy("name", "id", "dir").agg(F.min("sym_ord").alias("sym_ord"))
+    some = asked.where("qualifier <> ''").select("name", "qualifier").distinct()
+    held = some.join(s.select("name", "id").distinct(), "name").where(F.contains("id", "qualifier"))
+    fit = s.withColumn("qualifier", F.lit("")).unionByName(s.join(held, ["name", "id"]))
+    here = fit.groupBy("name", "qualifier", "dir").agg(F.min(F.struct("sym_ord", "id")).alias("here"))
+    first = here.groupBy("name", "qualifier").agg(F.min("here").alias("first"))
+    best = asked.distinct().join(first, ["name", "qualifier"]).join(here, ["name", "qualifier", "dir"], "left")
+    return best.select("name", "qualifier", "dir", F.coalesce("here.id", "first.id").alias("callee"))
 
 
 def resolve_callees(facts: DataFrame, symbols: DataFrame, ignore_qualifiers: tuple[str, ...] = ()) -> DataFrame:
@@ -32,22 +58,11 @@ def resolve_callees(facts: DataFrame, symbols: DataFrame, ignore_qualifiers: tup
     caller's directory, or else the first. Unresolved call sites are left out.
 
     The answer depends on (name, qualifier, directory) only, however many call sites repeat them. Without
-    a qualifier it is one of two minima, by (name, directory) and by name. Distinct (name, qualifier) meet
-    distinct (name, id) to tell which ids hold them, and the same two minima follow; so the directories
-    of a hot name never meet its symbols' directories in pairs."""
-    q = F.col("callee_qualifier")
-    q = F.when(q.isin(*ignore_qualifiers), "").otherwise(q) if ignore_qualifiers else q
-    f = facts.select("fact_ord", F.col("callee_name").alias("name"), q.alias("qualifier"), "dir")
-    asked = f.select("name", "qualifier", "dir").distinct()
-    s = symbols.groupBy("name", "id", "dir").agg(F.min("sym_ord").alias("sym_ord"))
-    some = asked.where("qualifier <> ''").select("name", "qualifier").distinct()
-    held = some.join(s.select("name", "id").distinct(), "name").where(F.contains("id", "qualifier"))
-    fit = s.withColumn("qualifier", F.lit("")).unionByName(s.join(held, ["name", "id"]))
-    here = fit.groupBy("name", "qualifier", "dir").agg(F.min_by("id", "sym_ord").alias("here"))
-    first = fit.groupBy("name", "qualifier").agg(F.min_by("id", "sym_ord").alias("first"))
-    best = asked.join(first, ["name", "qualifier"]).join(here, ["name", "qualifier", "dir"], "left")
-    best = best.select("name", "qualifier", "dir", F.coalesce("here", "first").alias("callee"))
-    return f.join(best, ["name", "qualifier", "dir"]).select("fact_ord", "callee")
+    a qualifier it is one of two minima, by (name, directory) and by name, the second taken from the first.
+    Distinct (name, qualifier) meet distinct (name, id) to tell which ids hold them, and the same two minima
+    follow; so the directories of a hot name never meet its symbols' directories in pairs."""
+    f = _asked(facts, ignore_qualifiers, "fact_ord")
+    return f.join(_answers(f.drop("fact_ord"), symbols), ["name", "qualifier", "dir"]).select("fact_ord", "callee")
 
 
 def call_edges(facts: DataFrame, callers: DataFrame, callees: DataFrame) -> DataFrame:
@@ -56,6 +71,17 @@ def call_edges(facts: DataFrame, callers: DataFrame, callees: DataFrame) -> Data
     return d.select(F.col("fact_ord").alias("edge_ord"), F.col("caller").alias("src"), F.col("callee").alias("dst"), "line")
 
 
+def build_edges(facts: DataFrame, symbols: DataFrame, ignore_qualifiers: tuple[str, ...] = (), innermost: bool = False) -> DataFrame:
+    """What call_edges gives for both ends, in one pass: call sites keep their columns through the interval
+    join, and then meet the answers for their (name, qualifier, directory), so no two tables of the size of the
+    call sites are joined."""
+    carry = ("line", "callee_name", "callee_qualifier", "dir")
+    inside = _asked(enclosing_function(facts, symbols, innermost, carry), ignore_qualifiers, "fact_ord", "caller", "line")
+    answers = _answers(_asked(facts, ignore_qualifiers), symbols)
+    d = inside.join(answers, ["name", "qualifier", "dir"])
+    return d.select(F.col("fact_ord").alias("edge_ord"), F.col("caller").alias("src"), F.col("callee").alias("dst"), "line")
+
+
 def resolve_events(events: DataFrame, nodes: DataFrame, strict_path: bool = False) -> DataFrame:
     """Events with the function they ran (inner): its name is fn or fn's last dotted part, and the
     event's file ends with its path (after a slash, if strict_path); of several the smallest id."""

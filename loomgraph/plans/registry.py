@@ -46,7 +46,7 @@ class Data:
         return cut(view(self.spark, self.sf_dir, "facts", {"symbols": self.symbols}))
 
     def make_edges(self) -> DataFrame:
-        return cut(resolve.call_edges(self.facts, self.callers, self.callees))
+        return cut(resolve.build_edges(self.facts, self.symbols))
 
     def make_fnodes(self) -> DataFrame:
         return graph.last_wins(self.symbols)
