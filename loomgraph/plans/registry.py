@@ -101,6 +101,16 @@ query("p7_heat", "SELECT id, count(*) AS hits, CASE WHEN count(*) > 100 THEN 'bl
 
 # Sources and sinks
 query("s1_pruned_paths", "SELECT page_id, url AS path FROM pages WHERE NOT list_has_any(string_split(url, '/'), ['.git', 'node_modules', 'venv', '.venv', 'env', '__pycache__', '.tox'])")(lambda d: trees.without_pruned(d.pages.select("page_id", F.col("url").alias("path"))))
+@query("s1_scan_tree", "SELECT doc_id, 'lang=' || coalesce(nullif(lang, ''), '__HIVE_DEFAULT_PARTITION__') AS dir, text FROM documents")
+def _scan_tree(d: Data) -> DataFrame:
+    """All documents as lines of files in a folder a language, scanned."""
+    root = new_path(d.spark, "tree")
+    d.documents.select("lang", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("lang").option("maxRecordsPerFile", 500).text(root)
+    files = trees.scan(d.spark, root)[0].where("path like '%.txt' and path like 'lang=%'")
+    lines = trees.source_lines(files).select(P.dirname(F.col("path")).alias("dir"), F.from_json("text", "doc_id long, text string").alias("r"))
+    return lines.select("r.doc_id", "dir", "r.text")
+
+
 query("s2_route_language", "SELECT doc_id, path, CASE WHEN s IN ('.c', '.h') THEN 'c' WHEN s = '.go' THEN 'go' WHEN s IN ('.jsx', '.js', '.ts', '.tsx', '.mjs', '.cjs') THEN 'js' WHEN s = '.py' THEN 'python' END AS lang FROM (SELECT *, regexp_extract(path, '(\\.[^./]+)$', 1) AS s FROM named_files)")(lambda d: trees.routed(d.named_files).select("doc_id", "path", "lang"))
 
 

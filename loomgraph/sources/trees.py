@@ -2,85 +2,19 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.paths import PRUNED_DIRECTORIES, is_pruned, language, language_order
+from loomgraph.functions.paths import is_pruned, language, language_order
 from loomgraph.operators.trace import parse
-from loomgraph.sources.shared import cut
-
-#: Bytes of files that one row group of the scan reads.
-BATCH_BYTES = 16 << 20
-
-
-def _entries(d: str) -> list[tuple[str, bool]]:
-    """(path, is_dir) of what stands in a directory, local or in a store that pyarrow knows by its URI;
-    local links to directories are not followed."""
-    if "://" not in d:
-        with os.scandir(d) as entries:
-            return [(e.path, e.is_dir(follow_symlinks=False)) for e in entries]
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(d)
-    root = d[: len(d) - len(at.rstrip("/"))] if d.rstrip("/").endswith(at.rstrip("/")) else d.split("://")[0] + "://"
-    return [(root + f.path, f.type == fs.FileType.Directory) for f in store.get_file_info(fs.FileSelector(at))]
-
-
-def _bytes(path: str) -> bytes:
-    if "://" not in path:
-        with open(path, "rb") as f:
-            return f.read()
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(at) as f:
-        return f.read()
-
-
-def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, is_dir, pruned) of what stands in each directory; the folder must be one that executors share."""
-    for batch in batches:
-        found = []
-        for d in batch.column(0).to_pylist():
-            found += [(p, is_dir) for p, is_dir in _entries(d) if not is_dir or p.rstrip("/").rsplit("/", 1)[-1] not in PRUNED_DIRECTORIES]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())], ["path", "is_dir"])
-
-
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths, texts, size = [], [], 0
-        for p in batch.column(0).to_pylist():
-            texts.append(_bytes(p).decode("utf-8", "replace"))
-            paths.append(p)
-            size += len(texts[-1])
-            if size > BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(texts)], ["path", "content"])
-                paths, texts, size = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
+from loomgraph.sources import tree_files
 
 
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(files (path, content), directories (path)) below root, relative to it; pruned directories are not
-    entered, and a directory that can't be read fails the job. A job a level lists it in parallel; hidden
-    and underscored names are in, which Spark's own file readers would skip."""
-    root = root.rstrip("/") if "://" in root else os.path.abspath(root)
-    level = spark.createDataFrame([(root,)], "path string")
-    files, dirs = None, level
-    while True:
-        found = cut(level.mapInArrow(_listing, "path string, is_dir boolean"))
-        files = found.where("not is_dir").select("path") if files is None else files.unionByName(found.where("not is_dir").select("path"))
-        level = found.where("is_dir").select("path")
-        if level.isEmpty():
-            break
-        dirs = dirs.unionByName(level)
-        level = level.repartition(spark.sparkContext.defaultParallelism)
-    below = F.when(F.col("path") == root, ".").otherwise(F.substring("path", len(root) + 2, 1 << 30)).alias("path")
-    read = files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_contents, "path string, content string")
-    return read.select(below, "content"), dirs.select(below)
+    """(files (path, content), directories (path)) below root, relative to it, a job each: see `tree_files`."""
+    tree_files.register(spark)
+    tree = spark.read.format("source_tree").option("path", root).load()
+    return tree.where("not is_dir").select("path", "content"), tree.where("is_dir").select("path")
 
 
 def without_pruned(files: DataFrame) -> DataFrame:

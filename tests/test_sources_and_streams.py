@@ -4,9 +4,10 @@ import threading
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, Not, StringStartsWith
 
 from loomgraph.operators import graph, resolve, trace
-from loomgraph.sources import shared, trees
+from loomgraph.sources import shared, tree_files, trees
 from loomgraph.streaming import checks, growing, live
 
 
@@ -20,6 +21,46 @@ def test_scan_sees_hidden_names_and_prunes(spark, tmp_path):
         assert {r.path for r in dirs.collect()} == {".", "a", "a/.hidden", "envy"}
 
 
+def test_scan_pushes_tests_down_and_hands_on_what_it_does_not_list(spark, tmp_path):
+    for k in range(40):
+        p = tmp_path / f"d{k % 4}" / f"e{k % 5}" / f"f{k}.{('py', 'go')[k % 2]}"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x\xff" * k)
+    (tmp_path / "d0" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "d0" / "gone.py").symlink_to(tmp_path / "nothing")
+    (tmp_path / "d3" / "e9").mkdir()
+    read = lambda **o: spark.read.format("source_tree").options(path=str(tmp_path), **o).load()
+    tree_files.register(spark)
+    every = {tuple(r) for r in read().collect()}
+    assert len([r for r in every if not r[1]]) == 40 and len(every) == 40 + 1 + 4 + 20 + 1
+    assert {r[3] for r in every if r[0].endswith("f3.go")} == {"x\ufffd" * 3}
+    for o in ({"plan_entries": 1}, {"plan_entries": 6}, {"partition_bytes": 1}):
+        assert {tuple(r) for r in read(**o).collect()} == every
+    assert read(partition_bytes=1).rdd.getNumPartitions() >= 40
+    for test, fits in (
+        ("path like 'd1/%' and not is_dir", lambda r: r[0].startswith("d1/") and not r[1]),
+        ("path like '%.py'", lambda r: r[0].endswith(".py")),
+        ("path in ('d2/e3/f18.py', 'd2', 'none')", lambda r: r[0] in ("d2/e3/f18.py", "d2")),
+        ("path = '.'", lambda r: r[0] == "."),
+        ("is_dir", lambda r: r[1]),
+        ("path like 'd1%' and path not like '%.go' and size > 9", lambda r: r[0].startswith("d1") and not r[0].endswith(".go") and (r[2] or 0) > 9),
+    ):
+        for o in ({}, {"plan_entries": 1}):
+            assert {tuple(r) for r in read(**o).where(test).collect()} == {r for r in every if fits(r)}, test
+
+    reader = tree_files.TreeReader({"path": str(tmp_path)})
+    listed, entries = [], tree_files.Tree.entries
+    tree_files.Tree.entries = lambda self, path: listed.append(path) or entries(self, path)
+    try:
+        assert list(reader.pushFilters([StringStartsWith(("path",), "d1/e1/"), Not(EqualTo(("is_dir",), True)), GreaterThan(("size",), 1)])) == [GreaterThan(("size",), 1)]
+        assert {e[0] for p in reader.partitions() for e in p.entries} == {r[0] for r in every if r[0].startswith("d1/e1/") and not r[1]}
+        assert sorted(listed) == [".", "d1", "d1/e1"]
+    finally:
+        tree_files.Tree.entries = entries
+    with pytest.raises(Exception, match="no_such"):
+        spark.read.format("source_tree").option("path", str(tmp_path / "no_such")).load().collect()
+
+
 def test_source_lines(spark):
     d = spark.createDataFrame([("p", "a\r\nb\n\nc\n"), ("q", ""), ("r", None), ("s", "x")], "path string, content string")
     assert sorted(map(tuple, trees.source_lines(d).collect())) == [("p", 1, "a"), ("p", 2, "b"), ("p", 3, ""), ("p", 4, "c"), ("s", 1, "x")]
