@@ -40,6 +40,10 @@ SKETCH_BITS = 22
 BLOCKS = 64
 #: Runs of a prefix token up to this length give all their pairs at once.
 SHORT_RUN = 4
+#: Pairs of a hub that meet one copy of its set.
+HUB_PAIRS = 512
+#: Groups up to this size give all pairs of their members; larger ones pairs that share a token behind the prefix.
+SMALL_GROUP = 16
 #: Bits of the candidate filter: 8 MB to each executor, whatever the input.
 FILTER_BITS = 26
 #: Rows of a run that are held before it is dealt with in pieces.
@@ -229,27 +233,66 @@ def _filter_bits(cells: DataFrame) -> bytes:
     return bytes(out)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, classes: object, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link. Sets are built for candidates only, and each node
-    has one, however many rows hold its text; hubs, which many pairs name, all stand on side a."""
-    spark = pairs.sparkSession
+def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, classes: object, id_col: str, text_col: str) -> DataFrame:
+    """(node, items) of the wanted nodes (node), written: a set a node, however many rows hold its text."""
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    ids = nodes.join(wanted, "node", "left_semi").select(cell("id").alias("c"))
+    bits = [_filter_bits(ids), _filter_bits(wanted.select(F.pmod("node", F.lit(1 << FILTER_BITS)).alias("c")))]
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.select(cell(id_col).alias("c"), F.col(text_col).alias("t"))
+    sets = rows.mapInArrow(textcore.lean(_candidate_sets(classes, sent)), "node long, items array<long>")
+    return stored(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, classes: object, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link. Sets are built for candidates only. Hubs, which many
+    pairs name, all stand on side a; their pairs are dealt to as many salts as HUB_PAIRS asks for, and a hub's set
+    goes once to each, so one task has at most about that many of its pairs."""
     degree = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count(), "degrees")
-    ids = nodes.join(degree, "node", "left_semi").select(cell("id").alias("c"))
-    bits = [_filter_bits(ids), _filter_bits(degree.select(F.pmod("node", F.lit(1 << FILTER_BITS)).alias("c")))]
     d = pairs.join(degree.select(F.col("node").alias("a"), F.col("count").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("db")), "b")
     swap = F.col("da") < F.col("db")
-    d = d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
-    wanted = spark.sparkContext.broadcast(bits)
-    rows = docs.select(cell(id_col).alias("c"), F.col(text_col).alias("t"))
-    sets = stored(rows.mapInArrow(textcore.lean(_candidate_sets(classes, wanted)), "node long, items array<long>").groupBy("node").agg(F.first("items").alias("items")), "sets")
+    salts = lambda n: F.ceil(n / F.lit(HUB_PAIRS))
+    d = d.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), salts(F.greatest("da", "db")).alias("salts"))
+    d = d.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    sets = _sets_of(degree.select("node"), docs, nodes, classes, id_col, text_col)
     one = d.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+    copies = sets.join(degree, "node").select(F.col("node").alias("a"), F.col("items").alias("ia"), F.explode(F.sequence(F.lit(0).cast("long"), salts(F.col("count")) - 1)).alias("salt"))
+    both = one.join(copies, ["a", "salt"])
     common = F.size(F.array_intersect("ia", "ib")).cast("long")
     union = F.size("ia").cast("long") + F.size("ib").cast("long") - common
     return both.select("a", "b", common.alias("c"), union.alias("u")).where(100 * F.col("c") >= PERCENT * F.col("u")).select("a", "b")
 
 
+def pairs_inside(split: DataFrame, docs: DataFrame, nodes: DataFrame, classes: object, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) that may link, of nodes (node, grp, n, root) of one group and different roots.
+
+    Members have size n and prefix p in common, so what links shares need = ceil(PERCENT * 2n / (100 + PERCENT)) tokens in
+    all, and one at least among any n - need + 1 that stand first behind the prefix in an order of the group's
+    own. That order is by how many members hold a token, so that what all have in common stands last. Groups of
+    SMALL_GROUP nodes at most, which have fewer pairs than tokens, go without."""
+    sized = split.join(split.groupBy("grp").agg(F.count("*").alias("m")), "grp")
+
+    def met(d: DataFrame, *on: str) -> DataFrame:
+        p, q = (d.select(*on, F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        return p.join(q, list(on)).where("a < b and ra <> rb").select("a", "b").distinct()
+
+    few = met(sized.where(F.col("m") <= SMALL_GROUP), "grp")
+    many = stored(sized.where(F.col("m") > SMALL_GROUP), "many")
+    if many.isEmpty():
+        return few
+    sets = _sets_of(many.select("node").distinct(), docs, nodes, classes, id_col, text_col)
+    n = F.col("n")
+    prefix = (n - F.ceil(PERCENT * n / F.lit(100)) + 1).cast("int")
+    behind = (n - F.ceil(2 * PERCENT * n / F.lit(100 + PERCENT)) + 1).cast("int")
+    tokens = stored(many.join(sets, "node").select("grp", "node", "root", behind.alias("behind"), F.explode(F.slice("items", prefix + 1, n.cast("int"))).alias("token")), "behind")
+    held = tokens.groupBy("grp", "token").agg(F.count("*").alias("f"))
+    order = F.sort_array(F.collect_list(F.struct("f", "token")))
+    tokens = tokens.join(held, ["grp", "token"]).groupBy("grp", "node", "root", "behind").agg(order.alias("order"))
+    tokens = stored(tokens.select("grp", "node", "root", F.explode(F.slice("order", F.lit(1), F.col("behind"))["token"]).alias("token")), "first")
+    apart = tokens.groupBy("grp", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("grp", "token")
+    return few.unionByName(met(tokens.join(apart, ["grp", "token"], "left_semi"), "grp", "token"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge: alternating large and small stars until nothing
     changes; each round is a few aggregations and joins over the edges, written to the shared folder."""
@@ -316,7 +359,7 @@ def _clustered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     wide = at.groupBy("grp").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     wide = stored(wide, "wide")
     split = at.join(wide.where("m > 1 and r0 <> r1").select("grp"), "grp", "left_semi")
-    inside = split.alias("p").join(split.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    inside = pairs_inside(split, d, nodes, classes, id_col, text_col)
     some = met.join(wide.where("m > 1").select(F.col("grp").alias("x"), F.lit(1).alias("wx")), "x", "left").join(wide.where("m > 1").select(F.col("grp").alias("y"), F.lit(1).alias("wy")), "y", "left").where("wx = 1 or wy = 1").select("x", "y")
     across = some.join(at.select(F.col("grp").alias("x"), F.col("node").alias("a"), F.col("root").alias("ra")), "x").join(at.select(F.col("grp").alias("y"), F.col("node").alias("b"), F.col("root").alias("rb")), "y").where("ra <> rb").select("a", "b")
     put_by = put_by.join(wide.select("grp", "r0", "r1"), "grp")

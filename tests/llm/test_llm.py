@@ -385,6 +385,39 @@ def test_long_runs_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.cluster(d).collect()} == components(texts)
 
 
+def test_salted_hubs_and_every_group_by_tokens_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 2)
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 1)
+    texts = near_copies(4, 200)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.cluster(d).collect()} == components(texts)
+
+
+def test_group_of_one_prefix_whose_texts_seldom_link(spark, monkeypatch):
+    """40 texts of one rare head; their tails stand in many other texts, so all prefixes lie in the head. Only tails
+    2k and 2k + 1 are near copies: their pairs alone are tried."""
+    head = [f"h{k}" for k in range(40)]
+    tails = []
+    for k in range(20):
+        tail = [f"t{k}x{j}" for j in range(60)]
+        tails += [tail, [*tail[:-1], f"t{k}y"]]
+    texts = {k: " ".join(head + t) for k, t in enumerate(tails)}
+    rows = list(texts.items()) + [(100 + 64 * k + j, " ".join(head[-4:] + t)) for k, t in enumerate(tails) for j in range(64)]
+    tried, inside = [], ngram_join.pairs_inside
+
+    def counted(split, *rest):
+        out = inside(split, *rest)
+        tried.append((split.count(), split.select("grp").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "pairs_inside", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.cluster(d).collect()}
+    want = {k: (96, k - k % 2) for k in texts} | {100 + 64 * k + j: (60, 100 + 64 * (k - k % 2)) for k in range(40) for j in range(64)}
+    assert got == want
+    assert tried == [(40, 1, 19)]  # 780 pairs in all; the first text's pair was found in the first round
+
+
 def test_components_of_hard_rows(spark, hard, empty):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.cluster(hard).collect())
     assert got[0] == (0, 3, 1) and got.count((1, 3, 1)) == 2
