@@ -167,12 +167,13 @@ def hits(lines: DataFrame, kind: str, rules: list[Rule] | None = None) -> DataFr
 
 def _with_end(found: DataFrame, lines: DataFrame) -> DataFrame:
     """found with end_line: its own line if that closes what it opens, else the next line of the file that
-    takes the depth back to that before it, or the last line. One window over (path, depth)."""
+    takes the depth back to that before it, or the last line. One window over (path, depth), backwards: a frame up to
+    the last row would be computed anew for each row."""
     closed = lines.where("after < before").select("path", F.explode(F.sequence(F.col("after"), F.col("before") - 1)).alias("before"), "line_no", F.col("end_no").alias("closes"))
     names = [c for c in found.columns if c not in ("path", "before", "line_no")]
     both = found.withColumns({"closes": F.lit(None).cast("int"), "is_found": F.lit(True)}).unionByName(closed.withColumn("is_found", F.lit(False)), allowMissingColumns=True)
-    later = Window.partitionBy("path", "before").orderBy("line_no", F.desc("is_found")).rowsBetween(1, Window.unboundedFollowing)
-    d = both.withColumn("next", F.first("closes", ignorenulls=True).over(later)).where("is_found")
+    later = Window.partitionBy("path", "before").orderBy(F.desc("line_no"), "is_found").rowsBetween(Window.unboundedPreceding, -1)
+    d = both.withColumn("next", F.last("closes", ignorenulls=True).over(later)).where("is_found")
     last = lines.groupBy("path").agg(F.max("end_no").alias("last"))
     d = d.join(last, "path")
     end = F.when(F.col("after") <= F.col("before"), F.col("end_no")).otherwise(F.coalesce("next", "last"))
@@ -190,7 +191,7 @@ def definitions(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     bucket = lambda c: F.floor(F.col(c) / 64)
     c = d.where("is_class").select(F.col("path").alias("of"), F.col("line_no").alias("c0"), F.col("end_line").alias("c1"), F.col("name").alias("class_name"), F.explode(F.sequence(bucket("line_no"), bucket("end_line"))).alias("bucket"))
     d = d.where("not is_class").withColumn("at", bucket("line_no"))
-    d = d.join(c, (F.col("path") == F.col("of")) & (F.col("at") == F.col("bucket")) & (F.col("line_no") > F.col("c0")) & (F.col("end_line") <= F.col("c1")), "left")
+    d = d.join(c.hint("merge"), (F.col("path") == F.col("of")) & (F.col("at") == F.col("bucket")) & (F.col("line_no") > F.col("c0")) & (F.col("end_line") <= F.col("c1")), "left")
     d = d.groupBy("lang", "path", "name", "line_no", "end_line", "place", "other").agg(F.max_by("class_name", "c0").alias("class_name"))
     scope = F.when(F.col("other") != "", F.col("other")).otherwise(F.col("class_name"))
     return d.select("lang", "path", scope.alias("scope"), "name", F.col("line_no").alias("start_line"), "end_line", F.col("place").alias("start_col"))

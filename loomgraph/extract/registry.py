@@ -105,12 +105,11 @@ def _clean(files: DataFrame, rules: list[line_rules.Rule]) -> tuple[DataFrame, D
     return clean.join(bad.join(clean.where("lang = 'python'").select("path"), "path", "left_semi").select("path"), "path", "left_anti"), errors
 
 
-def _tokens(files: DataFrame, langs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nested tokens, scanned files, errors) of the files in langs."""
-    scanned = cut(tokens.scanned(files.where(F.col("lang").isin(*langs))))
-    rows = tokens.rows(scanned)
-    errors = tokens.fault_text(tokens.faults(rows)).unionByName(_no_content(files, langs))
-    return cut(tokens.nested(rows)), scanned, errors
+def _tokens(files: DataFrame, langs: list[str], what: str) -> tuple[DataFrame, DataFrame]:
+    """(sites for the rules of `what`, errors) of the files in langs."""
+    sites = cut(tokens.sites(files.where(F.col("lang").isin(*langs)), what))  # each rule reads it
+    found = sites.where("kind = 'fault'").select("path", "line", F.col("text").alias("found"), "expected")
+    return sites.where("kind <> 'fault'"), tokens.fault_text(found).unionByName(_no_content(files, langs))
 
 
 def _rules(rules: list[line_rules.Rule] | None) -> tuple[list[line_rules.Rule], list[str]]:
@@ -127,8 +126,8 @@ def extract_symbols(files: DataFrame, id_scheme: str = "module", rules: list[lin
     by_lines, by_tokens = _rules(rules)
     clean, errors = _clean(f, by_lines)
     rows = line_rules.definitions(cut(line_rules.logical_lines(clean)), by_lines)
-    nested, _, token_errors = _tokens(f, by_tokens)
-    rows, errors = rows.unionByName(token_rules.definitions(nested)), errors.unionByName(token_errors)
+    sites, token_errors = _tokens(f, by_tokens, "definitions")
+    rows, errors = rows.unionByName(token_rules.definitions(sites)), errors.unionByName(token_errors)
     own = _of_functions(f, "definitions", SYMBOLS, SYMBOL_TYPE)
     if own is not None:
         rows = rows.unionByName(own.where("error is null").drop("error"))
@@ -146,10 +145,10 @@ def extract_calls(files: DataFrame, rules: list[line_rules.Rule] | None = None)
     f = _routed(files, rules)
     of, by_tokens = _rules(rules)
     clean, errors = _clean(f, of)
-    nested, scanned, token_errors = _tokens(f, by_tokens)
+    sites, token_errors = _tokens(f, by_tokens, "calls")
     errors = errors.unionByName(token_errors)
     defined = line_rules.hits(line_rules.logical_lines(clean), "def", of).select("path", "line_no", "name").distinct()
-    rows = line_rules.calls(line_rules.physical_lines(clean), defined, of).unionByName(token_rules.calls(nested, scanned))
+    rows = line_rules.calls(line_rules.physical_lines(clean), defined, of).unionByName(token_rules.calls(sites))
     own = _of_functions(f, "calls", CALLS, CALL_TYPE)
     if own is not None:
         rows = rows.unionByName(own.where("error is null").drop("error"))

@@ -1,10 +1,10 @@
 """Definitions and call sites of C, Go and JavaScript as windows over the token stream.
 
 A definition or a call is a window of tokens around a name: what stands before it, after it, and behind the
-bracket that it opens. The tokens that one bracket directly holds are a window of their own (path, encl): in it a
-statement begins behind the last break, an arrow function's body ends at the next one, and `a.b(c).d` is a chain
-whose links are neighbours, however much its brackets hold. A call's qualifier is its chain's text before the last
-dot, cut out of the file's tokens.
+bracket that it opens. Of the tokens that one bracket directly holds, those at which something begins or ends are a window
+of their own (path, encl): in it a statement begins behind the last break, and an arrow function's body ends at the next
+one. Windows look back only, those for what comes next over the opposite order: a frame up to the last row would be
+computed anew for each row. A call's qualifier is its chain's text before the last dot.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from loomgraph.extract.line_rules import NOT_C, NOT_GO, NOT_JS, NOT_JS_METHOD
-from loomgraph.extract.tokens import BEFORE_EXPRESSION, in_expression
+from loomgraph.extract.tokens import in_expression
 
 # Words that stand before a method's name, and C words that stand before an expression.
 MODIFIERS = ("static", "async", "get", "set")
@@ -32,7 +32,8 @@ def _before() -> WindowSpec:
 
 
 def _after() -> WindowSpec:
-    return _at().rowsBetween(1, Window.unboundedFollowing)
+    """All rows behind, the nearest last."""
+    return Window.partitionBy("path", "encl.k").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _is(c: str, *values: str) -> Column:
@@ -56,9 +57,9 @@ def js_definitions(t: DataFrame) -> DataFrame:
     # a break ends an expression body: a comma or semicolon, or a line that doesn't go on
     goes_on = in_expression(F.col("p1")) | _is("p1", ".", "?.") | (F.col("is_punct") & ~F.col("text").isin("{", "(", "[", "++", "--", "!", "~")) | (F.col("kind") == "name") & F.col("text").isin("in", "of", "instanceof")
     breaks = (F.col("is_punct") & F.col("text").isin(",", ";")) | (F.col("line") > F.col("p1.line")) & ~F.coalesce(goes_on, F.lit(False))
-    t = t.withColumn("ends", F.coalesce(F.first(F.when(breaks, F.col("p1.line")), ignorenulls=True).over(_after()), F.max("line").over(_after()), F.col("line")))
+    t = t.withColumn("ends", F.coalesce(F.last(F.when(breaks, F.col("p1.line")), ignorenulls=True).over(_after()), F.max("line").over(_after()), F.col("line")))
     arrow = F.when(F.col("is_punct") & (F.col("text") == "=>"), F.when(F.col("n1.text") == "{", F.col("n1.close_line")).otherwise(F.col("ends")))
-    t = t.withColumn("arrow_end", F.first(arrow, ignorenulls=True).over(_after()))
+    t = t.withColumn("arrow_end", F.last(arrow, ignorenulls=True).over(_after()))
 
     opens_body = _is("n1", "(") & _eq("n1.after", "{")
     behind = F.when(_is("p2", "async"), F.col("p3")).otherwise(F.col("p2"))
@@ -98,7 +99,7 @@ def go_definitions(t: DataFrame) -> DataFrame:
     starts = (F.col("kind") == "name") & (F.col("text") == "func") & (function | method)
     body = F.col("is_punct") & (F.col("text") == "{") & ~_is("p1", "struct", "interface")
     mark = F.when(starts, F.struct(F.lit(None).cast("int").alias("line"))).when(body, F.struct(F.col("close_line").alias("line")))
-    t = t.withColumn("body", F.first(mark, ignorenulls=True).over(_after()))
+    t = t.withColumn("body", F.last(mark, ignorenulls=True).over(_after()))
     pointer = F.when(_is("n2", "*"), F.concat(F.lit("*"), F.col("n3.text"))).when(_is("n3", "*"), F.concat(F.lit("*"), F.col("n4.text")))
     receiver = pointer.when(_is("n3", ")", "["), F.col("n2.text")).otherwise(F.col("n3.text"))
     d = t.where(starts)
@@ -106,30 +107,19 @@ def go_definitions(t: DataFrame) -> DataFrame:
 
 
 def definitions(t: DataFrame) -> DataFrame:
-    """(lang, path, scope, name, start_line, end_line, start_col) of nested tokens; start_col orders by place in the file."""
+    """(lang, path, scope, name, start_line, end_line, start_col) of sites; start_col orders by place in the file."""
     d = js_definitions(t).unionByName(c_definitions(t)).unionByName(go_definitions(t))
     bucket = lambda c: F.floor(F.col(c) / BUCKET)
     classes = t.where("class_name is not null and close_k is not null").select(F.col("path").alias("of"), F.col("k").alias("k0"), F.col("close_k").alias("k1"), "class_name", F.explode(F.sequence(bucket("k"), bucket("close_k"))).alias("bucket"))
     d = d.withColumn("own", F.when(F.col("in_class"), bucket("k")))
     within = (F.col("path") == F.col("of")) & (F.col("own") == F.col("bucket")) & (F.col("k") > F.col("k0")) & (F.col("k") < F.col("k1"))
-    d = d.join(classes, within, "left").groupBy("lang", "path", "k", "scope", "name", "start_line", "end_line").agg(F.max_by("class_name", "k0").alias("class_name"))
+    d = d.join(classes.hint("merge"), within, "left").groupBy("lang", "path", "k", "scope", "name", "start_line", "end_line").agg(F.max_by("class_name", "k0").alias("class_name"))
     return d.select("lang", "path", F.coalesce("scope", "class_name").alias("scope"), "name", F.col("start_line").cast("int"), F.col("end_line").cast("int"), F.col("k").cast("int").alias("start_col"))
 
 
 def js_calls(t: DataFrame) -> DataFrame:
     """`f(`, `o.f(` and their optional forms, but for definitions, operators of words, and what `new` makes."""
     t = t.where("lang = 'js'")
-    last = F.struct("text", "kind", "k")
-    t = t.withColumn("near", F.lag(last).over(_at()))
-    dot = (F.col("is_punct")) & F.col("text").isin(".", "?.")
-    after_dot = _is("near", ".", "?.")
-    word = F.col("near.text").isin(*NOT_JS, *BEFORE_EXPRESSION) & ~_is("p2", ".", "?.")
-    value = (_kind("near", "name", "private", "str", "regex") & ~word) | _is("near", ")", "]", "?.")
-    link = dot | after_dot | _is("near", "new") | (F.col("is_punct") & F.col("text").isin("(", "[") & value) | (F.col("is_punct") & F.col("text").isin(")", "]", "}")) | ((F.col("kind") == "str") & (value | _is("near", "}", "${"))) | (F.col("is_punct") & (F.col("text") == "${"))
-    t = t.withColumn("chain", F.sum(F.when(F.coalesce(link, F.lit(False)), 0).otherwise(1)).over(_at()))
-    of_chain = Window.partitionBy("path", "encl.k", "chain").orderBy("k")
-    t = t.withColumn("head", F.first(F.struct("k", "text", "line")).over(of_chain))
-    t = t.withColumn("opened", F.coalesce(F.sum(F.when(F.col("is_punct") & (F.col("text") == "("), 1).otherwise(0)).over(of_chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     member = _is("p1", ".", "?.")
     plain = _is("n1", "(")
     optional = _is("n1", "?.") & _is("n2", "(")
@@ -139,8 +129,7 @@ def js_calls(t: DataFrame) -> DataFrame:
     arrow = (F.col("text") == "async") & _eq("n1.after", "=>")
     made = (F.col("head.text") == "new") & (F.col("opened") == 0)
     d = t.where((F.col("kind") == "name") & (plain | optional) & ~F.coalesce(arrow | made, F.lit(False)) & (member | ~defines & ~declares & ~F.col("text").isin(*NOT_JS)))
-    span = F.when(member, F.struct(F.col("head.k").alias("first"), (F.col("k") - 2).alias("last")))
-    return d.select("lang", "path", "k", F.coalesce(F.when(member, F.col("head.line")), F.col("line")).alias("line"), ends.alias("end_line"), F.col("text").alias("name"), F.lit("").alias("qualifier"), span.alias("span"))
+    return d.select("lang", "path", "k", F.coalesce(F.when(member, F.col("head.line")), F.col("line")).alias("line"), ends.alias("end_line"), F.col("text").alias("name"), F.when(member, F.col("object")).otherwise("").alias("qualifier"))
 
 
 def c_calls(t: DataFrame) -> DataFrame:
@@ -160,23 +149,11 @@ def go_calls(t: DataFrame) -> DataFrame:
 
 
 def _plain(d: DataFrame, qualifier: Column, line: Column) -> DataFrame:
-    none = F.lit(None).cast("struct<first: int, last: int>")
-    return d.select("lang", "path", "k", line.alias("line"), F.col("n1.close_line").alias("end_line"), F.col("text").alias("name"), qualifier.alias("qualifier"), none.alias("span"))
+    return d.select("lang", "path", "k", line.alias("line"), F.col("n1.close_line").alias("end_line"), F.col("text").alias("name"), qualifier.alias("qualifier"))
 
 
-def calls(t: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(lang, path, line, start_line, end_line, start_col, callee_name, callee_qualifier) of nested tokens; a call begins
-    where its object does. Objects of several tokens are cut out of `scanned`: a file's calls meet its tokens as one row."""
+def calls(t: DataFrame) -> DataFrame:
+    """(lang, path, line, start_line, end_line, start_col, callee_name, callee_qualifier) of sites; a call begins where
+    its object does."""
     d = js_calls(t).unionByName(c_calls(t)).unionByName(go_calls(t))
-    own = F.struct("k", "line", F.coalesce("end_line", "line").alias("end_line"), "name", "qualifier", "span")
-    by_file = d.groupBy("lang", "path").agg(F.collect_list(own).alias("calls"))  # no longer than the file, which is a row too
-    raw = F.transform("tokens", lambda x: F.concat(x["gap"], x["text"]))
-    with_raw = by_file.join(scanned.select("path", raw.alias("raw"), F.transform("tokens", lambda x: x["text"]).alias("texts")), "path")
-
-    def cut_out(x: Column) -> Column:
-        first, last = x["span"]["first"], x["span"]["last"]
-        return F.concat(F.element_at("texts", first + 1), F.array_join(F.slice("raw", first + 2, last - first), ""))
-
-    named = lambda x: x.withField("qualifier", F.when(x["span"].isNull(), x["qualifier"]).otherwise(cut_out(x)))
-    d = with_raw.select("lang", "path", F.explode(F.transform("calls", named)).alias("c"))
-    return d.select("lang", "path", F.col("c.line").cast("int").alias("line"), F.col("c.line").cast("int").alias("start_line"), F.col("c.end_line").cast("int").alias("end_line"), F.col("c.k").cast("int").alias("start_col"), F.col("c.name").alias("callee_name"), F.col("c.qualifier").alias("callee_qualifier"))
+    return d.select("lang", "path", F.col("line").cast("int").alias("line"), F.col("line").cast("int").alias("start_line"), F.coalesce("end_line", "line").cast("int").alias("end_line"), F.col("k").cast("int").alias("start_col"), F.col("name").alias("callee_name"), F.col("qualifier").alias("callee_qualifier"))

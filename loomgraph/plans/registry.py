@@ -70,10 +70,34 @@ class Data:
     def make_lines(self) -> DataFrame:
         return trees.source_lines(self.documents.select(F.col("doc_id").cast("string").alias("path"), "text"), content_col="text")
 
+    def make_called(self) -> DataFrame:
+        """(path, start_line, callee_name) as the view has it, call sites reduced by their keys before they get a path."""
+        n = self.part.count()
+        sites = self.lineitem.select("l_partkey", "l_linenumber", ((F.col("l_suppkey") * 13 + F.col("l_orderkey")) % n).alias("c"))
+        names = self.symbols.select(F.col("p_partkey").alias("c"), F.col("name").alias("callee_name"))
+        d = sites.join(names, "c").groupBy("l_partkey", "l_linenumber").agg(F.max("callee_name").alias("callee_name"))
+        d = d.join(self.symbols.select(F.col("p_partkey").alias("l_partkey"), "path", "start_line"), "l_partkey")
+        return d.groupBy("path", (F.col("start_line") + 3 * F.col("l_linenumber")).alias("start_line")).agg(F.max("callee_name").alias("callee_name"))
+
     def make_corpus(self) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("o1", "o2", "text")))
-        d = self.corpus_lines.groupBy("path").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("content"))
-        return cut(d.select(F.regexp_replace("path", r"\.py$", ".js").alias("path"), "content"))
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.symbols.count() // 20_000)
+        return cut(corpus_files(self.symbols, self.called, parts))
+
+
+def corpus_files(symbols: DataFrame, called: DataFrame, parts: int) -> DataFrame:
+    """The files of corpus_lines. Call sites meet the functions of their 20 lines only, a function's lines are one text
+    before they meet in their file, and files are dealt one by one, not together by what they take compressed."""
+    bucket = lambda c: F.floor(c / 20)
+    at = called.select(F.col("path").alias("of"), F.col("start_line").alias("at"), bucket(F.col("start_line")).alias("b"), F.coalesce("callee_name", F.lit("")).alias("callee"))
+    spans = symbols.select("path", "sym_ord", "name", "start_line", F.explode(F.array_distinct(F.array(bucket(F.col("start_line")), bucket(F.col("start_line") + 19)))).alias("bucket"))
+    within = (F.col("path") == F.col("of")) & (F.col("bucket") == F.col("b")) & (F.col("at") >= F.col("start_line")) & (F.col("at") <= F.col("start_line") + 19)
+    d = spans.join(at.hint("merge"), within, "left").groupBy("path", "sym_ord", "name").agg(F.collect_list("callee").alias("callees"))
+    callees = F.when(F.size("callees") > 0, F.col("callees")).otherwise(F.array(F.lit("")))
+    calls = F.array_sort(F.transform(callees, lambda x: F.concat(F.lit("  if (a) { "), x, F.lit("(); } // skip("), F.col("name"), F.lit(")"))))
+    code = F.array_join(F.concat(F.array(F.concat(F.lit("function "), F.col("name"), F.lit("(a) {"))), calls, F.array(F.lit("}"))), "\n")
+    d = d.select("path", F.struct("sym_ord", code.alias("code")).alias("x")).repartition(parts, "path")
+    d = d.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["code"]), "\n").alias("content"))
+    return d.select(F.regexp_replace("path", r"\.py$", ".js").alias("path"), "content")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
