@@ -22,9 +22,11 @@ C_EXPRESSION = ("return", "else", "do", "case", "goto", "sizeof")
 #: Tokens of a file that share a bucket in the join of definitions and the classes around them.
 BUCKET = 256
 
+
 def _at() -> WindowSpec:
-    """The tokens that the bracket around a token directly holds."""
-    return Window.partitionBy("path", "encl.k").orderBy("k")
+    """The tokens that the bracket around a token, `at`, directly holds. A column of its own, so that all windows over it
+    share one shuffle."""
+    return Window.partitionBy("path", "at").orderBy("k")
 
 
 def _before() -> WindowSpec:
@@ -33,7 +35,7 @@ def _before() -> WindowSpec:
 
 def _after() -> WindowSpec:
     """All rows behind, the nearest last."""
-    return Window.partitionBy("path", "encl.k").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("path", "at").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _is(c: str, *values: str) -> Column:
@@ -51,15 +53,10 @@ def _eq(c: str, value: str) -> Column:
 
 def js_definitions(t: DataFrame) -> DataFrame:
     """Function declarations, methods of classes and object literals, and arrow functions of declarators."""
-    t = t.where("lang = 'js'")
     declares = F.when((F.col("kind") == "name") & F.col("text").isin("const", "let", "var"), True).when(F.col("is_punct") & (F.col("text") == ";"), False)
-    t = t.withColumn("declares", F.coalesce(F.last(declares, ignorenulls=True).over(_before()), F.lit(False)))
     # a break ends an expression body: a comma or semicolon, or a line that doesn't go on
     goes_on = in_expression(F.col("p1")) | _is("p1", ".", "?.") | (F.col("is_punct") & ~F.col("text").isin("{", "(", "[", "++", "--", "!", "~")) | (F.col("kind") == "name") & F.col("text").isin("in", "of", "instanceof")
     breaks = (F.col("is_punct") & F.col("text").isin(",", ";")) | (F.col("line") > F.col("p1.line")) & ~F.coalesce(goes_on, F.lit(False))
-    t = t.withColumn("ends", F.coalesce(F.last(F.when(breaks, F.col("p1.line")), ignorenulls=True).over(_after()), F.max("line").over(_after()), F.col("line")))
-    arrow = F.when(F.col("is_punct") & (F.col("text") == "=>"), F.when(F.col("n1.text") == "{", F.col("n1.close_line")).otherwise(F.col("ends")))
-    t = t.withColumn("arrow_end", F.last(arrow, ignorenulls=True).over(_after()))
 
     opens_body = _is("n1", "(") & _eq("n1.after", "{")
     behind = F.when(_is("p2", "async"), F.col("p3")).otherwise(F.col("p2"))
@@ -68,23 +65,32 @@ def js_definitions(t: DataFrame) -> DataFrame:
     method = opens_body & ~_is("p1", "function", ".", "?.", "new", "=") & ((braces == "class") | (braces == "object") & (_is("p1", "{", ",", "*") | _is("p1", *MODIFIERS)) & ~F.col("text").isin(*NOT_JS_METHOD))
     params = lambda j: _is(f"n{j}", "(") & _eq(f"n{j}.after", "=>") | _kind(f"n{j}", "name") & _is(f"n{j + 1}", "=>")
     value = params(2) | _is("n2", "async") & (_is("n3", "(") & _eq("n3.after", "=>") | _kind("n3", "name") & _is("n4", "=>"))
-    declarator = _is("n1", "=") & value & (_is("p1", "const", "let", "var") | _is("p1", ",") & F.col("declares"))
-    kind = F.when(function, "function").when(method, "method").when(declarator, "arrow")
-    d = t.where(F.col("kind") == "name").withColumn("what", kind).where("what is not null")
+    assigns = _is("n1", "=") & value
+    kind = F.when(F.col("kind") == "name", F.when(function, "function").when(method, "method").when(assigns & _is("p1", "const", "let", "var"), "arrow").when(assigns & _is("p1", ","), "next"))
     first = F.when(F.col("what") == "method", F.when(_is("p1", *MODIFIERS, "*") & (F.col("p1.line") < F.col("line")), F.col("p1.line")))
     first = F.when((F.col("what") == "function") & _is("p2", "async"), F.col("p2.line")).when(F.col("what") == "function", F.col("p1.line")).otherwise(first)
-    end = F.when(F.col("what") == "arrow", F.col("arrow_end")).otherwise(F.col("n1.after_close_line"))
-    return d.select("lang", "path", "k", F.lit(None).cast("string").alias("scope"), F.col("text").alias("name"), F.coalesce(first, "line").alias("start_line"), F.coalesce(end, "line").alias("end_line"), (F.col("what") == "method").alias("in_class"))
+
+    # what stands around a token is told before the windows: they move few numbers
+    d = t.where("lang = 'js'").withColumn("what", kind)
+    d = d.select("lang", "path", F.col("encl.k").alias("at"), "k", "line", "what", F.when(F.col("what").isNotNull(), F.col("text")).alias("name"), first.alias("first"), F.col("n1.after_close_line").alias("body_end"),
+        declares.alias("declares"), F.when(breaks, F.col("p1.line")).alias("breaks"), (F.col("is_punct") & (F.col("text") == "=>")).alias("is_arrow"), F.when(F.col("n1.text") == "{", F.struct(F.col("n1.close_line").alias("line"))).alias("block"))
+    d = d.withColumn("declares", F.coalesce(F.last("declares", ignorenulls=True).over(_before()), F.lit(False)))
+    d = d.withColumn("ends", F.coalesce(F.last("breaks", ignorenulls=True).over(_after()), F.max("line").over(_after()), F.col("line")))
+    arrow = F.when(F.col("is_arrow"), F.when(F.col("block").isNotNull(), F.col("block.line")).otherwise(F.col("ends")))
+    d = d.withColumn("arrow_end", F.last(arrow, ignorenulls=True).over(_after()))
+    d = d.where("what is not null and (what <> 'next' or declares)")
+    end = F.when(F.col("what").isin("arrow", "next"), F.col("arrow_end")).otherwise(F.col("body_end"))
+    return d.select("lang", "path", "k", F.lit(None).cast("string").alias("scope"), "name", F.coalesce("first", "line").alias("start_line"), F.coalesce(end, "line").alias("end_line"), (F.col("what") == "method").alias("in_class"))
 
 
 def c_definitions(t: DataFrame) -> DataFrame:
     """A name with a type before it, a parameter list and a body; it begins where its statement does."""
-    t = t.where("lang = 'c'")
     breaks = (F.col("is_punct") & F.col("text").isin(";", "}")) | (F.col("kind") == "directive")
-    t = t.withColumn("statement", F.coalesce(F.sum(F.when(breaks, 1).otherwise(0)).over(_before()), F.lit(0)))
-    t = t.withColumn("first", F.min(F.when(~breaks, F.col("line"))).over(Window.partitionBy("path", "encl.k", "statement")))
-    d = t.where((F.col("kind") == "name") & ~F.col("text").isin(*NOT_C) & _typed() & _is("n1", "(") & _eq("n1.after", "{"))
-    return d.select("lang", "path", "k", F.lit(None).cast("string").alias("scope"), F.col("text").alias("name"), F.coalesce("first", "line").alias("start_line"), F.coalesce(F.col("n1.after_close_line"), "line").alias("end_line"), F.lit(False).alias("in_class"))
+    defines = (F.col("kind") == "name") & ~F.col("text").isin(*NOT_C) & _typed() & _is("n1", "(") & _eq("n1.after", "{")
+    d = t.where("lang = 'c'").select("lang", "path", F.col("encl.k").alias("at"), "k", "line", breaks.alias("breaks"), F.when(defines, F.col("text")).alias("name"), F.col("n1.after_close_line").alias("body_end"))
+    d = d.withColumn("statement", F.coalesce(F.sum(F.when(F.col("breaks"), 1).otherwise(0)).over(_before()), F.lit(0)))
+    d = d.withColumn("first", F.min(F.when(~F.col("breaks"), F.col("line"))).over(Window.partitionBy("path", "at", "statement")))
+    return d.where("name is not null").select("lang", "path", "k", F.lit(None).cast("string").alias("scope"), "name", F.coalesce("first", "line").alias("start_line"), F.coalesce("body_end", "line").alias("end_line"), F.lit(False).alias("in_class"))
 
 
 def _typed() -> Column:
@@ -93,17 +99,17 @@ def _typed() -> Column:
 
 def go_definitions(t: DataFrame) -> DataFrame:
     """`func name(` and `func (receiver) name(` outside of all brackets."""
-    t = t.where("lang = 'go' and encl.k = -1")
     function = _kind("n1", "name") & _is("n2", "(", "[")
     method = _is("n1", "(") & _eq("n1.after_kind", "name") & F.coalesce(F.col("n1.after2").isin("(", "["), F.lit(False))
     starts = (F.col("kind") == "name") & (F.col("text") == "func") & (function | method)
     body = F.col("is_punct") & (F.col("text") == "{") & ~_is("p1", "struct", "interface")
     mark = F.when(starts, F.struct(F.lit(None).cast("int").alias("line"))).when(body, F.struct(F.col("close_line").alias("line")))
-    t = t.withColumn("body", F.last(mark, ignorenulls=True).over(_after()))
     pointer = F.when(_is("n2", "*"), F.concat(F.lit("*"), F.col("n3.text"))).when(_is("n3", "*"), F.concat(F.lit("*"), F.col("n4.text")))
     receiver = pointer.when(_is("n3", ")", "["), F.col("n2.text")).otherwise(F.col("n3.text"))
-    d = t.where(starts)
-    return d.select("lang", "path", "k", F.when(method, receiver).alias("scope"), F.when(method, F.col("n1.after")).otherwise(F.col("n1.text")).alias("name"), F.col("line").alias("start_line"), F.coalesce("body.line", "line").alias("end_line"), F.lit(False).alias("in_class"))
+    name = F.when(method, F.col("n1.after")).otherwise(F.col("n1.text"))
+    d = t.where("lang = 'go' and encl.k = -1").select("lang", "path", F.col("encl.k").alias("at"), "k", "line", starts.alias("starts"), mark.alias("mark"), F.when(starts & method, receiver).alias("scope"), F.when(starts, name).alias("name"))
+    d = d.withColumn("body", F.last("mark", ignorenulls=True).over(_after())).where("starts")
+    return d.select("lang", "path", "k", "scope", "name", F.col("line").alias("start_line"), F.coalesce("body.line", "line").alias("end_line"), F.lit(False).alias("in_class"))
 
 
 def definitions(t: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from loomgraph.extract import line_rules, registry, tokens
+from loomgraph.extract import line_rules, registry, token_rules, tokens
 from loomgraph.plans.registry import corpus_files
 
 
@@ -52,3 +52,32 @@ def test_corpus_of_one_long_file(spark):
     want = "\n".join("\n".join([f"function f{k}(a) {{", *sorted(f"  if (a) {{ {c}(); }} // skip(f{k})" for c in of.get(k, [""])), "}"]) for k in range(n))
     (got,) = d.collect()
     assert (got.path, got.content) == ("a.js", want)
+
+
+def test_definitions_are_dealt_once(spark):
+    """Each window used to have a key of its own, by which whole sites were shuffled again."""
+    d = tokens.sites(spark.createDataFrame([("a.js", "js", "const zero = 0,\nf = (a) => {\n};\n")], "path string, lang string, content string"), "definitions")
+    for rules in (token_rules.js_definitions, token_rules.c_definitions, token_rules.go_definitions):
+        assert rules(d)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.name, r.start_line, r.end_line) for r in token_rules.js_definitions(d).collect()] == [("f", 2, 3)]
+
+
+def test_plain_code_is_cut_by_few_calls():
+    """Each token used to be a match, and a dozen steps in Python, of its own."""
+    code = "function f(a) { if (a) { b(1, 2, [3]); } } // skip(f)\n"
+    calls = []
+    whole = tokens._WHOLE["js"]
+
+    class Counted:
+        def findall(self, *a):
+            calls.append(a[1:])
+            return whole.findall(*a)
+
+    tokens._WHOLE["js"] = Counted()
+    try:
+        placed = tokens.Placed(code * 10_000, "js")
+    finally:
+        tokens._WHOLE["js"] = whole
+    assert placed.n == 240_000 and len(calls) <= 10 and placed.fault is None
+    tail = [x[1:3] for x in tokens.scan("a = \n" * 9000 + "/[/*]/.c(1) / `x ${ {}.d(/}/) } y`", "js")][-18:]
+    assert tail == [("regex", "/[/*]/"), ("punct", "."), ("name", "c"), ("punct", "("), ("num", "1"), ("punct", ")"), ("punct", "/"), ("str", "`x "), ("punct", "${"), ("punct", "{"), ("punct", "}"), ("punct", "."), ("name", "d"), ("punct", "("), ("regex", "/}/"), ("punct", ")"), ("punct", "}"), ("str", " y`")]
