@@ -81,3 +81,11 @@ def test_plain_code_is_cut_by_few_calls():
     assert placed.n == 240_000 and len(calls) <= 10 and placed.fault is None
     tail = [x[1:3] for x in tokens.scan("a = \n" * 9000 + "/[/*]/.c(1) / `x ${ {}.d(/}/) } y`", "js")][-18:]
     assert tail == [("regex", "/[/*]/"), ("punct", "."), ("name", "c"), ("punct", "("), ("num", "1"), ("punct", ")"), ("punct", "/"), ("str", "`x "), ("punct", "${"), ("punct", "{"), ("punct", "}"), ("punct", "."), ("name", "d"), ("punct", "("), ("regex", "/}/"), ("punct", ")"), ("punct", "}"), ("str", " y`")]
+
+
+def test_faults_alone_are_few_rows_at_a_time(monkeypatch):
+    """Files with nothing but a fault used to be held until a site came, each as a batch of its own."""
+    monkeypatch.setattr(tokens, "ROWS", 64)
+    monkeypatch.setattr(tokens.np, "isin", None)  # a sort for each question about a word
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k}.go" for k in range(300)]), pa.array(["go"] * 300), pa.array([")"] * 300)], ["path", "lang", "content"])
+    assert [b.num_rows for b in tokens._sites("calls")(iter([batch]))] == [64, 64, 64, 64, 44]
