@@ -1,5 +1,8 @@
 """The token stream's rules: forms that a scan of lines can't tell."""
 
+import re
+
+import pyarrow as pa
 from loomgraph.extract import registry, tokens
 
 JS = {
@@ -85,3 +88,39 @@ def test_no_files(spark):
     symbols, errors = registry.extract_symbols(d)
     assert symbols.count() == 0 and [r.error for r in errors.collect()] == ["no content"]
     assert registry.extract_calls(d)[0].count() == 0
+
+
+def rows_of(text, lang, what="calls"):
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([lang]), pa.array([text])], ["path", "lang", "content"])
+    return [r for b in tokens._sites(what)(iter([batch])) for r in b.to_pylist()]
+
+
+def test_blocks_give_what_a_whole_file_gives(monkeypatch):
+    """Calls whose brackets, chains and neighbours lie in other blocks; also of files with faults of brackets."""
+    odd = ["a(b(c)(d)[e].f(`x ${g(h).i(1)} y`).j(k)).l(m);" * 3, "f([1], [2](", "f)(]g(h", "class A { m(a) { n(a); } }\nnew B(c(1)).d(e)", "a?.(b)?.c(\n)", "x.y(" * 9 + ")" * 5]
+    texts = [("js", t) for t in [*JS.values(), *odd]] + [("c", t) for t in [*C.values(), *odd, "#a\n #b(c)\n d(e) #f(g)\n"]] + [("go", t) for t in [*GO.values(), *odd]]
+    whole = [rows_of(t, lang) for lang, t in texts]
+    short = lambda p: re.compile(p.pattern.replace("{0,16384}", "{0,1}"))
+    monkeypatch.setattr(tokens, "_RUN", {k: short(p) for k, p in tokens._RUN.items()})
+    monkeypatch.setattr(tokens, "_IN_TEMPLATE", short(tokens._IN_TEMPLATE))
+    order = lambda rows: sorted(rows, key=lambda r: (r["k"], r["kind"]))
+    for size in (1, 2, 5, 30):
+        monkeypatch.setattr(tokens, "BLOCK", size)
+        for (lang, t), want in zip(texts, whole, strict=True):
+            assert order(rows_of(t, lang)) == order(want)
+
+
+def test_calls_are_read_a_block_at_a_time(monkeypatch):
+    """All tokens of a file used to be arrays at once, some 60 bytes for each of its text."""
+    held = []
+    off = tokens.Placed.off
+    monkeypatch.setattr(tokens.Placed, "off", lambda self, *a: held.append(self.n) or off(self, *a))
+    line = "if (a) { foo().g(b[1]); x = `${h(2)}`; }"
+    for end in ("\n", " "):  # also a file of one line
+        text = "outer(() => {" + (line + end) * 8_000 + "}).last();\n"
+        rows = rows_of(text, "js")
+        assert len(rows) == 4 * 8_000 + 2 and max(held) < 130_000 < 27 * 8_000
+        outer, last = min(rows, key=lambda r: r["k"]), max(rows, key=lambda r: r["k"])
+        assert (outer["text"], outer["n1"]["close_line"], outer["n1"]["after"]) == ("outer", text.count("\n"), ".")
+        assert (last["text"], last["head"]["text"], last["opened"], last["object"]) == ("last", "outer", 1, text[: -len(".last();\n")])
+        assert {(r["text"], r["object"], r["encl"]["brace"]) for r in rows} >= {("foo", None, "{"), ("g", "foo()", "{"), ("h", None, "${")}
