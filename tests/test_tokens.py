@@ -124,3 +124,16 @@ def test_calls_are_read_a_block_at_a_time(monkeypatch):
         assert (outer["text"], outer["n1"]["close_line"], outer["n1"]["after"]) == ("outer", text.count("\n"), ".")
         assert (last["text"], last["head"]["text"], last["opened"], last["object"]) == ("last", "outer", 1, text[: -len(".last();\n")])
         assert {(r["text"], r["object"], r["encl"]["brace"]) for r in rows} >= {("foo", None, "{"), ("g", "foo()", "{"), ("h", None, "${")}
+
+
+def test_code_in_strings_is_read_a_block_at_a_time(monkeypatch):
+    """Templates and slashes whose tokens before lie in another block."""
+    held = []
+    off = tokens.Placed.off
+    monkeypatch.setattr(tokens.Placed, "off", lambda self, *a: held.append(self.n) or off(self, *a))
+    n = 9_000
+    line = '  if (a) { x = `no(1) ${b(`${1}`)} no(2)`; y = /"/.test("no(3)") || z.last(); } // skip(f)\n'
+    rows = rows_of("function f(a) {\n" + line * n + "}\n", "js")
+    hits = [(r["line"], r["text"], r["object"]) for r in rows if r["text"] in ("b", "test", "last", "no")]
+    assert hits == [(k, *x) for k in range(2, n + 2) for x in (("b", None), ("test", '/"/'), ("last", "z"))]
+    assert max(held) < 130_000 < 30 * n
